@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandweave.llm import language, mixing, quality, sharding, toxicity
+from strandweave.llm import fingerprints, language, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op4_curriculum": mixing.op4_curriculum,
+    "op5_bottom_k": fingerprints.op5_bottom_k,
     "op7_string_kernels": language.op7_language,
     "op8_toxicity_trees": toxicity.op8_toxicity,
     "op10_quality_attention": quality.op10_quality,

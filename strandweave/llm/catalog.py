@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandweave.llm import fingerprints, language, mixing, quality, sharding, toxicity
+from strandweave.llm import fingerprints, language, mixing, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op4_curriculum": mixing.op4_curriculum,
     "op5_bottom_k": fingerprints.op5_bottom_k,
+    "op6_seed_extend": substrings.op6_seed_extend,
     "op7_string_kernels": language.op7_language,
     "op8_toxicity_trees": toxicity.op8_toxicity,
     "op10_quality_attention": quality.op10_quality,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import fingerprints, language, mixing, quality, sharding, substrings, toxicity
+from strandweave.llm import fingerprints, language, mixing, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_seed_extend": substrings.op6_seed_extend,
     "op7_string_kernels": language.op7_language,
     "op8_toxicity_trees": toxicity.op8_toxicity,
+    "op9_prefix_free": suffixes.op9_prefix_free,
     "op10_quality_attention": quality.op10_quality,
 }
 

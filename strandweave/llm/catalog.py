@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandweave.llm import fingerprints, language, mixing, quality, sharding, substrings, suffixes, toxicity
+from strandweave.llm import fingerprints, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES = {
+    "op1_prob_minhash": neardup.op1_prob_minhash,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op4_curriculum": mixing.op4_curriculum,
     "op5_bottom_k": fingerprints.op5_bottom_k,

@@ -1,3 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage reads what the one before kept. Every stage but the last returns the columns of
+``documents``; the last adds ``virtual_slot`` and ``shard``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandweave.llm import decontaminate, mixing, neardup, sharding, toxicity
+from strandweave.llm._shared import shared_dir
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity trees score below the threshold stay."""
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate class the document with the least doc_id stays."""
+    return neardup.keep_first(docs)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, repeated or left out as the curriculum's targets say."""
+    return mixing.mix_documents(docs)
+
+
+def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix dealt to shards by virtual slots."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("mix", stage_mix),
+    ("shard", stage_shard),
+]
+
+#: No stage before the last is SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; each result is written and read again in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    home = f"{shared_dir(spark).rstrip('/')}/strandweave/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
+        docs = spark.read.parquet(f"{home}/{k}-{name}")
+    return docs

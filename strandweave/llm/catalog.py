@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandweave.llm import fingerprints, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
+from strandweave.llm import decontaminate, fingerprints, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_prob_minhash": neardup.op1_prob_minhash,
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op3_latent_retrieval": decontaminate.op3_latent_retrieval,
     "op4_curriculum": mixing.op4_curriculum,
     "op5_bottom_k": fingerprints.op5_bottom_k,
     "op6_seed_extend": substrings.op6_seed_extend,

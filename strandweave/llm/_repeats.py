@@ -25,12 +25,12 @@ from strandweave.llm._arrow import U, mix, prefix_hash, spans
 
 _LOW = (1 << 24) - 1
 BATCH_BYTES = 8 << 20
-MOST_BATCHES = 1 << 16
+MOST_BATCHES = 1 << 22
 
 
-def batches_for(total_bytes: int, partitions: int) -> int:
-    """Batches (and buckets) for so much text: one per shuffle partition at least, 64 ki at most, about 8 MB each between."""
-    return int(min(MOST_BATCHES, max(partitions, -(-total_bytes // BATCH_BYTES), 1)))
+def batches_for(total_bytes: int, partitions: int, size: int = BATCH_BYTES) -> int:
+    """Batches (and buckets) for so much text: one per shuffle partition at least, 4 Mi at most, about ``size`` bytes each between."""
+    return int(min(MOST_BATCHES, max(partitions, -(-total_bytes // size), 1)))
 
 
 def least(keys: np.ndarray, width: int) -> np.ndarray:

@@ -61,10 +61,9 @@ class _Batch:
         self.buckets = buckets
 
     def sends(self) -> Iterator[tuple[int, int, bytes]]:
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(self.edges)).tolist():
             at = self.lead[self.edges[b] : self.edges[b + 1]]
-            if len(at):
-                yield b, len(at), R.pack(self.anchor[at], self.content[at], self.times[self.edges[b] : self.edges[b + 1]] > 1)
+            yield b, len(at), R.pack(self.anchor[at], self.content[at], self.times[self.edges[b] : self.edges[b + 1]] > 1)
 
     def answered(self, answers: pa.Table) -> np.ndarray:
         """The first round's bits (1 first, 2 repeated, 4 several contexts) of each pair."""
@@ -131,7 +130,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
             bucket = R.bucket_of(own.anchor[own.lead[chosen]], n)[which]
             edges = np.searchsorted(bucket, np.arange(n + 1))
             me = group.column("batch")[0].as_py()
-            rows = [(me, b, hashes[edges[b] : edges[b + 1]].astype("<u8").tobytes()) for b in range(n) if edges[b + 1] > edges[b]]
+            rows = [(me, b, hashes[edges[b] : edges[b + 1]].astype("<u8").tobytes()) for b in np.flatnonzero(np.diff(edges)).tolist()]
         return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
     def agree(group: pa.Table) -> pa.Table:

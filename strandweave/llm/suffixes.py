@@ -33,6 +33,8 @@ from strandweave.llm._shared import documents
 
 WINDOW = 50
 GRAM = 24
+#: Bytes of text in a batch; its phrases, hashes and answers take about forty times that in a task.
+BATCH_BYTES = 3 << 20
 _T = table(9)
 
 
@@ -70,10 +72,9 @@ class _Batch:
         self.edges = np.searchsorted(R.bucket_of(self.anchor[self.lead], buckets), np.arange(buckets + 1))
 
     def sends(self) -> Iterator[tuple[int, int, bytes]]:
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(self.edges)).tolist():
             at = self.lead[self.edges[b] : self.edges[b + 1]]
-            if len(at):
-                yield b, len(at), R.pack(self.anchor[at], self.content[at], None)
+            yield b, len(at), R.pack(self.anchor[at], self.content[at], None)
 
     def answered(self, answers: pa.Table) -> np.ndarray:
         """The first round's bits (1 an earlier batch has it, 4 its trigger has other phrases) of each pair."""
@@ -171,7 +172,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total, cuts = size_and_cuts(docs, min(R.MOST_BATCHES, 1000))
-    n = R.batches_for(total, partitions)
+    n = R.batches_for(total, partitions, BATCH_BYTES)
     if n < len(cuts) + 1:
         cuts = sorted({cuts[i * (len(cuts) + 1) // n - 1] for i in range(1, n) if i * (len(cuts) + 1) // n >= 1})
     elif n > len(cuts) + 1 and cuts:

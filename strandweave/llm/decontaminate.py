@@ -9,7 +9,7 @@ common subsequence of the item and the words around the passage holds ``LCS`` of
 words, and ``ANSWER`` of the item's key terms (its rarest words, where an answer would be) are
 there too. That finds verbatim copies and paraphrases with words changed, dropped or added.
 
-Before the latent product a passage must hold at least as many rare item words as an accepted
+Before the latent product a passage must hold as many of one item's rare words as an accepted
 copy can't avoid (prefix filtering); this drops no case that the checks would accept. The
 benchmark is taken in blocks of ``BLOCK_ITEMS`` items, the corpus is read whole for each.
 """
@@ -28,6 +28,7 @@ from strandweave.llm._arrow import Texts, U, owners, prefix_hash, sliced, spans,
 from strandweave.llm._shared import documents, keep
 
 PASSAGE, STEP = 64, 16
+RARE = 3
 COLUMNS = 4096
 RANK = 32
 BASIS_ITEMS = 192
@@ -74,16 +75,22 @@ class Benchmark:
     def weigh(self, found: np.ndarray, passages: int) -> None:
         """Set idf from the passages that hold each word, and from it the rare words and key terms of each piece."""
         self.idf = np.log((passages + 1.0) / (found + 1.0)) + 0.1
-        self.rare = np.zeros(len(self.vocabulary), bool)
-        self.keys, self.need = [], 2
-        for piece in self.pieces:
+        self.keys, need, words, homes = [], [], [], []
+        for home, piece in enumerate(self.pieces):
             v = np.searchsorted(self.vocabulary, piece)
             order = v[np.argsort(-self.idf[v], kind="stable")]
             miss = len(piece) - int(np.ceil(LCS * len(piece) - 1e-9))
-            take = min(len(piece), miss + 2)
-            self.rare[order[:take]] = True
-            self.need = max(1, min(self.need, take - miss))
+            take = min(len(piece), miss + RARE)
+            rare = np.unique(order[:take])
+            words.append(rare)
+            homes.append(np.full(len(rare), home))
+            need.append(max(1, take - miss))
             self.keys.append(np.unique(piece[np.argsort(-self.idf[v], kind="stable")][: max(1, int(np.ceil(0.4 * len(piece))))]))
+        # postings: the pieces that have each word among their rare ones; need: rare words that a copy can't avoid
+        self.need = np.array(need, np.int64)
+        words, homes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, homes))
+        order = np.argsort(words, kind="stable")
+        self.posting, self.homes = np.searchsorted(words[order], np.arange(len(self.vocabulary) + 1)), homes[order]
         self.vectors = np.stack([self.rows(np.searchsorted(self.vocabulary, p), np.zeros(len(p), np.int64), 1)[0] for p in self.pieces]) if self.pieces else np.zeros((0, self.width), np.float32)
 
     def rows(self, word: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -197,12 +204,18 @@ def search(docs: DataFrame, bench: Benchmark) -> DataFrame:
                 base = np.append(0, np.cumsum(blocks))
                 owner = owners(first)
                 block = (np.arange(len(words)) - first[:-1][owner]) // STEP + base[:-1][owner]
-                rare = np.append(0, np.cumsum(np.bincount(block, (v >= 0) & bench.rare[v], base[-1]))) if len(words) else np.zeros(1)
-                of = np.repeat(np.arange(len(size)), np.maximum(blocks - wide + 1, np.minimum(blocks, 1)))
-                begin = np.arange(len(of)) - np.searchsorted(of, of) + base[:-1][of]
-                end = np.minimum(begin + wide, base[1:][of])
-                good = rare[end] - rare[begin] >= bench.need
-                of, begin, end = of[good], begin[good], end[good]
+                # (piece, first block of a passage) for every rare word in one of its blocks; those met often enough are looked at
+                at = np.flatnonzero(v >= 0)
+                many = bench.posting[v[at] + 1] - bench.posting[v[at]]
+                which = np.repeat(np.arange(len(at)), many)
+                piece_of = bench.homes[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + bench.posting[v[at]][which]]
+                home, text = block[at][which], owner[at][which]
+                begins = (home[:, None] - np.arange(wide)).ravel()
+                text, piece_of = np.repeat(text, wide), np.repeat(piece_of, wide)
+                good = (begins >= base[:-1][text]) & ((begins + wide <= base[1:][text]) | (begins == base[:-1][text]))
+                keys, met = np.unique(begins[good] * np.int64(len(bench.pieces)) + piece_of[good], return_counts=True)
+                begin = np.unique(keys[met >= bench.need[keys % len(bench.pieces)]] // len(bench.pieces))
+                of = np.searchsorted(base, begin, "right") - 1
                 lo = first[:-1][of] + (begin - base[:-1][of]) * STEP
                 hi = np.minimum(lo + PASSAGE, first[1:][of])
                 best: dict[tuple[int, int], tuple] = {}

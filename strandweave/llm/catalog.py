@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import decontaminate, fingerprints, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
+from strandweave.llm import decontaminate, fingerprints, language, mixing, neardup, oracles, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_prob_minhash": neardup.op1_prob_minhash,
@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_prob_minhash": oracles.NEAR_DUPLICATES,
     "op4_curriculum": mixing.oracle(),
+    "op6_seed_extend": oracles.REPEATED_WORDS,
+    "op9_prefix_free": oracles.REPEATED_BYTES,
 }

@@ -26,6 +26,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.3
 LEXICON = 512
 FOLDS = 4
+#: Stem counts that a task holds at once.
+HELD = 1_000_000
 #: Insults looked for from the start.
 INSULTS = "idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting clown clowns dumb fool jerk ugly filth garbage".split()
 #: Second-person words in the four languages.
@@ -132,27 +134,33 @@ def labelled(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> DataFra
 def stem_counts(sample: DataFrame) -> DataFrame:
     """For each stem key and fold of the sample: texts that hold it (n) and toxic ones among them (t)."""
 
+    def total(key: np.ndarray, fold: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((fold, key))
+        key, fold = key[order], fold[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (fold[1:] != fold[:-1]))) if len(key) else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x[order], new) if len(new) else x[:0]
+        return key[new], fold[new], add(t), add(n)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # counts of slices, joined before they grow large
+
+        def flush() -> pa.RecordBatch:
+            key, fold, t, n = total(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held.clear()
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(fold), pa.array(t), pa.array(n)], ["k", "fold", "t", "n"])
+
         for batch in batches:
-            keys, toxic, folds = [], [], []
             for part in sliced(batch):
-                start, end, first, running = _letters(t := Texts(part.column(0)))
+                start, end, first, running = _letters(Texts(part.column(0)))
                 y, fold = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 owner = owners(first)
-                assert len(t) == len(y)
                 for x in stem_keys(start, end, running):
                     key, of = _pairs(x, owner)
-                    keys.append(key)
-                    toxic.append(y[of])
-                    folds.append(fold[of])
-            if keys:
-                key, toxic, fold = np.concatenate(keys), np.concatenate(toxic), np.concatenate(folds)
-                order = np.lexsort((fold, key))
-                key, toxic, fold = key[order], toxic[order], fold[order]
-                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (fold[1:] != fold[:-1]))) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(key)))
-                t = np.add.reduceat(toxic, new) if len(new) else n
-                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(fold[new]), pa.array(t.astype(np.int64)), pa.array(n)], ["k", "fold", "t", "n"])
+                    held.append(total(key, fold[of], y[of].astype(np.int64), np.ones(len(key), np.int64)))
+                if sum(len(h[0]) for h in held) > HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
     return sample.mapInArrow(count, "k long, fold int, t long, n long").groupBy("k", "fold").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
@@ -249,4 +257,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str, rows: int = FIT_ROWS) -> Data
 
 def reject_toxic(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that score below the threshold, with the columns of ``docs``."""
-    return with_score(docs, train(docs, marks), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return with_score(docs, train(docs, marks), "__sw_toxicity").where(F.col("__sw_toxicity") < threshold).drop("__sw_toxicity")

@@ -100,7 +100,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def forest(sets: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILAR) -> list[tuple[int, int]]:
     """Links of similarity ``least`` or more that span the same parts as all such links between the sets."""
     if len(sets) == 2:
-        return [(0, 1)] if probability_jaccard(*sets) >= least else []
+        return [(0, 1)] if probability_jaccard(*sets) >= least - 1e-9 else []
     alive = np.arange(len(sets))
     while len(alive) > 1:  # similarity is at most the share of weight that some other member has too
         ids, at = np.unique(np.concatenate([sets[i][0] for i in alive]), return_inverse=True)
@@ -145,7 +145,7 @@ def forest(sets: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILAR) ->
     out = []
     for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
         a, b = root(p), root(q)
-        if a != b and probability_jaccard(sets[alive[p]], sets[alive[q]]) >= least:
+        if a != b and probability_jaccard(sets[alive[p]], sets[alive[q]]) >= least - 1e-9:
             parent[a] = b
             out.append((int(alive[p]), int(alive[q])))
     return out
@@ -249,6 +249,16 @@ def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tupl
     return nodes, keep(found.distinct().select(name("a").alias("a"), name("b").alias("b")))
 
 
+def _labelled(docs: DataFrame, least: float) -> DataFrame:
+    """The distinct texts with their class: (a, b, first_id, copies, class_id, keeper); one node of each class is its keeper."""
+    nodes, links = similar(docs, least)
+    labels = components(links)
+    named = nodes.withColumn("node", F.format_string("%016x%016x", "k1", "k2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
+    rows = named.join(lowest, "label")
+    return keep(rows.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "first_id", "copies", "class_id", (F.col("node") == F.col("best.node")).alias("keeper")))
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, class_id, copies): a row per row; class_id is the least doc_id of the class.
 
@@ -257,11 +267,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     only. Null ids never name a class that has another id. Other columns are ignored; an empty
     table gives an empty result.
     """
-    nodes, links = similar(docs, least)
-    labels = components(links)
-    named = nodes.withColumn("node", F.format_string("%016x%016x", "k1", "k2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    ids = keep(named.join(lowest, "label").select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "class_id", "copies"))
+    ids = _labelled(docs, least).select("_a", "_b", "class_id", "copies")
     narrow = docs.select("doc_id", *node_key(F.col("text")))
     return narrow.join(ids, (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b"))).select("doc_id", "class_id", "copies")
 
@@ -274,8 +280,10 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """One document of each near-duplicate class, that of the least doc_id, with the columns of ``docs``.
 
-    Rows without doc_id form classes like others; of equal (doc_id, text) rows one stays.
+    A class without any doc_id keeps one of its rows; of equal (doc_id, text) rows one stays.
+    Texts move once: repeated rows are dropped where the join has put them.
     """
-    firsts = classes(docs.select("doc_id", "text"), least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    keepers = _labelled(docs.select("doc_id", "text"), least).where("keeper").select(F.col("_a").alias("__sw_a"), F.col("_b").alias("__sw_b"), F.col("first_id").alias("__sw_first"))
+    keyed = docs.select("*", *[k.alias(f"__sw_{n}") for k, n in zip(node_key(F.col("text")), ("k1", "k2"), strict=True)])
+    rows = keyed.join(keepers, (F.col("__sw_k1") == F.col("__sw_a")) & (F.col("__sw_k2") == F.col("__sw_b"))).where(F.col("doc_id").eqNullSafe(F.col("__sw_first")))
+    return rows.dropDuplicates(["__sw_k1", "__sw_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])

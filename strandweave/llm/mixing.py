@@ -127,26 +127,24 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Copies of the text travel once, with their positions; columns are those of ``docs``.
     """
+    keys = ("__sw_id", "__sw_src", "__sw_size")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     plan = curriculum(sized_documents(docs)).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"),
-        F.array_compact(F.array("first_position", "second_position")).alias("_times"),
+        name("doc_id").alias("__sw_id"), name("source").alias("__sw_src"), F.col("size").alias("__sw_size"), F.array_compact(F.array("first_position", "second_position")).alias("__sw_times")
     )
     # Rows that agree in id, source and size are interchangeable to the plan: number them on both sides to pair them one to one.
-    same = Window.partitionBy("_id", "_src", "_size").orderBy("_times")
-    plan = plan.withColumn("_n", F.row_number().over(same))
-    mine = Window.partitionBy("doc_id", "_src", "_size").orderBy(F.xxhash64("text"))
-    left = docs.withColumn("_src", F.col("source").cast("string")).withColumn("_size", word_count(F.col("text")))
-    left = left.withColumn("_n", F.row_number().over(mine))
-    joined = left.alias("l").join(
-        plan.alias("r"),
-        F.col("l.doc_id").eqNullSafe(F.col("r._id")) & F.col("l._src").eqNullSafe(F.col("r._src")) & (F.col("l._size") == F.col("r._size")) & (F.col("l._n") == F.col("r._n")),
-    )
+    plan = plan.withColumn("__sw_n", F.row_number().over(Window.partitionBy(*keys).orderBy("__sw_times")))
+    left = docs.withColumns({"__sw_id": name("doc_id"), "__sw_src": name("source"), "__sw_size": word_count(F.col("text"))})
+    left = left.withColumn("__sw_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    # the number is no join key, so that texts stay where the window has put them
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    joined = left.alias("l").join(plan.alias("r"), same[0] & same[1] & same[2] & (F.col("l.__sw_n") - F.col("r.__sw_n") == 0))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
-        joined.select(*[F.col(f"l.`{c}`") for c in docs.columns], F.explode("r._times").alias("_time"))
-        .repartitionByRange(parts, "_time")
-        .sortWithinPartitions("_time")
-        .drop("_time")
+        joined.select(*[F.col(f"l.`{c}`") for c in docs.columns], F.explode("r.__sw_times").alias("__sw_time"))
+        .repartitionByRange(parts, "__sw_time")
+        .sortWithinPartitions("__sw_time")
+        .drop("__sw_time")
     )
 
 

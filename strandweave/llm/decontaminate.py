@@ -277,8 +277,8 @@ def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item, with the columns of ``docs``."""
-    hit = keep(contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    hit = keep(contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__sw_id")).distinct())
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__sw_id")), "left_anti")
 
 
 def words_of(text: str) -> Counter:

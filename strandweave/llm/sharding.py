@@ -84,8 +84,8 @@ def build_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> D
 
 def assign(records: DataFrame, slot_map: DataFrame, version: int, column: str = "shard", slot: str = "virtual_slot") -> DataFrame:
     """Add the shard of each record under one version of the map. The map has one row per slot, so it is broadcast."""
-    chosen = slot_map.where(F.col("version") == version).select(F.col("slot").alias("_slot"), F.col("shard").alias(column))
-    return records.join(F.broadcast(chosen), F.col(slot) == F.col("_slot"), "left").drop("_slot")
+    chosen = slot_map.where(F.col("version") == version).select(F.col("slot").alias("__sw_slot"), F.col("shard").alias(column))
+    return records.join(F.broadcast(chosen), F.col(slot) == F.col("__sw_slot"), "left").drop("__sw_slot")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -100,11 +100,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     Null ids and null texts are records like others; repeated rows share a slot; an empty table
     gives an empty result. A column named like an added one is replaced.
     """
-    keyed = docs.drop("virtual_slot", "shard").withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = with_slot(keyed, ("doc_id", "_crc"), slots)
+    keyed = docs.drop("virtual_slot", "shard").withColumn("__sw_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = with_slot(keyed, ("doc_id", "__sw_crc"), slots)
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long")
     slot_map = build_map(keyed.select("virtual_slot", size.alias("size")), shards, slots)
-    return assign(keyed.drop("_crc"), slot_map, 0)
+    return assign(keyed.drop("__sw_crc"), slot_map, 0)
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:

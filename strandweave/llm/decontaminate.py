@@ -3,15 +3,16 @@
 Documents are read as passages of ``PASSAGE`` words that start every ``STEP`` words. Passages
 are TF-IDF vectors over the benchmark's vocabulary (idf from all passages of the corpus); a
 distributed randomised SVD sketches their row space, and the benchmark's own vectors complete
-the basis, so a passage's product with an item is exact in the latent space. Passages whose
-latent cosine with an item is high enough are candidates. A candidate counts if the longest
-common subsequence of the item and the words around the passage holds ``LCS`` of the item's
-words, and ``ANSWER`` of the item's key terms (its rarest words, where an answer would be) are
-there too. That finds verbatim copies and paraphrases with words changed, dropped or added.
-
-Before the latent product a passage must hold as many of one item's rare words as an accepted
-copy can't avoid (prefix filtering); this drops no case that the checks would accept. The
-benchmark is taken in blocks of ``BLOCK_ITEMS`` items, the corpus is read whole for each.
+the basis, so a passage's product with an item is exact in the latent space. A passage counts
+if the longest common subsequence of the item and the words around the passage (the item's
+length on both sides) holds ``LCS`` of the item's words, and ``ANSWER`` of the item's key terms
+(its rarest words, where an answer would be) are there too. That finds verbatim copies and
+paraphrases with words changed, dropped or added. The latent cosine only scores what counts.
+
+Candidates are passages that, with the words around, hold as many of one item's rare words as
+an accepted copy can't avoid (prefix filtering), and then enough of its words in any order;
+neither drops a case that the checks would accept. The benchmark is taken in blocks of
+``BLOCK_ITEMS`` items, the corpus is read whole for each.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ COLUMNS = 4096
 RANK = 32
 BASIS_ITEMS = 192
 BLOCK_ITEMS = 4096
-COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
+LCS, ANSWER = 0.6, 0.5
 _T = table(3)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,6 +87,12 @@ class Benchmark:
             homes.append(np.full(len(rare), home))
             need.append(max(1, take - miss))
             self.keys.append(np.unique(piece[np.argsort(-self.idf[v], kind="stable")][: max(1, int(np.ceil(0.4 * len(piece))))]))
+        # entries: (piece, word) of all pieces, how often the word is in the piece and whether it is one of its key terms
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        size = len(self.vocabulary)
+        self.entries, self.times = np.unique(np.concatenate([home * size + np.searchsorted(self.vocabulary, p) for home, p in enumerate(self.pieces)] or [np.zeros(0, np.int64)]), return_counts=True)
+        self.is_key = np.isin(self.entries, np.concatenate([home * size + np.searchsorted(self.vocabulary, k) for home, k in enumerate(self.keys)] or [np.zeros(0, np.int64)]))
+        self.n_keys = np.array([len(k) for k in self.keys], np.int64)
         # postings: the pieces that have each word among their rare ones; need: rare words that a copy can't avoid
         self.need = np.array(need, np.int64)
         words, homes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, homes))
@@ -98,6 +105,71 @@ class Benchmark:
         out = np.bincount(row * self.width + self.column[word], self.idf[word], n * self.width).reshape(n, self.width).astype(np.float32)
         return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
+    def candidates(self, v: np.ndarray, owner: np.ndarray, block: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first block of a passage, piece) wherever the passage and a piece's length on both sides hold ``need`` of its rare words."""
+        wide, total = PASSAGE // STEP, int(base[-1])
+        none = np.zeros(0, np.int64)
+        at = np.flatnonzero(v >= 0)
+        many = self.posting[v[at] + 1] - self.posting[v[at]]
+        which = np.repeat(np.arange(len(at)), many)
+        homes = self.homes[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.posting[v[at]][which]]
+        keys, met = np.unique(homes * total + block[at][which], return_counts=True)  # rare words of each piece in each block
+        if not len(keys):
+            return none, none, none
+        upto = np.append(0, np.cumsum(met))
+
+        def count(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            return upto[np.searchsorted(keys, piece * total + hi)] - upto[np.searchsorted(keys, piece * total + lo)]
+
+        # only a block that is the first of a window with enough rare words opens passages
+        piece, at = keys // total, keys % total
+        d = owner[np.searchsorted(block, at)]
+        side = -(-self.sizes // STEP)
+        enough = count(piece, at, np.minimum(at + wide + 2 * side[piece], base[1:][d])) >= self.need[piece]
+        piece, at, d = piece[enough], at[enough], d[enough]
+        span = wide + 2 * side[piece]
+        which = np.repeat(np.arange(len(at)), span)
+        begin = at[which] - wide + 1 - side[piece][which] + np.arange(len(which)) - np.repeat(np.cumsum(span) - span, span)
+        piece, d = piece[which], d[which]
+        good = (begin >= base[:-1][d]) & ((begin + wide <= base[1:][d]) | (begin == base[:-1][d]))
+        keys_of = np.unique(piece[good] * total + begin[good])
+        piece, begin = keys_of // total, keys_of % total
+        d = np.searchsorted(base, begin, "right") - 1
+        good = count(piece, np.maximum(begin - side[piece], base[:-1][d]), np.minimum(begin + wide + side[piece], base[1:][d])) >= self.need[piece]
+        return d[good], begin[good], piece[good]
+
+    def bounds(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates whose words in any order leave ``LCS`` possible and that hold ``ANSWER`` of the key terms; and that share for all."""
+        good, answer = [np.zeros(0, np.int64)], np.zeros(len(piece))
+        for s in range(0, len(piece), 4096):
+            n = (hi - lo)[s : s + 4096]
+            row = np.repeat(np.arange(len(n)), n)
+            w = v[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 4096], n)]
+            known = w >= 0
+            row, key = row[known], piece[s : s + 4096][row[known]] * len(self.vocabulary) + w[known]
+            at = look_up(key, self.entries)
+            pairs, times = np.unique(row[at >= 0] * len(self.entries) + at[at >= 0], return_counts=True)
+            row, at = pairs // len(self.entries), pairs % len(self.entries)
+            common = np.bincount(row, np.minimum(times, self.times[at]), len(n))
+            share = np.bincount(row, self.is_key[at], len(n)) / self.n_keys[piece[s : s + 4096]]
+            answer[s : s + 4096] = share
+            good.append(s + np.flatnonzero((common >= LCS * self.sizes[piece[s : s + 4096]] - 1e-9) & (share >= ANSWER)))
+        return np.concatenate(good), answer
+
+    def cosines(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Latent cosine of each passage v[lo:hi] with its piece."""
+        out = np.zeros(len(piece))
+        for first, q, latent in self.bases:
+            mine = np.flatnonzero((piece >= first) & (piece < first + BASIS_ITEMS))
+            for s in range(0, len(mine), 512):
+                c = mine[s : s + 512]
+                n = hi[c] - lo[c]
+                row = np.repeat(np.arange(len(n)), n)
+                w = v[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[c], n)]
+                e = self.rows(w[w >= 0], row[w >= 0], len(n)) @ q
+                out[c] = (e * latent[piece[c] - first]).sum(1) / np.maximum(np.linalg.norm(e, axis=1), 1e-9)
+        return out
+
     def basis(self, sketch: np.ndarray) -> None:
         """For every block of pieces an orthonormal basis: the corpus' sketched row space completed by the pieces."""
         self.bases = []
@@ -192,7 +264,6 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
 def search(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """(doc_id, piece, cosine, lcs, answer) of every accepted candidate, the best passage of each pair."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = PASSAGE // STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,38 +275,20 @@ def search(docs: DataFrame, bench: Benchmark) -> DataFrame:
                 base = np.append(0, np.cumsum(blocks))
                 owner = owners(first)
                 block = (np.arange(len(words)) - first[:-1][owner]) // STEP + base[:-1][owner]
-                # (piece, first block of a passage) for every rare word in one of its blocks; those met often enough are looked at
-                at = np.flatnonzero(v >= 0)
-                many = bench.posting[v[at] + 1] - bench.posting[v[at]]
-                which = np.repeat(np.arange(len(at)), many)
-                piece_of = bench.homes[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + bench.posting[v[at]][which]]
-                home, text = block[at][which], owner[at][which]
-                begins = (home[:, None] - np.arange(wide)).ravel()
-                text, piece_of = np.repeat(text, wide), np.repeat(piece_of, wide)
-                good = (begins >= base[:-1][text]) & ((begins + wide <= base[1:][text]) | (begins == base[:-1][text]))
-                keys, met = np.unique(begins[good] * np.int64(len(bench.pieces)) + piece_of[good], return_counts=True)
-                begin = np.unique(keys[met >= bench.need[keys % len(bench.pieces)]] // len(bench.pieces))
-                of = np.searchsorted(base, begin, "right") - 1
-                lo = first[:-1][of] + (begin - base[:-1][of]) * STEP
-                hi = np.minimum(lo + PASSAGE, first[1:][of])
+                d, begin, piece = bench.candidates(v, owner, block, base)
+                lo = first[:-1][d] + (begin - base[:-1][d]) * STEP
+                hi = np.minimum(lo + PASSAGE, first[1:][d])
+                near_lo, near_hi = np.maximum(first[:-1][d], lo - bench.sizes[piece]), np.minimum(first[1:][d], hi + bench.sizes[piece])
+                good, answer = bench.bounds(v, near_lo, near_hi, piece)
+                lcs = np.zeros(len(d))
+                for c in good.tolist():
+                    lcs[c] = common_subsequence(bench.pieces[piece[c]], words[near_lo[c] : near_hi[c]]) / bench.sizes[piece[c]]
+                good = good[lcs[good] >= LCS - 1e-9]
+                cosine = bench.cosines(v, lo[good], hi[good], piece[good])
                 best: dict[tuple[int, int], tuple] = {}
-                for s in range(0, len(of), 512):
-                    n = hi[s : s + 512] - lo[s : s + 512]
-                    row = np.repeat(np.arange(len(n)), n)
-                    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 512], n)
-                    known = v[at] >= 0
-                    a = bench.rows(v[at[known]], row[known], len(n))
-                    for first_piece, q, latent in bench.bases:
-                        e = a @ q
-                        cosine = (e @ latent.T) / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
-                        for p, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                            piece = first_piece + int(i)
-                            item, d = bench.pieces[piece], int(of[s + p])
-                            near = words[max(first[d], lo[s + p] - len(item)) : min(first[d + 1], hi[s + p] + len(item))]
-                            lcs = common_subsequence(item, near) / len(item)
-                            answer = float(np.isin(bench.keys[piece], near).mean())
-                            if lcs >= LCS - 1e-9 and answer >= ANSWER:
-                                best[d, piece] = max(best.get((d, piece), (0.0,)), (lcs, answer, round(float(cosine[p, i]), 4)))
+                for c, x in zip(good.tolist(), cosine.tolist(), strict=True):
+                    key = int(d[c]), int(piece[c])
+                    best[key] = max(best.get(key, (0.0,)), (float(lcs[c]), float(answer[c]), round(x, 4)))
                 pairs = sorted(best)
                 values = [best[k] for k in pairs]
                 yield pa.record_batch([part.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([p for _, p in pairs], pa.int64()), *[pa.array([x[k] for x in values], pa.float64()) for k in (2, 0, 1)]], ["doc_id", "piece", "cosine", "lcs", "answer"])

@@ -338,6 +338,54 @@ def test_contamination(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(frame, bench.where("false")).count() == 0
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def contaminated_pairs(docs, items):
+    """Every pair that both checks accept in some passage, without any filter."""
+    texts = [re.findall("[a-z0-9]+", t.lower()) for t in docs]
+    found = collections.Counter(w for t in texts for i in range(0, len(t), 64) for w in set(t[i : i + 64]))
+    out = set()
+    for i, item in enumerate(items):
+        item = item.split()
+        keys = set(sorted(item, key=lambda w: found[w])[: max(1, -(-4 * len(item) // 10))])
+        for d, t in enumerate(texts):
+            for lo in range(0, max(1, (-(-len(t) // 16) - 3) * 16), 16):
+                near = t[max(0, lo - len(item)) : min(len(t), lo + 64) + len(item)]
+                if 2 * len(keys & set(near)) >= len(keys) and 10 * subsequence(item, near) >= 6 * len(item):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_contamination_matches_all_pairs(spark):
+    """A hot item and short items whose words are frequent, beside rarer words of other items."""
+    rng = random.Random(11)
+    common, words, other = vocabulary(25, 12), vocabulary(300, 13), vocabulary(3000, 14)
+    hot = " ".join(rng.choice(common) for _ in range(12))
+    items = [hot, *(" ".join(rng.choice(common if rng.random() < 0.5 else words) for _ in range(k)) for k in (4, 5, 6, 8, 10, 12, 15, 20, 30, 50, 64))]
+    rare = " ".join(items[8:]).split()
+    make = lambda k: " ".join(rng.choice(rare if rng.random() < 0.5 else other) for _ in range(k))
+    docs = [f"{hot} {make(20)}" for _ in range(30)] + [make(150) for _ in range(20)]
+    for item in items:
+        w = item.split()
+        dropped = [x for k, x in enumerate(w) if k % 5 != 2]
+        spread = [y for x in w for y in (x, rng.choice(other), rng.choice(other))]
+        docs += [f"{make(rng.randint(40, 90))} {' '.join(x)} {make(rng.randint(40, 90))}" for x in (w, w, dropped, spread)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()]
+    want = contaminated_pairs(docs, items)
+    assert len(got) == len(set(got)) and set(got) == want and {(50 + 4 * i, i) for i in range(len(items))} <= want
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(40):

@@ -2,7 +2,7 @@
 
 Documents are read as passages of ``PASSAGE`` words that start every ``STEP`` words. Passages
 are TF-IDF vectors over the benchmark's vocabulary (idf from all passages of the corpus); a
-distributed randomised SVD sketches their row space, and the benchmark's own vectors complete
+distributed randomised range finder sketches their row space, and the benchmark's own vectors complete
 the basis, so a passage's product with an item is exact in the latent space. A passage counts
 if the longest common subsequence of the item and the words around the passage (the item's
 length on both sides) holds ``LCS`` of the item's words, and ``ANSWER`` of the item's key terms

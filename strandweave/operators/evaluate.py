@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 from strandweave.operators._groups import per_group
 
 
-def average_rank(value: str, partition: list[str] | None = None) -> Column:
-    """1-based rank; ties share the mean of their places."""
-    part = Window.partitionBy(*(partition or []))
-    return F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(partition or []), value)) - 1) / 2
+def average_ranks(frame: DataFrame, value: str, name: str = "rank", by: list[str] | None = None) -> DataFrame:
+    """``frame`` with the 1-based rank of ``value`` by group; ties share the mean of their places, nulls come first.
+
+    Ranks come from counts per distinct value, so windows hold distinct values, not rows.
+    """
+    by = by or []
+    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    n = frame.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2
+    ranks = n.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate([*by, value])], rank.alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate([*by, value])]
+    return frame.join(ranks, same).select(*frame.columns, name)
 
 
 def spearman(frame: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -186,7 +186,7 @@ def spearman_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "customer").select("c_custkey", E.average_rank("c_nationkey").cast("double").alias("rank"))
+    return E.average_ranks(_table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", F.col("rank").cast("double").alias("rank"))
 
 
 def text_sha256(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from strandweave.operators.chain import chain_anchors
 from strandweave.operators.refine import extension, refine_endpoints
 from strandweave.operators.select import choose, select_fragments
 from strandweave.params import Params
+from strandweave.plans import catalog
 from strandweave.plans.mapping import map_reads, map_to_sam
 
 ANCHOR = "read_id long, q_pos long, contig_id long, ref_pos long, joint int, hash long"
@@ -155,6 +156,18 @@ def test_diff_pairs_greedily(spark):
     assert E.diff_sam(ours.where("false"), golden.where("false")).first().jaccard == 0.0
 
 
+def test_average_ranks_window_distinct_values(spark):
+    """Ties and nulls; the rows themselves pass no window, so it reads one row per distinct value."""
+    rows = [(0, "b"), (1, "a"), (2, None), (3, "b"), (4, None), (5, "b")]
+    frame = spark.createDataFrame(rows, "id long, v string")
+    out = E.average_ranks(frame, "v")
+    assert {r.id: r["rank"] for r in out.collect()} == {2: 1.5, 4: 1.5, 1: 3.0, 0: 5.0, 3: 5.0, 5: 5.0}
+    grouped = E.average_ranks(frame.withColumn("g", F.col("id") % 2), "v", by=["g"])
+    assert {r.id: r["rank"] for r in grouped.collect()} == {2: 1.5, 4: 1.5, 0: 3.0, 1: 1.0, 3: 2.5, 5: 2.5}
+    plan = catalog.average_ranks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and "Aggregate" in plan[plan.index("Window ") :].split("\n")[1]
+
+
 def test_contacts(spark):
     rows = [(0, 0, 0, 100), (0, 1, 1, 500), (1, 0, 1, 500), (1, 1, 0, 100), (2, 0, 0, 100), (2, 1, 0, 300), (3, 0, 0, 0), (3, 1, 0, 9000)]
     p = spark.createDataFrame(rows, "read_id long, fragment_index int, contig_id long, ref_start long")

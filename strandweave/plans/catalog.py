@@ -194,12 +194,15 @@ def text_sha256(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cut_reads(contigs: DataFrame, size: int = CUT) -> tuple[DataFrame, DataFrame]:
-    """A read of ``size`` bases from each contig that is long enough, odd ones reverse-complemented, and where it is from."""
-    start = ((F.col("contig_id") * 37) % (F.col("length") - size)).cast("int")
-    rows = contigs.where(F.col("length") > size + 100).select("contig_id", start.alias("start"), F.substring("seq", start + 1, F.lit(size)).alias("s"))
+    """A read of ``size`` bases, or all there are, from each contig, odd ones reverse-complemented, and where it is from.
+
+    A contig too short for a seed gives a read too: one that can't be placed.
+    """
+    start = ((F.col("contig_id") * 37) % F.greatest(F.lit(1), F.col("length") - size)).cast("int")
+    rows = contigs.select("contig_id", start.alias("start"), F.substring("seq", start + 1, F.lit(size)).alias("s"))
     odd = F.col("contig_id") % 2 == 1
     seq = F.when(odd, reverse_complement(F.col("s"))).otherwise(F.col("s"))
-    reads = rows.select(F.col("contig_id").alias("read_id"), F.concat(F.lit("cut"), F.col("contig_id").cast("string")).alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), size).alias("qual"))
+    reads = rows.select(F.col("contig_id").alias("read_id"), F.concat(F.lit("cut"), F.col("contig_id").cast("string")).alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length("s")).alias("qual"))
     return reads, rows.select(F.col("contig_id").alias("read_id"), "contig_id", F.col("start").cast("long").alias("start"), odd.cast("int").alias("joint"))
 
 
@@ -219,7 +222,7 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
     contigs = _contigs(spark, sf)
     reads, _ = cut_reads(contigs)
     other = reads.select((F.col("read_id") - 1).alias("_r"), F.col("seq").alias("_s"))
-    joined = reads.join(other, F.col("read_id") == F.col("_r")).select("read_id", "name", F.concat("seq", "_s").alias("seq"), F.repeat(F.lit("I"), 2 * CUT).alias("qual"))
+    joined = reads.join(other, F.col("read_id") == F.col("_r")).select("read_id", "name", F.concat("seq", "_s").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
     return E.contact_summary(E.contacts(map_reads(joined, contigs, P).placements))
 
 

@@ -168,6 +168,19 @@ def test_average_ranks_window_distinct_values(spark):
     assert plan.count("Window ") == 1 and "Aggregate" in plan[plan.index("Window ") :].split("\n")[1]
 
 
+def test_cut_reads_from_every_contig(spark, genome):
+    sizes = [0, 10, 50, 300, 301, 400, 401, 900]
+    contigs = spark.createDataFrame([(i, f"c{i}", n, genome[0][2000 * i : 2000 * i + n]) for i, n in enumerate(sizes)], "contig_id long, name string, length long, seq string")
+    reads, truth = catalog.cut_reads(contigs)
+    seqs, starts = ({r.read_id: r for r in x.collect()} for x in (reads, truth))
+    for i, n in enumerate(sizes):
+        s = genome[0][2000 * i + starts[i].start :][: min(n, 300)]
+        assert len(s) == len(seqs[i].qual) and seqs[i].seq == (flip(s) if i % 2 else s) and starts[i].start + len(s) <= n
+    assert starts[7].start == 37 * 7 % 600
+    row = E.truth_accuracy(map_reads(reads, contigs, Params()).placements, truth).first()
+    assert row.n_reads == len(sizes) and row.n_placed == row.n_right == 6
+
+
 def test_contacts(spark):
     rows = [(0, 0, 0, 100), (0, 1, 1, 500), (1, 0, 1, 500), (1, 1, 0, 100), (2, 0, 0, 100), (2, 1, 0, 300), (3, 0, 0, 0), (3, 1, 0, 9000)]
     p = spark.createDataFrame(rows, "read_id long, fragment_index int, contig_id long, ref_start long")

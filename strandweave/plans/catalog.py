@@ -154,6 +154,14 @@ def sam_unmapped(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("read_id", "value")
 
 
+def sam_unplaced(spark: SparkSession, sf: str) -> DataFrame:
+    """The unmapped records of the real mapping: one line for every read without a placement."""
+    placements, reads = _mapped(spark, sf).placements, _reads(spark, sf)
+    rest = reads.join(placements.select("read_id").distinct(), "read_id", "left_anti")
+    lines = S.sam_lines(S.sam_records(placements.where(F.lit(False)), rest, _contigs(spark, sf)))
+    return lines.select("read_id", "value")
+
+
 def sam_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return S.parse_sam(sam_body(spark, sf))
 
@@ -228,7 +236,7 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dna_projection, kmer_hash, minimizers, minimizers_sql, read_minimizers, shard_histogram, shard_plan, shard_worker_assignment, index_stats, index_directory,
-    seed_anchors, anchor_counts, anchor_spans, chain_dp, chains, fragments, secondary_fragments, refined_fragments, sam_header, sam_body, sam_unmapped, sam_parsed,
+    seed_anchors, anchor_counts, anchor_spans, chain_dp, chains, fragments, secondary_fragments, refined_fragments, sam_header, sam_body, sam_unmapped, sam_unplaced, sam_parsed,
     cigar_parse, sam_diff, mapped_jaccard, spearman_prices, average_ranks, text_sha256, truth_accuracy, mapping_stats, contacts,
 )}
 

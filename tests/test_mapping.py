@@ -144,6 +144,18 @@ def test_sam_of_split_and_unmapped_reads(spark, genome):
         map_to_sam(reads.withColumn("name", F.lit("")), contigs).collect()
 
 
+def test_unplaced_reads_are_those_the_mapping_leaves(spark, tmp_path):
+    rng = random.Random(5)
+    make = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(80))
+    docs, alien = [make() for _ in range(3)], make()
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [docs[1][70:490], alien, None, docs[2][:350]]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.read_id, r.value) for r in catalog.sam_unplaced(spark, str(tmp_path)).collect())
+    assert [k for k, _ in got] == [1, 2]
+    assert got == sorted((r.read_id, r.value) for r in catalog.sam_body(spark, str(tmp_path)).collect() if r.value.split("\t")[1] == "4")
+
+
 def test_diff_pairs_greedily(spark):
     cols = "name string, ref_name string, reverse boolean, pos0 long, mapq int, q_start long, cigar string, unmapped boolean"
     ours = spark.createDataFrame([("a", "c", False, 100, 60, 0, "9M", False), ("a", "c", False, 105, 50, 5, "9M", False), ("b", "*", False, -1, 0, 0, "*", True), ("d", "c", True, 7, 9, 0, "9M", False)], cols)

@@ -62,16 +62,18 @@ def encode(sketch: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
-    """``docs(doc_id, text)`` as (doc_id, sketch array<long>, shingles long): bottom-k sketch of each whole text. Null texts count as empty."""
+    """``docs(doc_id, text)`` as (doc_id, sketch array<long>, shingles long): bottom-k sketch of each whole text and its exact number of distinct shingles. Null texts count as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                rows = [x.astype(np.int64) for x in sketches(Texts(part.column(1)), k, size)]
-                yield pa.record_batch([part.column(0), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "sketch"])
+                every = sketches(Texts(part.column(1)), np.iinfo(np.int64).max // 2, size)
+                rows = [x[:k].astype(np.int64) for x in every]
+                counts = pa.array([len(x) for x in every], pa.int64())
+                yield pa.record_batch([part.column(0), pa.array(rows, pa.list_(pa.int64())), counts], ["doc_id", "sketch", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch array<long>, shingles long")
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

@@ -244,6 +244,15 @@ def test_fingerprints(spark, docs, empty):
     assert lone.near_next == 1.0
 
 
+def test_fingerprint_counts_distinct_shingles(spark):
+    texts = [t for _, t, *_ in corpus()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = fingerprints.fingerprint(frame, 16)
+    assert got.columns == ["doc_id", "sketch", "shingles"]
+    for r in got.collect():
+        assert r.shingles == len(grams(texts[r.doc_id])) and len(r.sketch) == min(16, r.shingles)
+
+
 def test_sketch_algebra(spark):
     a, b = (" ".join(f"w{i}" for i in range(lo, hi)) for lo, hi in ((0, 3000), (1000, 4000)))
     frame = spark.createDataFrame([(0, a), (1, b), (2, a + " " + b), (3, ""), (4, None)], "doc_id long, text string")

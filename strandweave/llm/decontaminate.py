@@ -1,23 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as passages of ``PASSAGE`` words that start every ``STEP`` words. Passages
-are TF-IDF vectors over the benchmark's vocabulary (idf from all passages of the corpus); a
-distributed randomised range finder sketches their row space, and the benchmark's own vectors complete
-the basis, so a passage's product with an item is exact in the latent space. A passage counts
-if the longest common subsequence of the item and the words around the passage (the item's
-length on both sides) holds ``LCS`` of the item's words, and ``ANSWER`` of the item's key terms
-(its rarest words, where an answer would be) are there too. That finds verbatim copies and
-paraphrases with words changed, dropped or added. The latent cosine only scores what counts.
-
-Candidates are passages that, with the words around, hold as many of one item's rare words as
-an accepted copy can't avoid (prefix filtering), and then enough of its words in any order;
-neither drops a case that the checks would accept. The benchmark is taken in blocks of
-``BLOCK_ITEMS`` items, the corpus is read whole for each.
+1. Documents become rows of benchmark-vocabulary numbers, once; every later pass reads those.
+2. Tiles of ``TILE`` words (and the benchmark's own pieces) are the rows of a TF-IDF matrix A; idf
+   counts all tiles of the corpus. A randomised SVD of A runs as distributed sums: a random sketch
+   Y = A'A G, its orthonormal basis Q, a power step Z = A'A Q whose projection Q'Z gives the
+   singular values and right singular vectors (Nystrom form). Tasks send (vocabulary x rank)
+   sums, never rows of A.
+3. A word's latent vector is its idf times its right singular vector over the root of the
+   singular value (half of the usual fold-in: dividing by the whole value drowns small corpora in
+   noise). Windows as long as a piece of an item (to the next of ``WINDOWS``), a
+   quarter of that apart, are summed from them and compared with every piece in batched matrix
+   products; latent cosines of ``COSINE`` or more are candidates. No other filter stands before.
+4. A candidate counts if, within the piece's length on both sides of the window, ``ANSWER`` of
+   the item's key terms (its rarest words, where an answer would be) are found and the longest
+   common subsequence holds ``LCS`` of the item's words.
+
+The benchmark is taken in blocks of ``BLOCK_WORDS`` words, which bounds the model that tasks and
+the driver hold (vocabulary x rank); the corpus is read whole for each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm._arrow import Texts, U, owners, prefix_hash, sliced, spans, table
+from strandweave.llm._arrow import Texts, owners, prefix_hash, sliced, spans, table
 from strandweave.llm._shared import documents, keep
 
-PASSAGE, STEP = 64, 16
-RARE = 3
-COLUMNS = 4096
-RANK = 32
-BASIS_ITEMS = 192
-BLOCK_ITEMS = 4096
-LCS, ANSWER = 0.6, 0.5
+TILE = 64
+RANK, OVERSAMPLE = 256, 16
+COSINE = 0.4
+#: Window length in words -> step between windows; no piece of an item is longer than the last.
+WINDOWS = {8: 4, 12: 4, 16: 4, 24: 8, 32: 8, 48: 16, 64: 16}
+BLOCK_WORDS = 1 << 16
+LCS, ANSWER, KEYS = 0.6, 0.5, 0.4
+#: Words that a matrix step holds at once, and rows of the vocabulary in one message.
+HELD, ROWS = 4096, 64
+#: A long text is searched in stretches of so many words, which overlap by the longest window.
+STRETCH = 1 << 14
 _T = table(3)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,193 +64,245 @@ def look_up(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """A block of items as pieces of at most ``PASSAGE`` words: word hashes, vocabulary, idf, rare words and latent basis."""
+    """A block of items as pieces of at most 64 words: vocabulary, pieces as vocabulary numbers, key terms."""
 
     def __init__(self, ids: list, texts: list[str | None]) -> None:
         words, first = tokens(Texts(pa.array(texts, pa.string())))
+        self.vocabulary = np.unique(words)
+        v = np.searchsorted(self.vocabulary, words)
         self.ids, self.pieces = [], []
         for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            n = max(1, -(-(b - a) // PASSAGE))
-            for x in np.array_split(words[a:b], n):
+            for x in np.array_split(v[a:b], max(1, -(-(b - a) // max(WINDOWS)))):
                 if len(x):
                     self.ids.append(ids[k])
                     self.pieces.append(x)
-        self.vocabulary = np.unique(np.concatenate(self.pieces)) if self.pieces else np.zeros(0, U)
-        size = len(self.vocabulary)
-        self.column = np.arange(size) if size <= COLUMNS else (self.vocabulary % U(COLUMNS)).astype(np.int64)
-        self.width = min(max(size, 1), COLUMNS)
-
-    def weigh(self, found: np.ndarray, passages: int) -> None:
-        """Set idf from the passages that hold each word, and from it the rare words and key terms of each piece."""
-        self.idf = np.log((passages + 1.0) / (found + 1.0)) + 0.1
-        self.keys, need, words, homes = [], [], [], []
-        for home, piece in enumerate(self.pieces):
-            v = np.searchsorted(self.vocabulary, piece)
-            order = v[np.argsort(-self.idf[v], kind="stable")]
-            miss = len(piece) - int(np.ceil(LCS * len(piece) - 1e-9))
-            take = min(len(piece), miss + RARE)
-            rare = np.unique(order[:take])
-            words.append(rare)
-            homes.append(np.full(len(rare), home))
-            need.append(max(1, take - miss))
-            self.keys.append(np.unique(piece[np.argsort(-self.idf[v], kind="stable")][: max(1, int(np.ceil(0.4 * len(piece))))]))
-        # entries: (piece, word) of all pieces, how often the word is in the piece and whether it is one of its key terms
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
-        size = len(self.vocabulary)
-        self.entries, self.times = np.unique(np.concatenate([home * size + np.searchsorted(self.vocabulary, p) for home, p in enumerate(self.pieces)] or [np.zeros(0, np.int64)]), return_counts=True)
-        self.is_key = np.isin(self.entries, np.concatenate([home * size + np.searchsorted(self.vocabulary, k) for home, k in enumerate(self.keys)] or [np.zeros(0, np.int64)]))
-        self.n_keys = np.array([len(k) for k in self.keys], np.int64)
-        # postings: the pieces that have each word among their rare ones; need: rare words that a copy can't avoid
-        self.need = np.array(need, np.int64)
-        words, homes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, homes))
-        order = np.argsort(words, kind="stable")
-        self.posting, self.homes = np.searchsorted(words[order], np.arange(len(self.vocabulary) + 1)), homes[order]
-        self.vectors = np.stack([self.rows(np.searchsorted(self.vocabulary, p), np.zeros(len(p), np.int64), 1)[0] for p in self.pieces]) if self.pieces else np.zeros((0, self.width), np.float32)
-
-    def rows(self, word: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Dense TF-IDF rows of length 1 from (row, vocabulary index) occurrences."""
-        out = np.bincount(row * self.width + self.column[word], self.idf[word], n * self.width).reshape(n, self.width).astype(np.float32)
-        return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
-
-    def candidates(self, v: np.ndarray, owner: np.ndarray, block: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first block of a passage, piece) wherever the passage and a piece's length on both sides hold ``need`` of its rare words."""
-        wide, total = PASSAGE // STEP, int(base[-1])
-        none = np.zeros(0, np.int64)
-        at = np.flatnonzero(v >= 0)
-        many = self.posting[v[at] + 1] - self.posting[v[at]]
-        which = np.repeat(np.arange(len(at)), many)
-        homes = self.homes[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.posting[v[at]][which]]
-        keys, met = np.unique(homes * total + block[at][which], return_counts=True)  # rare words of each piece in each block
-        if not len(keys):
-            return none, none, none
-        upto = np.append(0, np.cumsum(met))
-
-        def count(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            return upto[np.searchsorted(keys, piece * total + hi)] - upto[np.searchsorted(keys, piece * total + lo)]
-
-        # only a block that is the first of a window with enough rare words opens passages
-        piece, at = keys // total, keys % total
-        d = owner[np.searchsorted(block, at)]
-        side = -(-self.sizes // STEP)
-        enough = count(piece, at, np.minimum(at + wide + 2 * side[piece], base[1:][d])) >= self.need[piece]
-        piece, at, d = piece[enough], at[enough], d[enough]
-        span = wide + 2 * side[piece]
-        which = np.repeat(np.arange(len(at)), span)
-        begin = at[which] - wide + 1 - side[piece][which] + np.arange(len(which)) - np.repeat(np.cumsum(span) - span, span)
-        piece, d = piece[which], d[which]
-        good = (begin >= base[:-1][d]) & ((begin + wide <= base[1:][d]) | (begin == base[:-1][d]))
-        keys_of = np.unique(piece[good] * total + begin[good])
-        piece, begin = keys_of // total, keys_of % total
-        d = np.searchsorted(base, begin, "right") - 1
-        good = count(piece, np.maximum(begin - side[piece], base[:-1][d]), np.minimum(begin + wide + side[piece], base[1:][d])) >= self.need[piece]
-        return d[good], begin[good], piece[good]
-
-    def bounds(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates whose words in any order leave ``LCS`` possible and that hold ``ANSWER`` of the key terms; and that share for all."""
-        good, answer = [np.zeros(0, np.int64)], np.zeros(len(piece))
-        for s in range(0, len(piece), 4096):
-            n = (hi - lo)[s : s + 4096]
-            row = np.repeat(np.arange(len(n)), n)
-            w = v[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 4096], n)]
-            known = w >= 0
-            row, key = row[known], piece[s : s + 4096][row[known]] * len(self.vocabulary) + w[known]
-            at = look_up(key, self.entries)
-            pairs, times = np.unique(row[at >= 0] * len(self.entries) + at[at >= 0], return_counts=True)
-            row, at = pairs // len(self.entries), pairs % len(self.entries)
-            common = np.bincount(row, np.minimum(times, self.times[at]), len(n))
-            share = np.bincount(row, self.is_key[at], len(n)) / self.n_keys[piece[s : s + 4096]]
-            answer[s : s + 4096] = share
-            good.append(s + np.flatnonzero((common >= LCS * self.sizes[piece[s : s + 4096]] - 1e-9) & (share >= ANSWER)))
-        return np.concatenate(good), answer
-
-    def cosines(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Latent cosine of each passage v[lo:hi] with its piece."""
-        out = np.zeros(len(piece))
-        for first, q, latent in self.bases:
-            mine = np.flatnonzero((piece >= first) & (piece < first + BASIS_ITEMS))
-            for s in range(0, len(mine), 512):
-                c = mine[s : s + 512]
-                n = hi[c] - lo[c]
-                row = np.repeat(np.arange(len(n)), n)
-                w = v[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[c], n)]
-                e = self.rows(w[w >= 0], row[w >= 0], len(n)) @ q
-                out[c] = (e * latent[piece[c] - first]).sum(1) / np.maximum(np.linalg.norm(e, axis=1), 1e-9)
-        return out
-
-    def basis(self, sketch: np.ndarray) -> None:
-        """For every block of pieces an orthonormal basis: the corpus' sketched row space completed by the pieces."""
-        self.bases = []
-        for lo in range(0, len(self.pieces), BASIS_ITEMS):
-            q, r = np.linalg.qr(np.concatenate([sketch, self.vectors[lo : lo + BASIS_ITEMS].T.astype(float)], 1))
-            q = q[:, np.abs(np.diag(r)) > 1e-9].astype(np.float32)
-            latent = self.vectors[lo : lo + BASIS_ITEMS] @ q
-            self.bases.append((lo, q, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)))
-
-
-def _tiles(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages side by side: the tile of each word, and the number of tiles of each text."""
+        lengths = np.array(list(WINDOWS))
+        self.window = lengths[np.abs(np.log(lengths[None, :] / np.maximum(self.sizes, 1)[:, None])).argmin(1)] if self.pieces else self.sizes
+
+    def weigh(self, found: np.ndarray, tiles: int) -> None:
+        """idf from the tiles that hold each word, and from it the key terms of each piece."""
+        self.idf = np.log((tiles + 1.0) / (found + 1.0)) + 0.1
+        keys = [np.unique(p[np.argsort(-self.idf[p], kind="stable")][: max(1, int(np.ceil(KEYS * len(p))))]) for p in self.pieces]
+        self.n_keys = np.array([len(k) for k in keys], np.int64)
+        self.keys, self.first_key = np.concatenate(keys), np.cumsum(self.n_keys) - self.n_keys
+
+    def rotate(self, vectors: np.ndarray) -> None:
+        """Take the latent vector of each word; unit vectors of the pieces, by window length."""
+        self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+        self.latent = {}
+        for length in WINDOWS:
+            mine = np.flatnonzero(self.window == length)
+            if len(mine):
+                x = np.stack([self.vectors[self.pieces[p]].sum(0) for p in mine])
+                self.latent[length] = mine, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces as word occurrences: vocabulary number and piece of each."""
+        return np.concatenate(self.pieces), np.repeat(np.arange(len(self.pieces)), self.sizes)
+
+
+def numbered(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """``docs(doc_id, text)`` as (doc_id, v): the words of each whole text as 32-bit vocabulary numbers, -1 for other words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                words, first = tokens(Texts(part.column(1)))
+                v = look_up(words, bench.vocabulary).astype("<i4")
+                out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(v)])
+                yield pa.record_batch([part.column(0), out], ["doc_id", "v"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, v binary")
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary numbers of some rows of ``numbered``, and the first word of each row."""
+    t = Texts(column)
+    return np.frombuffer(t.data.tobytes(), "<i4"), t.off // 4
+
+
+def _tiles(first: np.ndarray) -> tuple[np.ndarray, int]:
+    """The tile of each word, tiles side by side, and how many there are."""
     size = np.diff(first)
-    per = -(-size // PASSAGE)
+    per = -(-size // TILE)
     at = np.arange(first[-1]) - np.repeat(first[:-1], size)
-    return at // PASSAGE + np.repeat(np.cumsum(per) - per, size), per
+    return at // TILE + np.repeat(np.cumsum(per) - per, size), int(per.sum())
 
 
-def count_words(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
-    """In how many passages (side by side) of the corpus each benchmark word is, and how many passages there are."""
-    vocabulary = bench.vocabulary
+def count_words(rows: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
+    """In how many tiles of the corpus each benchmark word is, and how many tiles there are."""
+    width = len(bench.vocabulary) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        total = np.zeros(width, np.int64)
         for batch in batches:
-            for part in sliced(batch):
-                words, first = tokens(Texts(part.column(0)))
-                tile, per = _tiles(first)
-                v = look_up(words, vocabulary)
+            for part in sliced(batch, "v"):
+                v, first = _numbers(part.column(0))
+                tile, n = _tiles(first)
                 known = v >= 0
-                pairs = np.unique(tile[known] * np.int64(len(vocabulary) + 1) + v[known])
-                total[:-1] += np.bincount(pairs % (len(vocabulary) + 1), minlength=len(vocabulary) + 1)[:-1]
-                n += int(per.sum())
-        total[-1] = n
+                pairs = np.sort(tile[known] * np.int64(width) + v[known])
+                total += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] % width if len(pairs) else pairs, minlength=width)
+                total[-1] += n
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["v", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # one row per benchmark word
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in rows:
+    out = np.zeros(width, np.int64)
+    for r in rows.select("v").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect():  # one row per word of the block
         out[r["v"]] = r["n"]
     return out[:-1], int(out[-1])
 
 
-def sketch_rows(docs: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """Randomised range finder: A'(A G) over all passages A of the corpus for a random G, orthonormalised.
-
-    Each task adds up its share (columns x rank numbers); shares are summed by column, so neither
-    a task nor the driver holds more than that however large the corpus is.
+def run_sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of rows[at] over consecutive runs of the given sizes (0 allowed), four rows at a time. The last row must be zero."""
+    while True:
+        per = -(-sizes // 4)
+        slots = np.full(int(per.sum()) * 4, len(rows) - 1)
+        slots[np.repeat((np.cumsum(per) - per) * 4 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(at))] = at
+        slots = slots.reshape(-1, 4)
+        out = np.zeros((len(slots) + 1, rows.shape[1]), rows.dtype)
+        for k in range(4):
+            out[:-1] += rows.take(slots[:, k], 0)
+        if not len(per) or per.max() <= 1:
+            if (per == 1).all():
+                return out[:-1]
+            full = np.zeros((len(sizes), rows.shape[1]), rows.dtype)
+            full[per == 1] = out[:-1]
+            return full
+        rows, at, sizes = out, np.arange(len(slots)), per
+
+
+def gram_share(v: np.ndarray, tile: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` the rows A'(A M) of word occurrences (number, ascending tile) but for the last idf; ``weight`` is idf x M and a blank row."""
+    new = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(v) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(v)))
+    cuts = np.unique(np.append(np.searchsorted(new, np.arange(0, len(v), HELD)), len(new)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        w = v[new[a] : new[a] + int(size[a:b].sum())]
+        y = np.vstack([run_sums(weight, w, size[a:b]), np.zeros((1, weight.shape[1]), weight.dtype)])
+        order = np.argsort(w, kind="stable")
+        heads = np.flatnonzero(np.append(True, w[order][1:] != w[order][:-1]))
+        out[w[order][heads]] += run_sums(y, np.repeat(np.arange(b - a), size[a:b])[order], np.diff(np.append(heads, len(w))))
+
+
+def gram(rows: DataFrame, bench: Benchmark, m: np.ndarray) -> np.ndarray:
+    """A'A M over all tiles of the corpus and the benchmark's pieces, for M (vocabulary x columns).
+
+    A task sends its sum in messages of ``ROWS`` words, which are added up as they stream in: no
+    task and no driver holds more than vocabulary x columns numbers.
     """
-    g = np.random.default_rng(seed).normal(size=(bench.width, rank)).astype(np.float32)
+    size, width = m.shape
+    weight = np.vstack([bench.idf[:, None] * m, np.zeros((1, width))]).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((bench.width, rank))
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((size, width))
         for batch in batches:
-            for part in sliced(batch):
-                words, first = tokens(Texts(part.column(0)))
-                tile, per = _tiles(first)
-                v = look_up(words, bench.vocabulary)
+            for part in sliced(batch, "v"):
+                v, first = _numbers(part.column(0))
+                tile, _ = _tiles(first)
                 known = np.flatnonzero(v >= 0)
-                v, tile, n = v[known], tile[known], int(per.sum())
-                for lo in range(0, n, 512):
-                    a, b = np.searchsorted(tile, (lo, lo + 512))
-                    rows = bench.rows(v[a:b], tile[a:b] - lo, min(512, n - lo))
-                    out += rows.T @ (rows @ g)
-        yield pa.record_batch([pa.array(np.arange(bench.width)), pa.array(list(out))], ["c", "x"])
-
-    shares = docs.select("text").mapInArrow(run, "c long, x array<double>")
-    sums = shares.groupBy("c").agg(*[F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(rank)]).collect()  # one row per column
-    w = np.zeros((bench.width, rank))
-    for r in sums:
-        w[r["c"]] = r[1:]
-    q, _ = np.linalg.qr(w)
-    return q
+                gram_share(v[known], tile[known], weight, out)
+        some = [k for k in range(0, size, ROWS) if out[k : k + ROWS].any()]
+        yield pa.record_batch([pa.array(np.array(some, np.int64) // ROWS), pa.array([out[k : k + ROWS].tobytes() for k in some], pa.binary())], ["k", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[k] = np.frombuffer(x.as_buffer(), float) + held.get(k, 0.0)
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["k", "x"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = rows.select("v").mapInArrow(share, "k long, x binary").repartition(parts, "k").mapInArrow(add, "k long, x binary")
+    out = np.zeros((size, width))
+    for r in sums.collect():  # vocabulary / ROWS rows
+        out[r["k"] * ROWS : (r["k"] + 1) * ROWS] = np.frombuffer(r["x"], float).reshape(-1, width)
+    gram_share(*bench.rows(), weight, out)
+    return bench.idf[:, None] * out
+
+
+def randomised_svd(rows: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right singular vectors (vocabulary x rank) of the TF-IDF matrix; fewer where the matrix has less rank."""
+    size = len(bench.vocabulary)
+    width = min(size, rank + OVERSAMPLE)
+    g = np.random.default_rng(seed).choice([-1.0, 1.0], (size, width))
+    q, _ = np.linalg.qr(gram(rows, bench, g))
+    z = gram(rows, bench, q)
+    projected = q.T @ z
+    values, turn = np.linalg.eigh((projected + projected.T) / 2)
+    good = values > values.max() * 1e-10
+    u, s, _ = np.linalg.svd(z @ (turn[:, good] / np.sqrt(values[good])), full_matrices=False)
+    good = np.flatnonzero(s > s[0] * 1e-3)[:rank]
+    return s[good], u[:, good]
+
+
+def retrieve(bench: Benchmark, v: np.ndarray, first: np.ndarray, least: float = COSINE) -> tuple[np.ndarray, ...]:
+    """Candidates of some texts: text, first word of the window, piece, latent cosine."""
+    found = []
+    for lo, hi, owner in stretches(first):
+        # words fall into blocks of four; a text fills whole groups of four blocks and is followed by blank ones, so that windows may run over its end
+        size = hi - lo
+        per = -(-size // 16) * 4 + 12
+        base = np.cumsum(per) - per
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        home = np.repeat(np.arange(len(size)), size)
+        at, home = at[v[at] >= 0], home[v[at] >= 0]
+        block = base[home] + (at - lo[home]) // 4
+        held = np.bincount(block, minlength=int(per.sum()))
+        edge = np.append(0, np.cumsum(held))
+        four = np.concatenate([run_sums(bench.vectors, v[at[edge[k] : edge[min(k + 1024, len(held))]]], held[k : k + 1024]) for k in range(0, len(held), 1024)])
+        wide = {4: four}
+        for step in (8, 16):
+            wide[step] = wide[step // 2][0::2] + wide[step // 2][1::2]
+        for length, (pieces, latent) in bench.latent.items():
+            step = WINDOWS[length]
+            rows, count = wide[step], length // step
+            e = rows[: len(rows) - count + 1].copy()
+            for k in range(1, count):
+                e += rows[k : len(rows) - count + 1 + k]
+            norm = np.sqrt(np.einsum("ij,ij->i", e, e))
+            which = np.repeat(np.arange(len(size)), per * 4 // step)[: len(e)]
+            begin = (np.arange(len(e)) - base[which] * 4 // step) * step
+            good = np.flatnonzero((begin < size[which]) & (norm > 1e-9))
+            for k in range(0, len(good), max(1, (1 << 22) // len(pieces))):
+                mine = good[k : k + max(1, (1 << 22) // len(pieces))]
+                cosine = (e[mine] / norm[mine, None]) @ latent.T
+                i, p = np.nonzero(cosine >= least)
+                w = which[mine[i]]
+                found.append((owner[w], lo[w] + begin[mine[i]], pieces[p], cosine[i, p]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+
+
+def stretches(first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in groups of about ``STRETCH`` words: start and end word and text of each stretch. Long texts are cut."""
+    lo, hi, owner = [], [], []
+    for d in np.flatnonzero(np.diff(first)).tolist():
+        for a in range(int(first[d]), int(first[d + 1]), STRETCH):
+            lo.append(a)
+            hi.append(min(int(first[d + 1]), a + STRETCH + max(WINDOWS)))
+            owner.append(d)
+            if hi[-1] - lo[0] > STRETCH:
+                yield np.array(lo), np.array(hi), np.array(owner)
+                lo, hi, owner = [], [], []
+    if lo:
+        yield np.array(lo), np.array(hi), np.array(owner)
+
+
+def answers(bench: Benchmark, v: np.ndarray, piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Share of each piece's key terms that the words lo..hi hold."""
+    known = np.flatnonzero(v >= 0)
+    places = np.sort(v[known].astype(np.int64) * (len(v) + 1) + known)
+    out = np.zeros(len(piece))
+    for k in range(0, len(piece), 1 << 15):
+        p, a, b = piece[k : k + (1 << 15)], lo[k : k + (1 << 15)], hi[k : k + (1 << 15)]
+        n = bench.n_keys[p]
+        row = np.repeat(np.arange(len(p)), n)
+        key = bench.keys[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + bench.first_key[p][row]] * (len(v) + 1)
+        at = np.searchsorted(places, key + a[row])
+        there = (at < len(places)) & (places[np.minimum(at, len(places) - 1)] < key + b[row]) if len(places) else np.zeros(len(row), bool)
+        out[k : k + (1 << 15)] = np.bincount(row, there, len(p)) / n
+    return out
 
 
 def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
@@ -261,79 +320,93 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
     return n - state.bit_count()
 
 
-def search(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """(doc_id, piece, cosine, lcs, answer) of every accepted candidate, the best passage of each pair."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                words, first = tokens(Texts(part.column(1)))
-                v = look_up(words, bench.vocabulary)
-                size = np.diff(first)
-                blocks = -(-size // STEP)
-                base = np.append(0, np.cumsum(blocks))
-                owner = owners(first)
-                block = (np.arange(len(words)) - first[:-1][owner]) // STEP + base[:-1][owner]
-                d, begin, piece = bench.candidates(v, owner, block, base)
-                lo = first[:-1][d] + (begin - base[:-1][d]) * STEP
-                hi = np.minimum(lo + PASSAGE, first[1:][d])
-                near_lo, near_hi = np.maximum(first[:-1][d], lo - bench.sizes[piece]), np.minimum(first[1:][d], hi + bench.sizes[piece])
-                good, answer = bench.bounds(v, near_lo, near_hi, piece)
-                lcs = np.zeros(len(d))
-                for c in good.tolist():
-                    lcs[c] = common_subsequence(bench.pieces[piece[c]], words[near_lo[c] : near_hi[c]]) / bench.sizes[piece[c]]
-                good = good[lcs[good] >= LCS - 1e-9]
-                cosine = bench.cosines(v, lo[good], hi[good], piece[good])
-                best: dict[tuple[int, int], tuple] = {}
-                for c, x in zip(good.tolist(), cosine.tolist(), strict=True):
-                    key = int(d[c]), int(piece[c])
-                    best[key] = max(best.get(key, (0.0,)), (float(lcs[c]), float(answer[c]), round(x, 4)))
-                pairs = sorted(best)
-                values = [best[k] for k in pairs]
-                yield pa.record_batch([part.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([p for _, p in pairs], pa.int64()), *[pa.array([x[k] for x in values], pa.float64()) for k in (2, 0, 1)]], ["doc_id", "piece", "cosine", "lcs", "answer"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece long, cosine double, lcs double, answer double")
+def accepted(bench: Benchmark, v: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    """(text, piece, cosine, lcs, answer) of every pair with an accepted window, the best window of each."""
+    d, begin, piece, cosine = retrieve(bench, v, first)
+    lo = np.maximum(first[:-1][d], begin - bench.sizes[piece])
+    hi = np.minimum(first[1:][d], begin + bench.window[piece] + bench.sizes[piece])
+    answer = answers(bench, v, piece, lo, hi)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for c in np.flatnonzero(answer >= ANSWER).tolist():
+        p = int(piece[c])
+        near = v[lo[c] : hi[c]]
+        share = common_subsequence(bench.pieces[p], near[near >= 0]) / int(bench.sizes[p])
+        if share >= LCS - 1e-9:
+            key = int(d[c]), p
+            best[key] = max(best.get(key, (0.0,)), (share, float(answer[c]), round(float(cosine[c]), 3)))
+    return [(*key, x[2], x[0], x[1]) for key, x in sorted(best.items())]
+
+
+def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Benchmark, DataFrame]]:
+    """A fitted model for each block of the benchmark, and the corpus in its numbers."""
+    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    total = benchmark.agg(F.sum(words)).first()[0] or 0
+    parts = max(1, -(-int(total) // BLOCK_WORDS))
+    for k in range(parts):
+        rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # about BLOCK_WORDS words
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or ""))
+        bench = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
+        if not bench.pieces:
+            continue
+        numbers = keep(numbered(docs, bench))
+        bench.weigh(*count_words(numbers, bench))
+        s, u = randomised_svd(numbers, bench)
+        bench.rotate(bench.idf[:, None] * u / np.sqrt(s))
+        yield bench, numbers
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, cosine, lcs, answer), a row per contaminated pair.
 
-    Items longer than a passage are looked for piece by piece; the best piece counts. Null and
-    empty texts on either side match nothing; rows with one doc_id give one row per item. Other
-    columns are ignored; empty tables give an empty result.
+    Items longer than 64 words are looked for piece by piece; the best piece counts. Null and
+    empty texts on either side match nothing; rows with one doc_id (null is an id like others)
+    give one row per item; equal items under several ids are found under each. Very long texts
+    are searched in overlapping stretches. Other columns are ignored; empty tables give an empty
+    result.
     """
     spark = docs.sparkSession
-    parts = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     out = spark.createDataFrame([], f"{kinds}, cosine double, lcs double, answer double")
-    for k in range(parts):
-        rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # a block of about BLOCK_ITEMS items
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or ""))
-        bench = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if not bench.pieces:
-            continue
-        bench.weigh(*count_words(docs, bench))
-        bench.basis(sketch_rows(docs, bench))
-        found = search(docs, bench)
+    for bench, numbers in models(docs.select("doc_id", "text"), benchmark):
+        model = spark.sparkContext.broadcast(bench)  # bounded by BLOCK_WORDS x RANK numbers
+
+        def search(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in sliced(batch, "v"):
+                    found = accepted(model.value, *_numbers(part.column(1)))
+                    ids = part.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+                    yield pa.record_batch([ids, pa.array([x[1] for x in found], pa.int64()), *[pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4)]], ["doc_id", "piece", "cosine", "lcs", "answer"])
+
+        hits = keep(numbers.mapInArrow(search, f"{kinds.split(', ')[0]}, piece long, cosine double, lcs double, answer double"))
         names = spark.createDataFrame([(p, i) for p, i in enumerate(bench.ids)], f"piece long, {kinds.split(', ')[1]}")
-        hits = keep(found).join(F.broadcast(names), "piece")  # the block's pieces
-        out = out.unionByName(hits.drop("piece"))
+        out = out.unionByName(hits.join(F.broadcast(names), "piece").drop("piece"))  # the block's pieces
     best = F.max(F.struct("lcs", "answer", "cosine")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs", "b.answer")
 
 
 def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (document, benchmark item) pair in which the document holds the item or a paraphrase of it."""
+    """Every (document, benchmark item) pair in which the document holds the item or a paraphrase of it; awkward rows as in ``contaminated``."""
     return contaminated(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item, with the columns of ``docs``."""
-    hit = keep(contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__sw_id")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__sw_id")), "left_anti")
+    """Rows whose text holds no benchmark item, with the columns of ``docs``.
 
-
-def words_of(text: str) -> Counter:
-    """The words of a text as the operator counts them, for tests."""
-    return Counter(tokens(Texts(pa.array([text])))[0].tolist())
+    Each row is judged by its own text, so rows that share a doc_id (or have none) go or stay
+    one by one; null and empty texts stay. Nothing is shuffled or joined.
+    """
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    out = docs
+    for bench, _ in models(docs.select(F.lit(0).alias("doc_id"), "text"), benchmark):
+        model = spark.sparkContext.broadcast(bench)
+
+        def clean(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in sliced(batch, batch.schema.field(at).name):
+                    words, first = tokens(Texts(part.column(at)))
+                    stays = np.ones(part.num_rows, bool)
+                    stays[[x[0] for x in accepted(model.value, look_up(words, model.value.vocabulary), first)]] = False
+                    yield part.filter(pa.array(stays))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

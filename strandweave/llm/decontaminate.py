@@ -32,16 +32,16 @@ from strandweave.llm._arrow import Texts, owners, prefix_hash, sliced, spans, ta
 from strandweave.llm._shared import documents, keep
 
 TILE = 64
-RANK, OVERSAMPLE = 256, 16
+RANK, OVERSAMPLE = 128, 16
 COSINE = 0.4
 #: Window length in words -> step between windows; no piece of an item is longer than the last.
 WINDOWS = {8: 4, 12: 4, 16: 4, 24: 8, 32: 8, 48: 16, 64: 16}
 BLOCK_WORDS = 1 << 16
 LCS, ANSWER, KEYS = 0.6, 0.5, 0.4
 #: Words that a matrix step holds at once, and rows of the vocabulary in one message.
-HELD, ROWS = 4096, 64
+HELD, ROWS = 8192, 64
 #: A long text is searched in stretches of so many words, which overlap by the longest window.
-STRETCH = 1 << 14
+STRETCH = 1 << 13
 _T = table(3)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,6 +86,10 @@ class Benchmark:
         keys = [np.unique(p[np.argsort(-self.idf[p], kind="stable")][: max(1, int(np.ceil(KEYS * len(p))))]) for p in self.pieces]
         self.n_keys = np.array([len(k) for k in keys], np.int64)
         self.keys, self.first_key = np.concatenate(keys), np.cumsum(self.n_keys) - self.n_keys
+        # the pieces that have each word as a key term
+        order = np.argsort(self.keys, kind="stable")
+        self.holders = np.repeat(np.arange(len(keys)), self.n_keys)[order]
+        self.posting = np.searchsorted(self.keys[order], np.arange(len(self.vocabulary) + 1))
 
     def rotate(self, vectors: np.ndarray) -> None:
         """Take the latent vector of each word; unit vectors of the pieces, by window length."""
@@ -252,25 +256,27 @@ def retrieve(bench: Benchmark, v: np.ndarray, first: np.ndarray, least: float =
         held = np.bincount(block, minlength=int(per.sum()))
         edge = np.append(0, np.cumsum(held))
         four = np.concatenate([run_sums(bench.vectors, v[at[edge[k] : edge[min(k + 1024, len(held))]]], held[k : k + 1024]) for k in range(0, len(held), 1024)])
-        wide = {4: four}
-        for step in (8, 16):
-            wide[step] = wide[step // 2][0::2] + wide[step // 2][1::2]
+        sums, one = {}, four
+        for step in (4, 8, 16):  # sums of two, three and four steps in a row
+            two = one[:-1] + one[1:]
+            sums |= {(step, 2): two, (step, 3): (two, one), (step, 4): (two, two)}
+            one = two[0::2]
         for length, (pieces, latent) in bench.latent.items():
             step = WINDOWS[length]
-            rows, count = wide[step], length // step
-            e = rows[: len(rows) - count + 1].copy()
-            for k in range(1, count):
-                e += rows[k : len(rows) - count + 1 + k]
-            norm = np.sqrt(np.einsum("ij,ij->i", e, e))
+            e = sums[step, length // step]
+            if isinstance(e, tuple):
+                n = len(e[1]) - 2
+                e = e[0][:n] + e[1][2 : n + 2]
             which = np.repeat(np.arange(len(size)), per * 4 // step)[: len(e)]
             begin = (np.arange(len(e)) - base[which] * 4 // step) * step
-            good = np.flatnonzero((begin < size[which]) & (norm > 1e-9))
-            for k in range(0, len(good), max(1, (1 << 22) // len(pieces))):
-                mine = good[k : k + max(1, (1 << 22) // len(pieces))]
-                cosine = (e[mine] / norm[mine, None]) @ latent.T
-                i, p = np.nonzero(cosine >= least)
-                w = which[mine[i]]
-                found.append((owner[w], lo[w] + begin[mine[i]], pieces[p], cosine[i, p]))
+            norm = np.sqrt(np.einsum("ij,ij->i", e, e))
+            norm[(begin >= size[which]) | (norm < 1e-9)] = np.inf
+            each = max(1, min(HELD // 4, (HELD << 9) // len(pieces)))
+            for k in range(0, len(e), each):
+                product = e[k : k + each] @ latent.T
+                hit = np.flatnonzero(product >= least * norm[k : k + each, None])
+                i, p = k + hit // len(pieces), hit % len(pieces)
+                found.append((owner[which[i]], lo[which[i]] + begin[i], pieces[p], product.ravel()[hit] / norm[i]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
 
 
@@ -289,6 +295,18 @@ def stretches(first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield np.array(lo), np.array(hi), np.array(owner)
 
 
+def answerable(bench: Benchmark, v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Ascending text x pieces + piece of every text that holds ``ANSWER`` of a piece's key terms anywhere: no other can pass the answer check."""
+    at = np.flatnonzero(v >= 0)
+    many = bench.posting[v[at] + 1] - bench.posting[v[at]]
+    at, many = at[many > 0], many[many > 0]
+    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bench.posting[v[at]], many)
+    text = np.repeat(np.searchsorted(first, at, "right") - 1, many)
+    seen = np.unique(text * len(bench.holders) + entry)  # a repeated word counts once
+    pairs, found = np.unique(seen // len(bench.holders) * len(bench.pieces) + bench.holders[seen % len(bench.holders)], return_counts=True)
+    return pairs[found >= ANSWER * bench.n_keys[pairs % len(bench.pieces)] - 1e-9]
+
+
 def answers(bench: Benchmark, v: np.ndarray, piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Share of each piece's key terms that the words lo..hi hold."""
     known = np.flatnonzero(v >= 0)
@@ -323,6 +341,8 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
 def accepted(bench: Benchmark, v: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(text, piece, cosine, lcs, answer) of every pair with an accepted window, the best window of each."""
     d, begin, piece, cosine = retrieve(bench, v, first)
+    there = look_up(d * len(bench.pieces) + piece, answerable(bench, v, first)) >= 0
+    d, begin, piece, cosine = d[there], begin[there], piece[there], cosine[there]
     lo = np.maximum(first[:-1][d], begin - bench.sizes[piece])
     hi = np.minimum(first[1:][d], begin + bench.window[piece] + bench.sizes[piece])
     answer = answers(bench, v, piece, lo, hi)

@@ -9,7 +9,7 @@
 3. A word's latent vector is its idf times its right singular vector over the root of the
    singular value (half of the usual fold-in: dividing by the whole value drowns small corpora in
    noise). Windows as long as a piece of an item (to the next of ``WINDOWS``), a
-   quarter of that apart, are summed from them and compared with every piece in batched matrix
+   quarter to a half of that apart, are summed from them and compared with every piece in batched matrix
    products; latent cosines of ``COSINE`` or more are candidates. No other filter stands before.
 4. A candidate counts if, within the piece's length on both sides of the window, ``ANSWER`` of
    the item's key terms (its rarest words, where an answer would be) are found and the longest
@@ -32,10 +32,10 @@ from strandweave.llm._arrow import Texts, owners, prefix_hash, sliced, spans, ta
 from strandweave.llm._shared import documents, keep
 
 TILE = 64
-RANK, OVERSAMPLE = 128, 16
+RANK, OVERSAMPLE = 128, 8
 COSINE = 0.4
 #: Window length in words -> step between windows; no piece of an item is longer than the last.
-WINDOWS = {8: 4, 12: 4, 16: 4, 24: 8, 32: 8, 48: 16, 64: 16}
+WINDOWS = {8: 4, 12: 4, 16: 8, 24: 8, 32: 8, 48: 16, 64: 16}
 BLOCK_WORDS = 1 << 16
 LCS, ANSWER, KEYS = 0.6, 0.5, 0.4
 #: Words that a matrix step holds at once, and rows of the vocabulary in one message.

@@ -5,7 +5,8 @@ described by shares of character classes and word shapes, encoded by a learned l
 a gated attention weight; the weighted mean of the encodings is what the label's logistic
 regression sees. Weights, encoder and regression are learned together from document labels.
 
-The fit reads a bounded sample of labelled rows (``FIT_ROWS``, smallest id hash first).
+The fit reads a bounded sample of labelled rows (``FIT_ROWS``, smallest id hash first, and of
+whole texts with about ``FIT_PASSAGES`` passages together). A score is a function of the text alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from strandweave.llm._arrow import SPACE, Texts, prefix_hash, sliced, spans, tab
 from strandweave.llm._shared import documents, keep, labels
 
 FIT_ROWS = 6_000
+FIT_PASSAGES = 400_000
 PASSAGE = 512
 HIDDEN = 16
 GATE = 8
@@ -72,8 +74,9 @@ def describe(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         h = spans(prefix_hash(_T[t.data]), start, end)
         out[:, 14] = np.bincount(home, _seen(h, home), n) / per_word
         owner = np.repeat(np.arange(len(t)), np.diff(first))
-        pair = h + np.roll(h, -1) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, 15] = np.bincount(home, _seen(pair, owner), n) / per_word
+        both = np.flatnonzero(owner[1:] == owner[:-1])  # the last word of a text has no pair
+        pair = h[both] + h[both + 1] * np.uint64(0x9E3779B97F4A7C15)
+        out[:, 15] = np.bincount(home[both], _seen(pair, owner[both]), n) / per_word
     out[:, 16] = np.log1p(np.diff(bounds)) / 8
     return out, per
 
@@ -87,16 +90,21 @@ def _seen(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b whose rows don't depend, to the last bit, on how many others there are."""
+    return np.einsum("ij,jk->ik", a, b, optimize=False)
+
+
 def forward(m: dict, x: np.ndarray, per: np.ndarray) -> dict:
     """Encodings, gated attention and the bag's log odds."""
     first = np.cumsum(per) - per
-    h = np.tanh(((x - m["mean"]) / m["scale"]) @ m["W"] + m["b"])
-    a, g = np.tanh(h @ m["V"]), 1 / (1 + np.exp(-(h @ m["G"])))
-    s = (a * g) @ m["w"]
+    h = np.tanh(times((x - m["mean"]) / m["scale"], m["W"]) + m["b"])
+    a, g = np.tanh(times(h, m["V"])), 1 / (1 + np.exp(-times(h, m["G"])))
+    s = times(a * g, m["w"][:, None])[:, 0]
     e = np.exp(s - np.repeat(np.maximum.reduceat(s, first), per))
     p = e / np.repeat(np.add.reduceat(e, first), per)
     z = np.add.reduceat(h * p[:, None], first)
-    return {"h": h, "a": a, "g": g, "p": p, "z": z, "logit": z @ m["c"] + m["d"], "first": first}
+    return {"h": h, "a": a, "g": g, "p": p, "z": z, "logit": times(z, m["c"][:, None])[:, 0] + m["d"], "first": first}
 
 
 def learn(x: np.ndarray, per: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01) -> dict:
@@ -134,7 +142,10 @@ def learn(x: np.ndarray, per: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, b
 
 
 def labelled(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(text, y): labelled rows outside the held-out fifth, smallest id hash first, equal texts once; of several labels the lowest counts."""
+    """(text, y): labelled rows outside the held-out fifth, smallest id hash first, equal texts once; of several labels the lowest counts.
+
+    Rows without id, text or a 0/1 label are left out.
+    """
     known = marks.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # at most ``rows`` narrow rows
@@ -151,7 +162,11 @@ def train(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> dict:
                 bags = np.split(x.astype(np.float32), np.cumsum(per)[:-1])
                 yield pa.record_batch([pa.array([b.tobytes() for b in bags], pa.binary()), part.column(1)], ["x", "y"])
 
-    rows_ = keep(labelled(docs, marks, rows)).mapInArrow(measure, "x binary, y int").toPandas().sort_values(["y", "x"], ignore_index=True)
+    sample = keep(labelled(docs, marks, rows))
+    many = sample.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE))).first()[0] or 0
+    if many > FIT_PASSAGES:  # whole texts go, by hash
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(FIT_PASSAGES / many * (1 << 30)))
+    rows_ = sample.mapInArrow(measure, "x binary, y int").toPandas().sort_values(["y", "x"], ignore_index=True)
     y = rows_["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 1.0}
@@ -180,10 +195,15 @@ def with_score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; null and empty texts are scored as one empty passage."""
+    """doc_id, held_out, score, predicted for every row of ``documents``.
+
+    Null and empty texts are scored as one empty passage, long ones whole; repeated rows and rows
+    with one id are scored one by one; a null id counts as held out (it is in no fit). Other
+    columns are ignored; an empty table gives an empty result.
+    """
     docs = documents(spark, sf_dir)
     scored = with_score(docs, train(docs, labels(spark, sf_dir), rows))
     return scored.select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        "doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages",
     )

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm._arrow import Texts, mix, owners, prefix_hash, sliced, spans, sums, table
@@ -105,6 +105,9 @@ def features(t: Texts, lexicon: np.ndarray) -> np.ndarray:
     stretched = np.zeros(len(d), bool)
     if len(d) > 2:
         stretched[2:] = (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & LETTER[d[2:]]
+        head = t.off[:-1]  # the first two bytes of a text have no two before them
+        stretched[head[head < len(d)]] = False
+        stretched[(head + 1)[head + 1 < len(d)]] = False
     wordn = np.maximum(np.diff(wfirst), 1)
     hits, insults = sums(learned, first), sums(insult, first)
     out = np.empty((n, len(NAMES)))
@@ -175,12 +178,12 @@ def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[np.ndarray]:
     totals = [r["t"] for r in sample.groupBy("fold").agg(F.sum("y").alias("t")).collect()]
     least = max(3, int(sum(totals) * 0.01))
     skip = F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)]))
-    rows = (
+    good = keep(
         counts.withColumn("skip", skip).where("fold != skip").groupBy("skip", "k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         .where((F.col("t") >= least) & ((F.col("t") + 0.5) / (F.col("n") + 1) >= 0.8))
-        .withColumn("_r", F.row_number().over(Window.partitionBy("skip").orderBy(F.desc("t"), "k"))).where(F.col("_r") <= size).collect()
-    )  # fmt: skip  # at most (FOLDS + 1) x size rows
-    out = {k: [r["k"] for r in rows if r["skip"] == k] for k in range(-1, FOLDS)}
+    )
+    # the first ``size`` of each skip without a window over all of them
+    out = {k: [r["k"] for r in good.where(F.col("skip") == k).orderBy(F.desc("t"), "k").limit(size).collect()] for k in range(-1, FOLDS)}
     return [np.sort(np.array(out[k], np.int64).view(np.uint64)) for k in (*range(FOLDS), -1)]
 
 
@@ -245,16 +248,25 @@ def with_score(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFr
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every row of ``documents``.
+
+    A score is a function of the text alone: null and empty texts are scored as a text without
+    words, long ones whole, repeated rows and rows with one id one by one. A null id is not held
+    out, but is in no fit. Other columns are ignored; an empty table gives an empty result.
+    """
     docs = documents(spark, sf_dir)
     model = train(docs, labels(spark, sf_dir), rows)
     scored = with_score(docs.select("doc_id", "text"), model, "score")
     return scored.select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        "doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def reject_toxic(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score below the threshold, with the columns of ``docs``."""
+    """Documents that score below the threshold, with the columns of ``docs``.
+
+    Each row is judged by its own text: rows that share an id, have none or are repeated stay or
+    go one by one; null and empty texts are scored as a text without words.
+    """
     return with_score(docs, train(docs, marks), "__sw_toxicity").where(F.col("__sw_toxicity") < threshold).drop("__sw_toxicity")

@@ -13,10 +13,16 @@ keyed by the anchor; a bucket answers with a few bits for each unit. Only units
 several contents go on to a second round that compares window by window. A unit is sent once by
 a batch however often it occurs there, so a passage in a third of all documents costs no more
 than any other. Messages are packed arrays, one row for each batch and bucket.
+
+A short string in a third of all documents would be one anchor with as many contents. Anchors
+with more than ``FEW`` contents in a batch are sent as one entry, and anchors with more than
+``MANY`` in all are *hot*: their windows are compared one by one in buckets keyed by the window,
+where equal ones meet and others don't. Both ways are exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +32,8 @@ from strandweave.llm._arrow import U, mix, prefix_hash, spans
 _LOW = (1 << 24) - 1
 BATCH_BYTES = 8 << 20
 MOST_BATCHES = 1 << 22
+FEW, MANY = 4, 256
+HOT = 8
 
 
 def batches_for(total_bytes: int, partitions: int, size: int = BATCH_BYTES) -> int:
@@ -84,7 +92,8 @@ def units(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     first, at = start[head], anchor[head]
     count = np.diff(np.append(head, len(start)))
     content = spans(running, first, first + count - 1 + window) ^ mix((at - first).astype(U))
-    return Units(grams[at], content, owner[first], first, count), running
+    # least hashes are small numbers: mixed again they fill all buckets alike
+    return Units(mix(grams[at]), content, owner[first], first, count), running
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -103,16 +112,47 @@ def distinct(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.flatnonzero(new), which
 
 
-def pack(anchor: np.ndarray, content: np.ndarray, many: np.ndarray | None) -> bytes:
-    """Ten bytes for each pair (40 bits of either hash; buckets add to the anchor's), and a bit each for ``many``."""
+class Entries:
+    """What a batch says about its distinct (anchor, content) pairs, in order: a row each, or one hot row for an anchor with more than ``FEW`` contents."""
+
+    def __init__(self, anchor: np.ndarray, content: np.ndarray, buckets: int) -> None:
+        heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+        size = np.diff(np.append(heads, len(anchor)))
+        crowded = np.repeat(size > FEW, size)
+        lead = np.ones(len(anchor), bool)
+        lead[crowded] = False
+        lead[heads] = True
+        self.at = np.flatnonzero(lead)
+        self.of_pair = np.cumsum(lead) - 1
+        self.hot = crowded[self.at]
+        self.anchor, self.content = anchor[self.at], np.where(self.hot, U(0), content[self.at])
+        self.edges = np.searchsorted(bucket_of(self.anchor, buckets), np.arange(buckets + 1))
+
+    def sends(self, many: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, entries, body) for each bucket; ``many`` marks pairs that occur more than once in the batch."""
+        for b in np.flatnonzero(np.diff(self.edges)).tolist():
+            at = slice(self.edges[b], self.edges[b + 1])
+            marks = [self.hot[at], *([] if many is None else [many[self.at[at]]])]
+            yield b, self.edges[b + 1] - self.edges[b], pack(self.anchor[at], self.content[at], marks)
+
+    def answered(self, answers: dict[int, np.ndarray]) -> np.ndarray:
+        """The buckets' bits of each pair."""
+        out = np.zeros(len(self.at), np.uint8)
+        for b, bits in answers.items():
+            out[self.edges[b] : self.edges[b + 1]] = bits
+        return out[self.of_pair]
+
+
+def pack(anchor: np.ndarray, content: np.ndarray, marks: list[np.ndarray]) -> bytes:
+    """Ten bytes for each pair (40 bits of either hash; buckets add to the anchor's), and a bit each for every mark."""
     out = np.empty((len(anchor), 10), np.uint8)
     out[:, :5] = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     out[:, 5:] = content.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return out.tobytes() + (b"" if many is None else np.packbits(many).tobytes())
+    return out.tobytes() + b"".join(np.packbits(m).tobytes() for m in marks)
 
 
-def unpack(body: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, contents and ``many`` of a message of so many pairs."""
+def unpack(body: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, contents and the marks ``hot`` and ``many`` of a message of so many pairs."""
     raw = np.frombuffer(body, np.uint8)
     own = raw[: pairs * 10].reshape(-1, 10)
     out = []
@@ -120,26 +160,31 @@ def unpack(body: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         wide = np.zeros((len(own), 8), np.uint8)
         wide[:, :5] = part
         out.append(wide.reshape(-1).view("<u8").astype(U))
-    rest = raw[pairs * 10 :]
-    return out[0], out[1], np.unpackbits(rest)[:pairs].astype(bool) if len(rest) else np.zeros(pairs, bool)
+    width = -(-pairs // 8)
+    for k in range(2):
+        rest = raw[pairs * 10 + k * width : pairs * 10 + (k + 1) * width]
+        out.append(np.unpackbits(rest)[:pairs].astype(bool) if len(rest) else np.zeros(pairs, bool))
+    return tuple(out)
 
 
-def judge(batch: np.ndarray, anchor: np.ndarray, content: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every pair in a bucket: whether its batch is the first that holds it, whether it occurs more than once at all, and whether its anchor has other contents."""
+def judge(batch: np.ndarray, anchor: np.ndarray, content: np.ndarray, hot: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every entry in a bucket: whether its batch is the first that holds it, whether it occurs more than once at all, whether its anchor has other contents, and whether the anchor is hot."""
     order = np.lexsort((batch, content, anchor))
     a, c = anchor[order], content[order]
     new_a, new = np.ones(len(a), bool), np.ones(len(a), bool)
     new_a[1:] = a[1:] != a[:-1]
     new[1:] = new_a[1:] | (c[1:] != c[:-1])
     heads, heads_a = np.flatnonzero(new), np.flatnonzero(new_a)
-    size = np.diff(np.append(heads, len(a)))
+    size, size_a = np.diff(np.append(heads, len(a))), np.diff(np.append(heads_a, len(a)))
     more = np.add.reduceat(many[order].astype(np.int64), heads) if len(a) else size
     contents = np.add.reduceat(new.astype(np.int64), heads_a) if len(a) else size
-    first, often, several = (np.empty(len(a), bool) for _ in range(3))
+    crowded = np.add.reduceat(hot[order].astype(np.int64), heads_a) if len(a) else size
+    first, often, several, boils = (np.empty(len(a), bool) for _ in range(4))
     first[order] = new
     often[order] = np.repeat(size + more > 1, size)
-    several[order] = np.repeat(contents > 1, np.diff(np.append(heads_a, len(a))))
-    return first, often, several
+    several[order] = np.repeat(contents > 1, size_a)
+    boils[order] = np.repeat((crowded > 0) | (contents > MANY), size_a)
+    return first, often, several, boils
 
 
 def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -57,20 +57,24 @@ class _Batch:
         order, heads, self.which = R.distinct(self.anchor, self.content)
         self.lead = order[heads]  # one unit of each pair
         self.times = np.diff(np.append(heads, len(order)))
-        self.edges = np.searchsorted(R.bucket_of(self.anchor[self.lead], buckets), np.arange(buckets + 1))
+        self.entries = R.Entries(self.anchor[self.lead], self.content[self.lead], buckets)
         self.buckets = buckets
 
     def sends(self) -> Iterator[tuple[int, int, bytes]]:
-        for b in np.flatnonzero(np.diff(self.edges)).tolist():
-            at = self.lead[self.edges[b] : self.edges[b + 1]]
-            yield b, len(at), R.pack(self.anchor[at], self.content[at], self.times[self.edges[b] : self.edges[b + 1]] > 1)
+        return self.entries.sends(self.times > 1)
 
     def answered(self, answers: pa.Table) -> np.ndarray:
-        """The first round's bits (1 first, 2 repeated, 4 several contexts) of each pair."""
-        out = np.zeros(len(self.lead), np.uint8)
-        for b, bits in _bits(answers, 1).items():
-            out[self.edges[b] : self.edges[b + 1]] = bits
-        return out
+        """The first round's bits (1 first, 2 repeated, 4 several contexts, or 8 hot) of each pair."""
+        return self.entries.answered(_bits(answers, 1))
+
+    def second(self, bits: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Pairs of the second round, all their windows as (pair among them, index of the window's hash), the distinct hashes in bucket order, which of them the batch has more than once, and bounds by bucket."""
+        chosen = np.flatnonzero(((bits & 5) == 5) | ((bits & R.HOT) > 0))
+        hashes, which = self.windows(chosen, window)
+        distinct, index, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = count > 1
+        again[index[((bits[chosen] & R.HOT) > 0)[which] & (self.times[chosen] > 1)[which]]] = True
+        return chosen, which, index, distinct, again, np.searchsorted(R.bucket_of(distinct, self.buckets), np.arange(self.buckets + 1))
 
     def windows(self, pairs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of one unit of each pair, and the pair's index among ``pairs``."""
@@ -116,25 +120,24 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     def answer(group: pa.Table) -> pa.Table:
         sizes = group.column("pairs").to_numpy()
         parts = [R.unpack(b.as_buffer(), p) for b, p in zip(group.column("body"), sizes, strict=True)]
-        first, often, several = R.judge(np.repeat(group.column("batch").to_numpy(), sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
-        bits = np.split(first.astype(np.uint8) + 2 * often.astype(np.uint8) + 4 * several.astype(np.uint8), np.cumsum(sizes)[:-1])
+        first, often, several, hot = R.judge(np.repeat(group.column("batch").to_numpy(), sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
+        bits = np.where(hot, R.HOT, first + 2 * often.astype(np.uint8) + 4 * several.astype(np.uint8)).astype(np.uint8)
+        bits = np.split(bits, np.cumsum(sizes)[:-1])
         return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": pa.array(np.ones(len(bits), np.int32)), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
 
     def extend(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if group.num_rows:
             own = _Batch(group, window, seed, n)
-            bits = own.answered(answers)
-            chosen = np.flatnonzero((bits & 5) == 5)
-            hashes, which = own.windows(chosen, window)
-            bucket = R.bucket_of(own.anchor[own.lead[chosen]], n)[which]
-            edges = np.searchsorted(bucket, np.arange(n + 1))
+            *_, hashes, again, edges = own.second(own.answered(answers), window)
             me = group.column("batch")[0].as_py()
-            rows = [(me, b, hashes[edges[b] : edges[b + 1]].astype("<u8").tobytes()) for b in np.flatnonzero(np.diff(edges)).tolist()]
-        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
+            rows = [(me, b, hashes[edges[b] : edges[b + 1]].astype("<u8").tobytes() + np.packbits(again[edges[b] : edges[b + 1]]).tobytes(), int(edges[b + 1] - edges[b])) for b in np.flatnonzero(np.diff(edges)).tolist()]
+        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary()), "pairs": pa.array([r[3] for r in rows], pa.int32())})
 
     def agree(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b.as_buffer(), "<u8") for b in group.column("body")]
+        sizes = group.column("pairs").to_pylist()
+        parts = [np.frombuffer(b.as_buffer()[: 8 * k], "<u8") for b, k in zip(group.column("body"), sizes, strict=True)]
+        again = np.concatenate([np.unpackbits(np.frombuffer(b.as_buffer()[8 * k :], np.uint8))[:k].astype(bool) for b, k in zip(group.column("body"), sizes, strict=True)])
         all_ = np.concatenate(parts)
         order = np.argsort(all_)
         x = all_[order]
@@ -143,6 +146,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
         same[:-1] |= x[1:] == x[:-1]
         out = np.empty(len(x), np.uint8)
         out[order] = same
+        out |= again  # equal windows of one batch are one entry
         bits = np.split(out, np.cumsum([len(p) for p in parts])[:-1])
         return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": pa.array(np.full(len(bits), 2, np.int32)), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
@@ -151,14 +155,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Batch(group, window, seed, n)
         bits = own.answered(answers)
-        # windows of the pairs that went to the second round, in its order; only pairs that occur once need them
-        chosen = np.flatnonzero((bits & 5) == 5)
-        hashes, which = own.windows(chosen, window)
-        bucket = R.bucket_of(own.anchor[own.lead[chosen]], n)[which]
-        edges = np.searchsorted(bucket, np.arange(n + 1))
-        hit = np.zeros(len(hashes), bool)
+        chosen, which, index, distinct, _, edges = own.second(bits, window)
+        repeated = np.zeros(len(distinct), bool)
         for b, x in _bits(answers, 2).items():
-            hit[edges[b] : edges[b + 1]] = np.unpackbits(x)[: edges[b + 1] - edges[b]].astype(bool)
+            repeated[edges[b] : edges[b + 1]] = np.unpackbits(x)[: edges[b + 1] - edges[b]].astype(bool)
+        hit = repeated[index]
         begins = np.searchsorted(which, np.arange(len(chosen) + 1))
         slot = np.full(len(own.lead), -1)
         slot[chosen] = np.arange(len(chosen))
@@ -185,7 +186,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     reply = "batch int, bucket int, round int, bits binary"
     by_batch = dealt.groupBy("batch")
     one = by_batch.applyInArrow(send, message).groupBy("bucket").applyInArrow(answer, reply)
-    two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(extend, "batch int, bucket int, body binary").groupBy("bucket").applyInArrow(agree, reply)
+    two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(extend, "batch int, bucket int, body binary, pairs int").groupBy("bucket").applyInArrow(agree, reply)
     return by_batch.cogroup(one.unionByName(two).groupBy("batch")).applyInArrow(cut, schema)
 
 

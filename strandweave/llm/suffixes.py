@@ -69,23 +69,36 @@ class _Batch:
         order, heads, self.which = R.distinct(self.anchor, content)
         self.lead = order[heads]
         self.early = np.minimum.reduceat(self.rank[order], heads) if len(heads) else np.zeros(0, np.int64)
-        self.edges = np.searchsorted(R.bucket_of(self.anchor[self.lead], buckets), np.arange(buckets + 1))
-
-    def sends(self) -> Iterator[tuple[int, int, bytes]]:
-        for b in np.flatnonzero(np.diff(self.edges)).tolist():
-            at = self.lead[self.edges[b] : self.edges[b + 1]]
-            yield b, len(at), R.pack(self.anchor[at], self.content[at], None)
+        self.entries = R.Entries(self.anchor[self.lead], self.content[self.lead], buckets)
 
     def answered(self, answers: pa.Table) -> np.ndarray:
-        """The first round's bits (1 an earlier batch has it, 4 its trigger has other phrases) of each pair."""
-        out = np.zeros(len(self.lead), np.uint8)
-        for b, bits in _answers(answers, 1).items():
-            out[self.edges[b] : self.edges[b + 1]] = bits
-        return out
+        """The first round's bits (1 an earlier batch has it, 4 its trigger has other phrases, or 8 hot) of each pair."""
+        return self.entries.answered(_answers(answers, 1))
+
+    def open(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose suffixes must be looked up one by one: those of ordinary triggers, then those of hot ones."""
+        return np.flatnonzero((bits & 5) == 4), np.flatnonzero((bits & R.HOT) > 0)
 
-    def open(self, bits: np.ndarray) -> np.ndarray:
-        """Pairs whose suffixes must be looked up one by one."""
-        return np.flatnonzero((bits & 5) == 4)
+    def suffixes(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all suffixes (windows) of each pair's phrase, in order, and their bounds by pair."""
+        begins = np.append(0, np.cumsum(self.counts(pairs)))
+        hashes = np.zeros(begins[-1], U)
+        unit = self.lead[pairs]
+        home = np.searchsorted(self.base, unit, "right") - 1
+        for k, s in enumerate(self.slices):
+            mine = np.flatnonzero(home == k)
+            if len(mine):
+                u = unit[mine] - self.base[k]
+                at, of = R.expand(s.units.first[u], s.units.count[u])
+                hashes[begins[mine][of] + at - s.units.first[u][of]] = spans(s.running, at, at + self.window)
+        return hashes, begins
+
+    def hot_strings(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct suffixes of hot triggers: index of each suffix, a suffix (pair's place x 2^20 + offset) that shows each string, and bounds by bucket."""
+        hashes, begins = self.suffixes(pairs)
+        distinct, shown, index = np.unique(hashes, return_index=True, return_inverse=True)
+        of = np.searchsorted(begins, shown, "right") - 1
+        return index, (of << 20) + shown - begins[of], np.searchsorted(R.bucket_of(distinct, self.buckets), np.arange(self.buckets + 1))
 
     def phrase(self, pair: int) -> bytes:
         """The bytes of a pair's phrase."""
@@ -100,20 +113,12 @@ class _Batch:
         every = np.concatenate([s.units.count for s in self.slices]) if self.slices else np.zeros(0, np.int64)
         return every[self.lead[pairs]]
 
-    def inside(self, bits: np.ndarray, chosen: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The earliest rank in this batch of each suffix of the chosen pairs, over all chosen pairs."""
-        hashes = np.zeros(begins[-1], U)
-        unit = self.lead[chosen]
-        home = np.searchsorted(self.base, unit, "right") - 1
-        for k, s in enumerate(self.slices):
-            mine = np.flatnonzero(home == k)
-            if len(mine):
-                u = unit[mine] - self.base[k]
-                at, of = R.expand(s.units.first[u], s.units.count[u])
-                hashes[begins[mine][of] + at - s.units.first[u][of]] = spans(s.running, at, at + self.window)
-        early = np.repeat(self.early[chosen], np.diff(begins))
-        order = np.argsort(hashes)
-        x = hashes[order]
+    def inside(self, pairs: np.ndarray) -> np.ndarray:
+        """The earliest rank in this batch of each suffix of the pairs, over all these pairs."""
+        x, begins = self.suffixes(pairs)
+        early = np.repeat(self.early[pairs], np.diff(begins))
+        order = np.argsort(x)
+        x = x[order]
         heads = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
         out = np.empty(len(x), np.int64)
         if len(x):
@@ -180,29 +185,33 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_of(cuts).alias("batch"))
 
     def send(group: pa.Table) -> pa.Table:
-        rows = list(_Batch(group, window, gram, n).sends())
+        rows = list(_Batch(group, window, gram, n).entries.sends())
         me = group.column("batch")[0].as_py()
         return pa.table({"batch": pa.array([me] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         sizes = group.column("pairs").to_numpy()
         parts = [R.unpack(b.as_buffer(), p) for b, p in zip(group.column("body"), sizes, strict=True)]
-        first, _, several = R.judge(np.repeat(group.column("batch").to_numpy(), sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
-        bits = np.split((~first).astype(np.uint8) + 4 * several.astype(np.uint8), np.cumsum(sizes)[:-1])
+        first, _, several, hot = R.judge(np.repeat(group.column("batch").to_numpy(), sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
+        bits = np.split(np.where(hot, R.HOT, ~first + 4 * several.astype(np.uint8)).astype(np.uint8), np.cumsum(sizes)[:-1])
         return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": pa.array(np.ones(len(bits), np.int32)), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
 
     def phrases(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if group.num_rows:
             own = _Batch(group, window, gram, n)
-            chosen = own.open(own.answered(answers))
-            bucket = R.bucket_of(own.anchor[own.lead[chosen]], n)
+            cold, hot = own.open(own.answered(answers))
             me = group.column("batch")[0].as_py()
-            edges = np.searchsorted(bucket, np.arange(n + 1))
+            edges = np.searchsorted(R.bucket_of(own.anchor[own.lead[cold]], n), np.arange(n + 1))
+            for b in np.flatnonzero(np.diff(edges)):
+                own_phrases = [own.phrase(p) for p in cold[edges[b] : edges[b + 1]]]
+                rows.append((me, int(b), np.array([len(p) for p in own_phrases], "<i4").tobytes(), b"".join(own_phrases), 2))
+            # strings of hot triggers go one by one, to the bucket of the string
+            _, shown, edges = own.hot_strings(hot)
             for b in np.flatnonzero(np.diff(edges)):
-                own_phrases = [own.phrase(p) for p in chosen[edges[b] : edges[b + 1]]]
-                rows.append((me, int(b), np.array([len(p) for p in own_phrases], "<i4").tobytes(), b"".join(own_phrases)))
-        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "sizes": pa.array([r[2] for r in rows], pa.binary()), "body": pa.array([r[3] for r in rows], pa.binary())})
+                strings = [own.phrase(hot[x >> 20])[x & 0xFFFFF :][:window] for x in shown[edges[b] : edges[b + 1]].tolist()]
+                rows.append((me, int(b), np.full(len(strings), window, "<i4").tobytes(), b"".join(strings), 3))
+        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "sizes": pa.array([r[2] for r in rows], pa.binary()), "body": pa.array([r[3] for r in rows], pa.binary()), "round": pa.array([r[4] for r in rows], pa.int32())})
 
     def look_up(group: pa.Table) -> pa.Table:
         """Sort the suffixes of this bucket's part of the dictionary; a bit for each: an earlier batch has this string."""
@@ -220,7 +229,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         earlier[order] = least < user[order]
         windows = np.cumsum([int((s - window + 1).sum()) for s in sizes])[:-1]
         bits = [np.packbits(b).tobytes() for b in np.split(earlier, windows)]
-        return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": pa.array(np.full(len(bits), 2, np.int32)), "bits": pa.array(bits, pa.binary())})
+        return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": group.column("round"), "bits": pa.array(bits, pa.binary())})
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -228,14 +237,19 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Batch(group, window, gram, n)
         bits = own.answered(answers)
-        chosen = own.open(bits)
+        cold, hot = own.open(bits)
+        chosen = np.concatenate([cold, hot])
         begins = np.append(0, np.cumsum(own.counts(chosen)))
-        bucket = R.bucket_of(own.anchor[own.lead[chosen]], n)
-        edges = begins[np.searchsorted(bucket, np.arange(n + 1))]
+        edges = begins[np.searchsorted(R.bucket_of(own.anchor[own.lead[cold]], n), np.arange(n + 1))]
         hit = np.zeros(begins[-1], bool)
         for b, x in _answers(answers, 2).items():
             hit[edges[b] : edges[b + 1]] = np.unpackbits(x)[: edges[b + 1] - edges[b]].astype(bool)
-        early = own.inside(bits, chosen, begins)
+        index, shown, edges = own.hot_strings(hot)
+        strings = np.zeros(len(shown), bool)
+        for b, x in _answers(answers, 3).items():
+            strings[edges[b] : edges[b + 1]] = np.unpackbits(x)[: edges[b + 1] - edges[b]].astype(bool)
+        hit[begins[len(cold)] :] = strings[index]
+        early = own.inside(chosen)
         slot = np.full(len(own.lead), -1)
         slot[chosen] = np.arange(len(chosen))
         out = []
@@ -266,7 +280,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     reply = "batch int, bucket int, round int, bits binary"
     by_batch = dealt.groupBy("batch")
     one = by_batch.applyInArrow(send, message).groupBy("bucket").applyInArrow(answer, reply)
-    two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(phrases, "batch int, bucket int, sizes binary, body binary").groupBy("bucket").applyInArrow(look_up, reply)
+    two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(phrases, "batch int, bucket int, sizes binary, body binary, round int").groupBy("bucket").applyInArrow(look_up, reply)
     return by_batch.cogroup(one.unionByName(two).groupBy("batch")).applyInArrow(cut, schema)
 
 

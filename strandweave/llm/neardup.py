@@ -10,8 +10,11 @@ Bands of registers put likely pairs into buckets. Equal texts are one node from
 buckets with the same members count once. In a bucket, nodes whose shingles are mostly found in
 no other member can't be similar to any of them and go; what remains is compared exactly, and
 only links that join two parts are kept (a spanning forest), so a bucket of n members gives
-n - 1 links at most and no list of pairs. Buckets above ``BLOCK`` members are compared block by
-block in different tasks.
+n - 1 links at most and no list of pairs. Buckets above ``BLOCK`` members or ``BLOCK_BYTES`` bytes
+are compared block by block in different tasks.
+
+A node is (first_id, k1, k2): the least doc_id that has a text, and the text's hashes. The least
+node of a class names it, so no class is ever gathered or joined by its label.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _T = table(1)
 
 
@@ -158,7 +161,7 @@ def node_key(text: Column) -> list[Column]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Band keys of each distinct text: (k1, k2, bands array<long>); texts without words have none."""
+    """Band keys of each distinct text: (k1, k2, size, bands array<long>); texts without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,36 +170,37 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(bounds))
                 keys = band_keys(prob_minhash(h, w, bounds)[full]).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.record_batch([part.column(1).take(pa.array(full)), part.column(2).take(pa.array(full)), flat], ["k1", "k2", "bands"])
+                yield pa.record_batch([*[part.column(c).take(pa.array(full)) for c in (1, 2, 3)], flat], ["k1", "k2", "size", "bands"])
 
-    return docs.select("text", *node_key(F.col("text"))).mapInArrow(run, "k1 long, k2 long, bands array<long>").dropDuplicates(["k1", "k2"])
+    size = F.octet_length("text").cast("long").alias("size")
+    return docs.select("text", *node_key(F.col("text")), size).mapInArrow(run, "k1 long, k2 long, size long, bands array<long>").dropDuplicates(["k1", "k2"])
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """Members of the buckets worth comparing: (band, key, k1, k2, n). Of buckets with the same members the first band's stays."""
-    rows = bands.select("k1", "k2", F.posexplode("bands").alias("band", "key"))
+    """Members of the buckets worth comparing: (band, key, k1, k2, n, bytes). Of buckets with the same members the first band's stays."""
+    rows = bands.select("k1", "k2", "size", F.posexplode("bands").alias("band", "key"))
     sets = rows.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.bit_xor(F.xxhash64("k2", "k1", F.lit(2))).alias("y")
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.bit_xor(F.xxhash64("k2", "k1", F.lit(2))).alias("y")
     ).where("n > 1")
-    chosen = keep(sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n"))
-    return rows.join(chosen, ["band", "key"])
+    chosen = keep(sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"), F.max("bytes").alias("bytes")).select("b.band", "b.key", "n", "bytes"))
+    return rows.drop("size").join(chosen, ["band", "key"])
 
 
 def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Verified links between texts: (nodes, links).
 
     ``nodes(k1, k2, first_id, copies)`` are the distinct texts with the least doc_id that has
-    them; ``links(a, b)`` are pairs of node names (hex of both hashes) of similarity ``least`` or
-    more that span the classes.
+    them; ``links(a, b)`` are pairs of nodes, struct<none, first_id, k1, k2>, of similarity
+    ``least`` or more that span the classes.
     """
     narrow = docs.select("doc_id", *node_key(F.col("text")))
     nodes = keep(narrow.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
     members = keep(buckets(keep(signatures(docs))))
     wanted = members.select("k1", "k2").distinct().join(nodes, ["k1", "k2"]).select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "first_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *node_key(F.col("text")))
-    texts = texts.join(wanted, (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("k1", "k2", "text")
+    texts = texts.join(wanted, (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("k1", "k2", "first_id", "text")
     # a bucket of b blocks is compared in all pairs of blocks; each member goes to b of them
-    parts = F.ceil(F.col("n") / block).cast("int")
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
     mine = F.pmod(F.xxhash64("k2", "k1"), parts).cast("int")
     placed = (
         members.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -204,7 +208,8 @@ def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tupl
     )
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = placed.join(texts, ["k1", "k2"]).repartition(spread, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "k1", "k2")
-    names = ["band", "key", "i", "j", "k1", "k2", "text"]
+    names = ["band", "key", "i", "j", "k1", "k2", "text", "first_id"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []  # rows of the group that may go on
@@ -224,7 +229,9 @@ def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tupl
                 if len(at) > 1:
                     out += [(at[p], at[q]) for p, q in forest([sets[k] for k in at], least)]
             pairs = np.array(out, np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(x) for x in (k1[pairs[:, 0]], k2[pairs[:, 0]], k1[pairs[:, 1]], k2[pairs[:, 1]])], ["a1", "a2", "b1", "b2"])
+            ids = rows.column("first_id").combine_chunks()
+            ends = [x for k in (0, 1) for x in (ids.take(pa.array(pairs[:, k])), pa.array(k1[pairs[:, k]]), pa.array(k2[pairs[:, k]]))]
+            return pa.record_batch([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ends], ["a0", "a1", "a2", "b0", "b1", "b2"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -244,19 +251,22 @@ def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tupl
         if waiting:
             yield links(pa.Table.from_batches(waiting))
 
-    found = together.select(*names).mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
-    name = lambda x: F.format_string("%016x%016x", f"{x}1", f"{x}2")
-    return nodes, keep(found.distinct().select(name("a").alias("a"), name("b").alias("b")))
+    found = together.select(*names).mapInArrow(verify, f"a0 {kind}, a1 long, a2 long, b0 {kind}, b1 long, b2 long")
+    return nodes, keep(found.select(node_of("a0", "a1", "a2").alias("a"), node_of("b0", "b1", "b2").alias("b")).distinct())
+
+
+def node_of(first_id: str, k1: str, k2: str) -> Column:
+    """A text's node; nodes order by doc_id, those without come last."""
+    return F.struct(F.col(first_id).isNull().alias("none"), F.col(first_id).alias("first_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
 
 
 def _labelled(docs: DataFrame, least: float) -> DataFrame:
-    """The distinct texts with their class: (a, b, first_id, copies, class_id, keeper); one node of each class is its keeper."""
+    """The distinct texts with their class: (a, b, first_id, copies, class_id, keeper); the least node of each class is its keeper."""
     nodes, links = similar(docs, least)
-    labels = components(links)
-    named = nodes.withColumn("node", F.format_string("%016x%016x", "k1", "k2")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
-    rows = named.join(lowest, "label")
-    return keep(rows.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "first_id", "copies", "class_id", (F.col("node") == F.col("best.node")).alias("keeper")))
+    labels = components(links).select(F.col("node.k1").alias("_a"), F.col("node.k2").alias("_b"), "label")
+    rows = nodes.join(labels, (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")), "left").drop("_a", "_b")
+    label = F.coalesce("label", node_of("first_id", "k1", "k2"))
+    return keep(rows.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "first_id", "copies", label["first_id"].alias("class_id"), (label == node_of("first_id", "k1", "k2")).alias("keeper")))
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:

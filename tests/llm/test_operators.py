@@ -112,24 +112,38 @@ def test_classes_match_all_pairs(spark, docs):
     assert neardup.classes(docs, 0.8).columns == ["doc_id", "class_id", "copies"]
 
 
-def test_large_bucket_in_blocks_finds_the_same_classes(spark):
+def test_large_bucket_in_blocks_finds_the_same_classes(spark, monkeypatch):
+    """Blocks by count and by bytes give the classes of all pairs."""
     rng = random.Random(4)
-    base = [f"w{i}" for i in range(150)]
     rows = []
-    for i in range(40):
-        w = list(base)
-        for _ in range(rng.randint(0, 4)):
-            w[rng.randrange(150)] = f"x{rng.random()}"
-        rows.append((i, " ".join(w)))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    whole, blocks = ({frozenset((x.a, x.b)) for x in neardup.similar(frame, block=b)[1].collect()} for b in (1024, 7))
-    for links in (whole, blocks):
-        parts = {r.node: r.label for r in components(spark.createDataFrame([tuple(sorted(x)) for x in links], "a string, b string")).collect()}
-        sets = {t: grams(t) for _, t in rows}
-        expected = {frozenset(p) for p in itertools.combinations(range(40), 2) if similarity(sets[rows[p[0]][1]], sets[rows[p[1]][1]]) >= 0.8 - 1e-9}
-        assert len(set(parts.values())) >= 1 and len(expected) > 0
-    a, b = ({r.doc_id: r.class_id for r in neardup.classes(frame).collect()} for _ in range(2))
-    assert a == b
+    for family in range(3):
+        base = [f"w{family}x{i}" for i in range(150)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(150)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for p, q in itertools.combinations(range(len(rows)), 2):
+        if similarity(sets[p], sets[q]) >= 0.8 - 1e-9:
+            low, high = sorted((label[p], label[q]))
+            label = [low if x == high else x for x in label]
+    assert 3 < len(set(label)) < len(rows) * 2 / 3
+    frame, first = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    for d, t in rows:
+        first.setdefault(t, d)  # equal texts are one node
+
+    def found(block):
+        nodes, links = neardup.similar(frame, block=block)
+        own = {r.node.first_id: r.label.first_id for r in components(links).collect()}
+        assert links.count() < 4 * len(rows)
+        return [own.get(first[t], first[t]) for _, t in rows]
+
+    assert found(1024) == label and found(7) == label
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 5_000)
+    assert found(1024) == label
+    assert [r.class_id for r in neardup.classes(frame).orderBy("doc_id").collect()] == label
 
 
 def test_keep_first_and_empty(spark, docs, empty):
@@ -143,11 +157,15 @@ def test_keep_first_and_empty(spark, docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.keep_first(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [False, True])
+def test_components(spark, monkeypatch, heavy):
+    if heavy:  # centres go by broadcast
+        monkeypatch.setattr("strandweave.llm._components.LEAST", 3)
+        monkeypatch.setattr("strandweave.llm._components.SHARE", 1000)
     rng = random.Random(2)
-    links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [(f"m{rng.randrange(9)}", f"m{rng.randrange(9)}") for _ in range(6)]
+    links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [(f"m{rng.randrange(9)}", f"m{rng.randrange(9)}") for _ in range(6)] + [("s5", f"s{i:03}") for i in range(100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
-    assert {got[f"n{i:03}"] for i in range(61)} == {"n000"}
+    assert {got[f"n{i:03}"] for i in range(61)} == {"n000"} and {got[f"s{i:03}"] for i in range(100)} == {"s000"}
     assert all(got[a] == got[b] for a, b in links if a != b)
 
 

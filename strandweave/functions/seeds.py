@@ -159,14 +159,5 @@ def stored_reference(seq: Column) -> Column:
     return F.regexp_replace(seq, "[^ACGT]", "A")
 
 
-def window_bounds(center: Column, half: Column, length: Column) -> tuple[Column, Column]:
-    """[center - half, center + half) clamped to the contig."""
-    return F.greatest(F.lit(0), center - half), F.least(length, center + half)
-
-
-def file_sha256(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
 def check(params: Params | None) -> Params:
     return params or Params()

@@ -1,8 +1,8 @@
 """Collinear chains of anchors: ordered dynamic programming and greedy extraction.
 
 The recurrence depends on earlier results of the same bucket, which no window function can
-express, so buckets (read, contig, joint strand) are worked on in Arrow streams, the inner
-search for the best predecessor in numpy.
+express, so buckets (read, contig, joint strand) are worked on in Arrow streams, those of equal
+size together, in numpy.
 """
 
 from __future__ import annotations
@@ -44,28 +44,66 @@ def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndar
     return f, back
 
 
+def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """``scores`` of many buckets [edges[i], edges[i + 1]); buckets of one size are worked on together, a column at a time."""
+    f, back = np.full(len(q), float(p.k)), np.full(len(q), -1)
+    size = np.diff(edges)
+    for n in np.unique(size[size > 1]).tolist():
+        every = edges[:-1][size == n]
+        each = max(1, (1 << 20) // n)
+        for part in range(0, len(every), each):
+            start = every[part : part + each]
+            if len(start) < 4:
+                for lo in start.tolist():
+                    f[lo : lo + n], back[lo : lo + n] = scores(q[lo : lo + n], r[lo : lo + n], int(joint[lo]), p)
+                continue
+            at = start[:, None] + np.arange(n)
+            rr, ss = r[at], np.where(joint[start, None] != 0, -q[at], q[at])
+            ff, bb = np.full(at.shape, float(p.k)), np.full(at.shape, -1)
+            for i in range(1, n):
+                gap_r, gap_q = rr[:, i, None] - rr[:, :i], ss[:, i, None] - ss[:, :i]
+                d = np.abs(gap_q - gap_r)
+                ok = (gap_r > 0) & (gap_r <= p.max_gap) & (gap_q > 0) & (gap_q <= p.max_gap) & (d <= p.max_drift)
+                d = d.astype(float)
+                cost = 0.01 * p.k * d + np.where(d > 1, 0.5 * np.log2(np.maximum(d, 1.0)), 0.0)
+                value = np.where(ok, ff[:, :i] + (np.minimum(np.minimum(gap_q, gap_r), p.k) - cost), -np.inf)
+                which = i - 1 - value[:, ::-1].argmax(1)
+                best = value[np.arange(len(start)), which]
+                better = best > p.k
+                ff[better, i], bb[better, i] = best[better], which[better]
+            f[at], back[at] = ff, bb
+    return f, back
+
+
 def extract(f: np.ndarray, back: np.ndarray, p: Params) -> list[tuple[float, list[int]]]:
     """Up to ``top_k`` chains, best end first. A walk that meets a used anchor stops there but keeps its full score; single anchors give no chain, though the attempt counts."""
-    used = np.zeros(len(f), bool)
-    out = []
-    for attempt in range(p.top_k):
-        free = np.flatnonzero(~used)
-        if not len(free):
-            break
-        i = int(free[np.argmax(f[free])])
-        if f[i] <= p.k:
+    f, back = f.tolist(), back.tolist()
+    order = sorted((i for i, x in enumerate(f) if x > p.k), key=lambda i: -f[i])  # stable: equal scores by place
+    used = [False] * len(f)
+    out: list[tuple[float, list[int]]] = []
+    attempt = 0
+    for end in order:
+        if attempt == p.top_k:
             break
-        best, members = float(f[i]), []
+        if used[end]:
+            continue
+        i, members = end, []
         while i >= 0 and not used[i]:
             used[i] = True
             members.append(i)
-            i = int(back[i])
-        if len(members) < 2 and attempt:
-            continue
-        out.append((best, members[::-1]))
+            i = back[i]
+        if len(members) > 1 or not attempt:
+            out.append((f[end], members[::-1]))
+        attempt += 1
     return out
 
 
+def _edges(read: np.ndarray, contig: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """Bounds of the buckets of sorted anchors."""
+    new = np.flatnonzero((contig[1:] != contig[:-1]) | (joint[1:] != joint[:-1]) | (read[1:] != read[:-1])) + 1
+    return np.concatenate([[0], new, [len(read)]]) if len(read) else np.zeros(1, np.int64)
+
+
 def chain_anchors(anchors: DataFrame, params: Params | None = None) -> DataFrame:
     """Chains of ``anchors(read_id, q_pos, contig_id, ref_pos, joint, hash)``; see CHAIN_SCHEMA.
 
@@ -76,28 +114,40 @@ def chain_anchors(anchors: DataFrame, params: Params | None = None) -> DataFrame
     p = check(params)
     columns = ["read_id", "contig_id", "joint", "ref_pos", "q_pos", "hash"]
     keyed = anchors.select(*[F.col(c).cast("int" if c == "joint" else "long").alias(c) for c in columns]).dropna(subset=columns[:5])
+    names = [x.split()[0] for x in CHAIN_SCHEMA.split(", ")]
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         read, contig, joint, r, q = (rows.column(c).to_numpy() for c in columns[:5])
-        hashes = rows.column("hash").to_pandas().to_numpy()
-        edge = np.flatnonzero((contig[1:] != contig[:-1]) | (joint[1:] != joint[:-1]) | (read[1:] != read[:-1])) + 1
-        out: list[tuple] = []
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(read)], strict=True):
-            if hi - lo < 2:
-                continue
-            f, back = scores(q[lo:hi], r[lo:hi], int(joint[lo]), p)
-            for rank, (score, members) in enumerate(extract(f, back, p)):
-                at = np.array(members) + lo
-                q0, r0 = max(0, int(q[at].min()) - p.k + 1), max(0, int(r[at].min()) - p.k + 1)
-                e = min(p.window_ext, q0, r0)
-                known = [h for h in hashes[at] if h == h and h is not None]
-                unique = len(set(known)) if len(known) == len(at) else len(at)
-                pairs = [{"q_pos": int(a), "ref_pos": int(b)} for a, b in zip(q[at], r[at], strict=True)]
-                out.append((int(read[lo]), int(contig[lo]), int(joint[lo]), rank, q0 - e, int(q[at].max()) + 1 + p.window_ext, r0 - e, int(r[at].max()) + 1 + p.window_ext, score, len(at), unique, pairs))
-        if not out:
+        hashes, known = rows.column("hash").fill_null(0).to_numpy(), rows.column("hash").is_valid().to_numpy()
+        edges = _edges(read, contig, joint)
+        f, back = scored(q, r, joint, edges, p)
+        if not len(f):
+            return None
+        top = np.maximum.reduceat(f, edges[:-1])
+        lead, rank, score, members = [], [], [], []
+        for g in np.flatnonzero(top > p.k).tolist():  # the others hold no chain
+            lo, hi = int(edges[g]), int(edges[g + 1])
+            for k, (s, way) in enumerate(extract(f[lo:hi], back[lo:hi], p)):
+                lead.append(lo)
+                rank.append(k)
+                score.append(s)
+                members.append(np.array(way) + lo)
+        if not lead:
             return None
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("q_pos", pa.int64()), ("ref_pos", pa.int64())]))]
-        return pa.record_batch([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in CHAIN_SCHEMA.split(", ")])
+        size = np.array([len(m) for m in members])
+        first = np.cumsum(size) - size
+        at, lead = np.concatenate(members), np.array(lead)
+        low = lambda x: np.minimum.reduceat(x[at], first)
+        high = lambda x: np.maximum.reduceat(x[at], first) + 1 + p.window_ext
+        q0, r0 = np.maximum(0, low(q) - p.k + 1), np.maximum(0, low(r) - p.k + 1)
+        e = np.minimum(p.window_ext, np.minimum(q0, r0))
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((hashes[at], owner))
+        new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (hashes[at][order][1:] != hashes[at][order][:-1]))
+        unique = np.where(np.minimum.reduceat(known[at].astype(int), first) > 0, np.bincount(owner, new, len(size)).astype(int), size)
+        pairs = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(q[at]), pa.array(r[at])], ["q_pos", "ref_pos"]))
+        i4 = lambda x: pa.array(np.asarray(x, np.int32))
+        return pa.record_batch([pa.array(read[lead]), pa.array(contig[lead]), i4(joint[lead]), i4(rank), pa.array(q0 - e), pa.array(high(q)), pa.array(r0 - e), pa.array(high(r)), pa.array(np.array(score, float)), i4(size), i4(unique), pairs], names)
 
     return per_group(keyed, "read_id", ["read_id", "contig_id", "joint", "ref_pos", "q_pos"], work, CHAIN_SCHEMA)
 
@@ -110,10 +160,7 @@ def chain_scores(anchors: DataFrame, params: Params | None = None) -> DataFrame:
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
         read, contig, joint, r, q = (rows.column(c).to_numpy() for c in columns)
-        edge = np.flatnonzero((contig[1:] != contig[:-1]) | (joint[1:] != joint[:-1]) | (read[1:] != read[:-1])) + 1
-        f, back = np.empty(len(read)), np.empty(len(read), np.int64)
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(read)], strict=True):
-            f[lo:hi], back[lo:hi] = scores(q[lo:hi], r[lo:hi], int(joint[lo]), p)
+        f, back = scored(q, r, joint, _edges(read, contig, joint), p)
         return pa.record_batch([*[rows.column(c).combine_chunks() for c in columns], pa.array(f), pa.array(back)], [*columns, "f", "back"])
 
     return per_group(keyed, "read_id", columns, work, "read_id long, contig_id long, joint int, ref_pos long, q_pos long, f double, back long")

@@ -37,8 +37,9 @@ def spearman(frame: DataFrame, a: str, b: str, by: list[str] | None = None) -> D
         return n.select(*by, c, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
 
     rows = frame.select(*by, a, b).dropna(subset=[a, b]).join(ranks(a), [*by, a]).join(ranks(b), [*by, b])
-    corr = F.corr(f"_r_{a}", f"_r_{b}")
-    return rows.groupBy(*by).agg(F.coalesce(F.when(~F.isnan(corr), corr), F.lit(0.0)).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    x, y = f"_r_{a}", f"_r_{b}"
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return rows.groupBy(*by).agg(F.when(spread > 0, F.covar_pop(x, y) / spread).otherwise(0.0).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def rmse(a: Column, b: Column) -> Column:
@@ -77,13 +78,14 @@ def pair_records(ours: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def diff_sam(ours: DataFrame, golden: DataFrame, tolerance: int = 10) -> DataFrame:
-    """One row: compared, matched, match_rate, mapq_rmse, mapq_spearman (both over matched pairs), and the mapped-set columns."""
+    """One row: mapped records of either side, compared, matched, match_rate, mapq_rmse, mapq_spearman (both over matched pairs), and the mapped-set columns."""
     pairs = pair_records(ours, golden).withColumn("matched", F.col("distance") <= tolerance)
     good = pairs.where("matched")
     counts = pairs.agg(F.count(F.lit(1)).alias("compared"), F.coalesce(F.sum(F.col("matched").cast("long")), F.lit(0)).alias("matched"))
     error = good.agg(rmse(F.col("mapq_ours"), F.col("mapq_golden")).alias("mapq_rmse"))
     rank = spearman(good, "mapq_ours", "mapq_golden").agg(F.coalesce(F.max("spearman"), F.lit(0.0)).alias("mapq_spearman"))
-    out = counts.crossJoin(error).crossJoin(rank).crossJoin(mapped_jaccard(ours, golden))  # one-row tables
+    sides = [x.where(~F.col("unmapped")).agg(F.count(F.lit(1)).alias(f"records_{n}")) for x, n in ((ours, "ours"), (golden, "golden"))]
+    out = counts.crossJoin(error).crossJoin(rank).crossJoin(mapped_jaccard(ours, golden)).crossJoin(sides[0]).crossJoin(sides[1])  # one-row tables
     return out.withColumn("match_rate", F.when(F.col("compared") > 0, F.col("matched") / F.col("compared")).otherwise(0.0))
 
 

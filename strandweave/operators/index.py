@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.seeds import HASH_ID, check, shard_file, shard_id
+from strandweave.functions.seeds import HASH_ID, check, shard_id
+from strandweave.operators._store import stored
 from strandweave.operators.minimizers import minimizers
 from strandweave.params import Params
 
@@ -23,10 +24,12 @@ def seed_counts(hits: DataFrame) -> DataFrame:
 def capped(hits: DataFrame, params: Params | None = None) -> DataFrame:
     """Hits without the hashes that have more than ``freq_cap``.
 
-    Counts come from a partial aggregate; over-frequent hashes, at most hits / cap of them, are
-    removed by an anti join, so no window ever holds one of them whole.
+    Hits are extracted once and kept in the shared folder. Counts come from a partial aggregate;
+    over-frequent hashes, at most hits / cap of them, are removed by an anti join, so no window
+    ever holds one of them whole.
     """
     p = check(params)
+    hits = stored(hits)
     return hits.join(seed_counts(hits).where(F.col("n") > p.freq_cap).select("hash"), "hash", "left_anti")
 
 
@@ -58,22 +61,27 @@ def directory(index: DataFrame) -> DataFrame:
     return counts.select("shard_id", "hash", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("hit_offset"), "n")
 
 
-def manifest(index: DataFrame, contigs: DataFrame, files: DataFrame, reference_id: str, params: Params | None = None, taxid: int | None = None, format_version: int = 2) -> DataFrame:
-    """One JSON row that describes an index; ``files(path, size, sha256)``, its own sequence file included."""
+#: Names that an index states about itself.
+SEED_SCHEME, HASH_NAME = "canonical-minimizer", "mm_hash64_v1"
+
+
+def manifest(stats: DataFrame, contigs: DataFrame, files: DataFrame, reference_id: str, params: Params | None = None, taxid: int = 0, format_version: int = 1) -> DataFrame:
+    """One JSON row that describes an index.
+
+    ``stats`` is ``index_stats`` of all hits (before the cap, so that capped ones are known);
+    ``files(path, size, sha256)`` are the stored files, its own sequence file included.
+    """
     p = check(params)
-    stats = index.agg(F.count(F.lit(1)).alias("totalHits"), F.count_distinct("hash").alias("distinctSeeds"))
     many = contigs.agg(F.count(F.lit(1)).alias("contigs"))
-    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", "size", "sha256"))).alias("files"))
-    fixed = {"format": "seed-index", "formatVersion": format_version, "referenceId": reference_id, "taxid": taxid, "seedScheme": "minimizer", "k": p.k, "w": p.w, "shardBits": p.shard_bits, "hashFnId": HASH_ID, "freqCapPerHash": p.freq_cap, "shards": 1 << p.shard_bits}
-    row = F.struct(*[F.lit(v).alias(n) for n, v in fixed.items()], "contigs", "totalHits", "distinctSeeds", "files")
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", "size", "sha256"))).alias("files"))  # one row per stored file
+    fixed = {"format": "seed-index", "formatVersion": format_version, "referenceId": reference_id, "taxid": taxid, "seedScheme": SEED_SCHEME, "k": p.k, "w": p.w, "shardBits": p.shard_bits, "hashFn": HASH_NAME, "hashFnId": HASH_ID}
+    row = F.struct(
+        *[F.lit(v).alias(n) for n, v in fixed.items()], F.struct(F.lit(p.freq_cap).alias("freqCapPerHash")).alias("seedSchemeParams"), "contigs", F.lit(1 << p.shard_bits).alias("shards"),
+        F.col("total_hits").alias("totalHits"), F.col("distinct_seeds").alias("distinctSeeds"), F.col("capped_seed_hits").alias("cappedSeedHits"), "files",
+    )
     return stats.crossJoin(many).crossJoin(listed).select(F.to_json(row).alias("value"))  # three one-row tables
 
 
-def with_files(index: DataFrame) -> DataFrame:
-    """The shard file each hit belongs to."""
-    return index.withColumn("file", shard_file(F.col("shard_id")))
-
-
 def pos_checked(hits: DataFrame) -> DataFrame:
     """Hits whose position and contig fit the packed form; others raise."""
     ok = (F.col("pos") < (1 << 28)) & (F.col("contig_id") < (1 << 16))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.seeds import canonical, check, kmer_code, with_seed_hash
 from strandweave.params import Params
 
-_CODE = np.full(256, 4, np.uint64)
+_CODE = np.full(256, 4, np.uint8)
 for _k, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _k
 SLICE = 1 << 19
@@ -25,46 +25,75 @@ PIECE = 256
 
 
 def mix_seed(x: np.ndarray, k: int) -> np.ndarray:
-    """``seed_hash`` on uint64 arrays, which wrap like the definition."""
-    m, u = np.uint64((1 << 2 * k) - 1), np.uint64
-    x = (~x + (x << u(21))) & m
+    """``seed_hash`` on unsigned arrays, which wrap like the definition (32 bits are enough up to k = 16)."""
+    u = x.dtype.type
+    m = u((1 << 2 * k) - 1)
+    left = lambda x, s: x << u(s) if s < x.dtype.itemsize * 8 else u(0)
+    x = (~x + left(x, 21)) & m
     x = x ^ (x >> u(24))
-    x = (x + (x << u(3)) + (x << u(8))) & m
+    x = (x + left(x, 3) + left(x, 8)) & m
     x = x ^ (x >> u(14))
-    x = (x + (x << u(2)) + (x << u(4))) & m
+    x = (x + left(x, 2) + left(x, 4)) & m
     x = x ^ (x >> u(28))
-    return (x + (x << u(31))) & m
+    return (x + left(x, 31)) & m
+
+
+def codes(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """2-bit numbers of all k-mers and of their reverse complements, put together from pieces of 1, 2, 4, ... bases."""
+    u, n = code.dtype.type, len(code)
+    fwd_piece, rev_piece, size = code, u(3) - code, 1
+    fwd = rev = None
+    done = 0
+    while True:
+        if k & size:
+            m = n - done - size + 1
+            if fwd is None:
+                fwd, rev = fwd_piece, rev_piece
+            else:
+                fwd = (fwd[:m] << u(2 * size)) | fwd_piece[done : done + m]
+                rev = rev[:m] | (rev_piece[done : done + m] << u(2 * done))
+            done += size
+        if 2 * size > k:
+            return fwd, rev
+        m = n - 2 * size + 1
+        fwd_piece = (fwd_piece[:m] << u(2 * size)) | fwd_piece[size : size + m]
+        rev_piece = rev_piece[:m] | (rev_piece[size : size + m] << u(2 * size))
+        size *= 2
+
+
+def rightmost_least(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the least of every ``w`` consecutive values, rightmost on ties."""
+    at, least, span = np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64), h, 1
+    while span < w:
+        shift = min(span, w - span)
+        take = least[shift:] <= least[:-shift]
+        at = np.where(take, at[shift:], at[:-shift])
+        least = np.where(take, least[shift:], least[:-shift])
+        span += shift
+    return at
 
 
 def extract(data: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarray, ...]:
     """Minimizers of the sequences data[off[i]:off[i+1]]: sequence, hash, position of the last base, strand."""
     n = len(data)
     none = np.zeros(0, np.int64)
-    if n < k + w - 1:
+    need = k + w - 1
+    if n < need:
         return none, none, none, none
     code = _CODE[data]
-    fwd, rev = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        c = code[j : n - k + 1 + j] & np.uint64(3)
-        fwd |= c << np.uint64(2 * (k - 1 - j))
-        rev |= (np.uint64(3) - c) << np.uint64(2 * j)
-    strand = (rev < fwd).astype(np.int64)
+    fwd, rev = codes((code & 3).astype(np.uint32 if k <= 16 else np.uint64), k)
     h = mix_seed(np.minimum(fwd, rev), k)
     # a window is whole if its k + w - 1 bases are bases of one sequence
-    need = k + w - 1
-    stop = np.append(0, np.cumsum(code > 3))
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    at = np.flatnonzero((stop[need:] == stop[:-need]) & (owner[need - 1 :] == owner[: n - need + 1]))
-    if not len(at):
+    stop = np.append(0, np.cumsum(code > 3, dtype=np.int32))
+    whole = stop[need:] == stop[:-need]
+    edge = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
+    inside = np.bincount(np.maximum(edge - need + 1, 0), minlength=n + 1)[: n + 1] - np.bincount(edge, minlength=n + 1)[: n + 1]
+    best = rightmost_least(h, w)[whole & (np.cumsum(inside[: n - need + 1]) == 0)]
+    if not len(best):
         return none, none, none, none
-    views = np.lib.stride_tricks.sliding_window_view(h, w)
-    best = np.empty(len(at), np.int64)
-    for lo in range(0, len(at), 1 << 18):
-        part = at[lo : lo + (1 << 18)]
-        best[lo : lo + len(part)] = part + w - 1 - views[part][:, ::-1].argmin(1)
-    best = np.unique(best)
-    seq = owner[best]
-    return seq, h[best].astype(np.int64), best + k - 1 - off[seq], strand[best]
+    best = best[np.append(True, best[1:] != best[:-1])].astype(np.int64)  # positions never go back
+    seq = np.searchsorted(off, best, "right") - 1
+    return seq, h[best].astype(np.int64), best + k - 1 - off[seq], (rev[best] < fwd[best]).astype(np.int64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

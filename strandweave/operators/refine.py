@@ -1,7 +1,8 @@
-"""Endpoint refinement: extend chains base by base into the flanks while they match well enough."""
+"""Endpoint refinement: extend chains into the flanks while they match well enough, many flanks at a time."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +12,25 @@ from strandweave.functions.seeds import check, stored_reference
 from strandweave.params import Params
 
 
-def extension(read: str, ref: str, window: int, rate: float) -> int:
-    """Bases by which two outward flanks agree: grows while the last ``window`` comparisons match at ``rate``; stops at the first that don't."""
-    hits: list[int] = []
-    for a, b in zip(read, ref, strict=True):
-        hits.append(int(a == b))
-        last = hits[-window:]
-        if sum(last) / len(last) < rate:
-            return len(hits) - 1
-    return len(hits)
+def flanks(texts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as rows of bytes, and their lengths; null is empty."""
+    texts = texts.fillna("")
+    size = texts.str.len().to_numpy(np.int64)
+    return np.frombuffer("".join(texts.str.ljust(width)).encode("ascii", "replace"), np.uint8).reshape(-1, width), np.minimum(size, width)
+
+
+def extension(read: pd.Series, ref: pd.Series, window: int, rate: float) -> np.ndarray:
+    """Bases by which two outward flanks agree: grows while the last ``window`` comparisons match at ``rate``; stops at the first that don't. Flanks of unequal length don't grow."""
+    width = max(1, int(read.fillna("").str.len().max() or 0) if len(read) else 1)
+    (a, n), (b, m) = flanks(read, width), flanks(ref.fillna("").str.slice(0, width), width)
+    m = ref.fillna("").str.len().to_numpy(np.int64)
+    upto = np.cumsum(a == b, axis=1)
+    last = upto.copy()
+    last[:, window:] -= upto[:, :-window]
+    bad = last / np.minimum(np.arange(1, width + 1), window) < rate
+    bad |= np.arange(width) >= n[:, None]
+    grown = np.where(bad.any(1), bad.argmax(1), width)
+    return np.where(n == m, grown, 0)
 
 
 def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -33,7 +44,7 @@ def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, pa
 
     @F.pandas_udf(T.IntegerType())
     def extend(read: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([extension(a, b, p.match_window, p.min_match_rate) if a and b and len(a) == len(b) else 0 for a, b in zip(read, ref, strict=True)], dtype="int32")
+        return pd.Series(extension(read, ref, p.match_window, p.min_match_rate), dtype="int32")
 
     names = chains.columns
     rows = chains.join(reads.select(F.col("read_id").alias("_r"), F.col("seq").alias("_read")), F.col("read_id") == F.col("_r"), "left")

@@ -83,3 +83,11 @@ def parse_sam(lines: DataFrame, value: str = "value") -> DataFrame:
     start, end, span = cigar_spans(F.col("cigar"))
     bit = lambda b: F.col("flag").bitwiseAND(F.lit(b)) != 0
     return rows.select("*", bit(16).alias("reverse"), bit(256).alias("secondary"), bit(2048).alias("supplementary"), (bit(4) | (F.col("ref_name") == "*")).alias("unmapped"), start.alias("q_start"), end.alias("q_end"), span.alias("ref_span"))
+
+
+def sam_counters(parsed: DataFrame) -> DataFrame:
+    """One row of a parsed SAM table: mapped and unmapped read names, supplementary and secondary records, all records."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
+    names = lambda c: F.count_distinct(F.when(c, F.col("name"))).alias
+    lost = F.col("flag").bitwiseAND(F.lit(4)) != 0
+    return parsed.agg(names(~lost)("mapped"), names(lost)("unmapped"), n(F.col("supplementary"))("supplementary"), n(F.col("secondary"))("secondary"), F.count(F.lit(1)).alias("records"))

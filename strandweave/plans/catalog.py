@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.functions.seeds import approximate_mapq, cigar, project_dna, reverse_complement, sam_flag, shard_id
+from strandweave.functions.seeds import approximate_mapq, project_dna, reverse_complement, shard_id
 from strandweave.operators import anchors as A
 from strandweave.operators import evaluate as E
 from strandweave.operators import index as I
 from strandweave.operators import minimizers as M
 from strandweave.operators import sam as S
+from strandweave.operators._store import stored
 from strandweave.operators.chain import chain_scores
 from strandweave.params import Params
+from strandweave.plans import oracles as O
 from strandweave.plans.mapping import Mapping, map_reads, text_contigs, text_reads
 
 P = Params()
@@ -39,8 +41,8 @@ def _anchors(spark: SparkSession, sf: str) -> DataFrame:
     return A.seed_anchors(A.query_seeds(_reads(spark, sf), P), _index(spark, sf))
 
 
-def _mapped(spark: SparkSession, sf: str, **changes: object) -> Mapping:
-    return map_reads(_reads(spark, sf), _contigs(spark, sf), Params(**changes))
+def _mapped(spark: SparkSession, sf: str, index: DataFrame | None = None, **changes: object) -> Mapping:
+    return map_reads(_reads(spark, sf), _contigs(spark, sf), Params(**changes), index)
 
 
 def dna_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,16 +104,8 @@ def anchor_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchor_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Span, flag, CIGAR and mapping quality of all anchors of a (read, contig, strand) taken as one chain."""
-    spans = A.anchor_spans(_anchors(spark, sf), P).where("anchor_count >= 2")
-    rows = spans.join(_reads(spark, sf).select(F.col("read_id").alias("_r"), F.length("seq").alias("_n")), F.col("read_id") == F.col("_r"))
-    f1 = F.col("anchor_count") * 15.0
-    return rows.select(
-        "read_id", "contig_id", F.col("joint").cast("long").alias("joint"), "q_start", "q_end", "ref_start", "ref_end", "anchor_count", "unique_anchors",
-        sam_flag(F.col("joint"), F.col("anchor_count") < 4, F.col("anchor_count") < 3).cast("long").alias("flag"),
-        cigar(F.col("q_start"), F.col("q_end"), F.col("ref_start"), F.col("ref_end"), F.col("_n"), F.col("anchor_count") < 3).alias("cigar"),
-        approximate_mapq(f1, F.col("unique_anchors") * 5.0, F.col("unique_anchors")).cast("long").alias("mapq"),
-    )
+    """Span, anchors and distinct seeds of all anchors of a (read, contig, strand) taken as one chain."""
+    return _wide(A.anchor_spans(_anchors(spark, sf), P).where("anchor_count >= 2"))
 
 
 def chain_dp(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,12 +113,19 @@ def chain_dp(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("read_id", "contig_id", F.col("joint").cast("long").alias("joint"), "ref_pos", "q_pos", F.round("f", 6).alias("f"), "back")
 
 
+def _wide(rows: DataFrame) -> DataFrame:
+    """Small integers as longs, so that engines agree on the schema."""
+    return rows.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() == "int" else F.col(f.name) for f in rows.schema])
+
+
 def _fragments(m: Mapping) -> DataFrame:
-    return m.placements.withColumn("mapq", approximate_mapq(F.col("f1"), F.col("f2"), F.col("m")))
+    rows = m.placements.withColumn("mapq", approximate_mapq(F.col("f1"), F.col("f2"), F.col("m")))
+    return _wide(rows.withColumns({c: F.round(c, 6) for c in ("score", "f1", "f2")}))
 
 
 def chains(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped(spark, sf).chains.withColumn("score", F.round("score", 6))
+    pairs = F.transform("anchors", lambda a: F.concat(a["q_pos"].cast("string"), F.lit(":"), a["ref_pos"].cast("string")))
+    return _wide(_mapped(spark, sf).chains.withColumns({"score": F.round("score", 6), "anchors": F.array_join(pairs, ",")}))
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +145,7 @@ def sam_header(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sam_body(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sam_lines(S.sam_records(_mapped(spark, sf).placements, _reads(spark, sf), _contigs(spark, sf)))
+    return _wide(S.sam_lines(S.sam_records(stored(_mapped(spark, sf).placements), _reads(spark, sf), _contigs(spark, sf))))
 
 
 def sam_unmapped(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,14 +157,23 @@ def sam_unmapped(spark: SparkSession, sf: str) -> DataFrame:
 
 def sam_unplaced(spark: SparkSession, sf: str) -> DataFrame:
     """The unmapped records of the real mapping: one line for every read without a placement."""
-    placements, reads = _mapped(spark, sf).placements, _reads(spark, sf)
+    placements, reads = stored(_mapped(spark, sf).placements), _reads(spark, sf)
     rest = reads.join(placements.select("read_id").distinct(), "read_id", "left_anti")
     lines = S.sam_lines(S.sam_records(placements.where(F.lit(False)), rest, _contigs(spark, sf)))
     return lines.select("read_id", "value")
 
 
+def _sam(m: Mapping, spark: SparkSession, sf: str) -> DataFrame:
+    return S.parse_sam(S.sam_lines(S.sam_records(stored(m.placements), _reads(spark, sf), _contigs(spark, sf))))
+
+
 def sam_parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return S.parse_sam(sam_body(spark, sf))
+    return _wide(_sam(_mapped(spark, sf), spark, sf))
+
+
+def sam_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads with and without a placement, supplementary and secondary records of a mapping with alternates."""
+    return S.sam_counters(_sam(_mapped(spark, sf, secondary=5), spark, sf))
 
 
 def cigar_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,14 +188,14 @@ def cigar_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def sam_diff(spark: SparkSession, sf: str) -> DataFrame:
     """The default mapping held against the refined one."""
-    sides = [S.parse_sam(S.sam_lines(S.sam_records(_mapped(spark, sf, refine=r).placements, _reads(spark, sf), _contigs(spark, sf)))) for r in (False, True)]
-    return E.diff_sam(*sides)
+    index = _index(spark, sf)
+    out = E.diff_sam(*[stored(_sam(_mapped(spark, sf, index, refine=r), spark, sf)) for r in (False, True)])
+    return out.withColumn("mapq_spearman", F.round("mapq_spearman", 6))
 
 
 def mapped_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Mapped reads of two seedings: w = 10 and w = 15."""
-    sides = [S.parse_sam(S.sam_lines(S.sam_records(_mapped(spark, sf, w=w).placements, _reads(spark, sf), _contigs(spark, sf)))) for w in (10, 15)]
-    return E.mapped_jaccard(*sides)
+    return E.mapped_jaccard(*[_sam(_mapped(spark, sf, w=w), spark, sf) for w in (10, 15)])
 
 
 def spearman_prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,50 +246,19 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dna_projection, kmer_hash, minimizers, minimizers_sql, read_minimizers, shard_histogram, shard_plan, shard_worker_assignment, index_stats, index_directory,
-    seed_anchors, anchor_counts, anchor_spans, chain_dp, chains, fragments, secondary_fragments, refined_fragments, sam_header, sam_body, sam_unmapped, sam_unplaced, sam_parsed,
+    seed_anchors, anchor_counts, anchor_spans, chain_dp, chains, fragments, secondary_fragments, refined_fragments, sam_header, sam_body, sam_unmapped, sam_unplaced, sam_parsed, sam_counters,
     cigar_parse, sam_diff, mapped_jaccard, spearman_prices, average_ranks, text_sha256, truth_accuracy, mapping_stats, contacts,
 )}
 
 
 # --- SQL twins -----------------------------------------------------------------------------
 
-MASK = (1 << 30) - 1
-
-
-def _seq(text: str = "text") -> str:
-    return f"regexp_replace(regexp_replace(translate(lower(coalesce({text}, '')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '\\s+', '', 'g'), '[^ACGT]', 'N', 'g')"
-
-
-def _shl(x: str, s: int) -> str:
-    return f"(({x} & {(1 << (30 - s)) - 1}) * {1 << s})"
-
-
-def _ctes(n: str, table: str, key: str) -> str:
-    """CTEs up to ``n_h`` (id, pos, strand, hash of every k-mer) and ``n_m`` (its minimizers) for k = 15, w = 10."""
-    code = " + ".join(f"(ascii(substr(t, {i + 1}, 1)) - 48) * {4 ** (14 - i)}" for i in range(15))
-    return f"""
-    {n}_s AS (SELECT {key} AS id, {_seq()} AS seq FROM {table}),
-    {n}_k AS (SELECT id, i + 13 AS pos, substr(seq, i, 15) AS km FROM (SELECT id, seq, unnest(range(1, length(seq) - 13)) AS i FROM {n}_s WHERE length(seq) >= 15)),
-    {n}_c AS (SELECT id, pos, km, least(km, translate(reverse(km), 'ACGT', 'TGCA')) AS c FROM {n}_k WHERE NOT contains(km, 'N')),
-    {n}_x AS (SELECT id, pos, CAST(km <> c AS BIGINT) AS strand, CAST({code} AS BIGINT) AS x FROM (SELECT *, translate(c, 'ACGT', '0123') AS t FROM {n}_c)),
-    {n}_1 AS (SELECT id, pos, strand, (({MASK} - x) + {_shl('x', 21)}) & {MASK} AS x FROM {n}_x),
-    {n}_2 AS (SELECT id, pos, strand, xor(x, x >> 24) AS x FROM {n}_1),
-    {n}_3 AS (SELECT id, pos, strand, (x + {_shl('x', 3)} + {_shl('x', 8)}) & {MASK} AS x FROM {n}_2),
-    {n}_4 AS (SELECT id, pos, strand, xor(x, x >> 14) AS x FROM {n}_3),
-    {n}_5 AS (SELECT id, pos, strand, (x + {_shl('x', 2)} + {_shl('x', 4)}) & {MASK} AS x FROM {n}_4),
-    {n}_h AS (SELECT id, pos, strand, xor(x, x >> 28) AS hash FROM {n}_5),
-    {n}_r AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM {n}_h),
-    {n}_w AS (SELECT id, min((hash * 4294967296 + (4294967295 - pos)) * 2 + strand) OVER f AS best, count(*) OVER f AS n FROM {n}_r
-              WINDOW f AS (PARTITION BY id, run ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-    {n}_m AS (SELECT DISTINCT id, best >> 33 AS hash, 4294967295 - ((best >> 1) & 4294967295) AS pos, best & 1 AS strand FROM {n}_w WHERE n = 10)"""
-
-
-_D, _B = _ctes("d", "documents", "doc_id"), _ctes("b", "benchmark", "item_id")
+_D, _B = O.D, O.B
 _INDEX = f"{_D}, ix AS (SELECT * FROM d_m WHERE hash NOT IN (SELECT hash FROM d_m GROUP BY hash HAVING count(*) > 1000))"
 _ANCHORS = f"""{_INDEX}, {_B}, an AS (SELECT b_m.id AS read_id, b_m.pos AS q_pos, ix.id AS contig_id, ix.pos AS ref_pos, ix.hash, xor(b_m.strand, ix.strand) AS joint FROM b_m JOIN ix USING (hash))"""
 
 ORACLES = {
-    "dna_projection": f"SELECT doc_id, CAST(length(s) AS BIGINT) AS n_bases, CAST(length(s) - length(replace(s, 'N', '')) AS BIGINT) AS n_breaks, md5(s) AS seq_md5, md5(translate(reverse(s), 'ACGT', 'TGCA')) AS rc_md5 FROM (SELECT doc_id, {_seq()} AS s FROM documents)",
+    "dna_projection": f"SELECT doc_id, CAST(length(s) AS BIGINT) AS n_bases, CAST(length(s) - length(replace(s, 'N', '')) AS BIGINT) AS n_breaks, md5(s) AS seq_md5, md5(translate(reverse(s), 'ACGT', 'TGCA')) AS rc_md5 FROM (SELECT doc_id, {O.seq()} AS s FROM documents)",
     "kmer_hash": f"WITH {_D} SELECT id AS contig_id, count(*) AS n_kmers, CAST(sum(hash) AS BIGINT) AS hash_sum, max(hash) AS hash_max, CAST(sum(strand) AS BIGINT) AS n_reverse FROM d_h GROUP BY id",
     "minimizers": f"WITH {_D} SELECT id AS contig_id, hash, pos, strand FROM d_m",
     "read_minimizers": f"WITH {_B} SELECT id AS read_id, hash, pos, strand FROM b_m",
@@ -290,34 +269,14 @@ ORACLES = {
     "index_directory": f"WITH {_INDEX}, c AS (SELECT hash & 4095 AS shard_id, hash, count(*) AS n FROM ix GROUP BY hash) SELECT shard_id, hash, CAST(coalesce(sum(n) OVER (PARTITION BY shard_id ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS hit_offset, n FROM c",
     "seed_anchors": f"WITH {_ANCHORS} SELECT read_id, q_pos, contig_id, ref_pos, hash, joint FROM an",
     "anchor_counts": f"WITH {_ANCHORS} SELECT read_id, contig_id, joint, count(*) AS n_anchors FROM an GROUP BY ALL HAVING count(*) >= 3",
-    "anchor_spans": f"""WITH {_ANCHORS},
-        g AS (SELECT read_id, contig_id, joint, min(q_pos) AS q0, max(q_pos) AS q1, min(ref_pos) AS r0, max(ref_pos) AS r1, count(*) AS anchor_count, count(DISTINCT hash) AS unique_anchors FROM an GROUP BY ALL HAVING count(*) >= 2),
-        e AS (SELECT *, least(7, greatest(0, q0 - 14), greatest(0, r0 - 14)) AS ext FROM g),
-        p AS (SELECT read_id, contig_id, joint, greatest(0, q0 - 14) - ext AS q_start, q1 + 8 AS q_end, greatest(0, r0 - 14) - ext AS ref_start, r1 + 8 AS ref_end, anchor_count, unique_anchors,
-                     length(s.seq) AS n, anchor_count < 3 AS sec FROM e JOIN b_s s ON s.id = read_id),
-        q AS (SELECT *, 40.0::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (unique_anchors * 5.0::DOUBLE) / (anchor_count * 15.0::DOUBLE)) * least(1.0::DOUBLE, unique_anchors / 10.0::DOUBLE) * ln(anchor_count * 15.0::DOUBLE) AS raw FROM p)
-        SELECT read_id, contig_id, joint, q_start, q_end, ref_start, ref_end, anchor_count, unique_anchors,
-               joint * 16 + CAST(anchor_count < 4 AS BIGINT) * 2048 + CAST(sec AS BIGINT) * 256 AS flag,
-               CASE WHEN ref_end - ref_start <= 0 THEN '*' ELSE
-                    CASE WHEN q_start > 0 THEN q_start || CASE WHEN sec THEN 'H' ELSE 'S' END ELSE '' END || (ref_end - ref_start) || 'M' ||
-                    CASE WHEN n - q_end > 0 THEN (n - q_end) || CASE WHEN sec THEN 'H' ELSE 'S' END ELSE '' END END AS cigar,
-               CAST(least(60, floor(greatest(raw, 0.0::DOUBLE) + 0.5::DOUBLE)) AS BIGINT) AS mapq FROM q""",
-    "chain_dp": f"""WITH RECURSIVE {_ANCHORS},
-        o AS (SELECT read_id, contig_id, joint, ref_pos AS r, q_pos AS q, CASE WHEN joint = 1 THEN -q_pos ELSE q_pos END AS s FROM an),
-        l AS (SELECT read_id, contig_id, joint, list(r ORDER BY r, q) AS rs, list(s ORDER BY r, q) AS ss, list(q ORDER BY r, q) AS qs, count(*) AS n FROM o GROUP BY ALL),
-        dp AS (SELECT *, CAST(1 AS BIGINT) AS i, [15.0::DOUBLE] AS fs, [CAST(-1 AS BIGINT)] AS bs FROM l
-          UNION ALL
-          SELECT read_id, contig_id, joint, rs, ss, qs, n, i + 1, list_append(fs, CASE WHEN best.v > 15.0::DOUBLE THEN best.v ELSE 15.0::DOUBLE END),
-                 list_append(bs, CASE WHEN best.v > 15.0::DOUBLE THEN best.j - 1 ELSE -1 END)
-          FROM (SELECT *, list_max(list_transform(range(1, i + 1), lambda j: {{'v': CASE
-                    WHEN rs[i + 1] - rs[j] > 0 AND rs[i + 1] - rs[j] <= 5000 AND ss[i + 1] - ss[j] > 0 AND ss[i + 1] - ss[j] <= 5000 AND abs((ss[i + 1] - ss[j]) - (rs[i + 1] - rs[j])) <= 200
-                    THEN fs[j] + (least(ss[i + 1] - ss[j], rs[i + 1] - rs[j], 15) - (0.15::DOUBLE * abs((ss[i + 1] - ss[j]) - (rs[i + 1] - rs[j])) +
-                         CASE WHEN abs((ss[i + 1] - ss[j]) - (rs[i + 1] - rs[j])) > 1 THEN 0.5::DOUBLE * log2(abs((ss[i + 1] - ss[j]) - (rs[i + 1] - rs[j]))) ELSE 0.0::DOUBLE END))
-                    ELSE -1e300::DOUBLE END, 'j': j}})) AS best FROM dp WHERE i < n)),
-        e AS (SELECT read_id, contig_id, joint, unnest(rs) AS ref_pos, unnest(qs) AS q_pos, unnest(fs) AS f, unnest(bs) AS back FROM dp WHERE i = n)
-        SELECT read_id, contig_id, joint, ref_pos, q_pos, round(f, 6) AS f, back FROM e""",
-    "sam_header": f"SELECT 1::BIGINT AS part, doc_id AS contig_id, '@SQ\tSN:doc' || doc_id || '\tLN:' || length({_seq()}) AS value FROM documents UNION ALL SELECT 0, -1, '@HD\tVN:1.6\tSO:unsorted' UNION ALL SELECT 2, -1, '@PG\tID:strandweave\tPN:strandweave\tVN:0.1'",
-    "sam_unmapped": f"SELECT item_id AS read_id, 'item' || item_id || '\t4\t*\t0\t0\t*\t*\t0\t0\t' || s || '\t' || repeat('I', length(s)) AS value FROM (SELECT item_id, {_seq()} AS s FROM benchmark)",
+    "anchor_spans": O.with_(*O.BASE, O.anchors("m", "b", "d"))
+    + """ SELECT read_id, contig_id, joint, greatest(0, q0 - 14) - e AS q_start, q1 + 8 AS q_end, greatest(0, r0 - 14) - e AS ref_start, r1 + 8 AS ref_end, anchor_count, unique_anchors
+          FROM (SELECT *, least(7, greatest(0, q0 - 14), greatest(0, r0 - 14)) AS e FROM (SELECT read_id, contig_id, joint, min(q_pos) AS q0, max(q_pos) AS q1, min(ref_pos) AS r0, max(ref_pos) AS r1,
+                count(*) AS anchor_count, count(DISTINCT hash) AS unique_anchors FROM m_an GROUP BY ALL HAVING count(*) >= 2))""",
+    "chain_dp": O.with_(*O.BASE, O.anchors("m", "b", "d"), O.scores("m", 1))
+    + " SELECT read_id, contig_id, joint, unnest(rs) AS ref_pos, unnest(qs) AS q_pos, round(unnest(fs), 6) AS f, unnest(bs) - 1 AS back FROM m_dq",
+    "sam_header": f"SELECT 1::BIGINT AS part, doc_id AS contig_id, '@SQ\tSN:doc' || doc_id || '\tLN:' || length({O.seq()}) AS value FROM documents UNION ALL SELECT 0, -1, '@HD\tVN:1.6\tSO:unsorted' UNION ALL SELECT 2, -1, '@PG\tID:strandweave\tPN:strandweave\tVN:0.1'",
+    "sam_unmapped": f"SELECT item_id AS read_id, 'item' || item_id || '\t4\t*\t0\t0\t*\t*\t0\t0\t' || s || '\t' || repeat('I', length(s)) AS value FROM (SELECT item_id, {O.seq()} AS s FROM benchmark)",
     "cigar_parse": """WITH c AS (SELECT CAST(l_quantity AS BIGINT) AS a, l_orderkey AS m, l_linenumber AS i, l_suppkey AS d, l_partkey AS z, CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 'H' END AS o FROM lineitem)
         SELECT a || o || m || 'M' || i || 'I' || d || 'D' || z || 'S' AS cigar, count(*) AS n, max(a) AS q_start, max(CAST(CASE WHEN o = 'S' THEN a ELSE 0 END + m + i AS BIGINT)) AS q_end, max(CAST(m + d AS BIGINT)) AS ref_span, 6::BIGINT AS pos0 FROM c GROUP BY 1""",
     "spearman_prices": """WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS a,
@@ -327,3 +286,4 @@ ORACLES = {
     "text_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
 ORACLES["minimizers_sql"] = ORACLES["minimizers"]
+ORACLES |= O.MAPPED

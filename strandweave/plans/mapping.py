@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check, project_dna
+from strandweave.operators._store import stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
 from strandweave.operators.chain import chain_anchors
 from strandweave.operators.index import build_index
@@ -51,7 +52,7 @@ def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None
 
 def map_to_sam(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None) -> DataFrame:
     """SAM lines of the mapping: (read_id, fragment_index, alt_rank, value)."""
-    return sam_lines(sam_records(map_reads(reads, contigs, params, index).placements, reads, contigs))
+    return sam_lines(sam_records(stored(map_reads(reads, contigs, params, index).placements), reads, contigs))
 
 
 def text_contigs(docs: DataFrame) -> DataFrame:

@@ -37,11 +37,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, name, seq, qual) from strict four-line records; a header without ``@`` is an error, carriage returns stay, a last record without a line end counts."""
+    """(read_id, name, seq, qual) from strict four-line records; a header without ``@`` is an error, carriage returns stay, a last record without a line end counts, one without its fourth line doesn't."""
     lines = _numbered(_pieces(spark, path, "\n"), "value")
     at = F.col("n") % 4
     recs = lines.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(*[F.max(F.when(at == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
-    recs = recs.where(F.col("seq").isNotNull() | (F.coalesce("head", F.lit("")) != ""))
+    recs = recs.where(F.col("qual").isNotNull())
     files = recs.groupBy("file").agg((F.max("rec") + 1).alias("_n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     base = files.select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -49,6 +49,21 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return recs.join(F.broadcast(base), F.col("file") == F.col("_f")).select((F.col("_base") + F.col("rec")).cast("long").alias("read_id"), name.alias("name"), "seq", "qual")
 
 
+def fastq_records(files: DataFrame) -> DataFrame:
+    """``files(value)``, a whole FASTQ text a row, as (read_id, name, seq, qual); ids are a hash of the text's start and the record's place."""
+    lines = F.split("value", "\n")
+    whole = F.floor((F.size("_l") - F.when(F.element_at("_l", -1) == "", 1).otherwise(0)) / 4).cast("int")
+    rows = files.select(lines.alias("_l")).where(whole > 0).select("_l", F.explode(F.sequence(F.lit(0), whole - 1)).alias("_k"))
+    line = lambda k: F.get("_l", F.col("_k") * 4 + k)
+    name = F.when(line(0).startswith("@"), F.split(F.substring(line(0), 2, 1 << 30), r"\s")[0]).otherwise(F.raise_error(F.lit("a FASTQ header must start with @")).cast("string"))
+    return rows.select(F.xxhash64(F.get("_l", F.lit(0)), F.get("_l", F.lit(1)), "_k").alias("read_id"), name.alias("name"), line(1).alias("seq"), line(3).alias("qual"))
+
+
+def stream_fastq(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
+    """A streaming (read_id, name, seq, qual) of FASTQ files as they arrive in a folder; a file is one row until its records are split, so large files should arrive in parts."""
+    return fastq_records(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True))
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return parse_sam(spark.read.text(path))
 

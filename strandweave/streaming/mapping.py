@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,6 +27,6 @@ def map_stream(reads: DataFrame, contigs: DataFrame, index: DataFrame, sink: Cal
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def observed(placements: DataFrame, name: str = "mapping") -> DataFrame:
+def observed(placements: DataFrame, name: str | Observation = "mapping") -> DataFrame:
     """Placements that report running counters to listeners and ``Observation`` objects."""
     return placements.observe(name, F.count(F.lit(1)).alias("records"), F.sum(F.col("is_primary").cast("long")).alias("mapped"), F.sum((~F.col("is_secondary")).cast("long")).alias("fragments"))

@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from strandweave.functions import seeds as S
 from strandweave.operators import anchors as A
 from strandweave.operators import evaluate as E
 from strandweave.operators import sam
-from strandweave.operators.chain import chain_anchors
+from strandweave.operators.chain import chain_anchors, scored, scores
 from strandweave.operators.refine import extension, refine_endpoints
 from strandweave.operators.select import choose, select_fragments
 from strandweave.params import Params
@@ -49,17 +52,26 @@ def chain(q0, q1, r0, score, contig=0, n=10):
     return {"contig_id": contig, "q_start": q0, "q_end": q1, "ref_start": r0, "ref_end": r0 + q1 - q0, "score": score, "anchor_count": n, "unique_anchors": n}
 
 
+def pick(chains, params):
+    """The selection of some chains as dictionaries."""
+    columns = [[c[k] for c in chains] for k in ("q_start", "q_end", "ref_start", "ref_end", "score", "anchor_count")]
+    return [
+        chains[c] | {"fragment_index": index, "alt_rank": rank, "is_primary": best and rank == 0, "is_supplementary": not best and rank == 0, "is_secondary": rank > 0, "f2": rival}
+        for c, index, rank, best, rival in choose(*columns, params)
+    ]
+
+
 def test_selection():
-    three = choose([chain(0, 100, 0, 70.0), chain(200, 300, 0, 50.0), chain(120, 180, 0, 40.0)], Params())
+    three = pick([chain(0, 100, 0, 70.0), chain(200, 300, 0, 50.0), chain(120, 180, 0, 40.0)], Params())
     assert [(x["q_start"], x["is_primary"], x["is_supplementary"]) for x in three] == [(0, True, False), (120, False, True), (200, False, True)]
     near = [chain(0, 100, 0, 70.0), chain(2, 98, 9000, 65.0)]
-    assert len(choose(near, Params())) == 1 and choose(near, Params())[0]["f2"] == 65.0
-    two = choose(near, Params(secondary=1))
+    assert len(pick(near, Params())) == 1 and pick(near, Params())[0]["f2"] == 65.0
+    two = pick(near, Params(secondary=1))
     assert [(x["ref_start"], x["alt_rank"], x["is_secondary"], x["f2"]) for x in two] == [(0, 0, False, 65.0), (9000, 1, True, 0.0)]
-    late = choose([chain(500, 600, 0, 90.0), chain(0, 100, 0, 30.0)], Params(min_score_ratio=0.0))
+    late = pick([chain(500, 600, 0, 90.0), chain(0, 100, 0, 30.0)], Params(min_score_ratio=0.0))
     assert [x["is_primary"] for x in late] == [False, True]
-    assert choose([chain(0, 100, 0, 100.0, n=2), chain(0, 100, 0, 20.0)], Params()) == []
-    assert choose([], Params()) == []
+    assert pick([chain(0, 100, 0, 100.0, n=2), chain(0, 100, 0, 20.0)], Params()) == []
+    assert pick([], Params()) == []
 
 
 def test_mapq_cigar_and_flags(spark):
@@ -79,9 +91,33 @@ def test_cigar_spans(spark):
 
 
 def test_extension():
-    assert extension("ACGT" * 5, "ACGT" * 5, 10, 0.7) == 20
-    assert extension("TCGT", "ACGT", 10, 0.7) == 0
-    assert extension("AAAAAAAAAACCCCCCCCCC", "AAAAAAAAAAGGGGGGGGGG", 10, 0.7) == 13
+    grow = lambda *pairs: extension(*[pd.Series(list(x), dtype=object) for x in zip(*pairs, strict=True)], 10, 0.7).tolist()
+    assert grow(("ACGT" * 5, "ACGT" * 5), ("TCGT", "ACGT"), ("AAAAAAAAAACCCCCCCCCC", "AAAAAAAAAAGGGGGGGGGG")) == [20, 0, 13]
+    assert grow(("ACG", "ACGT"), (None, "A"), ("", ""), ("A", None), ("A", "A")) == [0, 0, 0, 0, 1]
+    rng = random.Random(9)
+    pairs = [tuple("".join(rng.choice("AC") if rng.random() < 0.3 else "A" for _ in range(n)) for _ in range(2)) for n in range(1, 41) for _ in range(5)]
+
+    def plain(a, b):
+        hits = []
+        for x, y in zip(a, b, strict=True):
+            hits.append(x == y)
+            if sum(hits[-10:]) / len(hits[-10:]) < 0.7:
+                return len(hits) - 1
+        return len(hits)
+
+    assert grow(*pairs) == [plain(a, b) for a, b in pairs]
+
+
+def test_buckets_of_one_size_are_scored_together():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, 300)
+    edges = np.append(0, np.cumsum(sizes))
+    q, joint = rng.integers(0, 400, edges[-1]), np.repeat(rng.integers(0, 2, 300), sizes)
+    r = np.concatenate([np.sort(rng.integers(0, 400, n)) for n in sizes])
+    f, back = scored(q, r, joint, edges, Params())
+    for lo, hi in itertools.pairwise(edges.tolist()):
+        one = scores(q[lo:hi], r[lo:hi], int(joint[lo]), Params())
+        assert f[lo:hi].tolist() == one[0].tolist() and back[lo:hi].tolist() == one[1].tolist()
 
 
 def test_refinement_both_strands(spark):

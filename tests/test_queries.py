@@ -33,9 +33,8 @@ def test_query_equals_sql(spark, duck, name):
     assert want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_its_twin():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_without_the_optional_part(spark):

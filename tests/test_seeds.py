@@ -115,5 +115,11 @@ def test_frequency_cap_and_directory(spark):
     index = I.capped(hits, p).withColumn("shard_id", S.shard_id(F.col("hash"), 4))
     assert sorted(map(tuple, I.directory(index).collect())) == [(0, 16, 0, 3), (1, 17, 0, 1), (1, 33, 1, 2)]
     files = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x")], "path string, size long, sha256 string")
-    text = I.manifest(index, spark.createDataFrame([(0,)], "contig_id long"), files, 'ref"1', p).first().value
+    text = I.manifest(I.index_stats(hits, p), spark.createDataFrame([(0,)], "contig_id long"), files, 'ref"1', p).first().value
+    assert '"cappedSeedHits":5' in text and '"hashFn":"' in text and '"seedSchemeParams":{"freqCapPerHash":3}' in text
     assert '"totalHits":6' in text and '"distinctSeeds":3' in text and text.index('"path":"a"') < text.index('"path":"b"') and '\\"1' in text
+
+
+def test_overlap_fraction(spark):
+    rows = spark.createDataFrame([(0, 10, 5, 20), (0, 10, 20, 30), (5, 5, 0, 9), (0, 10, 0, 10)], "a long, b long, c long, d long")
+    assert [r[0] for r in rows.select(S.overlap_fraction(*[F.col(c) for c in "abcd"])).collect()] == [0.5, 0.0, 0.0, 1.0]

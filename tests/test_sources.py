@@ -1,9 +1,16 @@
+import json
+import random
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from strandweave.functions.table import register_minimizers
 from strandweave.operators import index as I
+from strandweave.operators import minimizers as M
 from strandweave.operators.sam import sam_header
 from strandweave.params import Params
+from strandweave.plans import reference as R
 from strandweave.plans.mapping import map_to_sam
 from strandweave.sources import packed as P
 from strandweave.sources import sequences as Q
@@ -33,6 +40,8 @@ def test_fastq(spark, tmp_path):
     (tmp_path / "r.fastq").write_text("@a x=1\nACGT\n+\nIIII\n@b\nAC\r\n+\nII\r\n@c\nG\n+\nI")
     rows = Q.read_fastq(spark, str(tmp_path / "r.fastq")).orderBy("read_id").collect()
     assert [tuple(r) for r in rows] == [(0, "a", "ACGT", "IIII"), (1, "b", "AC\r", "II\r"), (2, "c", "G", "I")]
+    (tmp_path / "cut.fastq").write_text("@a\nACGT\n+\nIIII\n@b\nAC\n+\n")
+    assert [r.name for r in Q.read_fastq(spark, str(tmp_path / "cut.fastq")).collect()] == ["a"]  # a record without its last line is no record
     (tmp_path / "bad.fastq").write_text("x\nACGT\n+\nIIII\n")
     with pytest.raises(Exception, match="must start with @"):
         Q.read_fastq(spark, str(tmp_path / "bad.fastq")).collect()
@@ -90,4 +99,60 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(r.value for r in map_to_sam(reads, contigs).collect())
     from strandweave.plans.mapping import map_reads
 
-    assert observed(map_reads(reads, contigs).placements).count() >= 0
+    seen = Observation("run")
+    placements = map_reads(reads, contigs).placements
+    assert observed(placements, seen).count() == placements.count()
+    assert seen.get == {"records": placements.count(), "mapped": 8, "fragments": placements.where("not is_secondary").count()}
+
+
+def fasta_and_fastq(folder):
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(4000)) for _ in range(3)]
+    (folder / "ref.fa").write_text("".join(f">chr{i}\n{s}\n" for i, s in enumerate(seqs)))
+    reads = [(f"r{i}", seqs[i % 3][i * 90 : i * 90 + 300]) for i in range(30)] + [("none", "".join(rng.choice("ACGT") for _ in range(200)))]
+    (folder / "reads.fastq").write_text("".join(f"@{n} x\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads))
+    return len(reads)
+
+
+def test_reference_in_one_call_and_a_run(spark, tmp_path):
+    n = fasta_and_fastq(tmp_path)
+    ref = R.build_reference(spark, str(tmp_path / "ref.fa"), str(tmp_path / "index"), "ref")
+    about = json.loads(ref.manifest)
+    hits = I.seed_hits(Q.read_fasta(spark, str(tmp_path / "ref.fa")))
+    assert about["contigs"] == 3 and about["referenceId"] == "ref" and about["totalHits"] == hits.count() and about["cappedSeedHits"] == 0
+    assert about["files"] and all(len(f["sha256"]) == 64 and f["size"] > 0 for f in about["files"])
+    again = R.open_reference(spark, str(tmp_path / "index"))
+    assert again.index.count() == hits.count() and again.contigs.count() == 3 and Q.read_manifest(spark, str(tmp_path / "index" / "reference.json")).first().referenceId == "ref"
+    summary = R.map_run(spark, str(tmp_path / "reads.fastq"), again, str(tmp_path / "out"))
+    assert (summary["reads"], summary["mapped"], summary["unmapped"]) == (n, n - 1, 1) and summary["anchors"] > 0 and summary["rps"] > 0
+    stored = json.loads(next((tmp_path / "out.summary.json").glob("part-*")).read_text())
+    assert stored["reads"] == n and stored["reference"] == "ref"
+    direct = map_to_sam(Q.read_fastq(spark, str(tmp_path / "reads.fastq")), again.contigs)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect() if not r.value.startswith("@")]
+    assert sorted(lines) == sorted(r.value for r in direct.collect())
+    few = R.map_run(spark, str(tmp_path / "reads.fastq"), again, str(tmp_path / "few"), max_reads=7)
+    assert few["reads"] == 7
+
+
+def test_fastq_stream_equals_the_file(spark, tmp_path):
+    fasta_and_fastq(tmp_path)
+    (tmp_path / "in").mkdir()
+    text = (tmp_path / "reads.fastq").read_text()
+    (tmp_path / "in" / "a.fastq").write_text(text)
+    (tmp_path / "in" / "b.fastq").write_text("@last\nACGT\n+\nIIII\n@cut\nAC\n")
+    got = []
+    stream = Q.stream_fastq(spark, str(tmp_path / "in"))
+    query = stream.writeStream.foreachBatch(lambda rows, _: got.extend(map(tuple, rows.select("name", "seq", "qual").collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = [tuple(r) for r in Q.read_fastq(spark, str(tmp_path / "reads.fastq")).select("name", "seq", "qual").collect()]
+    assert sorted(got) == sorted([*want, ("last", "ACGT", "IIII")])
+    assert len({r.read_id for r in Q.fastq_records(spark.read.text(str(tmp_path / "in"), wholetext=True)).collect()}) == len(want) + 1
+
+
+def test_minimizers_in_sql(spark):
+    register_minimizers(spark, "minimizers_of")
+    seqs = spark.createDataFrame([(0, "ACGTTGCAACGGATCCATGCATTGACCGTAAGCTTGGCATCAGTCCAG" * 2), (1, None), (2, "ACGT")], "seq_id long, seq string")
+    seqs.createOrReplaceTempView("some_sequences")
+    got = spark.sql("SELECT seq_id, m.hash, m.pos, m.strand FROM some_sequences, LATERAL minimizers_of(seq, 15, 10) m")
+    want = M.minimizers(seqs).select("seq_id", "hash", "pos", "strand")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3

@@ -24,10 +24,11 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seen = _digest(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = keep(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("a", "m")))
-        heavy = F.col("_n") > max(LEAST, seen[0] // SHARE)
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("a", "m"))
+        most = max(LEAST, seen[0] // SHARE)
+        heavy = F.col("_n") > most
         large = both.where("b > a")
-        if low.where(heavy).limit(1).count():
+        if seen[0] > most and low.where(heavy).limit(1).count():
             centres = F.broadcast(low.where(heavy).select(F.col("a").alias("_a"), "m"))
             at = F.col("a") == F.col("_a")
             large = large.join(centres, at).select("b", "m").unionByName(large.join(centres, at, "left_anti").join(low.where(~heavy), "a").select("b", "m"))

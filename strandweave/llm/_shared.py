@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.operators._store import shared_folder, stored
+
 #: A word is a run of anything but ASCII white space (fixed by the query contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        folder = tempfile.mkdtemp(prefix="strandweave-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    """The cluster's ``spark.checkpoint.dir``; where that is unset a temporary folder on a single machine and an error on a cluster."""
+    return shared_folder(spark)
 
 
 def keep(frame: DataFrame) -> DataFrame:
     """Write ``frame`` as Parquet in the shared folder and read it back: lineage is cut, executors may go."""
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandweave/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return stored(frame)
 
 
 def word_count(text: Column) -> Column:

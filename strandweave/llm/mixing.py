@@ -32,15 +32,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     ``budget`` x all sizes; none is above ``cap`` x its source. The level (target per unit of
     weight) comes from repeated sums over the sources, so no task needs all of them.
     """
-    spark = sizes.sparkSession
-    ranked = (
-        sizes.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0]["source"], int(x[0]["source_size"]), x[1]))
-    )
-    ranked = keep(
-        spark.createDataFrame(ranked, "source string, source_size long, rank long").withColumn(
-            "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-        )
-    )
+    # ranks without one window over all sources: ranges by name, ranks inside, rows of the ranges before
+    order = F.col("source").asc_nulls_last()
+    ranges = keep(sizes.select("source", F.col("source_size").cast("long").alias("source_size")).repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    ranked = ranges.withColumn("_inside", inside).join(offsets, "_part").select("source", "source_size", (F.col("_base") + F.col("_inside")).cast("long").alias("rank"))
+    ranked = keep(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     top = F.col("source_size") * F.lit(float(cap))
     level = -1.0
@@ -116,7 +115,7 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole mix, a row per document, range-sorted by the time of its first reading."""
+    """The whole mix, a row per row of ``documents``, range-sorted by the time of its first reading; awkward rows as in ``curriculum``."""
     plan = curriculum(sized_documents(documents(spark, sf_dir)))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return plan.repartitionByRange(parts, "first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("source")

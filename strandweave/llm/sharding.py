@@ -11,11 +11,12 @@ a parameter and does not grow with the data.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm._shared import documents, keep
+from strandweave.llm._shared import documents, keep, shared_dir
 
 SLOTS = 4096
 SHARDS = 8
@@ -69,17 +70,44 @@ def grow(mapping: dict[int, int], sizes: dict[int, tuple[int, int]], shards: int
     return out
 
 
-def map_table(spark: SparkSession, versions: list[dict[int, int]], sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """The versioned slot -> shard map as a table (slots x versions rows)."""
-    rows = [(v, slot, shard, *sizes.get(slot, (0, 0))) for v, m in enumerate(versions) for slot, shard in sorted(m.items())]
-    return spark.createDataFrame(rows, MAP_SCHEMA)
+def _append(spark: SparkSession, path: str, version: int, mapping: dict[int, int], sizes: dict[int, tuple[int, int]]) -> None:
+    rows = [(version, slot, shard, *sizes.get(slot, (0, 0))) for slot, shard in sorted(mapping.items())]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)  # one row per slot
 
 
-def build_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Versions 0 (``shards`` shards) and 1 (one more) of the map for ``records(virtual_slot, size)``; stored in the shared folder."""
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """The stored slot -> shard map: a row for each version and slot."""
+    return spark.read.schema(MAP_SCHEMA).parquet(path)
+
+
+def create_map(records: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Store version 0 of the map for ``records(virtual_slot, size)`` at ``path``, which must be new."""
     sizes = slot_sizes(records)
-    first = pack(sizes, slots, shards)
-    return keep(map_table(records.sparkSession, [first, grow(first, sizes, shards)], sizes).coalesce(1))
+    _append(records.sparkSession, path, 0, pack(sizes, slots, shards), sizes)
+    return read_map(records.sparkSession, path)
+
+
+def grow_map(spark: SparkSession, path: str, records: DataFrame | None = None) -> int:
+    """Read the newest version of the stored map, give it one more shard and append the result as the next version, which is returned.
+
+    Sizes are those stored with the map, or those of ``records(virtual_slot, size)`` as they are
+    now. Older versions stay, so records can be found under any of them.
+    """
+    known = read_map(spark, path)
+    last = known.agg(F.max("version")).first()[0]
+    rows = known.where(F.col("version") == last).collect()  # one row per slot
+    sizes = {r["slot"]: (r["slot_bytes"], r["slot_rows"]) for r in rows if r["slot_rows"]} if records is None else slot_sizes(records)
+    _append(spark, path, last + 1, grow({r["slot"]: r["shard"] for r in rows}, sizes, max(r["shard"] for r in rows) + 1), sizes)
+    return last + 1
+
+
+def build_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """A stored map in the shared folder with version 0 (``shards`` shards) and version 1 (one more)."""
+    spark = records.sparkSession
+    path = f"{shared_dir(spark)}/strandweave/slot-map-{uuid.uuid4().hex}"
+    create_map(records, path, shards, slots)
+    grow_map(spark, path)
+    return read_map(spark, path)
 
 
 def assign(records: DataFrame, slot_map: DataFrame, version: int, column: str = "shard", slot: str = "virtual_slot") -> DataFrame:
@@ -113,7 +141,8 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, sl
     ``slot`` numbers the rows of a shard from 0 without gaps: rows before the record's virtual
     slot in its shard (from the map) plus its rank inside the virtual slot, so no window ever
     spans a whole shard. ``rebalanced_shard`` is the shard under the edited map with one more
-    shard; ``grown_shard`` belongs to the law ``key`` and is null.
+    shard; ``grown_shard`` belongs to the law ``key`` and is null. Null texts count as empty, null
+    ids are a key like others, repeated rows are numbered one by one, an empty table gives none.
     """
     records = keep(with_slot(sized(documents(spark, sf_dir)), ("doc_id", "text_crc32"), slots))
     slot_map = build_map(records, shards, slots)

@@ -201,6 +201,21 @@ def test_growing_moves_slots_only_into_the_new_shard():
     assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
 
 
+def test_a_stored_map_grows_version_by_version(spark, tmp_path):
+    records = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("virtual_slot"), (F.col("id") % 90 + 1).alias("size"))
+    path = str(tmp_path / "map")
+    sharding.create_map(records, path, 3, 64)
+    assert [sharding.grow_map(spark, path), sharding.grow_map(spark, path, records.where("size > 20"))] == [1, 2]
+    table = sharding.read_map(spark, path)
+    maps = [{r.slot: r.shard for r in table.where(F.col("version") == v).collect()} for v in range(3)]
+    assert [sorted(set(m.values())) for m in maps] == [[0, 1, 2], [0, 1, 2, 3], [0, 1, 2, 3, 4]] and all(len(m) == 64 for m in maps)
+    for old, new, shard in ((maps[0], maps[1], 3), (maps[1], maps[2], 4)):
+        assert all(new[s] in (old[s], shard) for s in old)
+    for version in range(3):  # records are found under any version
+        rows = sharding.assign(records, table, version).collect()
+        assert len(rows) == 5000 and all(r.shard == maps[version][r.virtual_slot] for r in rows)
+
+
 # --- 4: mixing -------------------------------------------------------------------------------
 
 

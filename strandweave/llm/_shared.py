@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.operators._store import shared_folder, stored
+from strandweave.operators._store import shared_folder, spread, stored
 
 #: A word is a run of anything but ASCII white space (fixed by the query contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """The pipeline's stages on the small tables: columns, decisions, and what stays."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
 from strandweave.llm import catalog, neardup, toxicity
+from tests.llm.test_operators import vocabulary
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,6 +39,40 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "shard"]
 
 
+def test_awkward_rows_go_through_all_stages(spark, tmp_path):
+    """Null and shared ids, repeated rows, null, empty and long texts, clashing columns; then an empty table."""
+    rng = random.Random(51)
+    words = vocabulary(600, 51)
+    make = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    item = make(25)
+    texts = [("idiot you moron " if i % 4 == 0 else "") + make(rng.randint(5, 80)) for i in range(120)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [(None, None, None, None), (None, make(30), "en", None), (None, f"{make(9)} {item}", "en", "s1"), (7, make(40), "en", "s1"), (7, f"{make(20)} {item} {make(5)}", "en", "s1"), (7, texts[7], "en", "s1")]
+    rows += [(200, "", "en", "s2"), (201, make(50_000), "en", "s2"), (202, texts[3], "en", "s0"), (203, texts[3], "en", "s0"), (204, " \n", "en", "s0")]
+    names = "shard string, virtual_slot long, size int, k1 long, toxicity double, copies string, _key string, rank int, batch int, piece int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "a", 1, 2, 3, 0.5, "b", "c", 4, 5, 6) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, make(20))], "item_id long, text string")
+    for folder, rows_ in (("full", docs), ("none", docs.where("false"))):
+        rows_.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / folder / "labels.parquet"))
+        bench.write.parquet(str(tmp_path / folder / "benchmark.parquet"))
+    kept, steps = spark.read.parquet(str(tmp_path / "full" / "documents.parquet")), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept, str(tmp_path / "full")).write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        steps.append(kept.collect())
+        assert k == 4 or kept.columns == docs.columns
+    toxic, near, clean, mixed, dealt = steps
+    assert {r.doc_id for r in toxic} >= {7, 200, 201, None} and not any((r.text or "").startswith("idiot") for r in toxic if r.doc_id is not None and r.doc_id < 100)
+    assert sum(r.text == texts[3] for r in near) == 1 and sum(r.doc_id == 7 for r in near) == 3 and sum(not r.text for r in near) == 1  # null and empty are equal texts
+    lost = [r for r in near if r.text and item in r.text]
+    assert len(lost) == 2 and len(clean) == len(near) - 2 and not any(r.text and item in r.text for r in clean) and sum(r.doc_id == 7 for r in clean) == 2
+    assert {r.text for r in mixed} <= {r.text for r in clean} and len(dealt) == len(mixed)
+    assert corpus_pipeline.run(spark, str(tmp_path / "full")).count() == len(dealt)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_queries_have_the_contracts_columns(spark):
     want = {
         "op2_": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op4_": {"doc_id", "size", "source_size", "target", "taken"},

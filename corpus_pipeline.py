@@ -2,6 +2,12 @@
 
 Each stage reads what the one before kept. Every stage but the last returns the columns of
 ``documents``; the last adds ``virtual_slot`` and ``shard``.
+
+Rows are judged by their own text. Null and empty texts are scored like texts without words, are
+equal to their like, hold no benchmark item, weigh nothing in the mix and have a shard. Rows
+without a doc_id or with a shared one stay or go one by one, but in near-dedup, where of a class
+the row of least doc_id stays and equal (doc_id, text) rows are one. Long texts are read whole.
+Extra columns go along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,27 +21,27 @@ from strandweave.llm._shared import shared_dir
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity trees score below the threshold stay."""
+    """Rows that the toxicity trees score below the threshold stay, one by one."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id stays."""
+    """Of each near-duplicate class the row with the least doc_id stays; a class without any keeps one row."""
     return neardup.keep_first(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Rows whose text holds no benchmark item stay, one by one, whatever their doc_id."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, repeated or left out as the curriculum's targets say."""
+    """Rows in training order, repeated or left out as the curriculum's targets say; null sources are a source, texts without words cost nothing."""
     return mixing.mix_documents(docs)
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix dealt to shards by virtual slots."""
+    """The mix dealt to shards by virtual slots of (doc_id, text); null ids and texts are keys like others."""
     return sharding.shard_documents(docs)
 
 

@@ -28,3 +28,12 @@ def stored(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/strandweave/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` over all cores where its scan has fewer partitions than there are (one large row group, say).
+
+    Such an input is small: less than a partition for each core. Larger ones stay where they are, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(2 * cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check, project_dna
-from strandweave.operators._store import stored
+from strandweave.operators._store import spread, stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
 from strandweave.operators.chain import chain_anchors
 from strandweave.operators.index import build_index
@@ -57,7 +57,7 @@ def map_to_sam(reads: DataFrame, contigs: DataFrame, params: Params | None = Non
 
 def text_contigs(docs: DataFrame) -> DataFrame:
     """A text table as contigs: doc_id is the contig."""
-    rows = docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), project_dna(F.coalesce("text", F.lit(""))).alias("seq"))
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), project_dna(F.coalesce("text", F.lit(""))).alias("seq"))
     return rows.select("contig_id", "name", F.length("seq").cast("long").alias("length"), "seq")
 
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,10 +82,23 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merged(sketch: Column, k: int = K) -> Column:
-    """Aggregate: the sketch of a group of parts (the k smallest distinct hashes of all)."""
+    """Aggregate: the sketch of a group of a few parts (the k smallest distinct hashes of all); it gathers their sketches, so use ``merge_groups`` for groups of any size."""
     return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(sketch)))), 1, k)
 
 
+def merge_groups(parts: DataFrame, by: list[str], k: int = K, salts: int = 256) -> DataFrame:
+    """``parts(by..., sketch)`` as (by..., sketch): the sketch of each group, however many parts it has.
+
+    Each of ``salts`` shares of a group keeps its k smallest hashes before they meet, so a group
+    of a third of all parts is no task's burden. Null and empty sketches add nothing; a group of
+    nothing else has an empty sketch.
+    """
+    rows = parts.select(*by, F.explode_outer("sketch").alias("_h"), F.pmod(F.xxhash64("sketch"), F.lit(salts)).alias("_salt"))
+    for share in ([*by, "_salt"], by):
+        rows = rows.distinct().withColumn("_n", F.dense_rank().over(Window.partitionBy(*share).orderBy(F.col("_h").asc_nulls_last()))).where(F.col("_n") <= k).select(*share, "_h")
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set("_h")).alias("sketch"))
+
+
 def distinct_shingles(sketch: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact below k."""
     return F.when(F.size(sketch) < k, F.size(sketch).cast("double")).otherwise((k - 1) * F.lit(TOP) / F.element_at(sketch, k))

@@ -190,6 +190,17 @@ def test_near_edited_and_near_next(spark):
         assert got[i].near_edited == pytest.approx(near(a, e)) and got[i].near_next == pytest.approx(near(a, b))
 
 
+def test_sketches_of_groups_merge_in_shares(spark):
+    rows = [(i % 3, t) for i, t in enumerate(texts())] + [(7, ""), (7, None), (None, "a b c d e f g")]
+    frame = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(rows)], "doc_id long, g int, text string")
+    parts = fingerprints.fingerprint(frame, 16).join(frame.select("doc_id", "g"), "doc_id")
+    got = {r.g: r.sketch for r in fingerprints.merge_groups(parts, ["g"], 16, 4).collect()}
+    every = {g: set() for g, _ in rows}
+    for r in parts.collect():
+        every[r.g] |= set(r.sketch)
+    assert got == {g: sorted(x)[:16] for g, x in every.items()} and got[7] == [] and len(got[0]) == 16
+
+
 # --- awkward rows -------------------------------------------------------------------------------
 
 

@@ -11,12 +11,12 @@ a parameter and does not grow with the data.
 from __future__ import annotations
 
 import heapq
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm._shared import documents, keep, shared_dir
+from strandweave.llm._shared import documents, keep
+from strandweave.operators._store import shared_path
 
 SLOTS = 4096
 SHARDS = 8
@@ -104,7 +104,7 @@ def grow_map(spark: SparkSession, path: str, records: DataFrame | None = None) -
 def build_map(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """A stored map in the shared folder with version 0 (``shards`` shards) and version 1 (one more)."""
     spark = records.sparkSession
-    path = f"{shared_dir(spark)}/strandweave/slot-map-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     create_map(records, path, shards, slots)
     grow_map(spark, path)
     return read_map(spark, path)

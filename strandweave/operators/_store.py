@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +24,33 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get().rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside this block are deleted at its end, so what is built from them must be written in it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for name in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, owned by the innermost ``scratch`` block if there is one."""
+    path = f"{shared_folder(spark)}/strandweave/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write ``frame`` as Parquet in the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/strandweave/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

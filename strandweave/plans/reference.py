@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check, shard_id
 from strandweave.operators import index as I
-from strandweave.operators._store import stored
+from strandweave.operators._store import scratch, stored
 from strandweave.operators.sam import sam_header, sam_lines, sam_records
 from strandweave.params import Params
 from strandweave.plans.mapping import map_reads
@@ -36,6 +36,13 @@ def build_reference(spark: SparkSession, fasta: str, path: str, reference_id: st
     contigs = read_fasta(spark, fasta)
     contigs.write.mode("overwrite").parquet(f"{path}/contigs")
     contigs = spark.read.parquet(f"{path}/contigs")
+    with scratch(spark):
+        _write_index(contigs, path, reference_id, p, taxid)
+    return open_reference(spark, path)
+
+
+def _write_index(contigs: DataFrame, path: str, reference_id: str, p: Params, taxid: int) -> None:
+    spark = contigs.sparkSession
     hits = stored(I.seed_hits(contigs, p))
     index = I.capped(hits, p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
     index.repartition("hash").sortWithinPartitions("hash", "contig_id", "pos").write.mode("overwrite").parquet(f"{path}/index")
@@ -44,7 +51,6 @@ def build_reference(spark: SparkSession, fasta: str, path: str, reference_id: st
     files = files.select(name.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     about = I.manifest(I.index_stats(hits, p), contigs, files, reference_id, p, taxid)
     about.coalesce(1).write.mode("overwrite").text(f"{path}/reference.json")
-    return open_reference(spark, path)
 
 
 def open_reference(spark: SparkSession, path: str) -> Reference:
@@ -58,8 +64,12 @@ def map_run(spark: SparkSession, fastq: str, reference: Reference, out: str, par
     ``max_reads`` takes the first reads of the file. The summary has reads, mapped, unmapped,
     anchors, fragments, wallMs, rps, the reference's id and its manifest.
     """
+    with scratch(spark):
+        return _run(spark, fastq, reference, out, check(params), max_reads)
+
+
+def _run(spark: SparkSession, fastq: str, reference: Reference, out: str, p: Params, max_reads: int | None) -> dict:
     start = time.perf_counter()
-    p = check(params)
     reads = read_fastq(spark, fastq)
     if max_reads is not None:
         reads = reads.where(F.col("read_id") < max_reads)  # ids count from 0 in file order

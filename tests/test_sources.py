@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Observation
@@ -156,3 +157,15 @@ def test_minimizers_in_sql(spark):
     got = spark.sql("SELECT seq_id, m.hash, m.pos, m.strand FROM some_sequences, LATERAL minimizers_of(seq, 15, 10) m")
     want = M.minimizers(seqs).select("seq_id", "hash", "pos", "strand")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from strandweave.operators._store import scratch, shared_folder, spread, stored
+
+    before = len(list(Path(shared_folder(spark).removeprefix("file:"), "strandweave").glob("*")))
+    with scratch(spark):
+        stored(stored(spark.range(10))).write.parquet(str(tmp_path / "out"))
+    kept = stored(spark.range(3))
+    assert len(list(Path(shared_folder(spark).removeprefix("file:"), "strandweave").glob("*"))) == before + 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10 and kept.count() == 3
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8 and spread(spark.range(10, numPartitions=5)).rdd.getNumPartitions() == 5

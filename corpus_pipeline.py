@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm import decontaminate, mixing, neardup, sharding, toxicity
 from strandweave.llm._shared import shared_dir
+from strandweave.operators._store import scratch
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again in the shared folder."""
+    """Apply all stages to ``documents``; each result is written and read again in the shared folder, and what a stage kept on the way goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark).rstrip('/')}/strandweave/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
     return docs

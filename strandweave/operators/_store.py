@@ -56,9 +56,10 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """``frame`` over all cores where its scan has fewer partitions than there are (one large row group, say).
+    """``frame`` over all cores where it stands in a few files with few partitions (one large row group can't be split, say).
 
-    Such an input is small: less than a partition for each core. Larger ones stay where they are, without a shuffle.
+    Such an input is small: about a partition for each core. Larger ones stay where they are, without a shuffle.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(2 * cores) if frame.rdd.getNumPartitions() < cores else frame
+    few = frame.rdd.getNumPartitions() < 2 * cores and len(frame.inputFiles()) < max(2, cores // 2)
+    return frame.repartition(2 * cores) if few else frame

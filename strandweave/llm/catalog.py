@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import decontaminate, fingerprints, language, mixing, neardup, oracles, quality, sharding, substrings, suffixes, toxicity
+from strandweave.llm import decontaminate, exact, fingerprints, language, mixing, neardup, oracles, periodic, quality, sharding, substrings, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_prob_minhash": neardup.op1_prob_minhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity_trees": toxicity.op8_toxicity,
     "op9_prefix_free": suffixes.op9_prefix_free,
     "op10_quality_attention": quality.op10_quality,
+    "op11_quotient_filters": exact.op11_exact,
+    "op12_jacobi_whitening": whitening.op12_whitening,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op4_curriculum": mixing.oracle(),
     "op6_seed_extend": oracles.REPEATED_WORDS,
     "op9_prefix_free": oracles.REPEATED_BYTES,
+    "op11_quotient_filters": exact.ORACLE,
+    "op13_periodic_runs": periodic.ORACLE,
 }

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import HASH_ID, check, shard_id
 from strandweave.operators._store import stored
-from strandweave.operators.minimizers import minimizers
+from strandweave.operators.minimizers import chunk_minimizers, minimizers
 from strandweave.params import Params
 
 
-def seed_hits(contigs: DataFrame, params: Params | None = None) -> DataFrame:
-    """All (hash, contig_id, pos, strand) of ``contigs(contig_id, seq)``, before the frequency cap."""
-    return minimizers(contigs, params, "contig_id", "seq").select("hash", "contig_id", "pos", "strand")
+def seed_hits(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """All (hash, contig_id, pos, strand) of ``contigs(contig_id, seq)``, or of a chunk table, before the frequency cap."""
+    found = minimizers(contigs, params, "contig_id", "seq") if chunks is None else chunk_minimizers(chunks, params)
+    return found.select("hash", "contig_id", "pos", "strand")
 
 
 def seed_counts(hits: DataFrame) -> DataFrame:
@@ -33,10 +34,10 @@ def capped(hits: DataFrame, params: Params | None = None) -> DataFrame:
     return hits.join(seed_counts(hits).where(F.col("n") > p.freq_cap).select("hash"), "hash", "left_anti")
 
 
-def build_index(contigs: DataFrame, params: Params | None = None) -> DataFrame:
-    """(hash, contig_id, pos, strand, shard_id) after the cap."""
+def build_index(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """(hash, contig_id, pos, strand, shard_id) of contigs or of a chunk table, after the cap."""
     p = check(params)
-    return capped(seed_hits(contigs, p), p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
+    return capped(seed_hits(contigs, p, chunks), p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
 
 
 def write_index(index: DataFrame, table: str, buckets: int) -> None:

@@ -1,7 +1,8 @@
-"""(w, k) canonical minimizers in two forms that agree row for row.
+"""(w, k) canonical minimizers in forms that agree row for row.
 
-``minimizers`` hands Arrow batches to numpy (the form for scale), ``minimizers_sql`` is plain
-DataFrame algebra that Catalyst sees through. Both emit, for every run of ACGT with at least
+``minimizers`` and ``chunk_minimizers`` hand Arrow batches to numpy (the forms for scale: whole
+sequences, or chunks of long ones), ``minimizers_sql`` is plain DataFrame algebra that Catalyst
+sees through. All emit, for every run of ACGT with at least
 k + w - 1 bases, the k-mer of least hash in each window of w k-mers, rightmost on ties, once.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import canonical, check, kmer_code, with_seed_hash
+from strandweave.operators.chunks import cut
 from strandweave.params import Params
 
 _CODE = np.full(256, 4, np.uint8)
@@ -73,8 +75,12 @@ def rightmost_least(h: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def extract(data: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarray, ...]:
-    """Minimizers of the sequences data[off[i]:off[i+1]]: sequence, hash, position of the last base, strand."""
+def extract(data: np.ndarray, off: np.ndarray, k: int, w: int, lead: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Minimizers of the sequences data[off[i]:off[i+1]]: sequence, hash, position of the last base, strand.
+
+    With ``lead`` and ``own`` a sequence is a chunk: only windows that start in the ``own`` places
+    after the first ``lead`` ones count, and a k-mer that the window before them chose isn't theirs.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     need = k + w - 1
@@ -88,11 +94,17 @@ def extract(data: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarr
     whole = stop[need:] == stop[:-need]
     edge = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
     inside = np.bincount(np.maximum(edge - need + 1, 0), minlength=n + 1)[: n + 1] - np.bincount(edge, minlength=n + 1)[: n + 1]
-    best = rightmost_least(h, w)[whole & (np.cumsum(inside[: n - need + 1]) == 0)]
-    if not len(best):
+    window = np.flatnonzero(whole & (np.cumsum(inside[: n - need + 1]) == 0))
+    if not len(window):
         return none, none, none, none
-    best = best[np.append(True, best[1:] != best[:-1])].astype(np.int64)  # positions never go back
+    best = rightmost_least(h, w)[window]
+    first = np.append(True, best[1:] != best[:-1])  # positions never go back
+    window, best = window[first], best[first].astype(np.int64)
     seq = np.searchsorted(off, best, "right") - 1
+    if lead is not None:
+        at = window - off[seq]
+        mine = (at >= lead[seq]) & (at < lead[seq] + own[seq])
+        best, seq = best[mine], seq[mine]
     return seq, h[best].astype(np.int64), best + k - 1 - off[seq], (rev[best] < fwd[best]).astype(np.int64)
 
 
@@ -105,9 +117,26 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8), off
 
 
-def minimizers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
-    """(id, hash, pos, strand) of every sequence; null or short sequences give no rows."""
+def chunked(lengths: np.ndarray, size: int, halo: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sequences as rows of slices of at most ``size`` bases with a base before and ``halo`` after: (sequence, start of its own bases, lead, own). Slices of about ``size`` bases come together."""
+    each = -(-np.maximum(lengths, 1) // size)
+    seq = np.repeat(np.arange(len(lengths)), each)
+    start = (np.arange(len(seq)) - np.repeat(np.cumsum(each) - each, each)) * size
+    own = np.minimum(size, lengths[seq] - start)
+    groups = np.cumsum(own) // size
+    for at in np.split(np.arange(len(seq)), np.flatnonzero(np.diff(groups)) + 1):
+        yield seq[at], start[at], np.minimum(start[at], 1), own[at]
+
+
+def minimizers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq_id", seq_col: str = "seq", piece: int | None = None) -> DataFrame:
+    """(id, hash, pos, strand) of every sequence; null or short sequences give no rows.
+
+    A sequence is worked on in its own task, in slices of half a million bases. With ``piece``
+    sequences are cut into chunks of so many bases first, and dealt over all tasks.
+    """
     p = check(params)
+    if piece is not None:
+        return chunk_minimizers(cut(seqs, id_col, seq_col, piece, p.k + p.w - 2).repartition(id_col, "chunk"), p, id_col)
     kind = seqs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +144,33 @@ def minimizers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq
             if not batch.num_rows:
                 continue
             data, off = buffers(batch.column(1))
+            for row, start, lead, own in chunked(np.diff(off), SLICE, p.k + p.w - 2):
+                lo, hi = off[row] + start - lead, np.minimum(off[row] + start + own + p.k + p.w - 2, off[row + 1])
+                whole = len(row) == 1 or (lo[1:] == hi[:-1]).all()
+                part = data[lo[0] : hi[-1]] if whole else np.concatenate([data[a:b] for a, b in zip(lo, hi)])
+                seq, h, pos, strand = extract(part, np.append(0, np.cumsum(hi - lo)), p.k, p.w, lead, own)
+                yield pa.record_batch([batch.column(0).take(pa.array(row[seq])), pa.array(h), pa.array(pos + (start - lead)[seq]), pa.array(strand.astype(np.int32))], [id_col, "hash", "pos", "strand"])
+
+    return seqs.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, hash long, pos long, strand int")
+
+
+def chunk_minimizers(chunks: DataFrame, params: Params | None = None, id_col: str = "contig_id") -> DataFrame:
+    """``minimizers`` of a chunk table (see ``chunks``), whose halo is k + w - 2 at least: each k-mer comes from the chunk in which the first window that chooses it starts."""
+    p = check(params)
+    kind = chunks.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, lead, own = (batch.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
+            data, off = buffers(batch.column(4))
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, "right")) - 1)
-                seq, h, pos, strand = extract(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], p.k, p.w)
-                yield pa.record_batch([batch.column(0).take(pa.array(seq + lo)), pa.array(h), pa.array(pos), pa.array(strand.astype(np.int32))], [id_col, "hash", "pos", "strand"])
+                seq, h, pos, strand = extract(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], p.k, p.w, lead[lo:hi], own[lo:hi])
+                yield pa.record_batch([batch.column(0).take(pa.array(seq + lo)), pa.array(h), pa.array(pos + (start - lead)[lo:hi][seq]), pa.array(strand.astype(np.int32))], [id_col, "hash", "pos", "strand"])
                 lo = hi
 
-    return seqs.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, hash long, pos long, strand int")
+    return chunks.select(id_col, "start", "lead", "own", "text").mapInArrow(run, f"`{id_col}` {kind}, hash long, pos long, strand int")
 
 
 def kmers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:

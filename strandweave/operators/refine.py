@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.functions.seeds import check, stored_reference
+from strandweave.operators.chunks import SIZE, cut, reference_windows
 from strandweave.params import Params
 
 
@@ -33,12 +34,24 @@ def extension(read: pd.Series, ref: pd.Series, window: int, rate: float) -> np.n
     return np.where(n == m, grown, 0)
 
 
-def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None = None) -> DataFrame:
+def reference_flanks(chains: DataFrame, chunks: DataFrame, width: int, size: int) -> DataFrame:
+    """(contig_id, ref_start, ref_end, before, after) of the chains' distinct spans: up to ``width`` bases on either side, as the stored reference has them (N reads as A)."""
+    spans = chains.select("contig_id", "ref_start", "ref_end").distinct()
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), (a - w).alias("start"), (a + width - w).alias("end")) for k, (a, w) in enumerate(((F.col("ref_start"), width), (F.col("ref_end"), 0)))])
+    wanted = spans.select("*", F.explode(sides).alias("_s")).select(*spans.columns, "_s.side", "_s.start", "_s.end")
+    found = reference_windows(wanted, chunks, size).groupBy(*spans.columns)
+    one = lambda k, name: F.max(F.when(F.col("side") == k, stored_reference(F.col("bases")))).alias(name)
+    return found.agg(one(0, "before"), one(1, "after"))
+
+
+def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None = None, chunks: DataFrame | None = None, size: int = SIZE) -> DataFrame:
     """Chains with moved q_start, q_end, ref_start, ref_end.
 
-    Flanks of ``max_ext`` bases at most are cut in the JVM; only they go to Python. The stored
-    reference has no N (it reads as A). On the reverse strand the left end of the read grows into
-    the right end of the reference. Chains whose read or contig is missing stay as they are.
+    The reference comes as ``chunks`` of ``size`` bases, cut from ``contigs(contig_id, seq)`` if not
+    given: flanks of ``max_ext`` bases at most are fetched from the chunks they touch, and only
+    they go to the chains and to Python. The stored reference has no N (it reads as A). On the
+    reverse strand the left end of the read grows into the right end of the reference. Chains
+    whose read or contig is missing stay as they are.
     """
     p = check(params)
 
@@ -47,25 +60,27 @@ def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, pa
         return pd.Series(extension(read, ref, p.match_window, p.min_match_rate), dtype="int32")
 
     names = chains.columns
-    rows = chains.join(reads.select(F.col("read_id").alias("_r"), F.col("seq").alias("_read")), F.col("read_id") == F.col("_r"), "left")
-    rows = rows.join(contigs.select(F.col("contig_id").alias("_c"), stored_reference(F.col("seq")).alias("_ref")), F.col("contig_id") == F.col("_c"), "left")
-    n, m = F.coalesce(F.length("_read"), F.lit(0)), F.coalesce(F.length("_ref"), F.lit(0))
-
-    def before(s: Column, at: Column, size: Column) -> Column:
-        return F.reverse(F.substring(s, (at - size + 1).cast("int"), size.cast("int")))
-
-    def after(s: Column, at: Column, size: Column) -> Column:
-        return F.substring(s, (at + 1).cast("int"), size.cast("int"))
+    if chunks is None:
+        chunks = cut(contigs, size=size, halo=0)
+    found = reference_flanks(chains, chunks, p.max_ext, size)
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ("contig_id", "ref_start", "ref_end")], "before", "after")
+    rows = chains.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("contig_id", "ref_start", "ref_end")], "left")
+    rows = rows.join(reads.select(F.col("read_id").alias("_r"), F.col("seq").alias("_read")), F.col("read_id") == F.col("_r"), "left")
 
     def complement(s: Column) -> Column:
         return F.translate(s, "ACGT", "TGCA")
 
     q0, q1, r0, r1, reverse = F.col("q_start"), F.col("q_end"), F.col("ref_start"), F.col("ref_end"), F.col("joint") == 1
-    left = F.greatest(F.lit(0), F.least(F.lit(p.max_ext), q0, F.when(reverse, m - r1).otherwise(r0)))
-    right = F.greatest(F.lit(0), F.least(F.lit(p.max_ext), n - q1, F.when(reverse, r0).otherwise(m - r1)))
-    read, ref = F.col("_read"), F.col("_ref")
-    rows = rows.withColumn("_l", extend(before(read, q0, left), F.when(reverse, complement(after(ref, r1, left))).otherwise(before(ref, r0, left))))
-    rows = rows.withColumn("_e", extend(after(read, q1, right), F.when(reverse, complement(before(ref, r0, right))).otherwise(after(ref, r1, right))))
+    read, none = F.col("_read"), F.lit("")
+    n = F.coalesce(F.length("_read"), F.lit(0))
+    # flanks run outwards from the end they extend
+    low, high = F.reverse(F.coalesce("before", none)), F.coalesce("after", none)
+    wide = lambda x: F.greatest(F.lit(0), F.least(F.lit(p.max_ext), x)).cast("int")
+    rows = rows.select("*", F.when(reverse, complement(high)).otherwise(low).alias("_lf"), F.when(reverse, complement(low)).otherwise(high).alias("_rf"))
+    left, right = wide(F.least(q0, F.length("_lf"))), wide(F.least(n - q1, F.length("_rf")))
+    before = F.reverse(F.substring(read, (q0 - left + 1).cast("int"), left))
+    rows = rows.withColumn("_l", extend(before, F.substring("_lf", F.lit(1), left)))
+    rows = rows.withColumn("_e", extend(F.substring(read, (q1 + 1).cast("int"), right), F.substring("_rf", F.lit(1), right)))
     new = {
         "q_start": q0 - F.col("_l"), "q_end": q1 + F.col("_e"),
         "ref_start": F.when(reverse, r0 - F.col("_e")).otherwise(r0 - F.col("_l")), "ref_end": F.when(reverse, r1 + F.col("_l")).otherwise(r1 + F.col("_e")),

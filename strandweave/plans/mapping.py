@@ -11,6 +11,7 @@ from strandweave.functions.seeds import check, project_dna
 from strandweave.operators._store import spread, stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
 from strandweave.operators.chain import chain_anchors
+from strandweave.operators.chunks import SIZE
 from strandweave.operators.index import build_index
 from strandweave.operators.refine import refine_endpoints
 from strandweave.operators.sam import sam_lines, sam_records
@@ -28,21 +29,24 @@ class Mapping:
     placements: DataFrame
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None) -> Mapping:
+def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None, chunks: DataFrame | None = None, size: int = SIZE) -> Mapping:
     """Map ``reads(read_id, name, seq, qual)`` to ``contigs(contig_id, name, length, seq)``.
 
     ``index`` is a built one (a bucketed table, say); without it, it is built on the fly. With
     ``refine`` chains are extended before selection; with ``clamp`` spans end at the read's and
-    contig's ends.
+    contig's ends. ``chunks`` is the reference as a chunk table of ``size`` bases a chunk;
+    with it ``contigs`` need no ``seq``.
     """
     p = check(params)
     seeds = query_seeds(reads, p)
-    anchors = seed_anchors(seeds, build_index(contigs, p) if index is None else index)
+    if index is None:
+        index = build_index(contigs, p, chunks)
+    anchors = seed_anchors(seeds, index)
     chains = chain_anchors(anchors, p)
     if p.refine:
-        chains = refine_endpoints(chains, reads, contigs, p)
+        chains = refine_endpoints(stored(chains), reads, contigs, p, chunks, size)  # chains are read twice: for the flanks to fetch and to extend
     if p.clamp:
-        lengths = contigs.select(F.col("contig_id").alias("_c"), F.length("seq").alias("_m"))
+        lengths = contigs.select(F.col("contig_id").alias("_c"), (F.col("length") if "length" in contigs.columns else F.length("seq")).alias("_m"))
         sizes = reads.select(F.col("read_id").alias("_r"), F.length("seq").alias("_n"))
         wide = chains.join(sizes, F.col("read_id") == F.col("_r")).join(lengths, F.col("contig_id") == F.col("_c"))
         ends = {"q_end": F.least("q_end", F.col("_n").cast("long")), "ref_end": F.least("ref_end", F.col("_m").cast("long"))}

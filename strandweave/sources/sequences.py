@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators._store import stored
+from strandweave.operators.chunks import SIZE, gather, joined
+from strandweave.operators.minimizers import buffers
 from strandweave.operators.sam import parse_sam
 
 
@@ -23,17 +33,106 @@ def _numbered(pieces: DataFrame, value: str) -> DataFrame:
     return pieces.withColumn("_rank", F.row_number().over(inside) - 1).join(base, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).select("file", (F.col("_base") + F.col("_rank")).alias("n"), value)
 
 
+#: Bases of a FASTA piece at most; pieces become chunks.
+PIECE = 1 << 16
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+_HEADER = re.compile(rb">[ \t]*([^ \t\r>]*)(?:(?<![> \t])[ \t].*|\r)?", re.DOTALL)
+
+
+def headers(line: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the headers in a line. Blanks before a name are skipped; a blank after it ends the name and takes the rest of the line; a carriage return ends the header; so does a further ``>``."""
+    at = line.find(b">")
+    while at >= 0:
+        found = _HEADER.match(line, at)
+        yield at, found.end(), found.group(1).decode("utf-8", "replace")
+        at = line.find(b">", found.end())
+
+
+def _fasta_pieces(spark: SparkSession, path: str, piece: int) -> DataFrame:
+    """(file, block, local, at, name, bases) in one pass over the lines: ``local`` counts headers from the start of the block of the file (0: the contig that was open there), ``at`` the bases since the last of them. A header is a piece with a name. State goes from line to line inside a block only."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, local, at = None, 0, 0
+        for batch in batches:
+            files, blocks = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1]))[: len(files)]), len(files))
+            for lo, hi in itertools.pairwise(edges.tolist()):
+                if key != (key := (int(files[lo]), int(blocks[lo]))):
+                    local, at = 0, 0
+                data, off = buffers(batch.column(0).slice(lo, hi - lo))
+                base, data = off[0], data[off[0] : off[-1]]
+                kept = ~_BLANK[data]
+                marks = []
+                for line in np.unique(np.searchsorted(off - base, np.flatnonzero(data == 62), "right") - 1).tolist():
+                    s, e = int(off[line] - base), int(off[line + 1] - base)
+                    for a, b, name in headers(data[s:e].tobytes()):
+                        marks.append((s + a, name))
+                        kept[s + a : s + b] = False
+                bases = _UPPER[data[kept]].tobytes()
+                before = np.append(0, np.cumsum(kept))
+                rows = []
+                for (start, name), stop in zip([(0, None), *marks], [*(m[0] for m in marks), len(data)], strict=True):
+                    if name is not None:
+                        local, at = local + 1, 0
+                        rows.append((local, 0, name, b""))
+                    x, y = int(before[start]), int(before[stop])
+                    rows += [(local, at + i - x, None, bases[i : min(i + piece, y)]) for i in range(x, y, piece)]
+                    at += y - x
+                if not rows:
+                    rows = [(local, at, None, b"")]
+                cols = list(zip(*rows, strict=True))
+                n = len(rows)
+                yield pa.record_batch([pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array([b.decode("utf-8", "replace") for b in cols[3]], pa.string())], ["file", "block", "local", "at", "name", "bases"])
+
+    return lines.mapInArrow(run, "file long, block long, local long, at long, name string, bases string")
+
+
+@dataclass(frozen=True)
+class Fasta:
+    """``names(contig_id, name, length)`` and ``chunks``, a chunk table of ``size`` bases a chunk."""
+
+    names: DataFrame
+    chunks: DataFrame
+    size: int
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = SIZE, piece: int = PIECE) -> Fasta:
+    """FASTA by lines, straight into chunks: neither a contig nor a file is ever one row.
+
+    ``>`` starts a contig wherever it stands but in the description after a name; the name ends at
+    the first blank; white space goes, letters are raised; text before the first ``>`` is skipped;
+    empty contigs stay. Ids follow file name and place. One pass numbers contigs and bases inside
+    each block of a file; sums over the blocks of a file, and over files, make them global.
+    """
+    pieces = stored(_fasta_pieces(spark, path, piece))
+    runs = pieces.groupBy("file", "block", "local").agg(F.sum(F.octet_length("bases")).alias("n"))
+    blocks = runs.groupBy("file", "block").agg(F.max("local").alias("heads"), F.max_by("n", "local").alias("tail"))
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    blocks = blocks.select("*", zero(F.sum("heads").over(order)).alias("_heads"), zero(F.sum("tail").over(order)).alias("_tails"))
+    opened = F.last(F.when(F.col("heads") > 0, F.col("_tails")), True).over(order)
+    blocks = blocks.select("file", "block", "_heads", (F.col("_tails") - zero(opened)).alias("_open"))
+    paths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"))  # names only, no content
+    heads = pieces.where(F.col("name").isNotNull()).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = paths.join(heads, "file").select("file", zero(F.sum("n").over(earlier)).alias("_contigs"))
+    at = stored(blocks.join(files, "file").select("file", "block", (F.col("_contigs") + F.col("_heads") - 1).alias("_base"), (F.col("_contigs") - 1).alias("_none"), "_open"))
+    rows = pieces.join(at, ["file", "block"]).withColumn("contig_id", F.col("_base") + F.col("local")).where(F.col("contig_id") > F.col("_none"))
+    start = F.col("at") + F.when(F.col("local") == 0, F.col("_open")).otherwise(0)
+    chunks = gather(rows.select("contig_id", start.alias("start"), "bases"), size)
+    names = rows.groupBy("contig_id").agg(F.max("name").alias("name"), F.sum(F.octet_length("bases")).cast("long").alias("length"))
+    return Fasta(names, chunks, size)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig_id, name, length, seq). ``>`` starts a contig wherever it stands; the name ends at the first blank; white space goes, letters are raised; text before the first ``>`` is skipped; empty contigs stay. Ids follow file name and place."""
-    parts = _numbered(_pieces(spark, path, ">"), "value").where("n > 0")
-    head = F.substring_index("value", "\n", 1)
-    name = F.split(F.trim(F.regexp_replace(head, "[\t\r]", " ")), " ")[0]
-    seq = F.upper(F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s+", ""))
-    rows = parts.select("file", "n", name.alias("name"), seq.alias("seq"))
-    files = parts.groupBy("file").agg(F.max("n").alias("_n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    base = files.select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(F.broadcast(base), F.col("file") == F.col("_f")).select((F.col("_base") + F.col("n") - 1).cast("long").alias("contig_id"), "name", F.length("seq").cast("long").alias("length"), "seq")
+    """(contig_id, name, length, seq) as ``read_fasta_chunks`` reads it, a contig a row; for references of short contigs."""
+    fasta = read_fasta_chunks(spark, path)
+    rows = fasta.names.join(joined(fasta.chunks), "contig_id", "left")
+    return rows.select("contig_id", "name", "length", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

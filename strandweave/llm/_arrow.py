@@ -94,8 +94,8 @@ class Texts:
         return self.runs(~SPACE)
 
 
-def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch whose texts have ``most`` bytes together, or one longer text."""
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, ``rows`` at most, whose texts have ``most`` bytes together, or one longer text."""
     array = batch.column(batch.schema.get_field_index(column))
     n = len(array)
     if not n:
@@ -105,6 +105,7 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(hi, lo + (rows or n))
         yield batch.slice(lo, hi - lo)
         lo = hi
 

@@ -21,6 +21,15 @@ def keep(frame: DataFrame) -> DataFrame:
     return stored(frame)
 
 
+def within(sample: DataFrame, rows: int) -> DataFrame:
+    """``sample(text, ...)`` of distinct texts, kept before; the ``rows`` of smallest text hash if there are more. Only hashes are sorted."""
+    if sample.count() <= rows:
+        return sample
+    h = F.xxhash64("text")
+    last = sample.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return sample.where(h <= last)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

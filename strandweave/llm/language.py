@@ -5,7 +5,7 @@ text, hashed to ``BITS`` positions; k(x, y) is the cosine of two such presence v
 landmarks turn the kernel into explicit features, and one ridge regression per language (one
 versus rest) is solved in closed form. Scoring a slice is two matrix products.
 
-The fit reads a bounded sample: ``PER_LANG`` rows of each language, those of smallest id hash.
+The fit reads a bounded sample: ``PER_LANG`` rows of each language, those of smallest hash of id and text.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from strandweave.llm._shared import documents, keep
 GRAMS = (1, 2, 3, 4)
 BITS = 13
 PER_LANG = 500
+#: Presence rows that are worked on at once: 16 MB, however short their texts are.
+ROWS = 512
 LANDMARKS = 192
 RIDGE = 1e-3
 SHARP = 4.0
@@ -66,16 +68,19 @@ def kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def training(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(lang, text): at most ``per_lang`` rows of each language outside the held-out quarter, smallest id hash first."""
+    """(lang, text): at most ``per_lang`` rows of each language outside the held-out quarter, those of smallest hash of id and text.
+
+    Rows equal in id, text and language are one; rows that share only an id are as many as they are.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    known = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("_h"))
+    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("_h"))
+    each = known.select("lang", "_h").distinct()
     # rows far above the smallest hashes of their language never reach its window
-    sizes = known.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_many"))
-    known = known.join(sizes, F.col("lang") == F.col("_l")).where(F.col("_h").cast("double") * F.col("_many") <= F.lit(4.0 * per_lang * (1 << 40)))
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = known.select("doc_id", "lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang)
-    ids = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang").alias("_lang"))
-    return docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    sizes = each.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_many"))
+    near = each.join(sizes, F.col("lang") == F.col("_l")).where(F.col("_h").cast("double") * F.col("_many") <= F.lit(4.0 * per_lang * (1 << 40)))
+    first = Window.partitionBy("lang").orderBy("_h")
+    chosen = near.select("lang", "_h", F.row_number().over(first).alias("_n")).where(F.col("_n") <= per_lang).drop("_n")
+    return known.join(F.broadcast(chosen), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", "text")  # per_lang keys a language
 
 
 def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
@@ -83,7 +88,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) ->
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", rows=ROWS):
                 bits = np.packbits(presence(Texts(part.column(1))).astype(bool), axis=1)
                 yield pa.record_batch([part.column(0), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "bits"])
 
@@ -123,7 +128,7 @@ def with_language(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", rows=ROWS):
                 best, share = predict(model, Texts(part.column(1)))
                 names = np.array(model["langs"], object)[best]
                 lettered = part.column(2).to_numpy(zero_copy_only=False).astype(bool)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm._arrow import SPACE, Texts, prefix_hash, sliced, spans, table
-from strandweave.llm._shared import documents, keep, labels
+from strandweave.llm._shared import documents, keep, labels, within
 
 FIT_ROWS = 6_000
 FIT_PASSAGES = 400_000
@@ -148,7 +148,7 @@ def labelled(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> DataFra
     """
     known = marks.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # at most ``rows`` narrow rows
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # at most ``rows`` narrow rows; ids may be shared, so the texts are bounded after this
     return found.groupBy("text").agg(F.min("y").alias("y"))
 
 
@@ -162,7 +162,7 @@ def train(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> dict:
                 bags = np.split(x.astype(np.float32), np.cumsum(per)[:-1])
                 yield pa.record_batch([pa.array([b.tobytes() for b in bags], pa.binary()), part.column(1)], ["x", "y"])
 
-    sample = keep(labelled(docs, marks, rows))
+    sample = within(keep(labelled(docs, marks, rows)), rows)
     many = sample.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE))).first()[0] or 0
     if many > FIT_PASSAGES:  # whole texts go, by hash
         sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(FIT_PASSAGES / many * (1 << 30)))

@@ -28,6 +28,22 @@ def with_slot(records: DataFrame, key: tuple[str, ...], slots: int = SLOTS, name
     return records.withColumn(name, F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(slots)).cast("int"))
 
 
+def spread_slot(records: DataFrame, shards: int, slots: int = SLOTS, name: str = "virtual_slot", crc: str = "text_crc32", size: str = "size") -> DataFrame:
+    """``with_slot`` by doc_id and ``crc``, but rows of a key that has more than a sixteenth of a shard's bytes are dealt over all slots.
+
+    Such keys (rows that repeat id and text) are fewer than 16 x shards, so they are broadcast.
+    Which of the equal rows gets which slot is by place in the table; they are interchangeable.
+    """
+    keys = records.groupBy("doc_id", crc).agg(F.sum(size).alias("_b"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    total = records.agg(F.sum(size).alias("_all"))
+    heavy = keys.crossJoin(F.broadcast(total)).where(F.col("_b") * 16 * shards > F.col("_all"))  # a one-row table
+    heavy = heavy.select(F.col("doc_id").alias("__sw_d"), F.col(crc).alias("__sw_c"), F.lit(True).alias("__sw_heavy"))
+    rows = records.withColumn("__sw_row", F.monotonically_increasing_id())
+    rows = rows.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("__sw_d")) & (F.col(crc) == F.col("__sw_c")), "left")
+    place = F.when(F.col("__sw_heavy"), F.xxhash64("doc_id", crc, "__sw_row")).otherwise(F.xxhash64("doc_id", crc))
+    return rows.withColumn(name, F.pmod(place, F.lit(slots)).cast("int")).drop("__sw_row", "__sw_d", "__sw_c", "__sw_heavy")
+
+
 def slot_sizes(records: DataFrame, slot: str = "virtual_slot", size: str = "size") -> dict[int, tuple[int, int]]:
     """slot -> (bytes, rows); at most ``slots`` entries, so it may come to the driver."""
     rows = records.groupBy(slot).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).collect()
@@ -125,14 +141,15 @@ def sized(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Every column of ``docs`` plus ``virtual_slot`` and ``shard``; the text is never shuffled.
 
-    Null ids and null texts are records like others; repeated rows share a slot; an empty table
-    gives an empty result. A column named like an added one is replaced.
+    Null ids and null texts are records like others; repeated rows share a slot unless they are so
+    many that a shard would overflow (see ``spread_slot``); an empty table gives an empty result. A
+    column named like an added one is replaced.
     """
-    keyed = docs.drop("virtual_slot", "shard").withColumn("__sw_crc", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = with_slot(keyed, ("doc_id", "__sw_crc"), slots)
-    size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long")
-    slot_map = build_map(keyed.select("virtual_slot", size.alias("size")), shards, slots)
-    return assign(keyed.drop("__sw_crc"), slot_map, 0)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = {"__sw_crc": F.crc32(text), "__sw_size": (F.octet_length(text) + 1).cast("long")}
+    keyed = spread_slot(docs.drop("virtual_slot", "shard").withColumns(own), shards, slots, crc="__sw_crc", size="__sw_size")
+    slot_map = build_map(keyed.select("virtual_slot", F.col("__sw_size").alias("size")), shards, slots)
+    return assign(keyed.drop(*own), slot_map, 0)
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -143,8 +160,10 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, sl
     spans a whole shard. ``rebalanced_shard`` is the shard under the edited map with one more
     shard; ``grown_shard`` belongs to the law ``key`` and is null. Null texts count as empty, null
     ids are a key like others, repeated rows are numbered one by one, an empty table gives none.
+    Equal texts are no unit of this law: each row is dealt by id and text, and rows that repeat
+    both so often that they weigh on a shard are dealt one by one (``spread_slot``).
     """
-    records = keep(with_slot(sized(documents(spark, sf_dir)), ("doc_id", "text_crc32"), slots))
+    records = keep(spread_slot(keep(sized(documents(spark, sf_dir))), shards, slots))
     slot_map = build_map(records, shards, slots)
     ahead = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = slot_map.where("version = 0").select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm._arrow import Texts, mix, owners, prefix_hash, sliced, spans, sums, table
-from strandweave.llm._shared import documents, keep, labels
+from strandweave.llm._shared import documents, keep, labels, within
 from strandweave.llm._trees import fit_isotonic, fit_trees, predict_isotonic, predict_trees
 
 FIT_ROWS = 20_000
@@ -130,7 +130,7 @@ def labelled(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> DataFra
     """
     known = marks.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # at most ``rows`` narrow rows
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # at most ``rows`` narrow rows; ids may be shared, so the texts are bounded after this
     return found.groupBy("text").agg(F.max("y").alias("y")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
 
 
@@ -198,7 +198,7 @@ def _pairs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def train(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Lexicon, trees and calibration. With labels of one kind only (or none) the score is that constant (0 without labels)."""
-    sample = keep(labelled(docs, marks, rows))
+    sample = within(keep(labelled(docs, marks, rows)), rows)
     *folds, lexicon = learn_lexicons(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

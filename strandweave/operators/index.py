@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import HASH_ID, check, shard_id
@@ -29,9 +32,13 @@ def capped(hits: DataFrame, params: Params | None = None) -> DataFrame:
     over-frequent hashes, at most hits / cap of them, are removed by an anti join, so no window
     ever holds one of them whole.
     """
-    p = check(params)
     hits = stored(hits)
-    return hits.join(seed_counts(hits).where(F.col("n") > p.freq_cap).select("hash"), "hash", "left_anti")
+    return under_cap(hits, seed_counts(hits), params)
+
+
+def under_cap(hits: DataFrame, counts: DataFrame, params: Params | None = None) -> DataFrame:
+    """``hits`` whose hash has no more than ``freq_cap`` of them by ``counts(hash, n)``."""
+    return hits.join(counts.where(F.col("n") > check(params).freq_cap).select("hash"), "hash", "left_anti")
 
 
 def build_index(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None) -> DataFrame:
@@ -45,12 +52,59 @@ def write_index(index: DataFrame, table: str, buckets: int) -> None:
     (index.repartition(buckets, "hash").sortWithinPartitions("hash", "contig_id", "pos").write.bucketBy(buckets, "hash").sortBy("hash").mode("overwrite").saveAsTable(table))
 
 
+#: Partitions of a stored index: the low bits of the shard that tell which folder a seed is in.
+PART_BITS = 6
+
+
+def index_part(hash_: Column, params: Params | None = None) -> Column:
+    """The folder of a seed in a stored index."""
+    return shard_id(hash_, min(check(params).shard_bits, PART_BITS))
+
+
+def store_index(index: DataFrame, path: str, buckets: int, params: Params | None = None) -> DataFrame:
+    """Store the index at ``path``, bucketed and sorted by hash inside a folder for each of a few groups of shards."""
+    rows = index.withColumn("part", index_part(F.col("hash"), params)).repartition(buckets, "hash").sortWithinPartitions("part", "hash", "contig_id", "pos")
+    name = _table(path)
+    index.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    rows.write.partitionBy("part").bucketBy(buckets, "hash").sortBy("hash").option("path", path).mode("overwrite").saveAsTable(name)
+    return index.sparkSession.table(name)
+
+
+def open_index(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A stored index, as bucketed as it was written, in any session."""
+    name = _table(path)
+    if not spark.catalog.tableExists(name):
+        columns = "hash BIGINT, contig_id BIGINT, pos BIGINT, strand INT, shard_id INT, part INT"
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (part) CLUSTERED BY (hash) SORTED BY (hash) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
+
+def _table(path: str) -> str:
+    return f"seed_index_{hashlib.md5(path.rstrip('/').encode()).hexdigest()}"
+
+
+def touched_parts(bitmap: bytes) -> list[int]:
+    """The places of the set bits."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")).tolist()
+
+
+def part_bitmap(hash_: Column, params: Params | None = None) -> Column:
+    """An aggregate that says, in 4 kB, which folders of a stored index some seeds touch."""
+    return F.bitmap_construct_agg(F.bitmap_bit_position(index_part(hash_, params).cast("long") + 1))
+
+
 def index_stats(hits: DataFrame, params: Params | None = None) -> DataFrame:
     """total_hits and distinct_seeds that stay, capped_seed_hits that go."""
+    return count_stats(seed_counts(hits), params)
+
+
+def count_stats(counts: DataFrame, params: Params | None = None) -> DataFrame:
+    """``index_stats`` from ``counts(hash, n)``."""
     p = check(params)
     fine = F.col("n") <= p.freq_cap
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return seed_counts(hits).agg(
+    return counts.agg(
         zero(F.sum(F.when(fine, F.col("n")))).alias("total_hits"), zero(F.sum(fine.cast("long"))).alias("distinct_seeds"), zero(F.sum(F.when(~fine, F.col("n")))).alias("capped_seed_hits")
     )
 

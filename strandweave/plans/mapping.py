@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,10 +39,13 @@ def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None
     with it ``contigs`` need no ``seq``.
     """
     p = check(params)
-    seeds = query_seeds(reads, p)
-    if index is None:
-        index = build_index(contigs, p, chunks)
-    anchors = seed_anchors(seeds, index)
+    return map_seeds(query_seeds(reads, p), reads, contigs, p, build_index(contigs, p, chunks) if index is None else index, chunks, size)
+
+
+def map_seeds(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None, index: DataFrame, chunks: DataFrame | None = None, size: int = SIZE, watch: Callable[[DataFrame], DataFrame] = lambda x: x) -> Mapping:
+    """``map_reads`` from the reads' seeds on; ``watch`` gets the anchors on their way to the chains (to observe or to keep them)."""
+    p = check(params)
+    anchors = watch(seed_anchors(seeds, index))
     chains = chain_anchors(anchors, p)
     if p.refine:
         chains = refine_endpoints(stored(chains), reads, contigs, p, chunks, size)  # chains are read twice: for the flanks to fetch and to extend

@@ -2,84 +2,129 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check, shard_id
 from strandweave.operators import index as I
 from strandweave.operators._store import scratch, stored
+from strandweave.operators.anchors import query_seeds
+from strandweave.operators.chunks import SIZE, joined
 from strandweave.operators.sam import sam_header, sam_lines, sam_records
 from strandweave.params import Params
-from strandweave.plans.mapping import map_reads
-from strandweave.sources.sequences import read_fasta, read_fastq, write_sam
+from strandweave.plans.mapping import map_seeds
+from strandweave.sources.files import listed, with_digest
+from strandweave.sources.sequences import read_fasta_chunks, read_fastq, write_sam
 
 
 @dataclass(frozen=True)
 class Reference:
-    """A stored reference: its manifest (JSON text), contigs and index."""
+    """A stored reference: its manifest (JSON text), names and lengths of its contigs, their bases in chunks of ``size``, and the index, bucketed by hash."""
 
     manifest: str
-    contigs: DataFrame
+    names: DataFrame
+    chunks: DataFrame
+    size: int
     index: DataFrame
 
+    @property
+    def contigs(self) -> DataFrame:
+        """(contig_id, name, length, seq): a contig a row, for references of short contigs."""
+        rows = self.names.join(joined(self.chunks), "contig_id", "left")
+        return rows.select("contig_id", "name", "length", F.coalesce("seq", F.lit("")).alias("seq"))
 
-def build_reference(spark: SparkSession, fasta: str, path: str, reference_id: str, params: Params | None = None, taxid: int = 0) -> Reference:
-    """FASTA to ``path``: contigs and index as Parquet (hits clustered by hash), and ``reference.json``.
 
-    Sizes and hashes of the files are worked out by Spark from the stored files; the driver only
-    sees the manifest.
+def build_reference(spark: SparkSession, fasta: str, path: str, reference_id: str, params: Params | None = None, taxid: int = 0, buckets: int | None = None, size: int = SIZE) -> Reference:
+    """FASTA to ``path``: contigs, chunks and index as Parquet, ``layout.json`` and ``reference.json``.
+
+    The index has ``buckets`` buckets by hash (as many as there are shuffle partitions if not
+    given). Sizes and hashes of the files are worked out by executors from the stored files; the
+    driver only sees the manifest.
     """
     p = check(params)
-    contigs = read_fasta(spark, fasta)
-    contigs.write.mode("overwrite").parquet(f"{path}/contigs")
-    contigs = spark.read.parquet(f"{path}/contigs")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(spark):
+        fasta_ = read_fasta_chunks(spark, fasta, size)
+        fasta_.names.write.mode("overwrite").parquet(f"{path}/contigs")
+        fasta_.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     with scratch(spark):
-        _write_index(contigs, path, reference_id, p, taxid)
+        _write_index(spark, path, reference_id, p, taxid, buckets)
+    layout = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(size).alias("chunk_size"))
+    layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout.json")
     return open_reference(spark, path)
 
 
-def _write_index(contigs: DataFrame, path: str, reference_id: str, p: Params, taxid: int) -> None:
-    spark = contigs.sparkSession
-    hits = stored(I.seed_hits(contigs, p))
-    index = I.capped(hits, p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
-    index.repartition("hash").sortWithinPartitions("hash", "contig_id", "pos").write.mode("overwrite").parquet(f"{path}/index")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{path}/contigs", f"{path}/index"])
-    name = F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2))
-    files = files.select(name.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    about = I.manifest(I.index_stats(hits, p), contigs, files, reference_id, p, taxid)
+def _write_index(spark: SparkSession, path: str, reference_id: str, p: Params, taxid: int, buckets: int) -> None:
+    hits = stored(I.seed_hits(None, p, spark.read.parquet(f"{path}/chunks")))
+    counts = stored(I.seed_counts(hits))  # for the cap and for the manifest
+    index = I.under_cap(hits, counts, p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
+    I.store_index(index, f"{path}/index", buckets, p)
+    folders = [f"{path}/{x}" for x in ("contigs", "chunks", "index")]
+    files = with_digest(listed(spark, folders))
+    name = F.regexp_extract("path", "(contigs|chunks|index)/[^/]+(/[^/]+)?$", 0)  # from the reference's own folder on
+    about = I.manifest(I.count_stats(counts, p), spark.read.parquet(f"{path}/contigs"), files.select(name.alias("path"), "size", "sha256"), reference_id, p, taxid)
     about.coalesce(1).write.mode("overwrite").text(f"{path}/reference.json")
 
 
 def open_reference(spark: SparkSession, path: str) -> Reference:
-    """A stored reference."""
-    return Reference(spark.read.text(f"{path}/reference.json").first()[0], spark.read.parquet(f"{path}/contigs"), spark.read.parquet(f"{path}/index"))
+    """A stored reference. Its index is a bucketed table again: a seed join needs no exchange on its side."""
+    layout = spark.read.json(f"{path}/layout.json").first()
+    return Reference(
+        spark.read.text(f"{path}/reference.json").first()[0], spark.read.parquet(f"{path}/contigs"), spark.read.parquet(f"{path}/chunks"),
+        layout["chunk_size"], I.open_index(spark, f"{path}/index", layout["buckets"]),
+    )
 
 
 def map_run(spark: SparkSession, fastq: str, reference: Reference, out: str, params: Params | None = None, max_reads: int | None = None) -> dict:
     """Map a FASTQ file against a stored reference: SAM text in ``out``, the summary beside it.
 
     ``max_reads`` takes the first reads of the file. The summary has reads, mapped, unmapped,
-    anchors, fragments, wallMs, rps, the reference's id and its manifest.
+    anchors, fragments, wallMs, rps, the reference's id and its manifest. Reads are parsed once,
+    their seeds extracted and joined once; the counters are observed on the way. Folders of the
+    index that no seed of the reads is in aren't read.
     """
     with scratch(spark):
         return _run(spark, fastq, reference, out, check(params), max_reads)
 
 
+def told(seen: Observation, name: str) -> object:
+    """What was observed of a table that has been written; 0 where the optimizer found the table empty and left it out, observation and all."""
+    try:
+        return seen.get[name] or 0
+    except Py4JJavaError:  # a row without columns
+        return 0
+
+
+def pruned(index: DataFrame, seeds: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, int]:
+    """Stored ``seeds``, the index without the folders that none of them touches, and how many seeds there are: one pass over the reads tells all three."""
+    seen = Observation()
+    kept = stored(seeds.observe(seen, F.count(F.lit(1)).alias("seeds"), I.part_bitmap(F.col("hash"), p).alias("parts")))
+    parts = I.touched_parts(told(seen, "parts") or b"")
+    return kept, index.where(F.col("part").isin(parts)) if len(parts) < 1 << min(p.shard_bits, I.PART_BITS) else index, told(seen, "seeds")
+
+
 def _run(spark: SparkSession, fastq: str, reference: Reference, out: str, p: Params, max_reads: int | None) -> dict:
     start = time.perf_counter()
     reads = read_fastq(spark, fastq)
     if max_reads is not None:
         reads = reads.where(F.col("read_id") < max_reads)  # ids count from 0 in file order
-    mapping = map_reads(reads, reference.contigs, p, reference.index)
-    placements = stored(mapping.placements)
-    write_sam(sam_header(reference.contigs), sam_lines(sam_records(placements, reads, reference.contigs)), out)
-    found = placements.agg(F.count_distinct("read_id").alias("mapped"), F.sum((~F.col("is_secondary")).cast("long")).alias("fragments")).first()
-    n = reads.count()
+    every, hits, placed = Observation(), Observation(), Observation()
+    reads = stored(reads.observe(every, F.count(F.lit(1)).alias("reads")))
+    seeds, index, _ = pruned(reference.index, query_seeds(reads, p), p)
+    mapping = map_seeds(seeds, reads, reference.names, p, index, reference.chunks, reference.size, lambda anchors: anchors.observe(hits, F.count(F.lit(1)).alias("anchors")))
+    first = F.col("fragment_index") == 0  # each mapped read has one such row that is no alternate
+    own = ~F.col("is_secondary")
+    placements = stored(mapping.placements.observe(placed, F.sum((own & first).cast("long")).alias("mapped"), F.sum(own.cast("long")).alias("fragments")))
+    write_sam(sam_header(reference.names), sam_lines(sam_records(placements, reads, reference.names)), out)
+    n, mapped = told(every, "reads"), told(placed, "mapped")
     seconds = time.perf_counter() - start
-    summary = {"reads": n, "mapped": found["mapped"], "unmapped": n - found["mapped"], "anchors": mapping.anchors.count(), "fragments": found["fragments"] or 0, "wallMs": seconds * 1000.0, "rps": n / seconds}
-    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in summary.items()], F.get_json_object(F.lit(reference.manifest), "$.referenceId").alias("reference"), F.lit(reference.manifest).alias("referenceManifest"))
+    summary = {"reads": n, "mapped": mapped, "unmapped": n - mapped, "anchors": told(hits, "anchors"), "fragments": told(placed, "fragments"), "wallMs": seconds * 1000.0, "rps": n / seconds}
+    about = json.loads(reference.manifest)
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in summary.items()], F.lit(about["referenceId"]).alias("reference"), F.lit(reference.manifest).alias("referenceManifest"))
     row.coalesce(1).write.mode("overwrite").json(f"{out}.summary.json")
     return summary

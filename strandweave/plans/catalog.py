@@ -15,7 +15,7 @@ from strandweave.operators._store import stored
 from strandweave.operators.chain import chain_scores
 from strandweave.params import Params
 from strandweave.plans import oracles as O
-from strandweave.plans.mapping import Mapping, map_reads, text_contigs, text_reads
+from strandweave.plans.mapping import Mapping, map_reads, map_seeds, text_contigs, text_reads
 
 P = Params()
 CUT = 300
@@ -231,8 +231,10 @@ def truth_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:
-    m = _mapped(spark, sf)
-    return E.mapping_stats(_reads(spark, sf), m.placements, m.anchors, m.seeds, P.shard_bits)
+    """Counters of a mapping whose seeds are extracted once and joined once: seeds and anchors are kept, as both are counted and used."""
+    reads, contigs = _reads(spark, sf), _contigs(spark, sf)
+    m = map_seeds(stored(A.query_seeds(reads, P)), reads, contigs, P, I.build_index(contigs, P), watch=stored)
+    return E.mapping_stats(reads, m.placements, m.anchors, m.seeds, P.shard_bits)
 
 
 def contacts(spark: SparkSession, sf: str) -> DataFrame:

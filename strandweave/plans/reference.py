@@ -108,11 +108,16 @@ def pruned(index: DataFrame, seeds: DataFrame, p: Params) -> tuple[DataFrame, Da
     return kept, index.where(F.col("part").isin(parts)) if len(parts) < 1 << min(p.shard_bits, I.PART_BITS) else index, told(seen, "seeds")
 
 
-def _run(spark: SparkSession, fastq: str, reference: Reference, out: str, p: Params, max_reads: int | None) -> dict:
-    start = time.perf_counter()
-    reads = read_fastq(spark, fastq)
-    if max_reads is not None:
-        reads = reads.where(F.col("read_id") < max_reads)  # ids count from 0 in file order
+@dataclass(frozen=True)
+class Mapped:
+    """A batch of reads that has been mapped: SAM lines, and the counters that were observed on the way."""
+
+    lines: DataFrame
+    counters: dict[str, int]
+
+
+def map_batch(reads: DataFrame, reference: Reference, p: Params) -> Mapped:
+    """Map a batch (or all) of ``reads``: they are kept, their seeds extracted once and joined once; counters need no pass of their own. Call it in a ``scratch`` block."""
     every, hits, placed = Observation(), Observation(), Observation()
     reads = stored(reads.observe(every, F.count(F.lit(1)).alias("reads")))
     seeds, index, _ = pruned(reference.index, query_seeds(reads, p), p)
@@ -120,10 +125,20 @@ def _run(spark: SparkSession, fastq: str, reference: Reference, out: str, p: Par
     first = F.col("fragment_index") == 0  # each mapped read has one such row that is no alternate
     own = ~F.col("is_secondary")
     placements = stored(mapping.placements.observe(placed, F.sum((own & first).cast("long")).alias("mapped"), F.sum(own.cast("long")).alias("fragments")))
-    write_sam(sam_header(reference.names), sam_lines(sam_records(placements, reads, reference.names)), out)
     n, mapped = told(every, "reads"), told(placed, "mapped")
+    counters = {"reads": n, "mapped": mapped, "unmapped": n - mapped, "anchors": told(hits, "anchors"), "fragments": told(placed, "fragments")}
+    return Mapped(sam_lines(sam_records(placements, reads, reference.names)), counters)
+
+
+def _run(spark: SparkSession, fastq: str, reference: Reference, out: str, p: Params, max_reads: int | None) -> dict:
+    start = time.perf_counter()
+    reads = read_fastq(spark, fastq)
+    if max_reads is not None:
+        reads = reads.where(F.col("read_id") < max_reads)  # ids count from 0 in file order
+    mapped = map_batch(reads, reference, p)
+    write_sam(sam_header(reference.names), mapped.lines, out)
     seconds = time.perf_counter() - start
-    summary = {"reads": n, "mapped": mapped, "unmapped": n - mapped, "anchors": told(hits, "anchors"), "fragments": told(placed, "fragments"), "wallMs": seconds * 1000.0, "rps": n / seconds}
+    summary = mapped.counters | {"wallMs": seconds * 1000.0, "rps": mapped.counters["reads"] / seconds}
     about = json.loads(reference.manifest)
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in summary.items()], F.lit(about["referenceId"]).alias("reference"), F.lit(reference.manifest).alias("referenceManifest"))
     row.coalesce(1).write.mode("overwrite").json(f"{out}.summary.json")

@@ -21,18 +21,33 @@ def listed(spark: SparkSession, folders: list[str], glob: str = "*.parquet") ->
     return rows.select("path", F.col("length").alias("size"))
 
 
-def _open(path: str) -> pa.NativeFile:
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    store, name = fs.FileSystem.from_uri(f"{STREAMED[scheme]}:{rest}")
-    return store.open_input_stream(name)
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and its name there; a path without a scheme is local."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    return fs.FileSystem.from_uri(f"{STREAMED[scheme]}:{rest}")
+
+
+def readable(path: str) -> bool:
+    """Whether tasks can open the path by themselves; other stores are read by Spark only."""
+    scheme, colon, _ = path.partition(":")
+    return not colon or scheme in STREAMED
+
+
+def read_range(path: str, start: int, stop: int) -> bytes:
+    """The bytes [start, stop) of a file, or those there are."""
+    store, name = store_of(path)
+    with store.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(max(0, stop - start))
 
 
 def digest(path: str, block: int = BLOCK) -> str:
     """SHA-256 of a file, read ``block`` bytes at a time."""
     found = hashlib.sha256()
-    with _open(path) as stream:
+    store, name = store_of(path)
+    with store.open_input_stream(name) as stream:
         while part := stream.read(block):
             found.update(part)
     return found.hexdigest()

@@ -16,6 +16,8 @@ from strandweave.operators._store import stored
 from strandweave.operators.chunks import SIZE, gather, joined
 from strandweave.operators.minimizers import buffers
 from strandweave.operators.sam import parse_sam
+from strandweave.sources.fastq import SPLIT, fastq_splits, read_splits
+from strandweave.sources.files import listed, readable
 
 
 def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
@@ -135,8 +137,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("contig_id", "name", "length", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, name, seq, qual) from strict four-line records; a header without ``@`` is an error, carriage returns stay, a last record without a line end counts, one without its fourth line doesn't."""
+def read_fastq(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """(read_id, name, seq, qual) from strict four-line records; a header without ``@`` is an error, carriage returns stay, a last record without a line end counts, one without its fourth line doesn't.
+
+    Tasks read ranges of ``split`` bytes that end at record borders, each byte once, and keep the
+    records; ids come from the counts of the ranges, in order of file and place. Files in a store
+    that only Spark can open are read by its text reader (``read_fastq_lines``).
+    """
+    files = listed(spark, [path], "*")
+    kinds = [r["kind"] for r in files.select(F.substring_index("path", ":", 1).alias("kind")).distinct().limit(9).collect()]
+    if not all(readable(f"{k}:") for k in kinds):
+        return read_fastq_lines(spark, path)
+    kept = stored(read_splits(fastq_splits(spark, path, split)))
+    counts = kept.groupBy("path", "start").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = counts.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = kept.join(F.broadcast(base), (F.col("path") == F.col("_p")) & (F.col("start") == F.col("_s")))
+    return rows.select((F.col("_base") + F.col("k")).cast("long").alias("read_id"), "name", "seq", "qual")
+
+
+def read_fastq_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``read_fastq`` over Spark's text reader: any store, but lines are numbered and put together by shuffles."""
     lines = _numbered(_pieces(spark, path, "\n"), "value")
     at = F.col("n") % 4
     recs = lines.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(*[F.max(F.when(at == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])

@@ -16,10 +16,39 @@ def query_seeds(reads: DataFrame, params: Params | None = None) -> DataFrame:
     return rows.select("read_id", F.col("pos").alias("q_pos"), F.col("strand").alias("q_strand"), "hash")
 
 
-def seed_anchors(seeds: DataFrame, index: DataFrame) -> DataFrame:
-    """One row for each (query seed, hit) with equal hash. Sequences are never carried through this join."""
+#: A seed is heavy beyond this share of all query seeds, and beyond so many of them: there are fewer than a thousand, with ``freq_cap`` hits each at most.
+HEAVY_SHARE, HEAVY_LEAST = 1000, 1000
+#: Cells of the sketch that tells which seeds can be heavy.
+CELLS = 1 << 16
+
+
+def heavy_seeds(seeds: DataFrame, total: int, share: int = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame | None:
+    """(hash) of the seeds that more than ``total`` / ``share`` (and ``least``) rows of ``seeds`` have; None if there can't be any.
+
+    Counts of hashes folded to ``CELLS`` cells are a bound that no heavy seed escapes and that takes no
+    more than ``CELLS`` rows a task to shuffle; only seeds of heavy cells are counted one by one.
+    """
+    bound = max(total // share, least)
+    if total <= bound:
+        return None
+    cell = F.pmod(F.xxhash64("hash"), F.lit(CELLS)).cast("int")
+    rows = seeds.select("hash", cell.alias("cell"))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("cell")  # fewer than ``share``
+    return rows.join(F.broadcast(cells), "cell", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("hash")
+
+
+def seed_anchors(seeds: DataFrame, index: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """One row for each (query seed, hit) with equal hash. Sequences are never carried through this join.
+
+    Rows of ``heavy`` seeds (see ``heavy_seeds``) stay where they are, and the hits of these few
+    seeds go to all of them; the others meet by hash. So no task gets all rows of one seed.
+    """
     hits = index.select("hash", "contig_id", F.col("pos").alias("ref_pos"), F.col("strand").alias("ref_strand"))
-    joined = seeds.join(hits, "hash")
+    if heavy is None:
+        joined = seeds.join(hits, "hash")
+    else:
+        few = F.broadcast(heavy)
+        joined = seeds.join(few, "hash", "left_anti").join(hits, "hash").unionByName(seeds.join(few, "hash", "left_semi").join(F.broadcast(hits.join(few, "hash", "left_semi")), "hash"))
     return joined.select("read_id", "q_pos", "q_strand", "contig_id", "ref_pos", "ref_strand", "hash", joint_strand(F.col("q_strand"), F.col("ref_strand")).alias("joint"))
 
 

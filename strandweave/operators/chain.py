@@ -44,8 +44,12 @@ def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndar
     return f, back
 
 
+#: Anchors from which on a bucket is worked on by itself, in the band that ``max_gap`` leaves.
+LONG = 512
+
+
 def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """``scores`` of many buckets [edges[i], edges[i + 1]); buckets of one size are worked on together, a column at a time."""
+    """``scores`` of many buckets [edges[i], edges[i + 1]); buckets of one size are worked on together, a column at a time, long ones one by one. An anchor is compared with those that ``max_gap`` lets it reach, not with the whole bucket."""
     f, back = np.full(len(q), float(p.k)), np.full(len(q), -1)
     size = np.diff(edges)
     for n in np.unique(size[size > 1]).tolist():
@@ -53,22 +57,27 @@ def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p
         each = max(1, (1 << 20) // n)
         for part in range(0, len(every), each):
             start = every[part : part + each]
-            if len(start) < 4:
+            if len(start) < 4 or n >= LONG:
                 for lo in start.tolist():
                     f[lo : lo + n], back[lo : lo + n] = scores(q[lo : lo + n], r[lo : lo + n], int(joint[lo]), p)
                 continue
             at = start[:, None] + np.arange(n)
             rr, ss = r[at], np.where(joint[start, None] != 0, -q[at], q[at])
             ff, bb = np.full(at.shape, float(p.k)), np.full(at.shape, -1)
+            low = 0
             for i in range(1, n):
-                gap_r, gap_q = rr[:, i, None] - rr[:, :i], ss[:, i, None] - ss[:, :i]
+                while low < i and (rr[:, i] - rr[:, low] > p.max_gap).all():  # positions rise, so what no bucket reaches stays out of reach
+                    low += 1
+                if low == i:
+                    continue
+                gap_r, gap_q = rr[:, i, None] - rr[:, low:i], ss[:, i, None] - ss[:, low:i]
                 d = np.abs(gap_q - gap_r)
                 ok = (gap_r > 0) & (gap_r <= p.max_gap) & (gap_q > 0) & (gap_q <= p.max_gap) & (d <= p.max_drift)
                 d = d.astype(float)
                 cost = 0.01 * p.k * d + np.where(d > 1, 0.5 * np.log2(np.maximum(d, 1.0)), 0.0)
-                value = np.where(ok, ff[:, :i] + (np.minimum(np.minimum(gap_q, gap_r), p.k) - cost), -np.inf)
+                value = np.where(ok, ff[:, low:i] + (np.minimum(np.minimum(gap_q, gap_r), p.k) - cost), -np.inf)
                 which = i - 1 - value[:, ::-1].argmax(1)
-                best = value[np.arange(len(start)), which]
+                best = value[np.arange(len(start)), which - low]
                 better = best > p.k
                 ff[better, i], bb[better, i] = best[better], which[better]
             f[at], back[at] = ff, bb

@@ -55,24 +55,71 @@ def mapped_jaccard(ours: DataFrame, golden: DataFrame) -> DataFrame:
     return out.withColumn("jaccard", F.when(F.col("n_any") > 0, F.col("n_both") / F.col("n_any")).otherwise(0.0))
 
 
+def nearest_free(ours: np.ndarray, golden: np.ndarray) -> np.ndarray:
+    """For each position of ``ours`` in order the place in ``golden`` of the nearest one that no earlier position took, or -1; of equally near ones the earliest in ``golden``.
+
+    Positions are sorted once; two union-find forests know the next free place to the right and to
+    the left of any place, so a search takes next to constant time.
+    """
+    n = len(golden)
+    order = np.argsort(golden, kind="stable")
+    sorted_ = golden[order]
+    head = np.searchsorted(sorted_, sorted_, "left").tolist()  # first of the equal positions
+    at = np.searchsorted(sorted_, ours, "left").tolist()
+    right, left = list(range(n + 1)), list(range(n + 1))  # left[i + 1] is for place i; n and 0 are the ends
+    place, pos = order.tolist(), sorted_.tolist()
+
+    def find(forest: list[int], i: int) -> int:
+        root = i
+        while forest[root] != root:
+            root = forest[root]
+        while forest[i] != root:
+            forest[i], i = root, forest[i]
+        return root
+
+    out = np.full(len(ours), -1)
+    for k, (x, i) in enumerate(zip(ours.tolist(), at, strict=True)):
+        r, l = find(right, i), find(left, i) - 1
+        if l >= 0:
+            l = find(right, head[l])
+        if r == n and l < 0:
+            break  # all are taken
+        if l >= 0 and (r == n or (x - pos[l], place[l]) < (pos[r] - x, place[r])):
+            r = l
+        out[k] = place[r]
+        right[r], left[r + 1] = r + 1, r
+    return out
+
+
 def pair_records(ours: DataFrame, golden: DataFrame) -> DataFrame:
     """(name, ref_name, reverse, pos_ours, pos_golden, distance, mapq_ours, mapq_golden): each of our mapped records, in query order, takes the nearest golden record of its contig and strand that is still free."""
     cols = ["name", "ref_name", "reverse", "pos0", "mapq", "q_start", "cigar"]
     both = ours.where(~F.col("unmapped")).select(F.lit(0).alias("side"), *cols).unionByName(golden.where(~F.col("unmapped")).select(F.lit(1).alias("side"), *cols))
+    names = ["name", "ref_name", "reverse", "pos_ours", "pos_golden", "distance", "mapq_ours", "mapq_golden"]
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        x = rows.to_pylist()
-        out = []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            free = [r for r in x[lo:hi] if r["side"] == 1]
-            for r in (r for r in x[lo:hi] if r["side"] == 0):
-                fit = [g for g in free if g["ref_name"] == r["ref_name"] and g["reverse"] == r["reverse"]]
-                if fit:
-                    g = min(fit, key=lambda g: abs(g["pos0"] - r["pos0"]))
-                    free.remove(g)
-                    out.append((r["name"], r["ref_name"], r["reverse"], r["pos0"], g["pos0"], abs(g["pos0"] - r["pos0"]), r["mapq"], g["mapq"]))
-        names = ["name", "ref_name", "reverse", "pos_ours", "pos_golden", "distance", "mapq_ours", "mapq_golden"]
-        return pa.record_batch([pa.array(list(c)) for c in zip(*out, strict=True)], names) if out else None
+        name = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        ref = rows.column("ref_name").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        back = rows.column("reverse").to_numpy().astype(np.int64)
+        side, pos = rows.column("side").to_numpy(), rows.column("pos0").to_numpy()
+        order = np.lexsort((back, ref, name))  # stable: both sides stay in query order
+        new = np.any([x[order][1:] != x[order][:-1] for x in (back, ref, name)], axis=0)
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+        left, right = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = order[lo:hi]
+            a, b = part[side[part] == 0], part[side[part] == 1]
+            if len(a) and len(b):
+                got = nearest_free(pos[a], pos[b])
+                left.append(a[got >= 0])
+                right.append(b[got[got >= 0]])
+        if not left:
+            return None
+        one, two = (rows.take(pa.array(np.concatenate(x))).combine_chunks() for x in (left, right))
+        col = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
+        far = np.abs(col(one, "pos0").to_numpy() - col(two, "pos0").to_numpy())
+        q = [col(t, "mapq").cast(pa.int64()) for t in (one, two)]
+        return pa.record_batch([col(one, "name"), col(one, "ref_name"), col(one, "reverse"), col(one, "pos0"), col(two, "pos0"), pa.array(far), *q], names)
 
     return per_group(both, "name", ["name", "side", "q_start", "pos0", "ref_name", "reverse", "mapq", "cigar"], work, "name string, ref_name string, reverse boolean, pos_ours long, pos_golden long, distance long, mapq_ours long, mapq_golden long")
 

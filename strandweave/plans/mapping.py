@@ -42,10 +42,10 @@ def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None
     return map_seeds(query_seeds(reads, p), reads, contigs, p, build_index(contigs, p, chunks) if index is None else index, chunks, size)
 
 
-def map_seeds(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None, index: DataFrame, chunks: DataFrame | None = None, size: int = SIZE, watch: Callable[[DataFrame], DataFrame] = lambda x: x) -> Mapping:
-    """``map_reads`` from the reads' seeds on; ``watch`` gets the anchors on their way to the chains (to observe or to keep them)."""
+def map_seeds(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None, index: DataFrame, chunks: DataFrame | None = None, size: int = SIZE, watch: Callable[[DataFrame], DataFrame] = lambda x: x, heavy: DataFrame | None = None) -> Mapping:
+    """``map_reads`` from the reads' seeds on; ``watch`` gets the anchors on their way to the chains (to observe or to keep them); ``heavy`` are seeds that very many reads have."""
     p = check(params)
-    anchors = watch(seed_anchors(seeds, index))
+    anchors = watch(seed_anchors(seeds, index, heavy))
     chains = chain_anchors(anchors, p)
     if p.refine:
         chains = refine_endpoints(stored(chains), reads, contigs, p, chunks, size)  # chains are read twice: for the flanks to fetch and to extend

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.seeds import check, shard_id
 from strandweave.operators import index as I
 from strandweave.operators._store import scratch, stored
-from strandweave.operators.anchors import query_seeds
+from strandweave.operators.anchors import heavy_seeds, query_seeds
 from strandweave.operators.chunks import SIZE, joined
 from strandweave.operators.sam import sam_header, sam_lines, sam_records
 from strandweave.params import Params
@@ -120,8 +120,9 @@ def map_batch(reads: DataFrame, reference: Reference, p: Params) -> Mapped:
     """Map a batch (or all) of ``reads``: they are kept, their seeds extracted once and joined once; counters need no pass of their own. Call it in a ``scratch`` block."""
     every, hits, placed = Observation(), Observation(), Observation()
     reads = stored(reads.observe(every, F.count(F.lit(1)).alias("reads")))
-    seeds, index, _ = pruned(reference.index, query_seeds(reads, p), p)
-    mapping = map_seeds(seeds, reads, reference.names, p, index, reference.chunks, reference.size, lambda anchors: anchors.observe(hits, F.count(F.lit(1)).alias("anchors")))
+    seeds, index, many = pruned(reference.index, query_seeds(reads, p), p)
+    watch = lambda anchors: anchors.observe(hits, F.count(F.lit(1)).alias("anchors"))
+    mapping = map_seeds(seeds, reads, reference.names, p, index, reference.chunks, reference.size, watch, heavy_seeds(seeds, many))
     first = F.col("fragment_index") == 0  # each mapped read has one such row that is no alternate
     own = ~F.col("is_secondary")
     placements = stored(mapping.placements.observe(placed, F.sum((own & first).cast("long")).alias("mapped"), F.sum(own.cast("long")).alias("fragments")))

@@ -38,6 +38,8 @@ COSINE = 0.4
 WINDOWS = {8: 4, 12: 4, 16: 8, 24: 8, 32: 8, 48: 16, 64: 16}
 BLOCK_WORDS = 1 << 16
 LCS, ANSWER, KEYS = 0.6, 0.5, 0.4
+#: An item of fewer words is a turn of speech, not a passage: it is found nowhere, or else it would have common prose deleted.
+LEAST_WORDS = 4
 #: Words that a matrix step holds at once, and rows of the vocabulary in one message.
 HELD, ROWS = 8192, 64
 #: A long text is searched in stretches of so many words, which overlap by the longest window.
@@ -64,7 +66,7 @@ def look_up(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """A block of items as pieces of at most 64 words: vocabulary, pieces as vocabulary numbers, key terms."""
+    """A block of items of ``LEAST_WORDS`` words or more as pieces of at most 64 words: vocabulary, pieces as vocabulary numbers, key terms."""
 
     def __init__(self, ids: list, texts: list[str | None]) -> None:
         words, first = tokens(Texts(pa.array(texts, pa.string())))
@@ -72,6 +74,8 @@ class Benchmark:
         v = np.searchsorted(self.vocabulary, words)
         self.ids, self.pieces = [], []
         for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            if b - a < LEAST_WORDS:
+                continue
             for x in np.array_split(v[a:b], max(1, -(-(b - a) // max(WINDOWS)))):
                 if len(x):
                     self.ids.append(ids[k])
@@ -378,8 +382,8 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Benchmark, D
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` against ``benchmark(item_id, text)``: (doc_id, item_id, cosine, lcs, answer), a row per contaminated pair.
 
-    Items longer than 64 words are looked for piece by piece; the best piece counts. Null and
-    empty texts on either side match nothing; rows with one doc_id (null is an id like others)
+    Items longer than 64 words are looked for piece by piece; the best piece counts. Items of fewer
+    than ``LEAST_WORDS`` words are found nowhere. Null and empty texts on either side match nothing; rows with one doc_id (null is an id like others)
     give one row per item; equal items under several ids are found under each. Very long texts
     are searched in overlapping stretches. Other columns are ignored; empty tables give an empty
     result.

@@ -185,3 +185,12 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontaminate.common_subsequence(np.array(a, np.int64), np.array(b, np.int64)) == table[-1][-1]
+
+
+def test_a_turn_of_speech_is_no_passage(spark):
+    docs = [f"the model data of {w} is what the people of the town saw" for w in vocabulary(40, 3)] + ["some four rare words stand here"]
+    items = ["the", "model data", "the town", "of the town", "four rare words stand", "", None]
+    docs_, bench = frames(spark, docs, items)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_, bench).collect()] == [(40, 4)]
+    assert decontaminate.drop_contaminated(docs_, bench).count() == 40
+    assert decontaminate.drop_contaminated(docs_, bench.where("item_id < 4")).count() == 41

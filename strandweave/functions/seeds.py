@@ -26,7 +26,8 @@ def reverse_complement(seq: Column) -> Column:
 
 def base_code(base: Column) -> Column:
     """A, C, G, T as 0..3 in either case, all else 4."""
-    return F.coalesce(F.translate(F.regexp_replace(F.upper(base), "[^ACGT]", "4"), "ACGT", "0123").cast("int"), F.lit(4))
+    letter = F.translate(base, "acgt", "ACGT")  # not upper(): it makes two letters of some
+    return F.coalesce(F.translate(F.when(letter.rlike("^[ACGT]$"), letter), "ACGT", "0123").cast("int"), F.lit(4))
 
 
 def canonical(kmer: Column) -> Column:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get().rstrip("/")
 
 
-_open: list[list[str]] = []
+#: The innermost open block of this thread or task; blocks of others don't own what is stored here.
+_block: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside this block are deleted at its end, so what is built from them must be written in it."""
-    _open.append([])
+    mine: list[str] = []
+    token = _block.set(mine)
     try:
         yield
     finally:
-        for name in _open.pop():
+        _block.reset(token)
+        for name in mine:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -42,8 +46,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder, owned by the innermost ``scratch`` block if there is one."""
     path = f"{shared_folder(spark)}/strandweave/{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if (mine := _block.get()) is not None:
+        mine.append(path)
     return path
 
 
@@ -55,11 +59,17 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Bytes that are dealt anew without a thought.
+SMALL = 1 << 30
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """``frame`` over all cores where it stands in a few files with few partitions (one large row group can't be split, say).
 
-    Such an input is small: about a partition for each core. Larger ones stay where they are, without a shuffle.
+    Only inputs of ``SMALL`` bytes at most, by the optimizer's estimate, are dealt anew; larger
+    ones stay where they are, without a shuffle, however many cores there are.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     few = frame.rdd.getNumPartitions() < 2 * cores and len(frame.inputFiles()) < max(2, cores // 2)
-    return frame.repartition(2 * cores) if few else frame
+    small = few and int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL
+    return frame.repartition(2 * cores) if small else frame

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.functions import seeds as S_
 from strandweave.functions.seeds import approximate_mapq, project_dna, reverse_complement, shard_id
+from strandweave.functions.table import register_minimizers
 from strandweave.operators import anchors as A
+from strandweave.operators import chunks as C
 from strandweave.operators import evaluate as E
 from strandweave.operators import index as I
 from strandweave.operators import minimizers as M
 from strandweave.operators import sam as S
-from strandweave.operators._store import stored
+from strandweave.operators._store import shared_path, stored
 from strandweave.operators.chain import chain_scores
 from strandweave.params import Params
 from strandweave.plans import oracles as O
+from strandweave.plans import reference as R
 from strandweave.plans.mapping import Mapping, map_reads, map_seeds, text_contigs, text_reads
+from strandweave.sources import sequences as Q
+from strandweave.sources.fastq import follow_fastq
+from strandweave.streaming.mapping import map_growing, totals
 
 P = Params()
 CUT = 300
@@ -246,10 +253,100 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
     return E.contact_summary(E.contacts(map_reads(joined, contigs, P).placements))
 
 
+def chunked_minimizers(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' minimizers from chunks of 1,000 bases, each chunk by itself."""
+    rows = M.chunk_minimizers(C.cut(_contigs(spark, sf), size=1000), P)
+    return _mini(rows, "contig_id")
+
+
+def reference_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """100 bases around the middle of every document's sequence, fetched from chunks of 64 bases."""
+    contigs = _contigs(spark, sf)
+    middle = F.floor(F.col("length") / 2).cast("long")
+    found = C.reference_windows(contigs.select("contig_id", (middle - 50).alias("start"), (middle + 50).alias("end")), C.cut(contigs, size=64, halo=0), 64)
+    return found.select("contig_id", "start", F.col("end").alias("stop"), "bases")
+
+
+def base_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each 2-bit code (4: no base) occurs among the first letters of the words of every document."""
+    words = _table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("w"))
+    return words.where("w <> ''").select("doc_id", S_.base_code(F.substring("w", 1, 1)).cast("long").alias("code")).groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def minimizers_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's minimizers by the table function, in SQL."""
+    register_minimizers(spark, "seed_minimizers")
+    return spark.sql("SELECT r.read_id, m.hash, m.pos, CAST(m.strand AS BIGINT) AS strand FROM {r} r, LATERAL seed_minimizers(r.seq, 15, 10) m", r=_reads(spark, sf))
+
+
+def alternate_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each placement's query span that its fragment covers: 1 for the fragment itself, less for most alternates."""
+    rows = stored(_mapped(spark, sf, secondary=5).placements).select("read_id", "fragment_index", "alt_rank", "q_start", "q_end")
+    own = rows.where("alt_rank = 0").select("read_id", "fragment_index", F.col("q_start").alias("s"), F.col("q_end").alias("e"))
+    share = S_.overlap_fraction(F.col("q_start"), F.col("q_end"), F.col("s"), F.col("e"))
+    return rows.join(own, ["read_id", "fragment_index"]).select("read_id", *[F.col(c).cast("long").alias(c) for c in ("fragment_index", "alt_rank")], F.round(share, 6).alias("overlap"))
+
+
+def fasta_contigs(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' sequences written as FASTA and read back by lines."""
+    path = shared_path(spark)
+    Q.write_fasta(_contigs(spark, sf), path)
+    return Q.read_fasta(spark, path).select("contig_id", "name", "length", F.md5("seq").alias("seq_md5"))
+
+
+def fastq_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's reads written as FASTQ and read back by byte ranges of 2 kB."""
+    path = shared_path(spark)
+    Q.write_fastq(_reads(spark, sf), path)
+    return Q.read_fastq(spark, path, 2048).select("read_id", "name", F.md5("seq").alias("seq_md5"), F.length("qual").cast("long").alias("n_qual"))
+
+
+def _reference(spark: SparkSession, sf: str) -> R.Reference:
+    """The documents as a stored reference, by way of FASTA."""
+    fasta = shared_path(spark)
+    Q.write_fasta(_contigs(spark, sf), fasta)
+    return R.build_reference(spark, fasta, shared_path(spark), "documents", P)
+
+
+def stored_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the manifest of the stored reference says."""
+    text = _reference(spark, sf).manifest
+    one = lambda name, path: F.get_json_object(F.lit(text), f"$.{path}").cast("long").alias(name)
+    names = {"contigs": "contigs", "shards": "shards", "k": "k", "w": "w", "freq_cap": "seedSchemeParams.freqCapPerHash", "total_hits": "totalHits", "distinct_seeds": "distinctSeeds", "capped_seed_hits": "cappedSeedHits"}
+    return spark.range(1).select(*[one(n, p) for n, p in names.items()])
+
+
+def stored_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's anchors from the stored, bucketed and pruned index."""
+    seeds, index, n = R.pruned(_reference(spark, sf).index, A.query_seeds(_reads(spark, sf), P), P)
+    return A.seed_anchors(seeds, index, A.heavy_seeds(seeds, n)).select("read_id", "q_pos", "contig_id", "ref_pos", "hash", F.col("joint").cast("long").alias("joint"))
+
+
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of a whole run, FASTQ against the stored reference, as they were observed on the way."""
+    fastq = shared_path(spark)
+    Q.write_fastq(_reads(spark, sf), fastq)
+    found = R.map_run(spark, fastq, _reference(spark, sf), shared_path(spark), P)
+    return spark.range(1).select(*[F.lit(found[c]).cast("long").alias(c) for c in ("reads", "mapped", "unmapped", "anchors", "fragments")])
+
+
+def streamed_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of the same reads as a stream of FASTQ, a few at a time."""
+    home, fastq, out = _reference(spark, sf), shared_path(spark), shared_path(spark)
+    Q.write_fastq(_reads(spark, sf), fastq)
+    query = map_growing(follow_fastq(spark, fastq, 1 << 14), home, out, shared_path(spark), P)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in totals(spark, out).items()])
+
+
 QUERIES = {f.__name__: f for f in (
     dna_projection, kmer_hash, minimizers, minimizers_sql, read_minimizers, shard_histogram, shard_plan, shard_worker_assignment, index_stats, index_directory,
     seed_anchors, anchor_counts, anchor_spans, chain_dp, chains, fragments, secondary_fragments, refined_fragments, sam_header, sam_body, sam_unmapped, sam_unplaced, sam_parsed, sam_counters,
     cigar_parse, sam_diff, mapped_jaccard, spearman_prices, average_ranks, text_sha256, truth_accuracy, mapping_stats, contacts,
+    chunked_minimizers, reference_windows, base_codes, minimizers_lateral, alternate_overlap, fasta_contigs, fastq_reads, stored_manifest, stored_anchors, run_summary, streamed_totals,
 )}
 
 
@@ -287,5 +384,21 @@ ORACLES = {
     "average_ranks": "SELECT c_custkey, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0::DOUBLE AS rank FROM customer",
     "text_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 }
-ORACLES["minimizers_sql"] = ORACLES["minimizers"]
+ORACLES["minimizers_sql"] = ORACLES["chunked_minimizers"] = ORACLES["minimizers"]
+ORACLES["minimizers_lateral"] = ORACLES["read_minimizers"]
+ORACLES["stored_anchors"] = f"WITH {_INDEX}, ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents), {_B} SELECT b_m.id AS read_id, b_m.pos AS q_pos, k AS contig_id, ix.pos AS ref_pos, ix.hash, xor(b_m.strand, ix.strand) AS joint FROM b_m JOIN ix USING (hash) JOIN ids ON ids.doc_id = ix.id"
 ORACLES |= O.MAPPED
+ORACLES |= {
+    "reference_windows": f"""WITH s AS (SELECT doc_id AS contig_id, {O.seq()} AS s FROM documents), w AS (SELECT *, length(s) // 2 - 50 AS start, length(s) // 2 + 50 AS stop FROM s WHERE s <> '')
+        SELECT contig_id, start, stop, s[greatest(start, 0) + 1:stop] AS bases FROM w""",
+    "base_codes": r"""WITH w AS (SELECT doc_id, upper(unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))[1]) AS b FROM documents)
+        SELECT doc_id, CASE b WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END::BIGINT AS code, count(*) AS n FROM w GROUP BY ALL""",
+    "alternate_overlap": f"""WITH f AS ({O.MAPPED["secondary_fragments"]})
+        SELECT a.read_id, a.fragment_index, a.alt_rank, round(greatest(0, least(a.q_end, o.q_end) - greatest(a.q_start, o.q_start)) / greatest(1, a.q_end - a.q_start)::DOUBLE, 6) AS overlap
+        FROM f a JOIN f o ON a.read_id = o.read_id AND a.fragment_index = o.fragment_index AND o.alt_rank = 0""",
+    "fasta_contigs": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS contig_id, 'doc' || doc_id AS name, length(s) AS length, md5(s) AS seq_md5 FROM (SELECT doc_id, {O.seq()} AS s FROM documents)",
+    "fastq_reads": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS read_id, 'item' || item_id AS name, md5(s) AS seq_md5, length(s) AS n_qual FROM (SELECT item_id, {O.seq()} AS s FROM benchmark)",
+    "stored_manifest": f"SELECT (SELECT count(*) FROM documents) AS contigs, 4096::BIGINT AS shards, 15::BIGINT AS k, 10::BIGINT AS w, 1000::BIGINT AS freq_cap, total_hits, distinct_seeds, capped_seed_hits FROM ({ORACLES['index_stats']})",
+    "run_summary": f"SELECT reads, mapped, unmapped, anchors, fragments FROM ({O.MAPPED['mapping_stats']})",
+}
+ORACLES["streamed_totals"] = ORACLES["run_summary"]

@@ -197,3 +197,15 @@ def write_sam(header: DataFrame, lines: DataFrame, path: str) -> None:
     top = header.select(F.lit(0).alias("_p"), F.col("part").cast("long").alias("_a"), F.coalesce("contig_id", F.lit(0)).cast("long").alias("_b"), F.lit(0).alias("_c"), "value")
     body = lines.select(F.lit(1).alias("_p"), F.col("read_id").cast("long").alias("_a"), F.col("fragment_index").cast("long").alias("_b"), F.col("alt_rank").alias("_c"), "value")
     top.unionByName(body).orderBy("_p", "_a", "_b", "_c").select("value").write.mode("overwrite").text(path)
+
+
+def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
+    """``contigs(contig_id, name, seq)`` as FASTA in parts that read in order of contig_id, lines of ``width`` bases."""
+    body = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{int(width)}}})(?=.)", "$1\n")
+    contigs.orderBy("contig_id").select(F.concat(F.lit(">"), "name", F.lit("\n"), body)).write.mode("overwrite").text(path)
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """``reads(read_id, name, seq, qual)`` as FASTQ in parts that read in order of read_id."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    reads.orderBy("read_id").select(F.concat(F.lit("@"), "name", F.lit("\n"), text("seq"), F.lit("\n+\n"), text("qual"))).write.mode("overwrite").text(path)

@@ -22,12 +22,17 @@ CHAIN_SCHEMA = (
 )
 
 
+def reach(s: np.ndarray, p: Params) -> int:
+    """How far back a predecessor can be: a gap on the reference is no longer than ``max_gap``, nor than one on the read and ``max_drift`` together."""
+    return min(p.max_gap, int(s.max() - s.min()) + p.max_drift) if len(s) else 0
+
+
 def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Best score of a chain that ends in each anchor, and its predecessor (-1: none). Anchors are sorted by (r, q)."""
     s = -q if joint else q
     n = len(r)
     f, back = np.full(n, float(p.k)), np.full(n, -1)
-    lows = np.searchsorted(r, r - p.max_gap, "left")
+    lows = np.searchsorted(r, r - reach(s, p), "left")
     for i in range(1, n):
         lo = lows[i]
         gap_r, gap_q = r[i] - r[lo:i], s[i] - s[lo:i]
@@ -44,46 +49,80 @@ def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndar
     return f, back
 
 
-#: Anchors from which on a bucket is worked on by itself, in the band that ``max_gap`` leaves.
-LONG = 512
+#: Anchors just before one that are looked at first; what they reach rules out most of the others.
+NEAR = 64
+#: Places of a group of buckets that are worked on together.
+TOGETHER = 1 << 20
 
 
 def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """``scores`` of many buckets [edges[i], edges[i + 1]); buckets of one size are worked on together, a column at a time, long ones one by one. An anchor is compared with those that ``max_gap`` lets it reach, not with the whole bucket."""
+    """``scores`` of many buckets [edges[i], edges[i + 1]), largest first, many of about one size together, an anchor of each at a time.
+
+    An anchor is compared with the ``NEAR`` ones before it, and then only with those of its band
+    (``reach``) whose score could still win: a step adds k at most.
+    """
     f, back = np.full(len(q), float(p.k)), np.full(len(q), -1)
     size = np.diff(edges)
-    for n in np.unique(size[size > 1]).tolist():
-        every = edges[:-1][size == n]
-        each = max(1, (1 << 20) // n)
-        for part in range(0, len(every), each):
-            start = every[part : part + each]
-            if len(start) < 4 or n >= LONG:
-                for lo in start.tolist():
-                    f[lo : lo + n], back[lo : lo + n] = scores(q[lo : lo + n], r[lo : lo + n], int(joint[lo]), p)
-                continue
-            at = start[:, None] + np.arange(n)
-            rr, ss = r[at], np.where(joint[start, None] != 0, -q[at], q[at])
-            ff, bb = np.full(at.shape, float(p.k)), np.full(at.shape, -1)
-            low = 0
-            for i in range(1, n):
-                while low < i and (rr[:, i] - rr[:, low] > p.max_gap).all():  # positions rise, so what no bucket reaches stays out of reach
-                    low += 1
-                if low == i:
-                    continue
-                gap_r, gap_q = rr[:, i, None] - rr[:, low:i], ss[:, i, None] - ss[:, low:i]
-                d = np.abs(gap_q - gap_r)
-                ok = (gap_r > 0) & (gap_r <= p.max_gap) & (gap_q > 0) & (gap_q <= p.max_gap) & (d <= p.max_drift)
-                d = d.astype(float)
-                cost = 0.01 * p.k * d + np.where(d > 1, 0.5 * np.log2(np.maximum(d, 1.0)), 0.0)
-                value = np.where(ok, ff[:, low:i] + (np.minimum(np.minimum(gap_q, gap_r), p.k) - cost), -np.inf)
-                which = i - 1 - value[:, ::-1].argmax(1)
-                best = value[np.arange(len(start)), which - low]
-                better = best > p.k
-                ff[better, i], bb[better, i] = best[better], which[better]
-            f[at], back[at] = ff, bb
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 1]
+    done = 0
+    while done < len(order):
+        n = int(size[order[done]])
+        part = order[done : done + max(1, TOGETHER // n)]
+        done += len(part)
+        many = size[part]
+        row = np.repeat(np.arange(len(part)), many)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(edges[part], many) + column
+        rr, ss, lows = (np.zeros((len(part), n), np.int64) for _ in range(3))
+        rr[row, column], ss[row, column] = r[at], np.where(joint[at] != 0, -q[at], q[at])
+        for k, m in enumerate(many.tolist() if n > NEAR else ()):
+            lows[k, :m] = np.searchsorted(rr[k, :m], rr[k, :m] - reach(ss[k, :m], p), "left")
+        ff, bb = _lockstep(rr, ss, lows, many, p)
+        f[at], back[at] = ff[row, column], bb[row, column]
     return f, back
 
 
+def _gain(gap_q: np.ndarray, gap_r: np.ndarray, p: Params) -> np.ndarray:
+    """What a step adds, or -inf for one that isn't allowed."""
+    d = np.abs(gap_q - gap_r)
+    ok = (gap_r > 0) & (gap_r <= p.max_gap) & (gap_q > 0) & (gap_q <= p.max_gap) & (d <= p.max_drift)
+    d = d.astype(float)
+    cost = 0.01 * p.k * d + np.where(d > 1, 0.5 * np.log2(np.maximum(d, 1.0)), 0.0)
+    return np.where(ok, np.minimum(np.minimum(gap_q, gap_r), p.k) - cost, -np.inf)
+
+
+def _lockstep(rr: np.ndarray, ss: np.ndarray, lows: np.ndarray, many: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and predecessors of buckets as rows, the longest first; ``many`` anchors each."""
+    ff, bb = np.full(rr.shape, float(p.k)), np.full(rr.shape, -1)
+    gap = ss - rr
+    live = np.searchsorted(-many, -np.arange(rr.shape[1]), "left")  # rows that are longer than a column's number
+    for i in range(1, rr.shape[1]):
+        n, x = int(live[i]), max(0, i - NEAR)
+        value = ff[:n, x:i] + _gain(ss[:n, i, None] - ss[:n, x:i], rr[:n, i, None] - rr[:n, x:i], p)
+        which = i - 1 - value[:, ::-1].argmax(1)  # of equal values the nearest
+        best = value[np.arange(n), which - x]
+        better = best > p.k
+        ff[:n, i][better], bb[:n, i][better] = best[better], which[better]
+        low = int(lows[:n, i].min())
+        if low >= x:
+            continue
+        could = ff[:n, low:x] > ff[:n, i, None] - (p.k + 1e-6)
+        could &= ss[:n, low:x] < ss[:n, i, None]
+        could &= np.abs(gap[:n, low:x] - gap[:n, i, None]) <= p.max_drift
+        k, j = np.nonzero(could)
+        j += low
+        k, j = k[j >= lows[k, i]], j[j >= lows[k, i]]
+        if len(k):
+            value = ff[k, j] + _gain(ss[k, i] - ss[k, j], rr[k, i] - rr[k, j], p)
+            win = value > ff[k, i]
+            k, j, value = k[win], j[win], value[win]
+            last = np.lexsort((j, value, k))
+            last = last[np.append(k[last][1:] != k[last][:-1], True)] if len(k) else last
+            ff[k[last], i], bb[k[last], i] = value[last], j[last]
+    return ff, bb
+
+
 def extract(f: np.ndarray, back: np.ndarray, p: Params) -> list[tuple[float, list[int]]]:
     """Up to ``top_k`` chains, best end first. A walk that meets a used anchor stops there but keeps its full score; single anchors give no chain, though the attempt counts."""
     f, back = f.tolist(), back.tolist()

@@ -50,9 +50,9 @@ def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndar
 
 
 #: Anchors just before one that are looked at first; what they reach rules out most of the others.
-NEAR = 64
+NEAR = 256
 #: Places of a group of buckets that are worked on together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:

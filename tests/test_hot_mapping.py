@@ -42,7 +42,7 @@ def bucket(rng, n, step):
 
 def test_the_band_changes_nothing():
     rng = np.random.default_rng(6)
-    for n, many, gap in ((NEAR + 1, 3, 40), (40, 9, 60), (300, 5, 400), (NEAR * 8 + 20, 5, 900)):
+    for n, many, gap in ((NEAR + 1, 3, 40), (40, 9, 60), (300, 5, 400), (NEAR * 2 + 20, 5, 2000)):
         p = Params(max_gap=gap)
         parts = [bucket(rng, n, 4) for _ in range(many)]
         q, r = (np.concatenate([x[k] for x in parts]) for k in (0, 1))

@@ -56,18 +56,23 @@ def joined(chunks: DataFrame) -> DataFrame:
     return rows.select("contig_id", F.array_join(F.transform("_parts", lambda x: x["t"]), "").alias("seq"))
 
 
-def reference_windows(wanted: DataFrame, chunks: DataFrame, size: int = SIZE) -> DataFrame:
-    """``wanted(contig_id, start, end, ...)``, each distinct row once, with ``bases``: what the contig holds of [start, end).
-
-    Windows are joined to the chunks they touch by (contig, chunk) and put together over borders.
-    Windows are cut to the contig; those outside, empty ones and those of unknown contigs have no row.
-    """
+def window_parts(wanted: DataFrame, chunks: DataFrame, size: int = SIZE) -> DataFrame:
+    """``wanted(contig_id, start, end, ...)`` with (_chunk, _t): what each chunk that a window touches holds of it, joined by (contig, chunk)."""
     names = wanted.columns
     low = F.greatest(F.col("start"), F.lit(0).cast("long"))
-    rows = wanted.distinct().where(F.col("end") > low).select("*", F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor((F.col("end") - 1) / size).cast("long"))).alias("_chunk"))
+    rows = wanted.where(F.col("end") > low).select("*", F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor((F.col("end") - 1) / size).cast("long"))).alias("_chunk"))
     held = chunks.select(F.col("contig_id").alias("_c"), F.col("chunk").alias("_k"), F.col("start").alias("_s"), F.col("lead").alias("_lead"), F.col("own").alias("_own"), F.col("text").alias("_text"))
     met = rows.join(held, (F.col("contig_id") == F.col("_c")) & (F.col("_chunk") == F.col("_k")))
     a, b = F.greatest(F.col("start"), F.col("_s")), F.least(F.col("end"), F.col("_s") + F.col("_own"))
     part = slice_of(F.col("_text"), a - F.col("_s") + F.col("_lead"), b - a)
-    parts = met.where(b > a).select(*names, "_chunk", part.alias("_t")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_parts"))
-    return parts.select(*names, F.array_join(F.transform("_parts", lambda x: x["_t"]), "").alias("bases"))
+    return met.where(b > a).select(*names, "_chunk", part.alias("_t"))
+
+
+def reference_windows(wanted: DataFrame, chunks: DataFrame, size: int = SIZE) -> DataFrame:
+    """``wanted(contig_id, start, end, ...)``, each distinct row once, with ``bases``: what the contig holds of [start, end).
+
+    Windows are put together over the borders of the chunks that they touch. They are cut to the
+    contig; those outside, empty ones and those of unknown contigs have no row.
+    """
+    parts = window_parts(wanted.distinct(), chunks, size).groupBy(*wanted.columns).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_parts"))
+    return parts.select(*wanted.columns, F.array_join(F.transform("_parts", lambda x: x["_t"]), "").alias("bases"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.functions.seeds import check, stored_reference
-from strandweave.operators.chunks import SIZE, cut, reference_windows
+from strandweave.operators.chunks import SIZE, cut, window_parts
 from strandweave.params import Params
 
 
@@ -39,9 +39,9 @@ def reference_flanks(chains: DataFrame, chunks: DataFrame, width: int, size: int
     spans = chains.select("contig_id", "ref_start", "ref_end").distinct()
     sides = F.array(*[F.struct(F.lit(k).alias("side"), (a - w).alias("start"), (a + width - w).alias("end")) for k, (a, w) in enumerate(((F.col("ref_start"), width), (F.col("ref_end"), 0)))])
     wanted = spans.select("*", F.explode(sides).alias("_s")).select(*spans.columns, "_s.side", "_s.start", "_s.end")
-    found = reference_windows(wanted, chunks, size).groupBy(*spans.columns)
-    one = lambda k, name: F.max(F.when(F.col("side") == k, stored_reference(F.col("bases")))).alias(name)
-    return found.agg(one(0, "before"), one(1, "after"))
+    found = window_parts(wanted, chunks, size).groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("side", "_chunk", "_t"))).alias("_parts"))
+    one = lambda k, name: stored_reference(F.array_join(F.transform(F.filter("_parts", lambda x: x["side"] == k), lambda x: x["_t"]), "")).alias(name)
+    return found.select(*spans.columns, one(0, "before"), one(1, "after"))
 
 
 def refine_endpoints(chains: DataFrame, reads: DataFrame, contigs: DataFrame, params: Params | None = None, chunks: DataFrame | None = None, size: int = SIZE) -> DataFrame:

@@ -206,4 +206,5 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def op5_bottom_k(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """``fingerprint_edits`` of all ``documents``: null texts are empty, null ids come first, rows with one id go by text, repeated rows follow each other, other columns are ignored, no rows give none. Ids are numbers."""
     return fingerprint_edits(documents(spark, sf_dir), k)

@@ -168,7 +168,7 @@ def unpack(body: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def judge(batch: np.ndarray, anchor: np.ndarray, content: np.ndarray, hot: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of every entry in a bucket: whether its batch is the first that holds it, whether it occurs more than once at all, whether its anchor has other contents, and whether the anchor is hot."""
+    """Of every entry in a bucket: whether no batch of a lower number holds it, whether it occurs more than once at all, whether its anchor has other contents, and whether the anchor is hot."""
     order = np.lexsort((batch, content, anchor))
     a, c = anchor[order], content[order]
     new_a, new = np.ones(len(a), bool), np.ones(len(a), bool)
@@ -180,7 +180,7 @@ def judge(batch: np.ndarray, anchor: np.ndarray, content: np.ndarray, hot: np.nd
     contents = np.add.reduceat(new.astype(np.int64), heads_a) if len(a) else size
     crowded = np.add.reduceat(hot[order].astype(np.int64), heads_a) if len(a) else size
     first, often, several, boils = (np.empty(len(a), bool) for _ in range(4))
-    first[order] = new
+    first[order] = batch[order] == np.repeat(batch[order][heads], size)
     often[order] = np.repeat(size + more > 1, size)
     several[order] = np.repeat(contents > 1, size_a)
     boils[order] = np.repeat((crowded > 0) | (contents > MANY), size_a)

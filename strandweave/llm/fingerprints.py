@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandweave.llm._arrow import Texts, prefix_hash, shingles, sliced, spans, table
+from strandweave.llm._ranges import Ranges, exact_cuts, id_and_null, text_bytes, whole_ids
 from strandweave.llm._shared import documents
 
 K = 128
@@ -143,57 +144,128 @@ def _compare(t: Texts, k: int) -> dict:
     }
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` dealt to ranges of ascending doc_id: adds ``part`` and ``head``.
+#: Fewer rows in a range than this, and rows that share id and text aren't dealt over several.
+DEAL = 1000
+
+
+class _Places:
+    """Ranges of the order (doc_id, hash of the text), nulls first; an id that weighs more than a range is cut by hash, and a text of it that still does is dealt by place."""
+
+    def __init__(self, outer: Ranges, inner: dict[int, Ranges]) -> None:
+        # an id with hash ranges has as many parts as these
+        width = outer.width.copy()
+        for i, r in inner.items():
+            width[i] = r.parts
+        self.outer, self.inner = Ranges(outer.bounds, width), inner
+
+    def part(self, ids: np.ndarray, null: np.ndarray, key: np.ndarray, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each row, and the part that stands for all rows of its (id, hash): the same but for a dealt text."""
+        i = self.outer.index(ids, null)
+        part = self.outer.first[i]
+        lead = part.copy()
+        for k, r in self.inner.items():
+            mine = np.flatnonzero(i == k)
+            at, no = key[mine], np.zeros(len(mine), bool)
+            part[mine] += r.part(at, no, deal[mine])
+            lead[mine] += r.first[r.index(at, no)]
+        return part, lead
+
+
+def _place(key: Column) -> Column:
+    """As much of a hash as a double can tell, which quantiles are made of; it ascends with the hash."""
+    return F.shiftright(key, 11)
+
+
+def _places(docs: DataFrame, parts: int) -> _Places:
+    whole_ids(docs)
+    steps = lambda n: [i / n for i in range(1, n)] or [0.5]
+    rows, known, cuts = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.percentile_approx(F.col("doc_id").cast("long"), steps(parts), 10_000)).first()
+    nulls = -(-(rows - known) * parts // rows) if rows else 0
+    outer = Ranges.of(exact_cuts(docs, cuts or []), nulls)
+    # ids with several ranges: at most one for each range
+    heavy = {int(outer.bounds[i - 2]): i for i in np.flatnonzero(outer.width > 1).tolist() if i}
+    inner = {}
+    some = docs.where(F.col("doc_id").isin(list(heavy)) | F.col("doc_id").isNull()) if nulls > 1 else docs.where(F.col("doc_id").isin(list(heavy)))
+    if heavy or nulls > 1:
+        most = int(outer.width.max())
+        found = some.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.percentile_approx(_place(F.xxhash64("text")), steps(most), 10_000).alias("cuts"))
+        for r in found.collect():  # one row for each heavy id
+            i = 0 if r["id"] is None else heavy[r["id"]]
+            wide = int(outer.width[i])
+            own = [r["cuts"][j * most // wide - 1] for j in range(1, wide)]
+            inner[i] = Ranges.of(own if rows >= DEAL * parts else sorted(set(own)))
+    return _Places(outer, inner)
+
+
+def successors(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` dealt to ranges of ascending (doc_id, hash of the text): adds ``part`` and ``head``.
 
     Each range also gets the first rows of the next range (``head``; the last range those of the
-    first), so every text meets its successor without a global window. Range bounds are quantiles
-    of doc_id, one per shuffle partition; nulls come first.
+    first), so every text meets its successor without a global window. Bounds are quantiles, one
+    for each of ``parts`` (the shuffle partitions, or one for each 64 MB of text if these are
+    more); nulls come first. Parts that hold a share of one repeated (id, text) follow themselves;
+    the first of them also gets the head of what comes after it.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def place(ids: pd.Series) -> np.ndarray:
-        return np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right"))
+    if parts is None:
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) >> 26)
+    places = _places(docs, parts)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    at = [*id_and_null(), _place(F.col("key"))]
 
     @F.pandas_udf(T.IntegerType())
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids)).astype("int32")
+    def lead_of(ids: pd.Series, null: pd.Series, key: pd.Series) -> pd.Series:
+        none = np.zeros(len(ids), np.int64)
+        return pd.Series(places.part(ids.to_numpy(), null.to_numpy(bool), key.to_numpy(), none)[1]).astype("int32")
 
-    heads = docs.select("doc_id").groupBy(part_of("doc_id").alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).collect()  # one row per range
-    first = sorted((r["part"], r["m"]["doc_id"]) for r in heads)
-    goes = {m: first[i - 1][0] for i, (_, m) in enumerate(first)}
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), _place(F.col("key"))))
+    heads = keyed.groupBy(lead_of(*at).alias("part")).agg(least.alias("m")).collect()  # one row per range
+    first = sorted((r["part"], tuple(r["m"])) for r in heads)
+    part_of_head = np.array([p for p, _ in first], np.int64)
+    before = np.roll(part_of_head, 1)
+    heads_id, heads_known, heads_key = (np.array([m[k] for _, m in first], kind) for k, kind in ((1, np.int64), (0, bool), (2, np.int64)))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def parts_of(ids: pd.Series) -> pd.Series:
-        known = [None if v is None or v != v else int(v) for v in ids.astype(object)]
-        return pd.Series([[p, goes[v]] if v in goes else [p] for p, v in zip(place(ids).tolist(), known, strict=True)])
+    def parts_of(ids: pd.Series, null: pd.Series, key: pd.Series, deal: pd.Series) -> pd.Series:
+        i, no, k = ids.to_numpy(), null.to_numpy(bool), key.to_numpy()
+        part, lead = places.part(i, no, k, deal.to_numpy())
+        if not len(part_of_head):
+            return pd.Series([[p] for p in part.tolist()])
+        slot = np.minimum(np.searchsorted(part_of_head, lead), len(part_of_head) - 1)
+        # a dealt text is the head of a range in its first share only
+        is_head = (part == lead) & (part_of_head[slot] == lead) & (heads_id[slot] == i) & (heads_known[slot] != no) & (heads_key[slot] == k)
+        return pd.Series([[p, b] if h else [p] for p, b, h in zip(part.tolist(), before[slot].tolist(), is_head.tolist(), strict=True)])
 
-    return docs.select("doc_id", "text", F.posexplode(parts_of("doc_id")).alias("head", "part")).repartitionById(parts, "part").sortWithinPartitions("part", "head", "doc_id", "text")
+    both = F.posexplode(parts_of(*at, F.xxhash64(F.monotonically_increasing_id()))).alias("head", "part")
+    return keyed.select("doc_id", "text", "key", both).repartitionById(max(parts, places.outer.parts), "part").sortWithinPartitions("part", "head", "doc_id", "key", "text")
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how near they are.
 
-    The next document is the next row by (doc_id, text); of the last row it is the first. Null
-    texts are empty; rows with one id are ordered by text; a lone document follows itself.
+    The next document is the next row by (doc_id, xxhash64 of the text); of the last row it is the
+    first. Null texts are empty; null ids come first; repeated rows follow each other; a lone
+    document follows itself. Ids are whole numbers (others raise a ``TypeError``).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Results of all rows but the last; one without a successor in its part follows itself."""
+        head, part = (rows.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+        own = head == 0
+        alone = np.flatnonzero(own[:-1] & (part[:-1] != part[1:]))
+        if len(alone):
+            at = np.sort(np.concatenate([np.arange(rows.num_rows), alone]))
+            again = np.append(False, at[1:] == at[:-1])
+            rows, own = rows.take(pa.array(at)), own[at] & ~again
+        out = _compare(Texts(rows.column(1)), k)
+        both = pa.record_batch([rows.column(0).slice(0, rows.num_rows - 1), *[pa.array(v) for v in out.values()]], names)
+        return both.filter(pa.array(own[:-1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row still waits for its successor
-
-        def emit(rows: pa.RecordBatch) -> pa.RecordBatch:
-            out = _compare(Texts(rows.column(1)), k)
-            ids = rows.column(0).slice(0, rows.num_rows - 1)
-            both = pa.record_batch([ids, *[pa.array(v) for v in out.values()]], names)
-            head, part = (rows.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            return both.filter(pa.array((head[:-1] == 0) & (part[:-1] == part[1:])))
-
         for batch in batches:
             for rows in sliced(batch):
                 if held is not None:
@@ -201,6 +273,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
                 if rows.num_rows > 1:
                     yield emit(rows)
                 held = rows.slice(rows.num_rows - 1)
+        if held is not None and held.column(2)[0].as_py() == 0:
+            yield emit(held.take(pa.array([0, 0])))
 
     return successors(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "text", "head", "part").mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import _repeats as R
 from strandweave.llm._arrow import Texts, U, sliced, spans, sums, table
-from strandweave.llm._ranges import range_of, size_and_cuts
+from strandweave.llm._ranges import cut_ranges, part_of, text_bytes
 from strandweave.llm._shared import documents
 
 WINDOW = 50
@@ -168,21 +168,21 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     A byte goes if a string of ``window`` bytes that covers it also starts in a document with a
     smaller doc_id; ``spans`` are the maximal runs that go (byte numbers, both ends in) and
     ``kept`` is the rest. Null and empty texts have no bytes. Rows with one doc_id don't count
-    against each other; a null doc_id is smaller than all others. Other columns are ignored; an
-    empty table gives an empty result.
+    against each other; a null doc_id is smaller than all others. Ids are whole numbers (others
+    raise a ``TypeError``). Other columns are ignored; an empty table gives an empty result.
+
+    Batches are even in bytes. An id with more than a batch of text has batches of its own: they
+    are level, so none of them is earlier than another.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total, cuts = size_and_cuts(docs, min(R.MOST_BATCHES, 1000))
-    n = R.batches_for(total, partitions, BATCH_BYTES)
-    if n < len(cuts) + 1:
-        cuts = sorted({cuts[i * (len(cuts) + 1) // n - 1] for i in range(1, n) if i * (len(cuts) + 1) // n >= 1})
-    elif n > len(cuts) + 1 and cuts:
-        _, cuts = size_and_cuts(docs, n, 10 * n)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_of(cuts).alias("batch"))
+    size = R.batches_for(text_bytes(docs), partitions, BATCH_BYTES)
+    ranges = cut_ranges(docs, size, max(10_000, 10 * size))
+    n, level = ranges.parts, ranges.level()
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("batch", part_of(ranges))
 
     def send(group: pa.Table) -> pa.Table:
         rows = list(_Batch(group, window, gram, n).entries.sends())
@@ -192,7 +192,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     def answer(group: pa.Table) -> pa.Table:
         sizes = group.column("pairs").to_numpy()
         parts = [R.unpack(b.as_buffer(), p) for b, p in zip(group.column("body"), sizes, strict=True)]
-        first, _, several, hot = R.judge(np.repeat(group.column("batch").to_numpy(), sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
+        first, _, several, hot = R.judge(np.repeat(level[group.column("batch").to_numpy()], sizes), *[np.concatenate(x) for x in zip(*parts, strict=True)])
         bits = np.split(np.where(hot, R.HOT, ~first + 4 * several.astype(np.uint8)).astype(np.uint8), np.cumsum(sizes)[:-1])
         return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "round": pa.array(np.ones(len(bits), np.int32)), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
 
@@ -215,7 +215,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
     def look_up(group: pa.Table) -> pa.Table:
         """Sort the suffixes of this bucket's part of the dictionary; a bit for each: an earlier batch has this string."""
-        batch = group.column("batch").to_numpy()
+        batch = level[group.column("batch").to_numpy()]
         sizes = [np.frombuffer(s.as_buffer(), "<i4").astype(np.int64) for s in group.column("sizes")]
         data = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in group.column("body")])
         length = np.concatenate(sizes)

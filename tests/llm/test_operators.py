@@ -258,7 +258,7 @@ def test_mix_gives_whole_documents(spark, docs):
 
 
 def test_fingerprints(spark, docs, empty):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()]
     want, prints = [], collections.defaultdict(set)
     for (i, t), (_, nxt) in zip(rows, [*rows[1:], rows[0]], strict=True):
         half = len(t) // 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +12,14 @@ from strandweave.params import Params
 
 #: The four-letter projection of text.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+#: What else texts are made of mostly; one pass maps it together with the letters.
+MARKS, BLANKS = "0123456789" + string.punctuation, " \t\n\x0b\f\r"
 
 
 def project_dna(text: Column) -> Column:
     """Text as a sequence: letters map to bases, white space goes, anything else is N. White space must go before N is set, else no k-mer survives."""
-    dense = F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), r"\s+", "")
-    return F.regexp_replace(dense, "[^ACGT]", "N")
+    dense = F.translate(F.lower(text), LETTERS + MARKS + BLANKS, BASES + "N" * len(MARKS))  # blanks have no counterpart and go
+    return F.regexp_replace(dense, "[^ACGTN]", "N")
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -46,10 +49,16 @@ def _left(x: Column, s: int, bits: int) -> Column:
 
 
 def hash_steps(k: int) -> list[Callable[[Column], Column]]:
-    """The invertible mix of a 2k-bit number, step by step. Sums stay below 2^63 because every term is masked first."""
+    """The invertible mix of a 2k-bit number, step by step. Sums stay below 2^63 because every term is masked first, or because the number is short: then shifts and sums are a product."""
     bits, mask = 2 * k, (1 << 2 * k) - 1
     cut = lambda x: x.bitwiseAND(F.lit(mask))
     fold = lambda n: lambda x: x.bitwiseXOR(F.shiftright(x, n))
+    if bits <= 31:
+        long = lambda n: F.lit(n).cast("long")
+        return [
+            lambda x: cut(x * long((1 << 21) - 1) - long(1)), lambda x: cut(fold(24)(x) * long(1 + (1 << 3) + (1 << 8))),
+            lambda x: cut(fold(14)(x) * long(1 + (1 << 2) + (1 << 4))), fold(28),
+        ]
     return [
         lambda x: cut((F.lit(mask) - x) + _left(x, 21, bits)), fold(24), lambda x: cut(x + _left(x, 3, bits) + _left(x, 8, bits)),
         fold(14), lambda x: cut(x + _left(x, 2, bits) + _left(x, 4, bits)), fold(28), lambda x: cut(x + _left(x, 31, bits)),

@@ -65,6 +65,48 @@ def test_minimizers_match_the_model(spark, k, w):
     assert sorted(map(tuple, M.minimizers_sql(frame, p).collect())) == want
 
 
+def model_kmers(seq, k):
+    """(pos, hash, strand) of every k-mer without a break."""
+    found = []
+    for i in range(len(seq) - k + 1):
+        kmer = seq[i : i + k]
+        if set(kmer) <= set("ACGT"):
+            other = kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            low = min(kmer, other)
+            found.append((i + k - 1, model_hash(int(low.translate(str.maketrans("ACGT", "0123")), 4), k), int(other < kmer)))
+    return found
+
+
+@pytest.mark.parametrize("k", [1, 4, 15, 16, 28])
+def test_kmers_and_their_sums_match_the_model(spark, k, monkeypatch):
+    rng = random.Random(k)
+    seqs = ["", "ACGT", None, "N" * 40, "A" * 31, *["".join(rng.choice("ACGTN" + "ACGT" * 20) for _ in range(n)) for n in (k, 30, 31, 32, 700)]]
+    frame = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").coalesce(1)
+    rows = {i: model_kmers(s or "", k) for i, s in enumerate(seqs)}
+    assert sorted(map(tuple, M.kmers(frame, Params(k=k)).collect())) == sorted((i, *r) for i, rs in rows.items() for r in rs)
+    if k > 16:
+        frame = frame.where(F.length("seq") < 100)  # longer sums pass a long
+        rows = {i: rs for i, rs in rows.items() if len(seqs[i] or "") < 100}
+    want = sorted((i, len(rs), sum(r[1] for r in rs), max(r[1] for r in rs), sum(r[2] for r in rs)) for i, rs in rows.items() if rs)
+    monkeypatch.setattr(M, "SLICE", 64)
+    assert sorted(map(tuple, M.kmer_sums(frame, Params(k=k)).collect())) == want
+
+
+def test_sql_minimizers_need_no_sort_and_no_shuffle(spark):
+    """A task once held and sorted all k-mers of its texts: a row each, a hundred times the text."""
+    frame = spark.createDataFrame([(7, "ACGT" * 99)], "seq_id long, seq string")
+    text = M.minimizers_sql(frame)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in text for x in ("Sort", "Exchange", "Window", "Python"))
+
+
+@pytest.mark.parametrize(("k", "w"), [(28, 255), (26, 255), (15, 1), (1, 7)])
+def test_minimizers_agree_at_the_ends_of_their_ranges(spark, k, w):
+    rng = random.Random(k + w)
+    frame = spark.createDataFrame([(1, "".join(rng.choice("ACGT") for _ in range(1500))), (2, "ACGT" * 200 + "N" + "A" * 400)], "seq_id long, seq string")
+    p = Params(k=k, w=w)
+    assert sorted(map(tuple, M.minimizers_sql(frame, p).collect())) == sorted(map(tuple, M.minimizers(frame, p).collect())) != []
+
+
 def test_long_sequences_cross_pieces(spark):
     rng = random.Random(1)
     seq = "".join(rng.choice("ACGT") for _ in range(5000))

@@ -59,8 +59,7 @@ def dna_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_hash(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.kmers(_contigs(spark, sf), P, "contig_id", "seq")
-    return rows.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("hash").alias("hash_sum"), F.max("hash").alias("hash_max"), F.sum(F.col("strand").cast("long")).alias("n_reverse"))
+    return M.kmer_sums(_contigs(spark, sf), P, "contig_id", "seq")
 
 
 def _mini(rows: DataFrame, name: str) -> DataFrame:

@@ -37,8 +37,8 @@ def capped(hits: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def under_cap(hits: DataFrame, counts: DataFrame, params: Params | None = None) -> DataFrame:
-    """``hits`` whose hash has no more than ``freq_cap`` of them by ``counts(hash, n)``."""
-    return hits.join(counts.where(F.col("n") > check(params).freq_cap).select("hash"), "hash", "left_anti")
+    """``hits`` whose hash has no more than ``freq_cap`` of them by ``counts(hash, n)``. The others are kept first: where these are few, as their size then tells, hits stay where they are."""
+    return hits.join(stored(counts.where(F.col("n") > check(params).freq_cap).select("hash").coalesce(8)), "hash", "left_anti")
 
 
 def build_index(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None) -> DataFrame:
@@ -61,12 +61,26 @@ def index_part(hash_: Column, params: Params | None = None) -> Column:
     return shard_id(hash_, min(check(params).shard_bits, PART_BITS))
 
 
+#: Hits that a file of a stored index should hold.
+FILE_HITS = 1 << 20
+
+
+def fit_buckets(hits: int, params: Params | None = None) -> int:
+    """Buckets of an index of so many hits, so that files hold about ``FILE_HITS`` each: their number follows the index and not the cluster."""
+    return max(1, -(-hits // (FILE_HITS << min(check(params).shard_bits, PART_BITS))))
+
+
 def store_index(index: DataFrame, path: str, buckets: int, params: Params | None = None) -> DataFrame:
-    """Store the index at ``path``, bucketed and sorted by hash inside a folder for each of a few groups of shards."""
-    rows = index.withColumn("part", index_part(F.col("hash"), params)).repartition(buckets, "hash").sortWithinPartitions("part", "hash", "contig_id", "pos")
+    """Store the index at ``path``, bucketed and sorted by hash inside a folder for each of a few groups of shards.
+
+    Each bucket of a folder is one file, written by one task; the writer sorts.
+    """
+    bucket = F.pmod(F.hash("hash"), F.lit(buckets))  # as Spark's writer has it
+    parts = max(buckets, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << PART_BITS)
+    rows = index.withColumn("part", index_part(F.col("hash"), params)).repartition(parts, "part", bucket)
     name = _table(path)
     index.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    rows.write.partitionBy("part").bucketBy(buckets, "hash").sortBy("hash").option("path", path).mode("overwrite").saveAsTable(name)
+    rows.write.partitionBy("part").bucketBy(buckets, "hash").sortBy("hash", "contig_id", "pos").option("path", path).mode("overwrite").saveAsTable(name)
     return index.sparkSession.table(name)
 
 

@@ -42,25 +42,26 @@ class Reference:
 def build_reference(spark: SparkSession, fasta: str, path: str, reference_id: str, params: Params | None = None, taxid: int = 0, buckets: int | None = None, size: int = SIZE) -> Reference:
     """FASTA to ``path``: contigs, chunks and index as Parquet, ``layout.json`` and ``reference.json``.
 
-    The index has ``buckets`` buckets by hash (as many as there are shuffle partitions if not
-    given). Sizes and hashes of the files are worked out by executors from the stored files; the
+    The index has ``buckets`` buckets by hash (as its size asks for if not given, see
+    ``fit_buckets``). Sizes and hashes of the files are worked out by executors from the stored files; the
     driver only sees the manifest.
     """
     p = check(params)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with scratch(spark):
         fasta_ = read_fasta_chunks(spark, fasta, size)
         fasta_.names.write.mode("overwrite").parquet(f"{path}/contigs")
         fasta_.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     with scratch(spark):
-        _write_index(spark, path, reference_id, p, taxid, buckets)
+        buckets = _write_index(spark, path, reference_id, p, taxid, buckets)
     layout = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(size).alias("chunk_size"))
     layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout.json")
     return open_reference(spark, path)
 
 
-def _write_index(spark: SparkSession, path: str, reference_id: str, p: Params, taxid: int, buckets: int) -> None:
-    hits = stored(I.seed_hits(None, p, spark.read.parquet(f"{path}/chunks")))
+def _write_index(spark: SparkSession, path: str, reference_id: str, p: Params, taxid: int, buckets: int | None) -> int:
+    seen = Observation()
+    hits = stored(I.seed_hits(None, p, spark.read.parquet(f"{path}/chunks")).observe(seen, F.count(F.lit(1)).alias("hits")))
+    buckets = buckets or I.fit_buckets(told(seen, "hits"), p)
     counts = stored(I.seed_counts(hits))  # for the cap and for the manifest
     index = I.under_cap(hits, counts, p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
     I.store_index(index, f"{path}/index", buckets, p)
@@ -69,6 +70,7 @@ def _write_index(spark: SparkSession, path: str, reference_id: str, p: Params, t
     name = F.regexp_extract("path", "(contigs|chunks|index)/[^/]+(/[^/]+)?$", 0)  # from the reference's own folder on
     about = I.manifest(I.count_stats(counts, p), spark.read.parquet(f"{path}/contigs"), files.select(name.alias("path"), "size", "sha256"), reference_id, p, taxid)
     about.coalesce(1).write.mode("overwrite").text(f"{path}/reference.json")
+    return buckets
 
 
 def open_reference(spark: SparkSession, path: str) -> Reference:

@@ -119,3 +119,21 @@ def test_digests_do_not_depend_on_blocks(tmp_path, block):
     for size in (0, 1, 7, 100):
         (tmp_path / "f").write_bytes(bytes(range(size)))
         assert files.digest(f"file:{tmp_path}/f", block) == files.digest(f"file://{tmp_path}/f", block) == hashlib.sha256(bytes(range(size))).hexdigest()
+
+
+def test_files_of_an_index_follow_its_size(spark, folder, tmp_path):
+    """They were 64 for each shuffle partition, so a larger cluster made more and smaller files."""
+    assert [I.fit_buckets(n) for n in (0, 1, 64 * I.FILE_HITS, 64 * I.FILE_HITS + 1, 1000 * 64 * I.FILE_HITS)] == [1, 1, 1, 2, 1000]
+    ref = R.build_reference(spark, str(folder / "ref.fa"), str(tmp_path / "fitted"), "fitted", size=512)
+    rows = ref.index.select(F.input_file_name().alias("file"), "hash", "contig_id", "pos", "strand").collect()
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r[0], []).append(tuple(r)[1:])
+    assert len(by_file) <= 64 and all(x == sorted(x) for x in by_file.values())
+    assert sorted(tuple(r)[1:] for r in rows) == sorted(map(tuple, reopened(spark, folder).index.select("hash", "contig_id", "pos", "strand").collect()))
+
+
+def test_few_heavy_seeds_leave_hits_where_they_are(spark):
+    hits = spark.createDataFrame([(1, 0, i, 0) for i in range(9)] + [(2, 0, 50, 1)], "hash long, contig_id long, pos long, strand int")
+    found = I.under_cap(hits, I.seed_counts(hits), Params(freq_cap=8))
+    assert "SortMergeJoin" not in plan(found) and [tuple(r) for r in found.collect()] == [(2, 0, 50, 1)]

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def per_group(frame: DataFrame, key: str, order: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+def per_group(frame: DataFrame, key: str, order: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, together: int = 0) -> DataFrame:
     """Partition by ``key``, sort by ``order`` (which starts with it) and call ``work(rows, bounds)``.
 
     ``rows`` hold whole groups of ``key`` only; ``bounds`` are their edges. Groups are spread by
-    Spark; a task holds an Arrow batch and the group that crosses its end, no more.
+    Spark; a task holds an Arrow batch and the group that crosses its end, no more, or with
+    ``together`` as many rows, where ``work`` gains from many groups at a time.
     """
 
     def edges(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -22,6 +23,7 @@ def per_group(frame: DataFrame, key: str, order: list[str], work: Callable[[pa.T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        held = 0
 
         def flush() -> pa.RecordBatch | None:
             rows = pa.Table.from_batches(waiting).combine_chunks()
@@ -31,19 +33,19 @@ def per_group(frame: DataFrame, key: str, order: list[str], work: Callable[[pa.T
             if not batch.num_rows:
                 continue
             at = batch.schema.get_field_index(key)
-            if waiting and waiting[-1].column(at)[-1].as_py() != batch.column(at)[0].as_py():
+            if waiting and held >= together and waiting[-1].column(at)[-1].as_py() != batch.column(at)[0].as_py():
                 if (out := flush()) is not None:
                     yield out
-                waiting = []
+                waiting, held = [], 0
             inner = edges(batch.column(at))
-            if len(inner):
-                cut = int(inner[-1])
+            cut = int(inner[-1]) if len(inner) else 0
+            if cut and held + cut >= together:
                 waiting.append(batch.slice(0, cut))
                 if (out := flush()) is not None:
                     yield out
-                waiting = [batch.slice(cut)]
-            else:
-                waiting.append(batch)
+                waiting, held, batch = [], 0, batch.slice(cut)
+            waiting.append(batch)
+            held += batch.num_rows
         if waiting and (out := flush()) is not None:
             yield out
 

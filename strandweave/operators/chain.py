@@ -7,6 +7,10 @@ size together, in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,18 +57,27 @@ def scores(q: np.ndarray, r: np.ndarray, joint: int, p: Params) -> tuple[np.ndar
 NEAR = 256
 #: Places of a group of buckets that are worked on together.
 TOGETHER = 1 << 19
+#: Buckets of more anchors than ``LARGE``, and of ``DENSE`` for each of their places on the contig, are worked on by places.
+LARGE, DENSE = 1000, 4
 
 
 def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """``scores`` of many buckets [edges[i], edges[i + 1]), largest first, many of about one size together, an anchor of each at a time.
 
     An anchor is compared with the ``NEAR`` ones before it, and then only with those of its band
-    (``reach``) whose score could still win: a step adds k at most.
+    (``reach``) whose score could still win: a step adds k at most. In a large bucket with many
+    anchors at each place of the contig (a repeat) those of a place are worked on together.
     """
     f, back = np.full(len(q), float(p.k)), np.full(len(q), -1)
     size = np.diff(edges)
+    left = size > 1
+    for b in np.flatnonzero(size > LARGE).tolist():
+        at = slice(int(edges[b]), int(edges[b + 1]))
+        if size[b] >= DENSE * (1 + np.count_nonzero(np.diff(r[at]))):
+            f[at], back[at] = _by_place(r[at], -q[at] if joint[edges[b]] else q[at], p)
+            left[b] = False
     order = np.argsort(-size, kind="stable")
-    order = order[size[order] > 1]
+    order = order[left[order]]
     done = 0
     while done < len(order):
         n = int(size[order[done]])
@@ -75,7 +88,8 @@ def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p
         column = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         at = np.repeat(edges[part], many) + column
         rr, ss, lows = (np.zeros((len(part), n), np.int64) for _ in range(3))
-        rr[row, column], ss[row, column] = r[at], np.where(joint[at] != 0, -q[at], q[at])
+        sign = np.where(joint[at] != 0, -q[at], q[at])
+        rr[row, column], ss[row, column] = r[at], sign - np.repeat(np.minimum.reduceat(sign, np.cumsum(many) - many), many)  # from 0, as the places left over have it
         for k, m in enumerate(many.tolist() if n > NEAR else ()):
             lows[k, :m] = np.searchsorted(rr[k, :m], rr[k, :m] - reach(ss[k, :m], p), "left")
         ff, bb = _lockstep(rr, ss, lows, many, p)
@@ -92,18 +106,55 @@ def _gain(gap_q: np.ndarray, gap_r: np.ndarray, p: Params) -> np.ndarray:
     return np.where(ok, np.minimum(np.minimum(gap_q, gap_r), p.k) - cost, -np.inf)
 
 
+#: Drifts that a table of gains may have.
+TABLE = 1 << 12
+
+
+@lru_cache(maxsize=8)
+def _gains(p: Params) -> np.ndarray:
+    """``_gain`` by lesser gap (0: none, k: k or more) and drift (the last one: too much)."""
+    least, drift = np.arange(p.k + 1)[:, None], np.arange(p.max_drift + 1)[None]
+    table = np.full((p.k + 1, p.max_drift + 2), -np.inf)
+    far = replace(p, max_gap=p.k + p.max_drift)
+    table[:, :-1] = _gain(least + 0 * drift, least + drift, far)
+    return table.ravel()
+
+
+def _steps(s: np.ndarray, p: Params) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``_gain`` for buckets whose places on the read are in ``s``: a table, where no gap of the allowed drift can be too wide. Changes its first argument."""
+    if p.max_drift > TABLE or int(s.max() - s.min()) + p.max_drift > p.max_gap:
+        return lambda gap_q, gap_r: _gain(gap_q, gap_r, p)
+    table = _gains(p)
+
+    def gain(gap_q: np.ndarray, gap_r: np.ndarray) -> np.ndarray:
+        least = np.minimum(gap_q, gap_r)
+        gap_q -= gap_r
+        np.abs(gap_q, out=gap_q)
+        np.minimum(gap_q, p.max_drift + 1, out=gap_q)
+        least.clip(0, p.k, out=least)
+        least *= p.max_drift + 2
+        least += gap_q
+        return table.take(least)
+
+    return gain
+
+
 def _lockstep(rr: np.ndarray, ss: np.ndarray, lows: np.ndarray, many: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Scores and predecessors of buckets as rows, the longest first; ``many`` anchors each."""
     ff, bb = np.full(rr.shape, float(p.k)), np.full(rr.shape, -1)
-    gap = ss - rr
     live = np.searchsorted(-many, -np.arange(rr.shape[1]), "left")  # rows that are longer than a column's number
+    gain = _steps(ss, p)
+    gap = ss - rr
     for i in range(1, rr.shape[1]):
         n, x = int(live[i]), max(0, i - NEAR)
-        value = ff[:n, x:i] + _gain(ss[:n, i, None] - ss[:n, x:i], rr[:n, i, None] - rr[:n, x:i], p)
+        value = gain(ss[:n, i, None] - ss[:n, x:i], rr[:n, i, None] - rr[:n, x:i])
+        value += ff[:n, x:i]
         which = i - 1 - value[:, ::-1].argmax(1)  # of equal values the nearest
         best = value[np.arange(n), which - x]
         better = best > p.k
         ff[:n, i][better], bb[:n, i][better] = best[better], which[better]
+        if not x:
+            continue
         low = int(lows[:n, i].min())
         if low >= x:
             continue
@@ -123,27 +174,85 @@ def _lockstep(rr: np.ndarray, ss: np.ndarray, lows: np.ndarray, many: np.ndarray
     return ff, bb
 
 
-def extract(f: np.ndarray, back: np.ndarray, p: Params) -> list[tuple[float, list[int]]]:
-    """Up to ``top_k`` chains, best end first. A walk that meets a used anchor stops there but keeps its full score; single anchors give no chain, though the attempt counts."""
-    f, back = f.tolist(), back.tolist()
-    order = sorted((i for i, x in enumerate(f) if x > p.k), key=lambda i: -f[i])  # stable: equal scores by place
-    used = [False] * len(f)
-    out: list[tuple[float, list[int]]] = []
-    attempt = 0
-    for end in order:
-        if attempt == p.top_k:
+def _by_place(r: np.ndarray, s: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and predecessors of one bucket: anchors of one place of the contig can't precede each other, so they are compared with those before them at once."""
+    f, back = np.full(len(r), float(p.k)), np.full(len(r), -1)
+    gap, gain = s - r, _steps(s, p)
+    places = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(r))
+    lows = np.searchsorted(r, r[places[:-1]] - reach(s, p), "left")
+    for first, stop, low in zip(places[1:-1].tolist(), places[2:].tolist(), lows[1:].tolist(), strict=True):
+        x = max(low, first - NEAR)
+        many = max(1, TOGETHER // max(NEAR, first - low))
+        for a in range(first, stop, many):
+            b = min(stop, a + many)
+            value = f[x:first] + gain(s[a:b, None] - s[x:first], r[a] - r[x:first])
+            which = value.shape[1] - 1 - value[:, ::-1].argmax(1) if first > x else None  # of equal values the nearest
+            if which is not None:
+                best = value[np.arange(b - a), which]
+                better = best > p.k
+                f[a:b][better], back[a:b][better] = best[better], x + which[better]
+            if low == x:
+                continue
+            must = f[a:b] - (p.k + 1e-6)
+            c = low + np.flatnonzero((f[low:x] > must.min()) & (s[low:x] < s[a:b].max()) & (gap[low:x] >= gap[a:b].min() - p.max_drift) & (gap[low:x] <= gap[a:b].max() + p.max_drift))
+            could = f[c] > must[:, None]
+            could &= s[c] < s[a:b, None]
+            could &= np.abs(gap[c] - gap[a:b, None]) <= p.max_drift
+            k, j = np.nonzero(could)
+            if not len(k):
+                continue
+            j = c[j]
+            value = f[j] + _gain(s[a + k] - s[j], r[a] - r[j], p)
+            win = value > f[a + k]
+            k, j, value = k[win], j[win], value[win]
+            if len(k):
+                last = np.lexsort((j, value, k))
+                last = last[np.append(k[last][1:] != k[last][:-1], True)]
+                f[a + k[last]], back[a + k[last]] = value[last], j[last]
+    return f, back
+
+
+def extract(f: np.ndarray, back: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``top_k`` chains of each bucket [edges[i], edges[i + 1]), best end first: rank, score and size of each, and the anchors of all.
+
+    A walk that meets a used anchor stops there but keeps its full score; single anchors give no
+    chain, though the attempt counts. All buckets make their first attempt together, then their
+    second, and so on; buckets don't share anchors.
+    """
+    bucket = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    before = np.where(back >= 0, back + edges[:-1][bucket], -1)
+    ends = np.flatnonzero(f > p.k)
+    ends = ends[np.lexsort((ends, -f[ends], bucket[ends]))]  # equal scores by place
+    used = np.zeros(len(f), bool)
+    none = np.zeros(0, np.int64)
+    heads, sizes, parts = [none], [none], [none]
+    for attempt in range(p.top_k):
+        ends = ends[~used[ends]]
+        if not len(ends):
             break
-        if used[end]:
-            continue
-        i, members = end, []
-        while i >= 0 and not used[i]:
-            used[i] = True
-            members.append(i)
-            i = back[i]
-        if len(members) > 1 or not attempt:
-            out.append((f[end], members[::-1]))
-        attempt += 1
-    return out
+        head = ends[np.append(True, bucket[ends][1:] != bucket[ends][:-1])]
+        step, who, at = head, np.arange(len(head)), []
+        while len(step):
+            used[step] = True
+            at.append((who, step))
+            step = before[step]
+            on = step >= 0
+            on[on] = ~used[step[on]]
+            step, who = step[on], who[on]
+        who, found = (np.concatenate(x) for x in zip(*at[::-1]))  # first anchors first
+        order = np.argsort(who, kind="stable")
+        size = np.bincount(who, minlength=len(head))
+        real = size > 1 if attempt else np.ones(len(head), bool)
+        heads.append(head[real])
+        sizes.append(size[real])
+        parts.append(found[order][real[who[order]]])
+    head, size, member = (np.concatenate(x) for x in (heads, sizes, parts))
+    order = np.argsort(bucket[head], kind="stable")  # by bucket, then by attempt
+    first = np.cumsum(size) - size
+    own = bucket[head][order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own, "left")
+    at = np.repeat(first[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(member))
+    return rank, f[head][order], size[order], member[at]
 
 
 def _edges(read: np.ndarray, contig: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -152,39 +261,51 @@ def _edges(read: np.ndarray, contig: np.ndarray, joint: np.ndarray) -> np.ndarra
     return np.concatenate([[0], new, [len(read)]]) if len(read) else np.zeros(1, np.int64)
 
 
-def chain_anchors(anchors: DataFrame, params: Params | None = None) -> DataFrame:
+#: Rows that a task chains together; more where one read has more.
+ROWS = 1 << 20
+
+
+def least_anchors(p: Params) -> int:
+    """Buckets of fewer anchors decide no placement.
+
+    A chain needs ``min_anchors`` for a fragment or an alternate. A shorter one could still be a
+    read's best and set the score floor, but n anchors score n * k at most and every chain scores
+    more than k, so that floor is no bar if the share it is of n * k is k or less.
+    """
+    return max(2, p.min_anchors) if p.min_score_ratio * (p.min_anchors - 1) <= 1 else 2
+
+
+def chain_anchors(anchors: DataFrame, params: Params | None = None, least: int = 2, members: bool = True) -> DataFrame:
     """Chains of ``anchors(read_id, q_pos, contig_id, ref_pos, joint, hash)``; see CHAIN_SCHEMA.
 
     The span starts k - 1 before the first anchors' last bases and is widened by ``window_ext``;
     like the method it follows, it isn't clamped to the read or contig unless ``clamp`` is set
-    later. Rows with a null key or position are left out; a null hash counts as distinct.
+    later. Rows with a null key or position are left out; a null hash counts as distinct. Buckets
+    of fewer than ``least`` anchors are left out; without ``members`` there is no column ``anchors``.
+    Spark sorts by read only; inside many reads together numpy sorts.
     """
     p = check(params)
     columns = ["read_id", "contig_id", "joint", "ref_pos", "q_pos", "hash"]
     keyed = anchors.select(*[F.col(c).cast("int" if c == "joint" else "long").alias(c) for c in columns]).dropna(subset=columns[:5])
-    names = [x.split()[0] for x in CHAIN_SCHEMA.split(", ")]
+    schema = CHAIN_SCHEMA if members else CHAIN_SCHEMA[: CHAIN_SCHEMA.index(", anchors ")]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         read, contig, joint, r, q = (rows.column(c).to_numpy() for c in columns[:5])
-        hashes, known = rows.column("hash").fill_null(0).to_numpy(), rows.column("hash").is_valid().to_numpy()
-        edges = _edges(read, contig, joint)
-        f, back = scored(q, r, joint, edges, p)
-        if not len(f):
+        order = np.lexsort((joint, contig, read))
+        size = np.diff(_edges(read[order], contig[order], joint[order]))
+        order = order[np.repeat(size >= max(2, least), size)]  # one anchor makes no chain
+        if not len(order):
             return None
-        top = np.maximum.reduceat(f, edges[:-1])
-        lead, rank, score, members = [], [], [], []
-        for g in np.flatnonzero(top > p.k).tolist():  # the others hold no chain
-            lo, hi = int(edges[g]), int(edges[g + 1])
-            for k, (s, way) in enumerate(extract(f[lo:hi], back[lo:hi], p)):
-                lead.append(lo)
-                rank.append(k)
-                score.append(s)
-                members.append(np.array(way) + lo)
-        if not lead:
+        order = order[np.lexsort([x[order] for x in (q, r, joint, contig, read)])]
+        read, contig, joint, r, q = (x[order] for x in (read, contig, joint, r, q))
+        hashes, known = rows.column("hash").fill_null(0).to_numpy()[order], rows.column("hash").is_valid().to_numpy()[order]
+        edges = _edges(read, contig, joint)
+        rank, score, size, at = extract(*scored(q, r, joint, edges, p), edges, p)
+        if not len(rank):
             return None
-        size = np.array([len(m) for m in members])
         first = np.cumsum(size) - size
-        at, lead = np.concatenate(members), np.array(lead)
+        lead = at[first]
         low = lambda x: np.minimum.reduceat(x[at], first)
         high = lambda x: np.maximum.reduceat(x[at], first) + 1 + p.window_ext
         q0, r0 = np.maximum(0, low(q) - p.k + 1), np.maximum(0, low(r) - p.k + 1)
@@ -193,11 +314,13 @@ def chain_anchors(anchors: DataFrame, params: Params | None = None) -> DataFrame
         order = np.lexsort((hashes[at], owner))
         new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (hashes[at][order][1:] != hashes[at][order][:-1]))
         unique = np.where(np.minimum.reduceat(known[at].astype(int), first) > 0, np.bincount(owner, new, len(size)).astype(int), size)
-        pairs = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(q[at]), pa.array(r[at])], ["q_pos", "ref_pos"]))
         i4 = lambda x: pa.array(np.asarray(x, np.int32))
-        return pa.record_batch([pa.array(read[lead]), pa.array(contig[lead]), i4(joint[lead]), i4(rank), pa.array(q0 - e), pa.array(high(q)), pa.array(r0 - e), pa.array(high(r)), pa.array(np.array(score, float)), i4(size), i4(unique), pairs], names)
+        out = [pa.array(read[lead]), pa.array(contig[lead]), i4(joint[lead]), i4(rank), pa.array(q0 - e), pa.array(high(q)), pa.array(r0 - e), pa.array(high(r)), pa.array(score), i4(size), i4(unique)]
+        if members:
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(q[at]), pa.array(r[at])], ["q_pos", "ref_pos"])))
+        return pa.record_batch(out, names)
 
-    return per_group(keyed, "read_id", ["read_id", "contig_id", "joint", "ref_pos", "q_pos"], work, CHAIN_SCHEMA)
+    return per_group(keyed, "read_id", ["read_id"], work, schema, ROWS)
 
 
 def chain_scores(anchors: DataFrame, params: Params | None = None) -> DataFrame:

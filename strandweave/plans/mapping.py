@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.seeds import check, project_dna
 from strandweave.operators._store import spread, stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
-from strandweave.operators.chain import chain_anchors
+from strandweave.operators.chain import chain_anchors, least_anchors
 from strandweave.operators.chunks import SIZE
 from strandweave.operators.index import build_index
 from strandweave.operators.refine import refine_endpoints
@@ -26,8 +26,13 @@ class Mapping:
 
     seeds: DataFrame
     anchors: DataFrame
-    chains: DataFrame
     placements: DataFrame
+    all_chains: Callable[[], DataFrame]
+
+    @property
+    def chains(self) -> DataFrame:
+        """All chains with their anchors, those too short for a placement too; made when asked for, as placements need less."""
+        return self.all_chains()
 
 
 def map_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None, chunks: DataFrame | None = None, size: int = SIZE) -> Mapping:
@@ -46,16 +51,20 @@ def map_seeds(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, params: Pa
     """``map_reads`` from the reads' seeds on; ``watch`` gets the anchors on their way to the chains (to observe or to keep them); ``heavy`` are seeds that very many reads have."""
     p = check(params)
     anchors = watch(seed_anchors(seeds, index, heavy))
-    chains = chain_anchors(anchors, p)
-    if p.refine:
-        chains = refine_endpoints(stored(chains), reads, contigs, p, chunks, size)  # chains are read twice: for the flanks to fetch and to extend
-    if p.clamp:
-        lengths = contigs.select(F.col("contig_id").alias("_c"), (F.col("length") if "length" in contigs.columns else F.length("seq")).alias("_m"))
-        sizes = reads.select(F.col("read_id").alias("_r"), F.length("seq").alias("_n"))
-        wide = chains.join(sizes, F.col("read_id") == F.col("_r")).join(lengths, F.col("contig_id") == F.col("_c"))
-        ends = {"q_end": F.least("q_end", F.col("_n").cast("long")), "ref_end": F.least("ref_end", F.col("_m").cast("long"))}
-        chains = wide.select(*[ends[c].alias(c) if c in ends else F.col(c) for c in chains.columns])
-    return Mapping(seeds, anchors, chains, select_fragments(chains, p))
+
+    def spanned(chains: DataFrame) -> DataFrame:
+        if p.refine:
+            chains = refine_endpoints(stored(chains), reads, contigs, p, chunks, size)  # chains are read twice: for the flanks to fetch and to extend
+        if p.clamp:
+            lengths = contigs.select(F.col("contig_id").alias("_c"), (F.col("length") if "length" in contigs.columns else F.length("seq")).alias("_m"))
+            sizes = reads.select(F.col("read_id").alias("_r"), F.length("seq").alias("_n"))
+            wide = chains.join(sizes, F.col("read_id") == F.col("_r")).join(lengths, F.col("contig_id") == F.col("_c"))
+            ends = {"q_end": F.least("q_end", F.col("_n").cast("long")), "ref_end": F.least("ref_end", F.col("_m").cast("long"))}
+            chains = wide.select(*[ends[c].alias(c) if c in ends else F.col(c) for c in chains.columns])
+        return chains
+
+    placements = select_fragments(spanned(chain_anchors(anchors, p, least_anchors(p), members=False)), p)
+    return Mapping(seeds, anchors, placements, lambda: spanned(chain_anchors(anchors, p)))
 
 
 def map_to_sam(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None) -> DataFrame:

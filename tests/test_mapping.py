@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,52 @@ def test_sam_header_and_select_schema(spark, genome):
     head = [r.value for r in sam.sam_header(contigs).orderBy("part", "contig_id").collect()]
     assert head[0] == "@HD\tVN:1.6\tSO:unsorted" and head[1] == "@SQ\tSN:chr1\tLN:20000" and head[-1].startswith("@PG")
     assert select_fragments(map_reads(reads.limit(0), contigs).chains).count() == 0
+
+
+def test_repeats_by_place_equal_the_plain_recurrence():
+    """A large bucket with many anchors at each place, on both strands, in any slices, with and without the table of gains."""
+    from strandweave.operators import chain
+
+    rng = np.random.default_rng(5)
+    q = rng.integers(0, 40, 1600) * 9 + 14
+    r = np.repeat(np.arange(100) * 7, 16) + 14
+    q, r = np.unique(np.stack([r, q], 1), axis=0)[:, ::-1].T
+    assert len(q) > chain.LARGE and len(q) >= chain.DENSE * len(np.unique(r))
+    for p in (Params(), Params(max_gap=90), Params(max_drift=0), Params(max_drift=5000)):
+        for joint in (0, 1):
+            f, back = scores(q, r, joint, p)
+            got = scored(q, r, np.full(len(q), joint), np.array([0, len(q)]), p)
+            assert (got[0] == f).all() and (got[1] == back).all()
+
+
+def test_buckets_too_small_for_a_placement_never_change_one(spark):
+    """A pair of anchors that outscores a longer chain: the chain is placed with and without the pair, and only all chains show the pair."""
+    from strandweave.operators.chain import least_anchors
+    from strandweave.operators.select import select_fragments
+
+    p = Params()
+    rows = [(1, q, 7, q + 5, 0, q) for q in (20, 50)] + [(1, q, 8, 5 * q, 0, q) for q in (20, 30, 40)] + [(2, 20, 7, 30, 0, 1)]
+    anchors = spark.createDataFrame(rows, ANCHOR)
+    few, every = chain_anchors(anchors, p, least_anchors(p), members=False), chain_anchors(anchors, p)
+    assert least_anchors(p) == 3 and {x.contig_id for x in few.collect()} == {8} and {x.contig_id for x in every.collect()} == {7, 8}
+    assert [x.asDict() for x in select_fragments(few, p).collect()] == [x.asDict() for x in select_fragments(every, p).collect()]
+    assert least_anchors(Params(min_score_ratio=0.6)) == 2 and least_anchors(Params(min_anchors=1)) == 2
+
+
+def test_groups_come_together(spark):
+    """Many small groups in many Arrow batches reach the work in one call."""
+    from strandweave.operators._groups import per_group
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        frame = spark.range(1000).selectExpr("id div 4 AS k", "id AS v")
+        count = lambda rows, bounds: pa.record_batch([pa.array([len(bounds) - 1]), pa.array([rows.num_rows])], ["groups", "n"])
+        for together, least, most in ((0, 80, 250), (200, 5, 5), (1 << 20, 1, 1)):
+            got = per_group(frame, "k", ["k"], count, "groups long, n long", together).collect()
+            assert sum(x.n for x in got) == 1000 and sum(x.groups for x in got) == 250
+            assert least <= len(got) <= most
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

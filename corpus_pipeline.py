@@ -17,22 +17,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm import decontaminate, mixing, neardup, sharding, toxicity
+from strandweave.llm._arrow import small_batches
 from strandweave.llm._shared import shared_dir
 from strandweave.operators._store import scratch
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity trees score below the threshold stay, one by one."""
+    small_batches(spark)
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the row with the least doc_id stays; a class without any keeps one row."""
+    small_batches(spark)
     return neardup.keep_first(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item stay, one by one, whatever their doc_id."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

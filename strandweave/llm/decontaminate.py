@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm._arrow import Texts, owners, prefix_hash, sliced, spans, table
+from strandweave.llm._arrow import Texts, frugal, owners, prefix_hash, sliced, spans, table
 from strandweave.llm._shared import documents, keep
 
 TILE = 64
@@ -114,6 +114,7 @@ def numbered(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, v): the words of each whole text as 32-bit vocabulary numbers, -1 for other words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
@@ -143,6 +144,7 @@ def count_words(rows: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     """In how many tiles of the corpus each benchmark word is, and how many tiles there are."""
     width = len(bench.vocabulary) + 1
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in batches:
@@ -203,6 +205,7 @@ def gram(rows: DataFrame, bench: Benchmark, m: np.ndarray) -> np.ndarray:
     size, width = m.shape
     weight = np.vstack([bench.idf[:, None] * m, np.zeros((1, width))]).astype(np.float32)
 
+    @frugal
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, width))
         for batch in batches:
@@ -214,6 +217,7 @@ def gram(rows: DataFrame, bench: Benchmark, m: np.ndarray) -> np.ndarray:
         some = [k for k in range(0, size, ROWS) if out[k : k + ROWS].any()]
         yield pa.record_batch([pa.array(np.array(some, np.int64) // ROWS), pa.array([out[k : k + ROWS].tobytes() for k in some], pa.binary())], ["k", "x"])
 
+    @frugal
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -394,6 +398,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for bench, numbers in models(docs.select("doc_id", "text"), benchmark):
         model = spark.sparkContext.broadcast(bench)  # bounded by BLOCK_WORDS x RANK numbers
 
+        @frugal
         def search(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in sliced(batch, "v"):
@@ -424,6 +429,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for bench, _ in models(docs.select(F.lit(0).alias("doc_id"), "text"), benchmark):
         model = spark.sparkContext.broadcast(bench)
 
+        @frugal
         def clean(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in sliced(batch, batch.schema.field(at).name):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm._arrow import Texts, U, mix, prefix_hash, shingles, sliced, spans, table
+from strandweave.llm._arrow import Texts, U, frugal, mix, prefix_hash, shingles, sliced, spans, table
 from strandweave.llm._components import components
 from strandweave.llm._shared import documents, keep
 
@@ -163,6 +163,7 @@ def node_key(text: Column) -> list[Column]:
 def signatures(docs: DataFrame) -> DataFrame:
     """Band keys of each distinct text: (k1, k2, size, bands array<long>); texts without words have none."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
@@ -211,6 +212,7 @@ def similar(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK) -> tupl
     names = ["band", "key", "i", "j", "k1", "k2", "text", "first_id"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []  # rows of the group that may go on
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm._arrow import Texts, mix, owners, prefix_hash, sliced, spans, sums, table
+from strandweave.llm._arrow import Texts, frugal, mix, owners, prefix_hash, sliced, spans, sums, table
 from strandweave.llm._shared import documents, keep, labels, within
 from strandweave.llm._trees import fit_isotonic, fit_trees, predict_isotonic, predict_trees
 
@@ -144,6 +144,7 @@ def stem_counts(sample: DataFrame) -> DataFrame:
         add = lambda x: np.add.reduceat(x[order], new) if len(new) else x[:0]
         return key[new], fold[new], add(t), add(n)
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # counts of slices, joined before they grow large
 
@@ -201,6 +202,7 @@ def train(docs: DataFrame, marks: DataFrame, rows: int = FIT_ROWS) -> dict:
     sample = within(keep(labelled(docs, marks, rows)), rows)
     *folds, lexicon = learn_lexicons(sample)
 
+    @frugal
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
@@ -238,6 +240,7 @@ def with_score(docs: DataFrame, model: dict, column: str = "toxicity") -> DataFr
     at = names.index("text")
     schema = docs.withColumn(column, F.lit(0.0)).schema
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, batch.schema.field(at).name):

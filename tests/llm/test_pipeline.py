@@ -97,3 +97,27 @@ def test_query_equals_sql(spark, name):
     plain = lambda rows: sorted(repr(tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r)) for r in rows)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert plain(frame.select(*columns).collect()) == plain(want) and want
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    """After a stage's call a batch holds few bytes however long the texts are; a session's own bound stays; what a task yields doesn't change."""
+    import pyarrow as pa
+
+    from strandweave.llm._arrow import BATCH, frugal, small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @frugal
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "b"])
+
+    try:
+        small_batches(spark)
+        rows = spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('word ', 2000) AS text").mapInArrow(sizes, "n long, b long").collect()
+        assert sum(r.n for r in rows) == 2000 and max(r.b for r in rows) < 2 * BATCH
+        spark.conf.set(name, "1000000")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)

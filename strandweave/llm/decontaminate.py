@@ -41,7 +41,7 @@ LCS, ANSWER, KEYS = 0.6, 0.5, 0.4
 #: An item of fewer words is a turn of speech, not a passage: it is found nowhere, or else it would have common prose deleted.
 LEAST_WORDS = 4
 #: Words that a matrix step holds at once, and rows of the vocabulary in one message.
-HELD, ROWS = 8192, 64
+HELD, ROWS = 1 << 14, 64
 #: A long text is searched in stretches of so many words, which overlap by the longest window.
 STRETCH = 1 << 13
 _T = table(3)
@@ -97,7 +97,7 @@ class Benchmark:
 
     def rotate(self, vectors: np.ndarray) -> None:
         """Take the latent vector of each word; unit vectors of the pieces, by window length."""
-        self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+        self.vectors = np.ascontiguousarray(np.vstack([vectors, np.zeros((1, vectors.shape[1]))]), np.float32)  # by rows, or else each take of some copies all
         self.latent = {}
         for length in WINDOWS:
             mine = np.flatnonzero(self.window == length)
@@ -171,9 +171,11 @@ def run_sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         slots = np.full(int(per.sum()) * 4, len(rows) - 1)
         slots[np.repeat((np.cumsum(per) - per) * 4 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(at))] = at
         slots = slots.reshape(-1, 4)
-        out = np.zeros((len(slots) + 1, rows.shape[1]), rows.dtype)
-        for k in range(4):
-            out[:-1] += rows.take(slots[:, k], 0)
+        out, held = np.empty((len(slots) + 1, rows.shape[1]), rows.dtype), np.empty((len(slots), rows.shape[1]), rows.dtype)
+        rows.take(slots[:, 0], 0, out=out[:-1], mode="clip")  # no place is out of range; other modes copy once more
+        for k in range(1, 4):
+            out[:-1] += rows.take(slots[:, k], 0, out=held, mode="clip")
+        out[-1] = 0
         if not len(per) or per.max() <= 1:
             if (per == 1).all():
                 return out[:-1]
@@ -203,7 +205,7 @@ def gram(rows: DataFrame, bench: Benchmark, m: np.ndarray) -> np.ndarray:
     task and no driver holds more than vocabulary x columns numbers.
     """
     size, width = m.shape
-    weight = np.vstack([bench.idf[:, None] * m, np.zeros((1, width))]).astype(np.float32)
+    weight = np.ascontiguousarray(np.vstack([bench.idf[:, None] * m, np.zeros((1, width))]), np.float32)
 
     @frugal
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +281,7 @@ def retrieve(bench: Benchmark, v: np.ndarray, first: np.ndarray, least: float =
             begin = (np.arange(len(e)) - base[which] * 4 // step) * step
             norm = np.sqrt(np.einsum("ij,ij->i", e, e))
             norm[(begin >= size[which]) | (norm < 1e-9)] = np.inf
-            each = max(1, min(HELD // 4, (HELD << 9) // len(pieces)))
+            each = max(1, min(HELD // 8, (HELD << 8) // len(pieces)))
             for k in range(0, len(e), each):
                 product = e[k : k + each] @ latent.T
                 hit = np.flatnonzero(product >= least * norm[k : k + each, None])

@@ -194,3 +194,16 @@ def test_a_turn_of_speech_is_no_passage(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_, bench).collect()] == [(40, 4)]
     assert decontaminate.drop_contaminated(docs_, bench).count() == 40
     assert decontaminate.drop_contaminated(docs_, bench.where("item_id < 4")).count() == 41
+
+
+def test_vectors_lie_by_rows():
+    """Columns taken from the SVD lie by columns; each take of rows would copy the whole matrix first."""
+    bench = decontaminate.Benchmark([1], ["red green blue yellow black"])
+    vectors = np.random.default_rng(4).normal(size=(5, 9))[:, np.array([3, 0, 7])]
+    assert not vectors.flags.c_contiguous
+    bench.rotate(vectors)
+    assert bench.vectors.flags.c_contiguous and bench.vectors.dtype == np.float32
+    assert np.array_equal(bench.vectors, np.vstack([vectors, np.zeros((1, 3))]).astype(np.float32))
+    at, sizes = np.array([4, 0, 0, 2, 1, 3, 4, 2, 1]), np.array([2, 0, 1, 6])
+    want = [bench.vectors[x].sum(0) for x in np.split(at, np.cumsum(sizes)[:-1])]
+    assert np.allclose(decontaminate.run_sums(bench.vectors, at, sizes), want, atol=1e-6)

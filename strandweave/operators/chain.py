@@ -70,11 +70,11 @@ def scored(q: np.ndarray, r: np.ndarray, joint: np.ndarray, edges: np.ndarray, p
     """
     f, back = np.full(len(q), float(p.k)), np.full(len(q), -1)
     size = np.diff(edges)
-    left = size > 1
+    left, seen = size > 1, _Seen()
     for b in np.flatnonzero(size > LARGE).tolist():
         at = slice(int(edges[b]), int(edges[b + 1]))
         if size[b] >= DENSE * (1 + np.count_nonzero(np.diff(r[at]))):
-            f[at], back[at] = _by_place(r[at], -q[at] if joint[edges[b]] else q[at], p)
+            f[at], back[at] = _by_place(r[at], -q[at] if joint[edges[b]] else q[at], p, seen)
             left[b] = False
     order = np.argsort(-size, kind="stable")
     order = order[left[order]]
@@ -174,44 +174,91 @@ def _lockstep(rr: np.ndarray, ss: np.ndarray, lows: np.ndarray, many: np.ndarray
     return ff, bb
 
 
-def _by_place(r: np.ndarray, s: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and predecessors of one bucket: anchors of one place of the contig can't precede each other, so they are compared with those before them at once."""
+#: Places whose scores are kept for others that look the same.
+KEPT = 1 << 14
+
+
+class _Seen:
+    """Scores of places by what decides them: their own places on the read and the anchors of their band, with scores, as seen from them.
+
+    A repeat shows the same again and again, in one bucket and in those of copies. Places and
+    their scores are numbered, so that a band is a short list of numbers and distances. Keys are
+    whole, not hashed.
+    """
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.scores: dict[tuple[bytes, bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+
+    def room(self) -> None:
+        """Forget all, between buckets, if that is much."""
+        if max(len(self.number), len(self.scores)) > KEPT:
+            self.number, self.scores = {}, {}
+
+    def name(self, s: np.ndarray, f: np.ndarray) -> int:
+        return self.number.setdefault(s.tobytes() + f.tobytes(), len(self.number))
+
+
+def _by_place(r: np.ndarray, s: np.ndarray, p: Params, seen: _Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and predecessors of one bucket: anchors of one place of the contig can't precede each other, so they are compared with those before them at once.
+
+    ``seen`` is for buckets of the same parameters.
+    """
     f, back = np.full(len(r), float(p.k)), np.full(len(r), -1)
+    seen = seen or _Seen()
+    seen.room()
+    s = s - s.min()
     gap, gain = s - r, _steps(s, p)
     places = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(r))
     lows = np.searchsorted(r, r[places[:-1]] - reach(s, p), "left")
-    for first, stop, low in zip(places[1:-1].tolist(), places[2:].tolist(), lows[1:].tolist(), strict=True):
-        x = max(low, first - NEAR)
-        many = max(1, TOGETHER // max(NEAR, first - low))
-        for a in range(first, stop, many):
-            b = min(stop, a + many)
-            value = f[x:first] + gain(s[a:b, None] - s[x:first], r[a] - r[x:first])
-            which = value.shape[1] - 1 - value[:, ::-1].argmax(1) if first > x else None  # of equal values the nearest
-            if which is not None:
-                best = value[np.arange(b - a), which]
-                better = best > p.k
-                f[a:b][better], back[a:b][better] = best[better], x + which[better]
-            if low == x:
-                continue
-            must = f[a:b] - (p.k + 1e-6)
-            c = low + np.flatnonzero((f[low:x] > must.min()) & (s[low:x] < s[a:b].max()) & (gap[low:x] >= gap[a:b].min() - p.max_drift) & (gap[low:x] <= gap[a:b].max() + p.max_drift))
-            could = f[c] > must[:, None]
-            could &= s[c] < s[a:b, None]
-            could &= np.abs(gap[c] - gap[a:b, None]) <= p.max_drift
-            k, j = np.nonzero(could)
-            if not len(k):
-                continue
-            j = c[j]
-            value = f[j] + _gain(s[a + k] - s[j], r[a] - r[j], p)
-            win = value > f[a + k]
-            k, j, value = k[win], j[win], value[win]
-            if len(k):
-                last = np.lexsort((j, value, k))
-                last = last[np.append(k[last][1:] != k[last][:-1], True)]
-                f[a + k[last]], back[a + k[last]] = value[last], j[last]
+    names, heads = np.zeros(len(places) - 1, np.int64), r[places[:-1]]
+    names[0] = seen.name(s[: places[1]], f[: places[1]])
+    band = np.searchsorted(places, lows)  # the first place of each band
+    for t, (first, stop, low) in enumerate(zip(places[1:-1].tolist(), places[2:].tolist(), lows[1:].tolist(), strict=True), 1):
+        key = s[first:stop].tobytes(), names[band[t] : t].tobytes(), (heads[t] - heads[band[t] : t]).tobytes()
+        known = seen.scores.get(key)
+        if known is None:
+            _score_place(r, s, gap, f, back, first, stop, low, gain, p)
+            seen.scores[key] = f[first:stop].copy(), np.where(back[first:stop] >= 0, first - back[first:stop], 0)
+        else:
+            f[first:stop] = known[0]
+            back[first:stop] = np.where(known[1] > 0, first - known[1], -1)
+        names[t] = seen.name(s[first:stop], f[first:stop])
     return f, back
 
 
+def _score_place(r: np.ndarray, s: np.ndarray, gap: np.ndarray, f: np.ndarray, back: np.ndarray, first: int, stop: int, low: int, gain: Callable[[np.ndarray, np.ndarray], np.ndarray], p: Params) -> None:
+    """Fill in ``f`` and ``back`` of the anchors [first, stop) of one place from those of [low, first)."""
+    x = max(low, first - NEAR)
+    many = max(1, TOGETHER // max(NEAR, first - low))
+    for a in range(first, stop, many):
+        b = min(stop, a + many)
+        value = f[x:first] + gain(s[a:b, None] - s[x:first], r[a] - r[x:first])
+        which = value.shape[1] - 1 - value[:, ::-1].argmax(1) if first > x else None  # of equal values the nearest
+        if which is not None:
+            best = value[np.arange(b - a), which]
+            better = best > p.k
+            f[a:b][better], back[a:b][better] = best[better], x + which[better]
+        if low == x:
+            continue
+        must = f[a:b] - (p.k + 1e-6)
+        c = low + np.flatnonzero((f[low:x] > must.min()) & (s[low:x] < s[a:b].max()) & (gap[low:x] >= gap[a:b].min() - p.max_drift) & (gap[low:x] <= gap[a:b].max() + p.max_drift))
+        could = f[c] > must[:, None]
+        could &= s[c] < s[a:b, None]
+        could &= np.abs(gap[c] - gap[a:b, None]) <= p.max_drift
+        k, j = np.nonzero(could)
+        if not len(k):
+            continue
+        j = c[j]
+        value = f[j] + _gain(s[a + k] - s[j], r[a] - r[j], p)
+        win = value > f[a + k]
+        k, j, value = k[win], j[win], value[win]
+        if len(k):
+            last = np.lexsort((j, value, k))
+            last = last[np.append(k[last][1:] != k[last][:-1], True)]
+            f[a + k[last]], back[a + k[last]] = value[last], j[last]
+
+
 def extract(f: np.ndarray, back: np.ndarray, edges: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Up to ``top_k`` chains of each bucket [edges[i], edges[i + 1]), best end first: rank, score and size of each, and the anchors of all.
 

@@ -231,7 +231,7 @@ def cut_reads(contigs: DataFrame, size: int = CUT) -> tuple[DataFrame, DataFrame
 
 
 def truth_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    contigs = _contigs(spark, sf)
+    contigs = stored(_contigs(spark, sf))  # the index, the reads and the truth come from them
     reads, truth = cut_reads(contigs)
     return E.truth_accuracy(map_reads(reads, contigs, P).placements, truth)
 
@@ -245,7 +245,7 @@ def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
     """Contacts of reads that join a piece of a document and a piece of the next one."""
-    contigs = _contigs(spark, sf)
+    contigs = stored(_contigs(spark, sf))  # as in truth_accuracy
     reads, _ = cut_reads(contigs)
     other = reads.select((F.col("read_id") - 1).alias("_r"), F.col("seq").alias("_s"))
     joined = reads.join(other, F.col("read_id") == F.col("_r")).select("read_id", "name", F.concat("seq", "_s").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.operators import anchors as A
+from strandweave.operators import chain
 from strandweave.operators import evaluate as E
 from strandweave.operators.chain import NEAR, scored, scores
 from strandweave.params import Params
@@ -102,3 +103,24 @@ def test_many_records_of_one_name_are_paired_fast():
     start = time.perf_counter()
     got = E.nearest_free(a, b)
     assert time.perf_counter() - start < 1 and sorted(got.tolist()) == list(range(10_000))
+
+
+def test_repeated_places_are_scored_once(monkeypatch):
+    """A repeat looks the same from place to place, and so do those of copies; scores and predecessors are those of the plain recurrence."""
+    q, r = np.meshgrid(np.arange(0, 200, 7), np.arange(0, 4200, 7))
+    same = (q // 7) % 3 == (r // 7) % 3
+    q, r = q[same], r[same]
+    calls = []
+    monkeypatch.setattr(chain, "_score_place", lambda *x, real=chain._score_place: calls.append(1) or real(*x))
+    for joint in (0, 1):
+        order = np.lexsort((q, r))
+        a, b = (200 - q if joint else q)[order], r[order]
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        calls.clear()
+        f, back = scored(np.tile(a, 3), np.tile(b, 3) + np.repeat([0, 50, 10**6], len(a)), np.full(3 * len(a), joint), np.arange(4) * len(a), Params())
+        want = scores(a, b, joint, Params())
+        for k in range(3):
+            part = slice(k * len(a), (k + 1) * len(a))
+            assert np.array_equal(f[part], want[0]) and np.array_equal(back[part], want[1])
+        assert 0 < len(calls) < 600 / 3  # of 3 x 600 places

@@ -41,10 +41,17 @@ def under_cap(hits: DataFrame, counts: DataFrame, params: Params | None = None)
     return hits.join(stored(counts.where(F.col("n") > check(params).freq_cap).select("hash").coalesce(8)), "hash", "left_anti")
 
 
-def build_index(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None) -> DataFrame:
-    """(hash, contig_id, pos, strand, shard_id) of contigs or of a chunk table, after the cap."""
+def build_index(contigs: DataFrame | None, params: Params | None = None, chunks: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """(hash, contig_id, pos, strand, shard_id) of contigs or of a chunk table, after the cap.
+
+    With ``seeds(hash)``, best a stored table, hits of other hashes go before anything is stored or counted: an index for
+    these reads only. All hits of a hash stay or go together, so the cap finds the same.
+    """
     p = check(params)
-    return capped(seed_hits(contigs, p, chunks), p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
+    hits = seed_hits(contigs, p, chunks)
+    if seeds is not None:
+        hits = hits.join(stored(seeds.select("hash").distinct().coalesce(8)), "hash", "left_semi")  # where these are few, as their size then tells, hits stay where they are
+    return capped(hits, p).withColumn("shard_id", shard_id(F.col("hash"), p.shard_bits))
 
 
 def write_index(index: DataFrame, table: str, buckets: int) -> None:

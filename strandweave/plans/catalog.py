@@ -193,9 +193,12 @@ def cigar_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sam_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """The default mapping held against the refined one."""
-    index = _index(spark, sf)
-    out = E.diff_sam(*[stored(_sam(_mapped(spark, sf, index, refine=r), spark, sf)) for r in (False, True)])
+    """The default mapping held against the refined one; both are made of one set of contigs and the hits of the reads' seeds."""
+    reads, contigs = _reads(spark, sf), stored(_contigs(spark, sf))
+    seeds = stored(A.query_seeds(reads, P))
+    index = stored(I.build_index(contigs, P, seeds=seeds))
+    sides = [map_seeds(seeds, reads, contigs, Params(refine=r), index) for r in (False, True)]
+    out = E.diff_sam(*[stored(S.parse_sam(S.sam_lines(S.sam_records(stored(m.placements), reads, contigs)))) for m in sides])
     return out.withColumn("mapq_spearman", F.round("mapq_spearman", 6))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandweave.operators import anchors as A
 from strandweave.operators import chain
 from strandweave.operators import evaluate as E
+from strandweave.operators import index
 from strandweave.operators.chain import NEAR, scored, scores
 from strandweave.params import Params
 
@@ -124,3 +125,21 @@ def test_repeated_places_are_scored_once(monkeypatch):
             part = slice(k * len(a), (k + 1) * len(a))
             assert np.array_equal(f[part], want[0]) and np.array_equal(back[part], want[1])
         assert 0 < len(calls) < 600 / 3  # of 3 x 600 places
+
+
+def test_index_of_the_seeds_asked_for(spark, monkeypatch):
+    """The hits of some seeds are those that the whole index has of them, the cap included, and no others are stored."""
+    rng = random.Random(12)
+    piece = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = ["".join(rng.choice("ACGT") for _ in range(200)) + piece * (1 + i % 3) for i in range(6)]
+    contigs = spark.createDataFrame(list(enumerate(seqs)), "contig_id long, seq string")
+    reads = spark.createDataFrame([(0, seqs[0][50:260]), (1, seqs[1][:150]), (2, None)], "read_id long, seq string")
+    p = Params(freq_cap=7)
+    seeds, kept = A.query_seeds(reads, p), []
+    whole = index.build_index(contigs, p)
+    monkeypatch.setattr(index, "stored", lambda f, real=index.stored: kept.append(real(f)) or kept[-1])
+    some = index.build_index(contigs, p, seeds=seeds)
+    want = whole.join(seeds.select("hash").distinct(), "hash", "left_semi").select(*some.columns)
+    assert sorted(some.collect()) == sorted(want.collect()) and 0 < want.count() < whole.count()
+    asked = {r.hash for r in seeds.collect()}
+    assert all({r.hash for r in f.collect()} <= asked for f in kept) and kept[-1].count() > 0  # some of them are over the cap

@@ -174,8 +174,8 @@ def _lockstep(rr: np.ndarray, ss: np.ndarray, lows: np.ndarray, many: np.ndarray
     return ff, bb
 
 
-#: Places whose scores are kept for others that look the same.
-KEPT = 1 << 14
+#: Bytes that scores of places may take, kept for others that look the same.
+KEPT = 32 << 20
 
 
 class _Seen:
@@ -183,20 +183,33 @@ class _Seen:
 
     A repeat shows the same again and again, in one bucket and in those of copies. Places and
     their scores are numbered, so that a band is a short list of numbers and distances. Keys are
-    whole, not hashed.
+    whole, not hashed. Scores may be forgotten at any time, numbers only between buckets; those
+    of one bucket take no more than its anchors.
     """
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.scores: dict[tuple[bytes, bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        self.named = self.held = 0
 
     def room(self) -> None:
-        """Forget all, between buckets, if that is much."""
-        if max(len(self.number), len(self.scores)) > KEPT:
+        """Forget all, between buckets, if the numbers take much."""
+        if self.named > KEPT:
             self.number, self.scores = {}, {}
+            self.named = self.held = 0
 
     def name(self, s: np.ndarray, f: np.ndarray) -> int:
-        return self.number.setdefault(s.tobytes() + f.tobytes(), len(self.number))
+        key = s.tobytes() + f.tobytes()
+        if key not in self.number:
+            self.number[key] = len(self.number)
+            self.named += len(key)
+        return self.number[key]
+
+    def keep(self, key: tuple[bytes, bytes, bytes], f: np.ndarray, before: np.ndarray) -> None:
+        self.held += sum(map(len, key)) + f.nbytes + before.nbytes
+        if self.held > KEPT:
+            self.scores, self.held = {}, 0
+        self.scores[key] = f, before
 
 
 def _by_place(r: np.ndarray, s: np.ndarray, p: Params, seen: _Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +232,7 @@ def _by_place(r: np.ndarray, s: np.ndarray, p: Params, seen: _Seen | None = None
         known = seen.scores.get(key)
         if known is None:
             _score_place(r, s, gap, f, back, first, stop, low, gain, p)
-            seen.scores[key] = f[first:stop].copy(), np.where(back[first:stop] >= 0, first - back[first:stop], 0)
+            seen.keep(key, f[first:stop].copy(), np.where(back[first:stop] >= 0, first - back[first:stop], 0))
         else:
             f[first:stop] = known[0]
             back[first:stop] = np.where(known[1] > 0, first - known[1], -1)

@@ -125,6 +125,10 @@ def test_repeated_places_are_scored_once(monkeypatch):
             part = slice(k * len(a), (k + 1) * len(a))
             assert np.array_equal(f[part], want[0]) and np.array_equal(back[part], want[1])
         assert 0 < len(calls) < 600 / 3  # of 3 x 600 places
+        monkeypatch.setattr(chain, "KEPT", 50_000)  # much is forgotten on the way
+        again = chain.scored(np.tile(a, 3), np.tile(b, 3), np.full(3 * len(a), joint), np.arange(4) * len(a), Params())
+        assert np.array_equal(again[0], f) and np.array_equal(again[1], back)
+        monkeypatch.setattr(chain, "KEPT", 32 << 20)
 
 
 def test_index_of_the_seeds_asked_for(spark, monkeypatch):

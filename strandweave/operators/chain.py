@@ -24,6 +24,8 @@ CHAIN_SCHEMA = (
     "read_id long, contig_id long, joint int, chain_rank int, q_start long, q_end long, ref_start long, ref_end long, score double, "
     "anchor_count int, unique_anchors int, anchors array<struct<q_pos:long,ref_pos:long>>"
 )
+#: Chains without their anchors.
+SHORT_SCHEMA = CHAIN_SCHEMA[: CHAIN_SCHEMA.index(", anchors ")]
 
 
 def reach(s: np.ndarray, p: Params) -> int:
@@ -326,29 +328,57 @@ ROWS = 1 << 20
 
 
 def least_anchors(p: Params) -> int:
-    """Buckets of fewer anchors decide no placement.
+    """Buckets and chains of fewer anchors decide no placement.
 
     A chain needs ``min_anchors`` for a fragment or an alternate. A shorter one could still be a
     read's best and set the score floor, but n anchors score n * k at most and every chain scores
-    more than k, so that floor is no bar if the share it is of n * k is k or less.
+    more than k, so that floor is no bar if the share it is of n * k is k or less. A chain that is
+    short because it stopped at a used anchor may score more, but no more than the first of its
+    bucket, which is whole.
     """
     return max(2, p.min_anchors) if p.min_score_ratio * (p.min_anchors - 1) <= 1 else 2
 
 
+def chain_rows(read: np.ndarray, contig: np.ndarray, joint: np.ndarray, r: np.ndarray, q: np.ndarray, hashes: np.ndarray, known: np.ndarray | None, edges: np.ndarray, p: Params, least: int, members: bool) -> pa.RecordBatch | None:
+    """Chains of the sorted buckets [edges[i], edges[i + 1]), see ``chain_anchors``; ``known`` marks hashes that aren't null."""
+    rank, score, size, at = extract(*scored(q, r, joint, edges, p), edges, p)
+    enough = size >= least
+    if not enough.all():
+        rank, score, size, at = rank[enough], score[enough], size[enough], at[np.repeat(enough, size)]
+    if not len(rank):
+        return None
+    first = np.cumsum(size) - size
+    lead = at[first]
+    low = lambda x: np.minimum.reduceat(x[at], first)
+    high = lambda x: np.maximum.reduceat(x[at], first) + 1 + p.window_ext
+    q0, r0 = np.maximum(0, low(q) - p.k + 1), np.maximum(0, low(r) - p.k + 1)
+    e = np.minimum(p.window_ext, np.minimum(q0, r0))
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((hashes[at], owner))
+    new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (hashes[at][order][1:] != hashes[at][order][:-1]))
+    unique = np.bincount(owner, new, len(size)).astype(int)
+    if known is not None:
+        unique = np.where(np.minimum.reduceat(known[at].astype(int), first) > 0, unique, size)
+    i4 = lambda x: pa.array(np.asarray(x, np.int32))
+    out = [pa.array(read[lead]), pa.array(contig[lead]), i4(joint[lead]), i4(rank), pa.array(q0 - e), pa.array(high(q)), pa.array(r0 - e), pa.array(high(r)), pa.array(score), i4(size), i4(unique)]
+    if members:
+        out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(q[at]), pa.array(r[at])], ["q_pos", "ref_pos"])))
+    return pa.record_batch(out, [x.split()[0] for x in (CHAIN_SCHEMA if members else SHORT_SCHEMA).split(", ")])
+
+
 def chain_anchors(anchors: DataFrame, params: Params | None = None, least: int = 2, members: bool = True) -> DataFrame:
     """Chains of ``anchors(read_id, q_pos, contig_id, ref_pos, joint, hash)``; see CHAIN_SCHEMA.
 
     The span starts k - 1 before the first anchors' last bases and is widened by ``window_ext``;
     like the method it follows, it isn't clamped to the read or contig unless ``clamp`` is set
     later. Rows with a null key or position are left out; a null hash counts as distinct. Buckets
-    of fewer than ``least`` anchors are left out; without ``members`` there is no column ``anchors``.
+    and chains of fewer than ``least`` anchors are left out; without ``members`` there is no column ``anchors``.
     Spark sorts by read only; inside many reads together numpy sorts.
     """
     p = check(params)
     columns = ["read_id", "contig_id", "joint", "ref_pos", "q_pos", "hash"]
     keyed = anchors.select(*[F.col(c).cast("int" if c == "joint" else "long").alias(c) for c in columns]).dropna(subset=columns[:5])
-    schema = CHAIN_SCHEMA if members else CHAIN_SCHEMA[: CHAIN_SCHEMA.index(", anchors ")]
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = CHAIN_SCHEMA if members else SHORT_SCHEMA
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         read, contig, joint, r, q = (rows.column(c).to_numpy() for c in columns[:5])
@@ -360,25 +390,7 @@ def chain_anchors(anchors: DataFrame, params: Params | None = None, least: int =
         order = order[np.lexsort([x[order] for x in (q, r, joint, contig, read)])]
         read, contig, joint, r, q = (x[order] for x in (read, contig, joint, r, q))
         hashes, known = rows.column("hash").fill_null(0).to_numpy()[order], rows.column("hash").is_valid().to_numpy()[order]
-        edges = _edges(read, contig, joint)
-        rank, score, size, at = extract(*scored(q, r, joint, edges, p), edges, p)
-        if not len(rank):
-            return None
-        first = np.cumsum(size) - size
-        lead = at[first]
-        low = lambda x: np.minimum.reduceat(x[at], first)
-        high = lambda x: np.maximum.reduceat(x[at], first) + 1 + p.window_ext
-        q0, r0 = np.maximum(0, low(q) - p.k + 1), np.maximum(0, low(r) - p.k + 1)
-        e = np.minimum(p.window_ext, np.minimum(q0, r0))
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((hashes[at], owner))
-        new = np.append(True, (owner[order][1:] != owner[order][:-1]) | (hashes[at][order][1:] != hashes[at][order][:-1]))
-        unique = np.where(np.minimum.reduceat(known[at].astype(int), first) > 0, np.bincount(owner, new, len(size)).astype(int), size)
-        i4 = lambda x: pa.array(np.asarray(x, np.int32))
-        out = [pa.array(read[lead]), pa.array(contig[lead]), i4(joint[lead]), i4(rank), pa.array(q0 - e), pa.array(high(q)), pa.array(r0 - e), pa.array(high(r)), pa.array(score), i4(size), i4(unique)]
-        if members:
-            out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(q[at]), pa.array(r[at])], ["q_pos", "ref_pos"])))
-        return pa.record_batch(out, names)
+        return chain_rows(read, contig, joint, r, q, hashes, known, _edges(read, contig, joint), p, least, members)
 
     return per_group(keyed, "read_id", ["read_id"], work, schema, ROWS)
 

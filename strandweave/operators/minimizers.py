@@ -128,6 +128,19 @@ def chunked(lengths: np.ndarray, size: int, halo: int) -> Iterator[tuple[np.ndar
         yield seq[at], start[at], np.minimum(start[at], 1), own[at]
 
 
+def slices(column: pa.Array, p: Params) -> Iterator[tuple[np.ndarray, ...]]:
+    """Minimizers of a column of sequences, by slices: row, hash, position, strand; rows and positions never go back."""
+    if not len(column):
+        return
+    data, off = buffers(column)
+    for row, start, lead, own in chunked(np.diff(off), SLICE, p.k + p.w - 2):
+        lo, hi = off[row] + start - lead, np.minimum(off[row] + start + own + p.k + p.w - 2, off[row + 1])
+        whole = len(row) == 1 or (lo[1:] == hi[:-1]).all()
+        part = data[lo[0] : hi[-1]] if whole else np.concatenate([data[a:b] for a, b in zip(lo, hi)])
+        seq, h, pos, strand = extract(part, np.append(0, np.cumsum(hi - lo)), p.k, p.w, lead, own)
+        yield row[seq], h, pos + (start - lead)[seq], strand
+
+
 def minimizers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq_id", seq_col: str = "seq", piece: int | None = None) -> DataFrame:
     """(id, hash, pos, strand) of every sequence; null or short sequences give no rows.
 
@@ -141,15 +154,8 @@ def minimizers(seqs: DataFrame, params: Params | None = None, id_col: str = "seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, off = buffers(batch.column(1))
-            for row, start, lead, own in chunked(np.diff(off), SLICE, p.k + p.w - 2):
-                lo, hi = off[row] + start - lead, np.minimum(off[row] + start + own + p.k + p.w - 2, off[row + 1])
-                whole = len(row) == 1 or (lo[1:] == hi[:-1]).all()
-                part = data[lo[0] : hi[-1]] if whole else np.concatenate([data[a:b] for a, b in zip(lo, hi)])
-                seq, h, pos, strand = extract(part, np.append(0, np.cumsum(hi - lo)), p.k, p.w, lead, own)
-                yield pa.record_batch([batch.column(0).take(pa.array(row[seq])), pa.array(h), pa.array(pos + (start - lead)[seq]), pa.array(strand.astype(np.int32))], [id_col, "hash", "pos", "strand"])
+            for row, h, pos, strand in slices(batch.column(1), p):
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(h), pa.array(pos), pa.array(strand.astype(np.int32))], [id_col, "hash", "pos", "strand"])
 
     return seqs.select(id_col, seq_col).mapInArrow(run, f"`{id_col}` {kind}, hash long, pos long, strand int")
 

@@ -19,7 +19,7 @@ from strandweave.operators.chain import chain_scores
 from strandweave.params import Params
 from strandweave.plans import oracles as O
 from strandweave.plans import reference as R
-from strandweave.plans.mapping import Mapping, map_reads, map_seeds, text_contigs, text_reads
+from strandweave.plans.mapping import Mapping, map_reads, map_seeds, place_reads, text_contigs, text_reads
 from strandweave.sources import sequences as Q
 from strandweave.sources.fastq import follow_fastq
 from strandweave.streaming.mapping import map_growing, totals
@@ -252,7 +252,7 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
     reads, _ = cut_reads(contigs)
     other = reads.select((F.col("read_id") - 1).alias("_r"), F.col("seq").alias("_s"))
     joined = reads.join(other, F.col("read_id") == F.col("_r")).select("read_id", "name", F.concat("seq", "_s").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    return E.contact_summary(E.contacts(map_reads(joined, contigs, P).placements))
+    return E.contact_summary(E.contacts(place_reads(joined, contigs, P)))
 
 
 def chunked_minimizers(spark: SparkSession, sf: str) -> DataFrame:

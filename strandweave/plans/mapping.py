@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.seeds import check, project_dna
 from strandweave.operators._store import spread, stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
+from strandweave.operators.blocks import HITS, SEEDS, block_chains, hit_blocks, over_cap, seed_blocks
 from strandweave.operators.chain import chain_anchors, least_anchors
 from strandweave.operators.chunks import SIZE
 from strandweave.operators.index import build_index
@@ -67,6 +68,38 @@ def map_seeds(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, params: Pa
     return Mapping(seeds, anchors, placements, lambda: spanned(chain_anchors(anchors, p)))
 
 
+#: Bases of one contig id up to which contigs are worked on in blocks, and pairs of blocks at most: beyond, the join by hash, whose work grows in proportion, is for them.
+BLOCK_BASES, PAIRS = 1 << 26, 1 << 20
+
+
+def place_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = None) -> DataFrame:
+    """The placements of ``map_reads`` for very many reads and contigs of moderate length, without a table of anchors.
+
+    ``contigs`` are best a stored table: they are read for their lengths and for their hits. Hits and
+    seeds are kept as blocks, and chains are made from pairs of blocks (see ``operators.blocks``).
+    """
+    p = check(params)
+    if p.refine or p.clamp:
+        raise ValueError("refine and clamp need map_reads")
+    named = contigs.where(F.col("contig_id").cast("long").isNotNull())
+    sizes = named.groupBy(F.col("contig_id").cast("long").alias("contig_id")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("seq").cast("long") if "length" not in contigs.columns else "length").alias("bases"))
+    ids, rows, longest, bases = sizes.agg(F.count(F.lit(1)), *[F.coalesce(x, F.lit(0)) for x in (F.sum("rows"), F.max("bases"), F.sum("bases"))]).first()
+    if longest > BLOCK_BASES:
+        return map_reads(reads, contigs, p).placements
+    parts = max(2 * contigs.sparkSession.sparkContext.defaultParallelism, bases // (p.w + 1) // HITS)  # each holds about a block: a base gives 2 / (w + 1) hits, less where sequences break
+    # contigs of one id are one contig
+    hits = stored(hit_blocks(named.coalesce(parts) if ids == rows else named.repartition(parts, "contig_id").sortWithinPartitions("contig_id"), p))
+    nameless = contigs.where(F.col("contig_id").cast("long").isNull()).withColumn("contig_id", F.monotonically_increasing_id())  # nothing is placed on them, but their hits count
+    often = stored(over_cap(hits.unionByName(hit_blocks(nameless, p)), p).coalesce(8))
+    seeds = stored(query_seeds(reads, p))
+    total = seeds.count()
+    if hits.count() * (total // SEEDS + 1) > PAIRS:
+        return map_seeds(seeds, reads, contigs, p, build_index(contigs, p)).placements
+    blocks = stored(seed_blocks(seeds.join(often, "hash", "left_anti"), total))
+    least = least_anchors(p)
+    return select_fragments(block_chains(hits, blocks, p, least), p)
+
+
 def map_to_sam(reads: DataFrame, contigs: DataFrame, params: Params | None = None, index: DataFrame | None = None) -> DataFrame:
     """SAM lines of the mapping: (read_id, fragment_index, alt_rank, value)."""
     return sam_lines(sam_records(stored(map_reads(reads, contigs, params, index).placements), reads, contigs))

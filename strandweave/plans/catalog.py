@@ -236,7 +236,7 @@ def cut_reads(contigs: DataFrame, size: int = CUT) -> tuple[DataFrame, DataFrame
 def truth_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     contigs = stored(_contigs(spark, sf))  # the index, the reads and the truth come from them
     reads, truth = cut_reads(contigs)
-    return E.truth_accuracy(map_reads(reads, contigs, P).placements, truth)
+    return E.truth_accuracy(place_reads(reads, contigs, P), truth)
 
 
 def mapping_stats(spark: SparkSession, sf: str) -> DataFrame:

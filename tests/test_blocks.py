@@ -75,7 +75,7 @@ def test_packed_arrays():
     assert B._sorted(np.array([1 << 62, 3, 3, 0]), np.array([0, 9, 1 << 40, 5])).tolist() == [3, 1, 2, 0]
 
 
-@pytest.mark.parametrize("name", ["contacts"])
+@pytest.mark.parametrize("name", ["contacts", "truth_accuracy"])
 def test_no_anchors_are_joined_or_shuffled(spark, name, monkeypatch):
     """Anchors were a table of rows, joined by hash and shuffled by read: 3.6 times the input for ``contacts``, 1.8 times for ``truth_accuracy``."""
     plans = []

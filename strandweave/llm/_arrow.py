@@ -6,17 +6,14 @@ task does not depend on how much text a partition holds; a longer text is a slic
 
 from __future__ import annotations
 
-import ctypes
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+
+from strandweave.operators._groups import BATCH, frugal, small_batches  # noqa: F401
 
 SLICE = 1 << 20
-#: Bytes of an Arrow batch, in which rows travel between Spark and Python.
-BATCH = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U = np.uint64
@@ -138,26 +135,3 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     where = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(first[:-1], per)
     running = prefix_hash(words)
     return spans(running, where, np.minimum(where + size, np.repeat(first[1:], per))), owner
-
-
-def small_batches(spark: SparkSession, most: int = BATCH) -> None:
-    """From now on rows go to Python in Arrow batches of about ``most`` bytes, unless the session has its own bound: a batch stands in memory on both sides, and 10,000 texts may be long."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, "64MB", f"{64 << 20}", f"{64 << 20}b"):  # Spark's default
-        spark.conf.set(name, str(most))
-
-
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, whose worker gives free memory back at a task's end: workers outlive their tasks, and stages without Python run beside them."""
-
-    @functools.wraps(run)
-    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
-
-    return thrifty

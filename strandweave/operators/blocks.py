@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check
+from strandweave.operators._groups import frugal
 from strandweave.operators._store import stored
-from strandweave.operators.chain import ROWS, SHORT_SCHEMA, chain_rows
+from strandweave.operators.chain import SHORT_SCHEMA, chain_rows
 from strandweave.operators.minimizers import slices
 from strandweave.params import Params
 
 #: Hits and seeds that a block has at least, unless its partition ends; it ends with a contig or a read.
-HITS, SEEDS = 1 << 22, 1 << 21
+HITS, SEEDS = 3 << 20, 1 << 21
+#: Anchors that are chained together; more where one read has more.
+TOGETHER = 1 << 19
 #: Hashes with their counts that leave a task at a time.
 SENT = 1 << 16
 #: Candidates of the cap that are sent to all tasks.
@@ -57,13 +60,19 @@ def _gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[li
             held.append(tuple(x[:cut] for x in part))
             if not len(other):
                 continue
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, n, part = [], 0, tuple(x[cut:] for x in part)
-            yield whole
+            yield _whole(held)
+            n, part = 0, tuple(x[cut:] for x in part)
         held.append(part)
         n += len(part[0])
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield _whole(held)
+
+
+def _whole(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns of the parts, which are given up."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
 
 
 def _owners(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,9 +82,23 @@ def _owners(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(owner))), np.cumsum(new) - 1
 
 
+def _kind(p: Params) -> type:
+    """What holds a hash."""
+    return np.uint32 if p.mask < 1 << 32 else np.uint64
+
+
 def _steps(x: np.ndarray) -> np.ndarray:
     """Ascending numbers as differences, that pack well."""
-    return np.diff(x, prepend=0).astype(np.uint64)
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+def _packed(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    """A block as one row."""
+    return pa.record_batch([pa.array([pack(x)], pa.binary()) for x in columns], [x.split()[0] for x in schema.split(", ")])
 
 
 HIT_BLOCK = "hash binary, n binary, contig binary, place binary, contigs binary"
@@ -84,23 +107,28 @@ HIT_BLOCK = "hash binary, n binary, contig binary, place binary, contigs binary"
 def hit_blocks(contigs: DataFrame, params: Params | None = None) -> DataFrame:
     """Blocks of the hits of ``contigs(contig_id, seq)``: hashes ascending, the number of each one's hits, and of these contig and place; contigs of one id must follow each other in one partition."""
     p = check(params)
+    kind = _kind(p)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, h, pos, strand in slices(batch.column(1), p):
-                yield ids[row], h, (pos << 1 | strand).astype(np.uint32)
+                yield ids[row], h.astype(kind), (pos << 1 | strand).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, h, place in _gathered(hits(batches), HITS):
-            first, _, number = _owners(owner)
             order = _sorted(h)
             h = h[order]
             at, n, _ = _owners(h)
-            columns = [_steps(h[at]), n.astype(np.uint32), number[order].astype(np.uint32), place[order], owner[first]]
-            yield pa.record_batch([pa.array([pack(x)], pa.binary()) for x in columns], [x.split()[0] for x in HIT_BLOCK.split(", ")])
+            columns = [_steps(h[at]), n.astype(np.uint32), place[order]]
+            del h, at, n, place
+            first, _, number = _owners(owner)
+            columns[2:2] = [number.astype(np.uint32)[order]]
+            columns.append(owner[first])
+            del owner, number, order
+            yield _packed(columns, HIT_BLOCK)
 
-    return contigs.select(F.col("contig_id").cast("long").alias("contig_id"), "seq").mapInArrow(run, HIT_BLOCK)
+    return contigs.select(F.col("contig_id").cast("long").alias("contig_id"), "seq").mapInArrow(frugal(run), HIT_BLOCK)
 
 
 def over_cap(blocks: DataFrame, params: Params | None = None) -> DataFrame:
@@ -110,6 +138,7 @@ def over_cap(blocks: DataFrame, params: Params | None = None) -> DataFrame:
     counted in all blocks, and so few counts are shuffled.
     """
     p = check(params)
+    kind = _kind(p)
 
     def counts(least: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +146,7 @@ def over_cap(blocks: DataFrame, params: Params | None = None) -> DataFrame:
                 for h, n in zip(batch.column(0), batch.column(1), strict=True):
                     many = unpack(n.as_buffer(), np.uint32)
                     on = many >= least
-                    rows = pa.record_batch([pa.array(np.cumsum(unpack(h.as_buffer(), np.uint64))[on].astype(np.int64)), pa.array(many[on].astype(np.int64))], ["hash", "n"])
+                    rows = pa.record_batch([pa.array(_sums(unpack(h.as_buffer(), kind))[on].astype(np.int64)), pa.array(many[on].astype(np.int64))], ["hash", "n"])
                     yield from (rows.slice(k, SENT) for k in range(0, rows.num_rows, SENT))
 
         return blocks.select("hash", "n").mapInArrow(run, "hash long, n long")
@@ -133,39 +162,45 @@ def over_cap(blocks: DataFrame, params: Params | None = None) -> DataFrame:
 SEED_BLOCK = "s_hash binary, s_which binary, s_place binary, s_n binary, s_reads binary"
 
 
-def seed_blocks(seeds: DataFrame, total: int) -> DataFrame:
+def seed_blocks(seeds: DataFrame, total: int, params: Params | None = None) -> DataFrame:
     """Blocks of ``seeds(read_id, q_pos, q_strand, hash)``, of which there are ``total``: distinct hashes ascending, and of each seed, by read and place, which one it has."""
     columns = ["read_id", "q_pos", "q_strand", "hash"]
+    kind = _kind(check(params))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             read, pos, strand, h = (batch.column(k).to_numpy() for k in range(4))
-            yield read, h, (pos << 1 | strand).astype(np.uint32)
+            yield read, h.astype(kind), (pos << 1 | strand).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, h, place in _gathered(parts(batches), SEEDS):
             first, n, _ = _owners(owner)
             hashes, which = np.unique(h, return_inverse=True)
-            found = [_steps(hashes), which.astype(np.uint32), place, n.astype(np.uint32), owner[first]]
-            yield pa.record_batch([pa.array([pack(x)], pa.binary()) for x in found], [x.split()[0] for x in SEED_BLOCK.split(", ")])
+            yield _packed([_steps(hashes), which.astype(np.uint32), place, n.astype(np.uint32), owner[first]], SEED_BLOCK)
 
     rows = seeds.select(F.col("read_id").cast("long").alias("read_id"), *columns[1:]).where(F.col("read_id").isNotNull())
-    return rows.repartition(max(1, -(-total // SEEDS)), "read_id").sortWithinPartitions("read_id", "q_pos").mapInArrow(run, SEED_BLOCK)
+    return rows.repartition(max(1, -(-total // SEEDS)), "read_id").sortWithinPartitions("read_id", "q_pos").mapInArrow(frugal(run), SEED_BLOCK)
 
 
 def _sorted(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
     """The order by ``high``, then ``low`` (whole numbers, none negative), then place."""
-    n = len(high)
-    low = np.zeros(n, np.int64) if low is None else low
-    at, l = (int(x).bit_length() for x in (n - 1, low.max()))
+    at, l = (len(high) - 1).bit_length(), 0 if low is None else int(low.max()).bit_length()
     if int(high.max()).bit_length() + l + at > 63:
-        return np.lexsort((low, high))
-    return np.sort((high << l | low) << at | np.arange(n)) & ((1 << at) - 1)
+        return np.argsort(high, kind="stable") if low is None else np.lexsort((low, high))
+    key = high.astype(np.int64)
+    if low is not None:
+        key <<= l
+        key |= low
+    key <<= at
+    key |= np.arange(len(key))
+    key.sort()
+    key &= (1 << at) - 1
+    return key
 
 
 def _pair(hits: tuple[np.ndarray, ...], seeds: tuple[np.ndarray, ...], p: Params, least: int, most: int) -> Iterator[pa.RecordBatch]:
     """Chains of a pair of blocks, of whole reads with at most ``most`` anchors at a time, or of one read."""
-    hashes, first, many, contig, place, contigs = hits
+    hashes, many, contig, place, contigs = hits
     asked, which, s_place, s_n, reads = seeds
     if not len(hashes) or not len(asked):
         return
@@ -173,9 +208,10 @@ def _pair(hits: tuple[np.ndarray, ...], seeds: tuple[np.ndarray, ...], p: Params
     n = np.where(hashes[at] == asked, many[at], 0)
     if not n.any():
         return
-    each = n[which]
-    on = np.flatnonzero(each)
-    each, read = each[on], np.repeat(np.arange(len(reads)), s_n)[on]
+    on = np.flatnonzero(n[which])
+    at = at[which[on]]
+    each, first, read = many[at].astype(np.int64), (np.cumsum(many, dtype=np.int64) - many)[at], np.repeat(np.arange(len(reads)), s_n)[on]
+    del at, n
     begin, _, _ = _owners(read)
     done = np.append(0, np.cumsum(each))
     cuts, bounds = [0], done[np.append(begin, len(on))]
@@ -187,7 +223,7 @@ def _pair(hits: tuple[np.ndarray, ...], seeds: tuple[np.ndarray, ...], p: Params
         if total < least:
             continue
         seed = np.repeat(on[lo:hi], rows)
-        hit = np.repeat(first[at[which[on[lo:hi]]]] - (done[lo:hi] - done[lo]), rows) + np.arange(total)
+        hit = np.repeat(first[lo:hi] - (done[lo:hi] - done[lo]), rows) + np.arange(total)
         joint = (place[hit] ^ s_place[seed]) & 1
         bucket = (np.repeat(read[lo:hi] - read[lo], rows) * len(contigs) + contig[hit]) * 2 + joint
         order = _sorted(bucket)
@@ -209,18 +245,24 @@ def _pair(hits: tuple[np.ndarray, ...], seeds: tuple[np.ndarray, ...], p: Params
 def block_chains(hits: DataFrame, seeds: DataFrame, params: Params | None = None, least: int = 2) -> DataFrame:
     """Chains of ``least`` anchors or more, without their anchors, of all pairs of blocks; a bucket must lie in one pair."""
     p = check(params)
+    kind = _kind(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = right = (None, None)  # one of the two stays for several pairs
 
+        def block(row: list[pa.Buffer], kinds: tuple[type, ...]) -> tuple[pa.Buffer, tuple[np.ndarray, ...]]:
+            hashes, *rest = (unpack(x, k) for x, k in zip(row, kinds, strict=True))
+            return pa.py_buffer(row[-1].to_pybytes()), (_sums(hashes), *rest)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 x = [batch.column(c)[k].as_buffer() for c in range(10)]
                 if left[0] is None or not left[0].equals(x[4]):  # the names tell which block it is
-                    many = unpack(x[1], np.uint32).astype(np.int64)
-                    left = pa.py_buffer(x[4].to_pybytes()), (np.cumsum(unpack(x[0], np.uint64)), np.cumsum(many) - many, many, unpack(x[2], np.uint32), unpack(x[3], np.uint32), unpack(x[4], np.int64))
+                    left = (None, None)
+                    left = block(x[:5], (kind, np.uint32, np.uint32, np.uint32, np.int64))
                 if right[0] is None or not right[0].equals(x[9]):
-                    right = pa.py_buffer(x[9].to_pybytes()), (np.cumsum(unpack(x[5], np.uint64)), unpack(x[6], np.uint32), unpack(x[7], np.uint32), unpack(x[8], np.uint32), unpack(x[9], np.int64))
-                yield from _pair(left[1], right[1], p, max(2, least), ROWS)
+                    right = (None, None)
+                    right = block(x[5:], (kind, np.uint32, np.uint32, np.uint32, np.int64))
+                yield from _pair(left[1], right[1], p, max(2, least), TOGETHER)
 
-    return hits.crossJoin(seeds).mapInArrow(run, SHORT_SCHEMA)
+    return hits.crossJoin(seeds).mapInArrow(frugal(run), SHORT_SCHEMA)

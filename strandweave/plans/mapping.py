@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.seeds import check, project_dna
+from strandweave.operators._groups import small_batches
 from strandweave.operators._store import spread, stored
 from strandweave.operators.anchors import query_seeds, seed_anchors
 from strandweave.operators.blocks import HITS, SEEDS, block_chains, hit_blocks, over_cap, seed_blocks
@@ -81,6 +82,7 @@ def place_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = No
     p = check(params)
     if p.refine or p.clamp:
         raise ValueError("refine and clamp need map_reads")
+    small_batches(contigs.sparkSession)  # a pair of blocks at a time
     named = contigs.where(F.col("contig_id").cast("long").isNotNull())
     sizes = named.groupBy(F.col("contig_id").cast("long").alias("contig_id")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("seq").cast("long") if "length" not in contigs.columns else "length").alias("bases"))
     ids, rows, longest, bases = sizes.agg(F.count(F.lit(1)), *[F.coalesce(x, F.lit(0)) for x in (F.sum("rows"), F.max("bases"), F.sum("bases"))]).first()
@@ -95,7 +97,7 @@ def place_reads(reads: DataFrame, contigs: DataFrame, params: Params | None = No
     total = seeds.count()
     if hits.count() * (total // SEEDS + 1) > PAIRS:
         return map_seeds(seeds, reads, contigs, p, build_index(contigs, p)).placements
-    blocks = stored(seed_blocks(seeds.join(often, "hash", "left_anti"), total))
+    blocks = stored(seed_blocks(seeds.join(often, "hash", "left_anti"), total, p))
     least = least_anchors(p)
     return select_fragments(block_chains(hits, blocks, p, least), p)
 

@@ -46,7 +46,7 @@ def test_pairs_of_blocks_give_the_same_placements(spark, monkeypatch, change):
     assert sorted(M.place_reads(reads, contigs, p).select(*want.columns).collect()) == rows
     made = []
     monkeypatch.setattr(M, "block_chains", lambda hits, seeds, *x: made.append((hits.count(), seeds.count())) or B.block_chains(hits, seeds, *x))
-    for name, size in (("HITS", 300), ("SEEDS", 200), ("ROWS", 100), ("SENT", 50)):
+    for name, size in (("HITS", 300), ("SEEDS", 200), ("TOGETHER", 100), ("SENT", 50)):
         monkeypatch.setattr(B, name, size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:
